@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batch_of, slices, texts_of
-from .tokens import ENCODE_CHARS, Encoder
+from .tokens import ENCODE_CHARS, encoder
 
 #: writer settings of the file format
 ORC_OPTIONS = {
@@ -48,12 +48,12 @@ def encode_parts(docs: DataFrame, tokenizer: str, end: int, parts: int | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        encoder = Encoder(tokenizer, end)
+        own = encoder(tokenizer, end)
         number, before = 0, 0
         for batch in batches:
             column = texts_of(batch.column(1))
             for lo, hi in slices(column, ENCODE_CHARS):
-                ids, offsets = encoder.encode(column[lo:hi])
+                ids, offsets = own.encode(column[lo:hi])
                 size = np.diff(offsets)
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
                 yield batch_of(_SCHEMA, batch.column(0).slice(lo, hi - lo), np.full(hi - lo, part, np.int32), number + np.arange(hi - lo), before + offsets[:-1], size.astype(np.int32), lists)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch_of, slices, texts_of
-from .tokens import ENCODE_CHARS, Encoder
+from .tokens import ENCODE_CHARS, encoder
 
 WINDOW = 4096
 OPEN_TOKENS = 32_000_000
@@ -145,7 +145,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int, window: int = WINDOW) -> Dat
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = Encoder(tokenizer, end), SumOfSquares(window)
+        own, packer = encoder(tokenizer, end), SumOfSquares(window)
         number = TaskContext.get().partitionId() << 40
 
         def flush(sequences: list[list[Piece]]) -> pa.RecordBatch:
@@ -163,7 +163,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int, window: int = WINDOW) -> Dat
         for batch in batches:
             column, names = texts_of(batch.column(1)), batch.column(0).to_pylist()
             for lo, hi in slices(column, ENCODE_CHARS):
-                ids, offsets = encoder.encode(column[lo:hi])
+                ids, offsets = own.encode(column[lo:hi])
                 for i in range(hi - lo):
                     packer.add(names[lo + i], ids[offsets[i] : offsets[i + 1]])
                 if packer.open_tokens > OPEN_TOKENS:

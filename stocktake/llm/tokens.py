@@ -1,12 +1,11 @@
 """Token ids of whole texts, each distinct word encoded once per slice.
 
 Both tokenizers of this package split a text at a space that stands between two
-characters which are not white space, and between a letter or digit and a
-punctuation mark, and never join across either.  So a text is cut at such
-spaces, trailing punctuation is cut from the pieces, Arrow finds the distinct
-ones, the tokenizer encodes those, and numpy lays the ids out again.  Texts
-where white space stands beside a space are encoded whole.  The ids equal those
-of the whole text either way (tested).
+characters which are not white space, before and after a line end, and between a
+letter or digit and a punctuation mark, and never join across these places.  So
+a text is cut there, Arrow finds the distinct pieces, the tokenizer encodes
+those, and numpy lays the ids out again.  Texts with other runs of white space
+are encoded whole.  The ids equal those of the whole text either way (tested).
 """
 
 from __future__ import annotations
@@ -20,11 +19,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: characters encoded at once; bounds memory
-ENCODE_CHARS = 16_000_000
+ENCODE_CHARS = 4_000_000
+#: distinct pieces whose ids a worker remembers
+REMEMBERED = 400_000
 _TAIL = ".,;!?%#$&*|"
-_BESIDE = r" [\s\pZ\x{1c}-\x{1f}\x{85}]"
-#: pieces that can stand in one text with others, a mark of their own between them
-_JOINABLE = r"^ ?[^\s\pZ\pC~]+$"
+_OTHER = r"\t\x{0b}\x{0c}\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: runs of white space that the cuts would change
+_RUNS = rf" [ \n{_OTHER}]|\n\n[ \n]|\n\n$|\n[{_OTHER}]|[{_OTHER}]\n"
+_VISIBLE = r"[^\s\pZ\pC~]+"
+#: marks that stand for themselves between pieces: a line end, or one for
+#: tokenizers that drop white space
+_MARKS = ("\n", " ~ ")
 
 
 @lru_cache(4)
@@ -52,28 +57,51 @@ class Encoder:
 
     def __init__(self, path: str, end: int) -> None:
         self.tokenizer, self.end = _tokenizer(path), end
-        # the mark that stands for itself between words: a line end, or "~"
-        # where the tokenizer drops white space
-        self.mark = "\n" if self.tokenizer.encode("a\nb", add_special_tokens=False).ids[1:-1] else " ~ "
-        self.mark_ids = self.tokenizer.encode(f"a{self.mark}b", add_special_tokens=False).ids[1:-1]
+        ids = [self.tokenizer.encode(f"a{mark}b", add_special_tokens=False).ids[1:-1] for mark in _MARKS]
+        self.mark, self.mark_ids = next(((m, i) for m, i in zip(_MARKS, ids, strict=True) if len(i) == 1), ("", []))
+        self.known, self.again = pa.array([], pa.large_string()), np.zeros(0, bool)
+        self.flat, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def _joined(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """As ``plain``, for pieces that match ``_JOINABLE``."""
+        """As ``plain``, for pieces that may stand in one text with the mark."""
         names = pieces.to_pylist()
-        (mark,) = self.mark_ids
         flat = [self.mark.join(names[at : at + 4000]) + self.mark for at in range(0, len(names), 4000)]
-        ids = np.concatenate([np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(flat, add_special_tokens=False)])
-        ends = np.flatnonzero(ids == mark)
+        ids = np.concatenate([np.zeros(0, np.int32), *(np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(flat, add_special_tokens=False))])
+        ends = np.flatnonzero(ids == self.mark_ids[0])
         return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
 
     def _distinct(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ``plain``, for distinct pieces; those of earlier slices are
+        remembered.  When there are too many, only those that came again stay."""
+        place = pc.index_in(pieces, value_set=self.known).to_numpy(zero_copy_only=False)
+        new = np.isnan(place) if place.dtype.kind == "f" else np.zeros(len(pieces), bool)
+        fresh = pieces.filter(pa.array(new))
+        flat, count = self._encoded(fresh)
+        old = place[~new].astype(np.int64)
+        self.again[old] = True
+        index = np.empty(len(pieces), np.int64)
+        index[~new], index[new] = old, len(self.count) + np.arange(len(fresh))
+        every, size = np.concatenate([self.flat, flat]), np.concatenate([self.count, count])
+        start = np.cumsum(size) - size
+        out = _gather(every, start[index], size[index]), size[index]
+        self.known = pa.concat_arrays([self.known, fresh])
+        self.flat, self.count, self.again = every, size, np.concatenate([self.again, np.zeros(len(fresh), bool)])
+        if len(size) > REMEMBERED:
+            keep = np.flatnonzero(self.again)
+            self.known = self.known.take(pa.array(keep))
+            self.flat, self.count = _gather(every, start[keep], size[keep]), size[keep]
+            self.again = np.zeros(len(keep), bool)
+        return out
+
+    def _encoded(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """As ``plain``, for distinct pieces."""
-        if len(self.mark_ids) != 1 or len(pieces) < 1000:
+        if len(self.mark_ids) != 1 or len(pieces) < 100:
             return self.plain(pieces.to_pylist())
-        fits = pc.match_substring_regex(pieces, _JOINABLE)
+        fits = pc.match_substring_regex(pieces, f"^ ?{_VISIBLE}$")
         one, n = self._joined(pieces.filter(fits))
         two, m = self.plain(pieces.filter(pc.invert(fits)).to_pylist())
         fits = fits.to_numpy(zero_copy_only=False)
+        assert len(n) == fits.sum(), "a mark was not kept apart"
         size, place = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
         size[fits], place[fits] = n, np.cumsum(n) - n
         size[~fits], place[~fits] = m, np.cumsum(m) - m + len(one)
@@ -87,8 +115,9 @@ class Encoder:
     def _pieces(self, names: pa.Array, spaced: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct pieces, each after a space where ``spaced``."""
         stem = pc.utf8_rtrim(names, characters=_TAIL)
-        last = pc.utf8_slice_codeunits(stem, -1, None)
-        cut = pc.and_(pc.utf8_is_alnum(last), pc.not_equal(pc.binary_length(stem), pc.binary_length(names)))
+        # letters that neither lower case nor normal form end in a mark
+        last = pc.match_substring_regex(stem, "[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f\u0410-\u044f]$")
+        cut = pc.and_(last, pc.not_equal(pc.binary_length(stem), pc.binary_length(names)))
         stem = pc.if_else(cut, stem, names)
         size = pc.utf8_length(stem).to_numpy(zero_copy_only=False)
         where = np.flatnonzero(cut.to_numpy(zero_copy_only=False))
@@ -110,15 +139,19 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, text after text, and the texts' offsets (one more)."""
-        odd = np.flatnonzero(pc.match_substring_regex(pa.array(texts, pa.large_string()), _BESIDE).to_numpy(zero_copy_only=False)).tolist()
+        odd = np.flatnonzero(pc.match_substring_regex(pa.array(texts, pa.large_string()), _RUNS).to_numpy(zero_copy_only=False)).tolist()
         even = list(texts)
         for i in odd:
             even[i] = ""
-        split = pc.split_pattern(pa.array(even, pa.large_string()), " ")
+        split = pc.split_pattern(pc.replace_substring(pa.array(even, pa.large_string()), "\n", " \n "), " ")
         bounds = split.offsets.to_numpy().astype(np.int64)
         coded = split.values.dictionary_encode()
         index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        index[bounds[:-1]] += len(coded.dictionary)  # no space before the first piece of a text
+        line_end = index == pc.index(coded.dictionary, pa.scalar("\n", pa.large_string())).as_py()
+        bare = line_end.copy()  # no space before a line end, behind one, at a text's beginning
+        bare[1:] |= line_end[:-1]
+        bare[bounds[:-1]] = True
+        index[bare] += len(coded.dictionary)
         used, index = np.unique(index, return_inverse=True)
         spaced = used < len(coded.dictionary)
         flat, count = self._pieces(coded.dictionary.take(pa.array(np.where(spaced, used, used - len(coded.dictionary)))), spaced)
@@ -133,3 +166,9 @@ class Encoder:
         place = np.cumsum(count) - count
         offsets = np.concatenate(([0], np.cumsum(size)))[bounds]
         return _gather(flat, place[index], size), offsets
+
+
+@lru_cache(2)
+def encoder(path: str, end: int) -> Encoder:
+    """The encoder of this process, with what it remembers."""
+    return Encoder(path, end)
