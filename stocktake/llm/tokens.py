@@ -19,9 +19,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: characters encoded at once; bounds memory
-ENCODE_CHARS = 4_000_000
+ENCODE_CHARS = 2_000_000
 #: distinct pieces whose ids a worker remembers
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 _TAIL = ".,;!?%#$&*|"
 _OTHER = r"\t\x{0b}\x{0c}\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: runs of white space that the cuts would change
