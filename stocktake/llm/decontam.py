@@ -1,8 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Terms are the words of the benchmark.  One pass over all documents counts in
-   how many passages each term stands; terms that a fifth of all passages hold
-   carry no information and are dropped.
+1. Terms are the words of the benchmark.  One pass over all documents counts how
+   often each term stands, against the number of passages; terms that stand more
+   often than ``COMMON`` times the passages say little and are dropped, except
+   the rarest ``FEWEST`` words of each item.
 2. A second pass takes the distributed randomised SVD of the TF-IDF matrix A of
    all passages: every task multiplies its rows with a random matrix and adds up
    its share of A'(A W).  The shares are summed by Spark; their sum, of fixed
@@ -35,8 +36,8 @@ PASSAGE = 64  # words of a passage that the statistics count
 WINDOW, STRIDE = 64, 16  # words of a window that is searched, and its step
 PROBE = 48  # words of an item that one probe holds; longer items have several
 RANK = 96
-COMMON = 0.2
-COSINE = 0.4
+COMMON, FEWEST = 0.02, 6
+COSINE = 0.5
 COVER, COVER_WITH_ANSWER = 0.7, 0.6
 MIN_WORDS = 8  # shorter items can't be told from chance; they match only whole
 ITEM_BLOCK = 256  # items searched at once
@@ -123,8 +124,9 @@ def _share(values: np.ndarray) -> pa.RecordBatch:
     return batch_of(schema, [i for i, _ in cuts], [d for _, d in cuts])
 
 
-def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, float]:
-    """Passages that hold each term, and all passages, over all documents."""
+def term_counts(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, float]:
+    """How often each term stands, and the number of passages, over all
+    documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(len(terms) + 1)
@@ -132,12 +134,9 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray
             texts = texts_of(batch.column(0))
             for lo, hi in slices(texts):
                 words = Words(texts[lo:hi])
-                passage, count = _passages(words)
                 place = _term_places(words.hashes, terms)
-                hit = place >= 0
-                pairs = np.unique(passage[hit] * len(terms) + place[hit])
-                found[:-1] += np.bincount(pairs % len(terms), minlength=len(terms))
-                found[-1] += count
+                found[:-1] += np.bincount(place[place >= 0], minlength=len(terms))
+                found[-1] += int((-(-np.diff(words.offsets) // PASSAGE)).sum())
         yield _share(found)
 
     total = _sum_arrays(docs.select(F.col("text").cast("string")).mapInArrow(run, "part int, data binary"), len(terms) + 1)
@@ -316,12 +315,13 @@ def prepare(docs: DataFrame, benchmark: DataFrame) -> tuple[list[Item], np.ndarr
     if not items:
         return [], np.zeros(0, np.uint64), np.zeros(0), []
     terms = np.unique(np.concatenate([x.words for x in items]))
-    held, total = document_frequencies(docs, terms)
-    # a short benchmark in a small corpus may consist of common words alone
-    keep = held <= max(COMMON * total, 2)
-    keep = keep if keep.any() else np.ones(len(terms), bool)
+    held, total = term_counts(docs, terms)
+    keep = held <= COMMON * total
+    for item in items:
+        own = np.unique(_term_places(item.words, terms))
+        keep[own[np.argsort(held[own], kind="stable")[:FEWEST]]] = True
     terms, held = terms[keep], held[keep]
-    idf = np.log((1 + total) / (1 + held)) + 1e-3
+    idf = np.log((1 + total) / (1 + np.minimum(held, total))) + 0.1
     basis = singular_vectors(docs, terms, idf)
     spaces = [(at, latent_space(items[at : at + ITEM_BLOCK], terms, idf, basis)) for at in range(0, len(items), ITEM_BLOCK)]
     return items, terms, idf, spaces
