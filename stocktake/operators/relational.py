@@ -108,6 +108,9 @@ def unpivot_known(df: DataFrame, keys: Sequence[str], fields: Sequence[str]) ->
     return df.unpivot(list(keys), list(fields), "name", "value").where("coalesce(value, '') <> ''")
 
 
-def first_words(values: Column, n: int = 10) -> Column:
-    """The first ``n`` of the sorted distinct values, joined by commas."""
-    return F.concat_ws(", ", F.slice(F.sort_array(values), 1, n))
+def first_distinct(df: DataFrame, keys: Sequence[str], value: str, n: int = 10) -> DataFrame:
+    """(*keys, listed): the first ``n`` distinct values of each group, joined by
+    commas.  Groups are cut to ``n`` values before they are gathered."""
+    rows = df.select(*keys, F.col(value).alias("_v")).where("_v IS NOT NULL").distinct()
+    few = top_of_each(rows, keys, [F.col("_v")], n)
+    return few.groupBy(*keys).agg(F.concat_ws(", ", F.sort_array(F.collect_list("_v"))).alias("listed"))

@@ -97,8 +97,9 @@ def evaluate(entities: DataFrame, policy: Policy | None = None) -> Evaluation:
     matches = clean.join(F.broadcast(triggers.where("enabled")), ["entity_type", "name"])
     matches = match_exceptions(matches, exceptions, ["base_rule_id", "entity_type", "name", "source_file"])
     counted = matches.groupBy("repo", "base_rule_id").agg(F.count("*").alias("candidates"), F.count_if(F.col("reason").isNull()).alias("kept"))
-    repos = entities.select("repo").distinct()
-    every = repos.join(F.broadcast(rules), F.lit(True)).join(counted, ["repo", "base_rule_id"], "left").na.fill(0, ["candidates", "kept"])
+    bases = F.explode(F.array(*[F.lit(r["base_rule_id"]) for r in C.RULES])).alias("base_rule_id")
+    repos = entities.select("repo").distinct().select("repo", bases)
+    every = repos.join(F.broadcast(rules), "base_rule_id").join(counted, ["repo", "base_rule_id"], "left").na.fill(0, ["candidates", "kept"])
     open_rules = every.where("enabled AND kept >= threshold").select("repo", "base_rule_id")
     p = F.when(F.col("source_file") != "", F.col("with_source")).otherwise(F.col("without_source"))
     scored = weighted_score(matches.where("reason IS NULL").withColumn("p", p).join(open_rules, ["repo", "base_rule_id"], "left_semi"))

@@ -1,4 +1,4 @@
-"""Queries of the inventory operators over the tables."""
+"""Queries of the operators over the tables, each with its SQL."""
 
 from __future__ import annotations
 
@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import history_queries, source_queries, text_queries
+
+Query = Callable[[SparkSession, str], DataFrame]
+_MODULES = (text_queries, history_queries, source_queries)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The gravest risks of the inventory of source files."""
+    return source_queries.inventory_risks(spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {name: query for module in _MODULES for name, (query, _) in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in _MODULES for name, (_, sql) in module.QUERIES.items() if sql}
