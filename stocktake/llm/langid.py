@@ -44,7 +44,7 @@ def training_text(docs: DataFrame, rows: int = ROWS_PER_LANG, chars: int = CHARS
     """A bounded sample of labelled text per language: at most ``rows`` rows of
     the learnable two thirds, in the order of a hash of their ids, at most
     ``CHARS_PER_ROW`` letters of each and ``chars`` letters in all."""
-    learn = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id"))
+    learn = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id")).select("doc_id", "lang", "text")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     picked = learn.select("lang", "doc_id").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= rows)
     picked = picked.select(F.col("lang").alias("_lang"), F.col("doc_id").alias("_id"), "_r")

@@ -184,7 +184,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_LABEL
     marked = marked.groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     picked = [marked.where(F.col("_toxic") == k).orderBy(F.xxhash64("_id"), "_id").limit(rows) for k in (0, 1)]
     # at most 2 * rows ids: a bounded side
-    sample = docs.join(F.broadcast(picked[0].union(picked[1])), docs.doc_id == F.col("_id"))
+    texts = docs.select("doc_id", "text")
+    sample = texts.join(F.broadcast(picked[0].union(picked[1])), texts.doc_id == F.col("_id"))
     found = sample.where("text IS NOT NULL").select("_id", "_toxic", "text").dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").collect()
     return [r.text for r in found], np.array([r._toxic for r in found], np.int64)
 
