@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 SLICE_CHARS = 300_000
 
 _own_dir: list[str] = []
+_resident: dict[object, object] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,6 +55,27 @@ class Workspace:
             path.getFileSystem(conf).delete(path, True)
 
 
+def tidy(key: object = None) -> None:
+    """At the start of a task: drop the model that an earlier operator's tasks
+    left in this worker process, unless it is ``key``'s, and give freed memory
+    back.  Workers serve many stages, so what each leaves would add up."""
+    if key not in _resident:
+        _resident.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def resident[T](key: object, build: Callable[[], T]) -> T:
+    """The one model that a worker process keeps between tasks."""
+    tidy(key)
+    if key not in _resident:
+        _resident[key] = build()
+    return _resident[key]
+
+
 def held_out(doc_id: Column | str) -> Column:
     """True for the third of documents that no model may learn from."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id

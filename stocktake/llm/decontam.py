@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, slices, texts_of
+from .common import batch_of, slices, texts_of, tidy
 from .textnum import Words
 
 PASSAGE = 64  # words of a passage that the statistics count
@@ -129,6 +129,7 @@ def term_counts(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, float]:
     documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         found = np.zeros(len(terms) + 1)
         for batch in batches:
             texts = texts_of(batch.column(0))
@@ -150,6 +151,7 @@ def singular_vectors(docs: DataFrame, terms: np.ndarray, idf: np.ndarray, rank:
     weighted = (probe * idf[:, None]).astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         share = np.zeros((len(terms), rank), np.float32)
         for batch in batches:
             texts = texts_of(batch.column(0))
@@ -339,6 +341,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("cover", pa.float64()), ("answered", pa.bool_()), ("start_word", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         searcher = Searcher(items, terms, idf, spaces)
         for batch in batches:
             texts, ids = texts_of(batch.column(1)), batch.column(0).to_pylist()
@@ -357,6 +360,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         searcher = Searcher(items, terms, idf, spaces)
         for batch in batches:
             texts = texts_of(batch.column(at))

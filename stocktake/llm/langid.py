@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, held_out, slices, texts_of
+from .common import batch_of, held_out, resident, slices, texts_of
 
 #: bounds of the training sample, for each language: rows, letters of one row, letters in all
 ROWS_PER_LANG = 400
@@ -107,14 +107,16 @@ class CrossParser:
         self.tables, self.cost = [], []
         for text in texts.values():
             automaton = suffix_automaton(text)
-            table = np.full((len(automaton), self.width), -1, np.int64)
+            row = 2 * self.width  # of a state, with the bit beside it
+            root = np.zeros(self.width, np.int32)
+            root[[column[c] for c in automaton[0]]] = [to * row for to in automaton[0].values()]
+            table = np.empty((len(automaton), self.width), np.int32)
+            table[:] = root + 1  # a failed step ends a phrase
             for state, arrows in enumerate(automaton):
                 for c, to in arrows.items():
-                    table[state, column[c]] = to
-            root = np.where(table[0] < 0, 0, table[0])
-            table = np.where(table < 0, (root * self.width * 2 + 1)[None, :], table * self.width * 2)
-            table[:, self.pad] = np.arange(len(automaton)) * self.width * 2
-            self.tables.append(table.astype(np.int32).ravel())
+                    table[state, column[c]] = to * row
+            table[:, self.pad] = np.arange(len(automaton)) * row
+            self.tables.append(table.ravel())
             self.cost.append(np.log2(max(2, len(text))))
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -156,17 +158,10 @@ class CrossParser:
         return total, letters
 
 
-_parsers: dict[tuple, CrossParser] = {}
-
-
 def _parser(texts: tuple[tuple[str, str], ...]) -> CrossParser:
     """One parser for each worker process; it is built from the few kilobytes
     of training text, which is cheaper than sending its tables."""
-    key = tuple((lang, hash(text)) for lang, text in texts)
-    if key not in _parsers:
-        _parsers.clear()
-        _parsers[key] = CrossParser(dict(texts))
-    return _parsers[key]
+    return resident(("cross-parser", hash(texts)), lambda: CrossParser(dict(texts)))
 
 
 def identify(docs: DataFrame, training: dict[str, str]) -> DataFrame:

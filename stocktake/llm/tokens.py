@@ -11,13 +11,14 @@ are encoded whole.  The ids equal those of the whole text either way (tested).
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import resident
+
 #: characters encoded at once; bounds memory
 ENCODE_CHARS = 2_000_000
 #: distinct pieces whose ids a worker remembers
@@ -32,7 +33,6 @@ _VISIBLE = r"[^\s\pZ\pC~]+"
 _MARKS = ("\n", " ~ ")
 
 
-@lru_cache(4)
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
@@ -168,7 +168,6 @@ class Encoder:
         return _gather(flat, place[index], size), offsets
 
 
-@lru_cache(2)
 def encoder(path: str, end: int) -> Encoder:
     """The encoder of this process, with what it remembers."""
-    return Encoder(path, end)
+    return resident(("encoder", path, end), lambda: Encoder(path, end))

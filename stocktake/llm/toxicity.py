@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, held_out, slices, texts_of
+from .common import batch_of, held_out, slices, texts_of, tidy
 from .textnum import Words, word_hash
 
 #: bound of the training sample: labelled rows of each label
@@ -218,6 +218,7 @@ def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         matcher = Matcher(grammar)
         for batch in batches:
             column = texts_of(batch.column(2))
@@ -234,6 +235,7 @@ def drop_toxic(docs: DataFrame, grammar: Grammar) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         matcher = Matcher(grammar)
         for batch in batches:
             column = texts_of(batch.column(at))
