@@ -6,18 +6,20 @@ the Jaccard similarity of their sets is 0.8 or more.
 * Equal sets form one class before anything else, so copies cost one row each.
 * A signature of 128 minima feeds the trees of the forest.  A tree orders the
   documents by a prefix of its own minima; documents that share the prefix sit
-  under one node of the trie.  Round one takes few trees and deep prefixes,
-  which joins close copies.  Round two shortens the prefix until the chance
-  that some tree holds a pair at the threshold reaches ``recall``, over all
-  trees, but between different classes only.
-* The documents of a node stand in the order of the deeper prefix.  Each is a
-  candidate with the ``NEXT`` before it and with the first.  So a node of up to
-  ``NEXT + 1`` documents gives all its pairs, and candidates grow in proportion
-  to documents.  A node is first dealt to ``SALTS`` parts, whose first documents
-  then meet, so that a node with a third of all documents is no hot task.
-* Candidates are verified on the sets themselves; verified links join documents
-  to clusters.  A node of more than ``NEXT + 1`` classes joins all its documents
-  to one cluster without verification, since it did not give all its pairs.
+  under one node of the trie.  The prefix is shortened until the chance that
+  some tree holds a pair at the threshold reaches ``recall``, over all trees.
+* Round one takes few trees and deep prefixes.  The documents of a node stand in
+  the order of the deeper prefix; each is a candidate with the ``NEXT`` before
+  it and with the first, so candidates grow in proportion to documents.  A node
+  is first dealt to ``SALTS`` parts, whose first documents then meet, so that a
+  node with a third of all documents is no hot task.  Candidates are verified on
+  the sets themselves; their links join close copies to classes.  Round one only
+  saves work: what it misses is left to round two.
+* Round two takes all trees and the short prefix, and every document of a node.
+  A node of one class needs nothing more.  A node of up to ``NEXT + 1`` documents
+  gives all its pairs between classes, which are verified.  A larger node of
+  several classes joins them to one cluster without verification.  So every
+  pair under a node ends in one cluster or was compared.
 * Inside each cluster all pairs are compared, in blocks spread over tasks.  A
   block gives the number of links of each document and a spanning forest of the
   links, never the pairs.  Components of the forests are the classes, so links
@@ -53,6 +55,8 @@ SALTS = 64
 BLOCK = 1024
 #: ids that a join may broadcast; more go by a shuffle
 BROADCAST_ROWS = 4_000_000
+#: nodes of several classes that a join may broadcast; more go by a shuffle
+BROADCAST_NODES = 1_000_000
 
 _SIGNED = "rid long, doc_id long, text_hash long, fingerprint binary, n_shingles int, deep array<long>, flat array<long>, next array<int>, members binary"
 
@@ -144,16 +148,22 @@ def _ordered_pairs(rows: DataFrame, *group: str) -> DataFrame:
     return paired.where("ys[1] IS NOT NULL").select("x", F.explode("ys").alias("y"))
 
 
+def _fitting(pairs: DataFrame) -> DataFrame:
+    """(a, b), a < b, from pairs (x, y) of different classes.  Pairs whose sizes
+    alone rule the similarity out are none."""
+    fits = SIMILARITY[1] * F.least("x.n", "y.n") >= SIMILARITY[0] * F.greatest("x.n", "y.n")
+    pairs = pairs.where((F.col("x.rid") != F.col("y.rid")) & (F.col("x.class") != F.col("y.class")) & fits)
+    return pairs.select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b")).distinct()
+
+
 def _candidates(rows: DataFrame) -> DataFrame:
-    """(a, b), a < b, from rows (node, child, rid, class, n): see the module.
-    Pairs whose sizes alone rule the similarity out are none."""
+    """(a, b), a < b, from rows (node, child, rid, class, n): those of round one,
+    see the module."""
     rows = rows.withColumn("salt", F.pmod(F.hash("rid"), F.lit(SALTS)))
     place = Window.partitionBy("node", "salt").orderBy("child", "rid")
     heads = rows.withColumn("place", F.row_number().over(place)).where("place = 1").drop("place")
     pairs = _ordered_pairs(rows, "node", "salt").union(_ordered_pairs(heads, "node"))
-    fits = SIMILARITY[1] * F.least("x.n", "y.n") >= SIMILARITY[0] * F.greatest("x.n", "y.n")
-    pairs = pairs.where((F.col("x.rid") != F.col("y.rid")) & (F.col("x.class") != F.col("y.class")) & fits)
-    return pairs.select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b")).distinct()
+    return _fitting(pairs)
 
 
 def _picked(table: DataFrame, rids: DataFrame) -> DataFrame:
@@ -303,13 +313,13 @@ def near_duplicates(docs: DataFrame, recall: float = RECALL, trees: int = TREES)
 
     classes = keys.join(first, keys.rid == first.node, "left").select("rid", "n", F.coalesce("root", "rid").alias("class"), F.arrays_zip("flat", "next").alias("trees"))
     flat = classes.select("rid", "n", "class", F.explode("trees").alias("t")).select("rid", "n", "class", F.col("t.flat").alias("node"), F.col("t.next").alias("child"))
-    # one document of a class stands for it under a node
-    alone = flat.where("rid = class")
-    others = flat.where("rid <> class").dropDuplicates(["node", "class"])
-    flat = alone.union(others)
-    wide = work.save(_verified(work.save(_candidates(flat), "pairs2"), sets), "wide")
-    crowded = flat.groupBy("node").agg(F.count("*").alias("size"), F.min("rid").alias("b")).where(F.col("size") > NEXT + 1).select("node", "b")
-    crowded = flat.join(crowded, "node").select(F.col("rid").alias("a"), "b").distinct()
+    # nodes of one class are settled by it; the others are counted with every document
+    nodes = flat.groupBy("node").agg(F.count("*").alias("size"), F.min("class").alias("b"), F.max("class").alias("last")).where("b < last")
+    nodes = work.save(nodes.select("node", "size", "b"), "nodes")
+    mixed = flat.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes, "node")
+    small = mixed.where(F.col("size") <= NEXT + 1).drop("size", "b")
+    wide = work.save(_verified(work.save(_fitting(_ordered_pairs(small, "node")), "pairs2"), sets), "wide")
+    crowded = mixed.where(F.col("size") > NEXT + 1).select(F.col("class").alias("a"), "b").distinct()
     joined = first.select(F.col("node").alias("a"), F.col("root").alias("b"))
     clusters = components(wide.union(joined).union(crowded), work, "clusters")
 
@@ -323,7 +333,7 @@ def near_duplicates(docs: DataFrame, recall: float = RECALL, trees: int = TREES)
     best = classes.join(named, "rid").groupBy("class").agg(F.min(rank).alias("best"), F.sum("copies").alias("class_size"))
     classes = classes.join(best, "class").join(links, "rid", "left").select("fingerprint", F.col("best.rid").alias("keeper_rid"), "class_size", (F.col("copies") - 1 + F.coalesce(F.col("links") - F.col("copies"), F.lit(0))).alias("n_links"))
     classes = work.save(classes.join(named.select(F.col("rid").alias("keeper_rid"), F.col("doc_id").alias("class_id")), "keeper_rid"), "result")
-    work.drop("keys", "pairs1", "pairs2", "close", "wide", "heads", "classes", "linked", "compared")
+    work.drop("keys", "nodes", "pairs1", "pairs2", "close", "wide", "heads", "classes", "linked", "compared")
     lone = F.col("fingerprint").isNull()
     rows = signed.select("rid", "doc_id", "text_hash", "fingerprint").join(classes, "fingerprint", "left")
     return rows.select(

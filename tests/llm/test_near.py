@@ -58,6 +58,33 @@ def test_classes_and_links_equal_all_pairs(spark):
     assert sum(r.keeper for r in found) == len({r.class_id for r in found})
 
 
+def families(seed=7, count=15, members=50, fringe=5):
+    """Families of variants of one text, and a few documents linked to a single
+    variant each: too few to crowd a node of the trie."""
+    r = random.Random(seed)
+    out = []
+    for f in range(count):
+        docs = []
+        for k in range(members):
+            docs.append([f"f{f}b{i}" for i in range(400)])
+            docs[-1][r.randrange(200)] = f"m{f}x{k}"
+        for k in range(fringe):
+            other = list(docs[7 * k + 5])
+            for at in range(210, 210 + 8 * 22, 22):
+                other[at] = f"y{f}x{k}x{at}"
+            docs.append(other)
+        out.append([(1000 * f + i, " ".join(d)) for i, d in enumerate(docs)])
+    return out
+
+
+def test_documents_linked_to_one_member_of_a_family(spark):
+    groups = families()
+    expected = {i: x for rows in groups for i, x in brute(rows).items()}
+    assert sum(links == 1 for _, links in expected.values()) > 50
+    found = near.near_duplicates(spark.createDataFrame(sum(groups, []), "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in found} == expected
+
+
 def test_depth_reaches_recall():
     depth = near.depth_for(0.9995, 20, 0.8)
     assert 1 - (1 - 0.8**depth) ** 20 >= 0.9995 > 1 - (1 - 0.8 ** (depth + 1)) ** 20
