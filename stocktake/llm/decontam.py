@@ -1,16 +1,18 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Terms are the words of the benchmark.  One pass over all documents counts how
-   often each term stands, against the number of passages; terms that stand more
-   often than ``COMMON`` times the passages say little and are dropped, except
-   the rarest ``FEWEST`` words of each item.
+1. Terms are the words of the benchmark.  One pass over all documents counts in
+   how many passages each term stands; terms that more than ``COMMON`` of all
+   passages hold say little and are dropped, except the rarest words of each
+   item: ``SHARE`` of them and ``FEWEST`` at least.  So an item that stands in
+   many documents is still found by more words than a paraphrase may change.
 2. A second pass takes the distributed randomised SVD of the TF-IDF matrix A of
    all passages: every task multiplies its rows with a random matrix and adds up
    its share of A'(A W).  The shares are summed by Spark; their sum, of fixed
    size, gives the leading right singular vectors (Nystrom's formula).
 3. The latent space is spanned by these vectors and by what the benchmark items
    have outside them, so that rare words of an item keep a direction.
-4. A third pass folds overlapping windows of every document into that space.
+4. A third pass folds overlapping windows of every document into that space,
+   less those that hold too few words of every item to pass the check below.
    Windows within ``COSINE`` of an item are candidates.
 5. Each candidate is checked on the words themselves: the longest common
    subsequence of item and region must cover ``COVER`` of the item, or less if
@@ -21,8 +23,10 @@ Documents stay where they are; only sums of fixed size and hits are shuffled.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +40,13 @@ PASSAGE = 64  # words of a passage that the statistics count
 WINDOW, STRIDE = 64, 16  # words of a window that is searched, and its step
 PROBE = 48  # words of an item that one probe holds; longer items have several
 RANK = 96
-COMMON, FEWEST = 0.02, 6
-COSINE = 0.5
+COMMON, SHARE, FEWEST = 0.2, 0.75, 6
+COSINE = 0.4
 COVER, COVER_WITH_ANSWER = 0.7, 0.6
 MIN_WORDS = 8  # shorter items can't be told from chance; they match only whole
+SCREENED = 0.6  # share of an item's words, rarest first, that screens windows
 ITEM_BLOCK = 256  # items searched at once
+BITMAP = 1 << 24  # passages times terms that a task marks at once
 PARTS = 32  # pieces in which tasks send their sums
 
 
@@ -52,6 +58,14 @@ class Item:
     words: np.ndarray
     answer: int
 
+    @cached_property
+    def masks(self) -> dict[int, int]:
+        return _masks(self.words)
+
+    @cached_property
+    def answer_masks(self) -> dict[int, int]:
+        return _masks(self.words[self.answer :])
+
 
 def items_of(benchmark: DataFrame) -> list[Item]:
     """Items of the benchmark (item_id, text), which is a stated query set and
@@ -124,20 +138,27 @@ def _share(values: np.ndarray) -> pa.RecordBatch:
     return batch_of(schema, [i for i, _ in cuts], [d for _, d in cuts])
 
 
-def term_counts(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, float]:
-    """How often each term stands, and the number of passages, over all
-    documents."""
+def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, float]:
+    """Passages that hold each term, and all passages, over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
         found = np.zeros(len(terms) + 1)
+        step = max(1, BITMAP // len(terms))
         for batch in batches:
             texts = texts_of(batch.column(0))
             for lo, hi in slices(texts):
                 words = Words(texts[lo:hi])
+                passage, count = _passages(words)
                 place = _term_places(words.hashes, terms)
-                found[:-1] += np.bincount(place[place >= 0], minlength=len(terms))
-                found[-1] += int((-(-np.diff(words.offsets) // PASSAGE)).sum())
+                hit = np.flatnonzero(place >= 0)
+                passage, place = passage[hit], place[hit]
+                for at in range(0, count, step):
+                    first, last = np.searchsorted(passage, (at, at + step))
+                    held = np.zeros((min(step, count - at), len(terms)), bool)
+                    held[passage[first:last] - at, place[first:last]] = True
+                    found[:-1] += held.sum(axis=0)
+                found[-1] += count
         yield _share(found)
 
     total = _sum_arrays(docs.select(F.col("text").cast("string")).mapInArrow(run, "part int, data binary"), len(terms) + 1)
@@ -212,26 +233,40 @@ def latent_space(items: Sequence[Item], terms: np.ndarray, idf: np.ndarray, basi
     return Space((space * idf[:, None]).astype(np.float32), (probes / size).astype(np.float32), np.array(owner), float((COSINE * size.min() * 0.5) ** 2))
 
 
-def lcs_length(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence, bit by bit over ``a``."""
+def _masks(a: np.ndarray) -> dict[int, int]:
+    """For each word, a number with the bits of its places in ``a``."""
     masks: dict[int, int] = {}
     for i, x in enumerate(a.tolist()):
         masks[x] = masks.get(x, 0) | 1 << i
-    full = (1 << len(a)) - 1
+    return masks
+
+
+def _common(masks: dict[int, int], size: int, b: list[int]) -> int:
+    full = (1 << size) - 1
     row = full
-    for x in b.tolist():
+    for x in b:
         match = row & masks.get(x, 0)
         if match:
             row = (row + match | row - match) & full
-    return len(a) - row.bit_count()
+    return size - row.bit_count()
+
+
+def lcs_length(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest common subsequence, bit by bit over ``a``."""
+    return _common(_masks(a), len(a), b.tolist())
 
 
 def _check(item: Item, region: np.ndarray) -> tuple[float, bool]:
-    """Share of the item in the region in order, and whether its answer is there."""
-    cover = lcs_length(item.words, region) / len(item.words)
-    answer = item.words[item.answer :]
-    present = 0 < item.answer and lcs_length(answer, region) == len(answer) and len(answer) > 0
-    return cover, present
+    """Share of the item in the region in order, and whether its answer is
+    there; (0, False) if too few of its words are there in any order."""
+    words, size = region.tolist(), len(item.words)
+    if sum(item.masks[x].bit_count() for x in item.masks.keys() & words) < COVER_WITH_ANSWER * size:
+        return 0.0, False
+    cover = _common(item.masks, size, words) / size
+    if cover < COVER_WITH_ANSWER:
+        return cover, False
+    wanted = size - item.answer
+    return cover, 0 < item.answer and wanted > 0 and _common(item.answer_masks, wanted, words) == wanted
 
 
 def is_leak(item: Item, cover: float, answered: bool) -> bool:
@@ -240,11 +275,57 @@ def is_leak(item: Item, cover: float, answered: bool) -> bool:
     return cover >= COVER or (answered and cover >= COVER_WITH_ANSWER)
 
 
+class Screen:
+    """Which windows may hold an item of a block at all.  A leak leaves out at
+    most so many of an item's words; so of its rarer words (``SCREENED`` of all)
+    the rest stand in the region that the check reads.  No leak is lost."""
+
+    def __init__(self, items: Sequence[Item], terms: np.ndarray, idf: np.ndarray) -> None:
+        own, owner, need, reach = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], []
+        for k, item in enumerate(items):
+            size, place = len(item.words), _term_places(item.words, terms)
+            found, times = np.unique(place[place >= 0], return_counts=True)
+            order = np.argsort(-idf[found], kind="stable")
+            chosen = order[: int(np.searchsorted(np.cumsum(times[order]), SCREENED * size)) + 1]
+            least = size if size < MIN_WORDS else COVER_WITH_ANSWER * size
+            own.append(found[chosen])
+            owner.append(np.full(len(chosen), k))
+            need.append(times[chosen].sum() - (size - least) - 1e-6)
+            reach.append(-(-(size if size > PROBE else STRIDE) // STRIDE))
+        own, owner = np.concatenate(own), np.concatenate(owner)
+        order = np.argsort(own, kind="stable")
+        self.owner, self.starts = owner[order], np.searchsorted(own[order], np.arange(len(terms) + 1))
+        self.need, self.reach = np.array(need), np.array(reach)
+
+    def possible(self, block: np.ndarray, place: np.ndarray, total: int) -> np.ndarray:
+        """For each of ``total`` blocks, whether the window that begins there
+        passes; from the sorted block and the term of each word."""
+        out, width, span = np.zeros(total, bool), len(self.need), WINDOW // STRIDE
+        most = int(self.reach.max())
+        for at in range(0, total, 4096):
+            end = min(total, at + 4096)
+            low, high = max(0, at - most), min(total, end + span + most)
+            a, b = np.searchsorted(block, (low, high))
+            times = self.starts[place[a:b] + 1] - self.starts[place[a:b]]
+            index = np.repeat(self.starts[place[a:b]] - np.cumsum(times) + times, times) + np.arange(times.sum())
+            cell = np.repeat(block[a:b] - low, times) * width + self.owner[index]
+            sums = np.zeros((high - low + 1, width), np.int32)
+            np.cumsum(np.bincount(cell, minlength=(high - low) * width).reshape(-1, width), axis=0, out=sums[1:])
+            window = np.arange(at, end) - low
+            for reach in np.unique(self.reach):
+                mine = self.reach == reach
+                part = sums[:, mine]
+                held = part[np.minimum(window + span + reach, high - low)] - part[np.maximum(window - reach, 0)]
+                out[at:end] |= (held >= self.need[mine]).any(axis=1)
+        return out
+
+
 class Searcher:
     """Searches the windows of texts; one for each task."""
 
     def __init__(self, items: Sequence[Item], terms: np.ndarray, idf: np.ndarray, spaces: Sequence[tuple[int, Space]]) -> None:
         self.items, self.terms, self.spaces = items, terms, spaces
+        self.screens = [Screen(items[at : at + ITEM_BLOCK], terms, idf) for at, _ in spaces]
         self.energy = (idf**2).astype(np.float32)
 
     def search(self, texts: list[str]) -> list[tuple[int, int, float, float, bool, int]]:
@@ -271,12 +352,15 @@ class Searcher:
         # the last windows of a text lie inside its last whole one
         whole = (np.arange(total) + span <= last) | (np.arange(total) == first[owner])
         found: dict[tuple[int, int], tuple[float, float, bool, int]] = {}
-        for shift, space in self.spaces:
+        for (shift, space), screen in zip(self.spaces, self.screens, strict=True):
             if not len(space.probes):
                 continue
-            near = np.flatnonzero(whole & (mass >= space.least))
-            for at in range(0, len(near), 4096):
+            near = np.flatnonzero(whole & (mass >= space.least) & screen.possible(block, place, total))
+            at = 0
+            while at < len(near):
                 part = near[at : at + 4096]
+                part = part[part < part[0] + 8192]  # bounds the dense blocks
+                at += len(part)
                 lo, hi = np.searchsorted(block, part[0]), np.searchsorted(block, end[part[-1]])
                 local = block[lo:hi] - part[0]
                 dense = np.zeros((int(end[part[-1]] - part[0]), space.embed.shape[1]), np.float32)
@@ -317,13 +401,14 @@ def prepare(docs: DataFrame, benchmark: DataFrame) -> tuple[list[Item], np.ndarr
     if not items:
         return [], np.zeros(0, np.uint64), np.zeros(0), []
     terms = np.unique(np.concatenate([x.words for x in items]))
-    held, total = term_counts(docs, terms)
+    held, total = document_frequencies(docs, terms)
     keep = held <= COMMON * total
     for item in items:
         own = np.unique(_term_places(item.words, terms))
-        keep[own[np.argsort(held[own], kind="stable")[:FEWEST]]] = True
+        fewest = max(FEWEST, math.ceil(SHARE * len(own)))
+        keep[own[np.argsort(held[own], kind="stable")[:fewest]]] = True
     terms, held = terms[keep], held[keep]
-    idf = np.log((1 + total) / (1 + np.minimum(held, total))) + 0.1
+    idf = np.log((1 + total) / (1 + held)) + 0.1
     basis = singular_vectors(docs, terms, idf)
     spaces = [(at, latent_space(items[at : at + ITEM_BLOCK], terms, idf, basis)) for at in range(0, len(items), ITEM_BLOCK)]
     return items, terms, idf, spaces

@@ -4,10 +4,12 @@ planted cases."""
 import random
 
 import numpy as np
+import pytest
 from compare import SF
 
 from stocktake.llm import decontam, langid, toxicity
 from stocktake.llm.common import held_out
+from stocktake.llm.textnum import Words
 
 SF2 = SF.replace("0.001", "0.01")
 
@@ -127,6 +129,28 @@ def test_leaks_are_found_and_clean_documents_stay(spark):
     assert {x.doc_id for x in decontam.drop_leaks(table, bench).collect()} == set(range(60))
 
 
+@pytest.mark.parametrize("filler", [20, 90])
+def test_paraphrases_of_an_item_in_a_third_of_the_documents(spark, filler):
+    r = random.Random(4)
+    item = [f"item{i}" for i in range(40)]
+    rows = [(i, " ".join(r.choices([f"filler{k}" for k in range(400)], k=filler + 40))) for i in range(200)]
+    for i in range(100):  # in ten of the copies the last eight words are others, so they are the rarest
+        body = item[:32] + ([f"near{i}x{k}" for k in range(8)] if i < 10 else item[32:])
+        rows.append((1000 + i, " ".join(r.choices([f"filler{k}" for k in range(400)], k=filler) + body)))
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    found = {x.doc_id for x in decontam.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert found == set(range(1000, 1100))
+
+
+def test_frequencies_count_passages(spark):
+    texts = ["a b a a " * 40, "a c", "c " * 64 + "c b", ""]
+    words = Words(["a b c"]).hashes
+    terms = np.sort(words)
+    held, total = decontam.document_frequencies(spark.createDataFrame([(t,) for t in texts], "text string"), terms)
+    assert total == 6
+    assert [held[np.searchsorted(terms, w)] for w in words] == [4, 4, 3]
+
+
 def test_leaks_of_awkward_rows(spark, awkward, nothing):
     bench = spark.createDataFrame([(1, "a plain sentence about rivers and hills"), (2, None), (None, "x y")], "item_id long, text string")
     assert sorted(r.doc_id for r in decontam.find_leaks(awkward, bench).collect()) == [1, 1]
