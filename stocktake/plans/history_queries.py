@@ -72,11 +72,17 @@ def drift_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.gates(_changes(spark, sf_dir), providers, ["new-model", "new-tool", "new-external-provider", "no-such-gate"])
 
 
-@registered(QUERIES, "SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 10 = 0 EXCEPT SELECT user_id, event_type FROM events WHERE event_id % 10 IN (1, 2, 3)")
+@registered(
+    QUERIES,
+    """WITH m AS (SELECT min(ts) + INTERVAL 1 DAY AS since FROM events)
+SELECT DISTINCT user_id, event_type FROM events, m WHERE ts >= since EXCEPT SELECT user_id, event_type FROM events, m WHERE ts < since""",
+)
 def novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs that the first day never held; every event is on one side."""
     events = table(spark, sf_dir, "events")
-    current = events.where("event_id % 10 = 0").select("user_id", "event_type").distinct()
-    return R.novel(current, events.where("event_id % 10 IN (1, 2, 3)"), ["user_id", "event_type"])
+    since = events.agg((F.min("ts") + F.expr("INTERVAL 1 DAY")).alias("since")).scalar()
+    current = events.where(F.col("ts") >= since).select("user_id", "event_type").distinct()
+    return R.novel(current, events.where(F.col("ts") < since), ["user_id", "event_type"])
 
 
 @registered(

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stocktake import constants as C
 from stocktake.functions import columns as X
 from stocktake.functions.parsers import setting_leaves_of
 from stocktake.operators.export import manifest
@@ -111,7 +110,7 @@ def confidence_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(
     QUERIES,
-    """SELECT page_id, string_split(url, '/')[-1] AS name, list_has_any(string_split(url, '/'), ['.venv', 'venv', '__pycache__', '.git', '.aibom']) AS ignored, regexp_extract(string_split(url, '/')[-1], '^.+([.][^.]+)$', 1) AS suffix FROM pages""".replace("'.aibom'", "'" + C.IGNORED_DIRS[-1] + "'"),
+    """SELECT page_id, string_split(url, '/')[-1] AS name, list_has_any(string_split(url, '/'), ['.venv', 'venv', '__pycache__', '.git', '.stocktake']) AS ignored, regexp_extract(string_split(url, '/')[-1], '^.+([.][^.]+)$', 1) AS suffix FROM pages""",
 )
 def path_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", X.file_name("url").alias("name"), X.is_ignored("url").alias("ignored"), X.suffix("url").alias("suffix"))
@@ -119,14 +118,14 @@ def path_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(
     QUERIES,
-    """WITH s AS (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL), d AS (SELECT d.source, l.doc_id IS NOT NULL AS done FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id WHERE d.doc_id % 2 = 0)
+    """WITH s AS (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL), d AS (SELECT d.source, l.doc_id IS NOT NULL AS done FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id)
 SELECT s.source, count(d.source)::BIGINT AS seen, (count(*) FILTER (WHERE d.done))::BIGINT AS scanned FROM s LEFT JOIN d ON s.source = d.source GROUP BY s.source""",
 )
 def coverage_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     labels = table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("labelled", F.lit(True))
-    even = docs.where("doc_id % 2 = 0").join(labels, "doc_id", "left")
-    return coverage(docs.where("source IS NOT NULL"), even, "source", F.coalesce("labelled", F.lit(False)))
+    seen = docs.join(labels, "doc_id", "left")
+    return coverage(docs.where("source IS NOT NULL"), seen, "source", F.coalesce("labelled", F.lit(False)))
 
 
 @registered(
