@@ -121,6 +121,18 @@ def conversations_of(formatted: DataFrame) -> DataFrame:
     return formatted.groupBy("conv_id").agg(F.concat_ws("", listed.getField("formatted")).alias("formatted"))
 
 
+def turns_of(conversations: DataFrame) -> DataFrame:
+    """(conv_id, place, role, text) parsed from whole conversations (conv_id,
+    formatted) alone.  No turn holds a close mark but at its end, so cutting
+    behind each mark gives the turns; ``place`` counts them from 0."""
+    parts = F.split("formatted", " </turn>\n")
+    rows = conversations.select("conv_id", F.posexplode(F.slice(parts, 1, F.size(parts) - 1)).alias("place", "part"))
+    turn = F.concat("part", F.lit(CLOSE))
+    plain, marked = _parsed(turn, 0), _parsed(turn, 1)
+    escaped = turn.contains("\\")
+    return rows.select("conv_id", "place", F.when(escaped, marked[0]).otherwise(plain[0]).alias("role"), F.when(escaped, marked[1]).otherwise(plain[1]).alias("text"))
+
+
 def digests(turns: DataFrame) -> DataFrame:
     """Per conversation: ``n_turns``, ``turns_sha256``, ``loss_chars``,
     ``loss_sha256``, ``formatted_chars`` of parsed turns."""

@@ -4,55 +4,37 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-#: characters of text that one numpy step handles; bounds a task's memory
-SLICE_CHARS = 300_000
-
-_own_dir: list[str] = []
-_resident: dict[object, object] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir`` of the
-    session, or one temporary folder where that is unset (local tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    configured = configured or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if configured:
-        return configured.rstrip("/")
-    if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="stocktake-"))
-    return _own_dir[0]
+from stocktake.sources.work import Workspace, shared_dir
 
+__all__ = ["Workspace", "batch_of", "held_out", "over_batches", "resident", "shared_dir", "slices", "text_slices", "texts_of", "tidy"]
 
-class Workspace:
-    """Tables that cut lineage: written to the shared folder and read again, so
-    a lost executor costs a reread and not a recomputation."""
-
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+#: bytes of text that one numpy step handles; bounds a task's memory
+SLICE_CHARS = 300_000
+#: bytes of one Arrow batch
+BATCH_BYTES = 8 << 20
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
-    def path(self, table: str) -> str:
-        return f"{self.root}/{table}"
+_resident: dict[object, object] = {}
 
-    def save(self, df: DataFrame, table: str, fmt: str = "parquet", **options: str) -> DataFrame:
-        path = self.path(table)
-        df.write.format(fmt).options(**options).save(path)
-        return self.spark.read.schema(df.schema).format(fmt).load(path)
 
-    def drop(self, *tables: str) -> None:
-        """Remove tables that no later step reads (all of them without names)."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for target in [self.path(t) for t in tables] or [self.root]:
-            path = jvm.org.apache.hadoop.fs.Path(target)
-            path.getFileSystem(conf).delete(path, True)
+def over_batches(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``rows.mapInArrow(run, schema)`` whose batches hold about ``BATCH_BYTES``
+    at most (one long row may hold more), unless the session sets a limit of its
+    own; with Spark's limit by rows alone, a task's memory would grow with the
+    length of texts."""
+    conf = rows.sparkSession.conf
+    if conf.get(_LIMIT, None) is None:
+        conf.set(_LIMIT, str(BATCH_BYTES))
+    return rows.mapInArrow(run, schema)
 
 
 def tidy(key: object = None) -> None:
@@ -87,6 +69,18 @@ def texts_of(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def text_slices(column: pa.Array, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int, list[str]]]:
+    """Ranges of whole texts with about ``limit`` bytes each, and their texts;
+    only one range at a time stands in memory as Python strings."""
+    size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    ends = np.cumsum(size)
+    lo = 0
+    while lo < len(size):
+        hi = int(np.searchsorted(ends, ends[lo] - size[lo] + limit)) + 1
+        yield lo, min(hi, len(size)), texts_of(column.slice(lo, hi - lo))
+        lo = hi
+
+
 def slices(texts: Sequence[str], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of whole texts with about ``limit`` characters each."""
     lo, size = 0, 0

@@ -16,7 +16,7 @@
    Windows within ``COSINE`` of an item are candidates.
 5. Each candidate is checked on the words themselves: the longest common
    subsequence of item and region must cover ``COVER`` of the item, or less if
-   the item's answer (its last sentence) stands whole in the region.
+   the item's answer (its last sentence) stands in the region word by word.
 
 Documents stay where they are; only sums of fixed size and hits are shuffled.
 """
@@ -26,14 +26,15 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, slices, texts_of, tidy
+from .common import batch_of, over_batches, text_slices, tidy
 from .textnum import Words
 
 PASSAGE = 64  # words of a passage that the statistics count
@@ -45,9 +46,11 @@ COSINE = 0.4
 COVER, COVER_WITH_ANSWER = 0.7, 0.6
 MIN_WORDS = 8  # shorter items can't be told from chance; they match only whole
 SCREENED = 0.6  # share of an item's words, rarest first, that screens windows
-ITEM_BLOCK = 256  # items searched at once
+ITEM_BLOCK = 256  # items searched at once, at most
 BITMAP = 1 << 24  # passages times terms that a task marks at once
 PARTS = 32  # pieces in which tasks send their sums
+FAN_IN = 32  # sums of tasks that one step adds up
+ROUND_BYTES = 64 << 20  # latent spaces that tasks hold at once; more take more passes
 
 
 @dataclass
@@ -63,8 +66,9 @@ class Item:
         return _masks(self.words)
 
     @cached_property
-    def answer_masks(self) -> dict[int, int]:
-        return _masks(self.words[self.answer :])
+    def answer_bytes(self) -> bytes:
+        """The answer's words, empty if the item has no sentence before it."""
+        return self.words[self.answer :].tobytes() if self.answer > 0 else b""
 
 
 def items_of(benchmark: DataFrame) -> list[Item]:
@@ -107,35 +111,40 @@ def _passages(words: Words) -> tuple[np.ndarray, int]:
     return first[doc] + (np.arange(count.sum()) - words.offsets[:-1][doc]) // PASSAGE, int(parts.sum())
 
 
+_SHARE = "task int, part int, data binary"
+_SHARE_SCHEMA = pa.schema([("task", pa.int32()), ("part", pa.int32()), ("data", pa.binary())])
+
+
 def _sum_arrays(rows: DataFrame, size: int) -> np.ndarray:
-    """Sum of float arrays of one fixed size, ``(part, data)`` with little-endian
-    doubles; each part is one group of a bounded number of bytes per task."""
-    schema = pa.schema([("part", pa.int32()), ("data", pa.binary())])
+    """Sum of float arrays of one fixed size, sent by tasks in parts
+    (``_share``).  Each step adds up ``FAN_IN`` tasks' parts, then as many of
+    their sums, then the rest: no task reads a share of every other one, as long
+    as there are fewer than ``FAN_IN`` cubed."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                value = np.frombuffer(data, "<f8")
-                sums[part] = sums[part] + value if part in sums else value
-        yield batch_of(schema, list(sums), [v.tobytes() for v in sums.values()])
+            for task, part, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                key, value = (task // FAN_IN, part), np.frombuffer(data, "<f8")
+                sums[key] = sums[key] + value if key in sums else value
+        yield batch_of(_SHARE_SCHEMA, [k[0] for k in sums], [k[1] for k in sums], [v.tobytes() for v in sums.values()])
 
-    parts = max(1, rows.sparkSession.sparkContext.defaultParallelism)
-    total = rows.repartition(parts, "part").mapInArrow(add, "part int, data binary").collect()
+    for _ in range(3):
+        rows = over_batches(rows.repartition(F.floor(F.col("task") / FAN_IN), "part"), add, _SHARE)
     out = np.zeros(size)
     chunk = -(-size // PARTS)
-    for part, data in total:
+    for _, part, data in rows.collect():
         value = np.frombuffer(bytes(data), "<f8")
         out[part * chunk : part * chunk + len(value)] += value
     return out
 
 
 def _share(values: np.ndarray) -> pa.RecordBatch:
-    schema = pa.schema([("part", pa.int32()), ("data", pa.binary())])
+    """What a task adds to a sum, in ``PARTS`` parts."""
     flat = values.ravel().astype("<f8")
     chunk = -(-len(flat) // PARTS)
     cuts = [(i, flat[i * chunk : (i + 1) * chunk].tobytes()) for i in range(PARTS) if i * chunk < len(flat)]
-    return batch_of(schema, [i for i, _ in cuts], [d for _, d in cuts])
+    return batch_of(_SHARE_SCHEMA, [TaskContext.get().partitionId()] * len(cuts), [i for i, _ in cuts], [d for _, d in cuts])
 
 
 def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, float]:
@@ -146,9 +155,8 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray
         found = np.zeros(len(terms) + 1)
         step = max(1, BITMAP // len(terms))
         for batch in batches:
-            texts = texts_of(batch.column(0))
-            for lo, hi in slices(texts):
-                words = Words(texts[lo:hi])
+            for _, _, texts in text_slices(batch.column(0)):
+                words = Words(texts)
                 passage, count = _passages(words)
                 place = _term_places(words.hashes, terms)
                 hit = np.flatnonzero(place >= 0)
@@ -161,7 +169,7 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray
                 found[-1] += count
         yield _share(found)
 
-    total = _sum_arrays(docs.select(F.col("text").cast("string")).mapInArrow(run, "part int, data binary"), len(terms) + 1)
+    total = _sum_arrays(over_batches(docs.select(F.col("text").cast("string")), run, _SHARE), len(terms) + 1)
     return total[:-1], float(total[-1])
 
 
@@ -175,9 +183,8 @@ def singular_vectors(docs: DataFrame, terms: np.ndarray, idf: np.ndarray, rank:
         tidy()
         share = np.zeros((len(terms), rank), np.float32)
         for batch in batches:
-            texts = texts_of(batch.column(0))
-            for lo, hi in slices(texts):
-                words = Words(texts[lo:hi])
+            for _, _, texts in text_slices(batch.column(0)):
+                words = Words(texts)
                 passage, _ = _passages(words)
                 place = _term_places(words.hashes, terms)
                 hit = np.flatnonzero(place >= 0)
@@ -192,7 +199,7 @@ def singular_vectors(docs: DataFrame, terms: np.ndarray, idf: np.ndarray, rank:
                 share[place[order][start]] += np.add.reduceat(rows[order], start, axis=0)
         yield _share(share * idf[:, None])
 
-    y = _sum_arrays(docs.select(F.col("text").cast("string")).mapInArrow(run, "part int, data binary"), len(terms) * rank).reshape(-1, rank)
+    y = _sum_arrays(over_batches(docs.select(F.col("text").cast("string")), run, _SHARE), len(terms) * rank).reshape(-1, rank)
     core = probe.T.astype(np.float64) @ y  # W' A'A W
     values, vectors = np.linalg.eigh((core + core.T) / 2)
     keep = values > max(values[-1], 1e-12) * 1e-9
@@ -208,6 +215,7 @@ class Space:
     probes: np.ndarray  # (probe, dimension), of length one
     owner: np.ndarray  # item of each probe
     least: float  # squared length that a window needs to come near a probe
+    items: int
 
 
 def latent_space(items: Sequence[Item], terms: np.ndarray, idf: np.ndarray, basis: np.ndarray) -> Space:
@@ -223,14 +231,14 @@ def latent_space(items: Sequence[Item], terms: np.ndarray, idf: np.ndarray, basi
                 rows.append(vector)
                 owner.append(k)
     if not rows:
-        return Space(np.zeros((len(terms), 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0, np.int64), 0.0)
+        return Space(np.zeros((len(terms), 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0, np.int64), 0.0, len(items))
     own = np.array(rows)
     rest = own - own @ basis @ basis.T
     q, r = np.linalg.qr(rest.T)
     space = np.concatenate([basis, q[:, np.abs(np.diag(r)) > 1e-9]], axis=1)
     probes = own @ space
     size = np.linalg.norm(probes, axis=1, keepdims=True)
-    return Space((space * idf[:, None]).astype(np.float32), (probes / size).astype(np.float32), np.array(owner), float((COSINE * size.min() * 0.5) ** 2))
+    return Space((space * idf[:, None]).astype(np.float32), (probes / size).astype(np.float32), np.array(owner), float((COSINE * size.min() * 0.5) ** 2), len(items))
 
 
 def _masks(a: np.ndarray) -> dict[int, int]:
@@ -265,8 +273,15 @@ def _check(item: Item, region: np.ndarray) -> tuple[float, bool]:
     cover = _common(item.masks, size, words) / size
     if cover < COVER_WITH_ANSWER:
         return cover, False
-    wanted = size - item.answer
-    return cover, 0 < item.answer and wanted > 0 and _common(item.answer_masks, wanted, words) == wanted
+    return cover, _holds(region.tobytes(), item.answer_bytes)
+
+
+def _holds(region: bytes, answer: bytes) -> bool:
+    """Whether the answer's words stand in the region, one behind the other."""
+    at = region.find(answer) if answer else -1
+    while at > 0 and at % 8:  # inside a word's number
+        at = region.find(answer, at + 1)
+    return at >= 0
 
 
 def is_leak(item: Item, cover: float, answered: bool) -> bool:
@@ -325,7 +340,7 @@ class Searcher:
 
     def __init__(self, items: Sequence[Item], terms: np.ndarray, idf: np.ndarray, spaces: Sequence[tuple[int, Space]]) -> None:
         self.items, self.terms, self.spaces = items, terms, spaces
-        self.screens = [Screen(items[at : at + ITEM_BLOCK], terms, idf) for at, _ in spaces]
+        self.screens = [Screen(items[at : at + space.items], terms, idf) for at, space in spaces]
         self.energy = (idf**2).astype(np.float32)
 
     def search(self, texts: list[str]) -> list[tuple[int, int, float, float, bool, int]]:
@@ -410,10 +425,23 @@ def prepare(docs: DataFrame, benchmark: DataFrame) -> tuple[list[Item], np.ndarr
     terms, held = terms[keep], held[keep]
     idf = np.log((1 + total) / (1 + held)) + 0.1
     basis = singular_vectors(docs, terms, idf)
-    spaces = [(at, latent_space(items[at : at + ITEM_BLOCK], terms, idf, basis)) for at in range(0, len(items), ITEM_BLOCK)]
+    # a block's space has about two directions an item beside the vectors
+    block = min(ITEM_BLOCK, max(8, (ROUND_BYTES // 4 // max(1, len(terms)) - RANK) // 2))
+    spaces = [(at, latent_space(items[at : at + block], terms, idf, basis)) for at in range(0, len(items), block)]
     return items, terms, idf, spaces
 
 
+def _rounds(spaces: Sequence[tuple[int, Space]]) -> list[list[tuple[int, Space]]]:
+    """``spaces`` in rounds of ``ROUND_BYTES`` at most, so what goes with the
+    tasks doesn't grow with the benchmark; each round is a pass."""
+    out: list[list[tuple[int, Space]]] = [[]]
+    for x in spaces:
+        if out[-1] and sum(s.embed.nbytes for _, s in [*out[-1], x]) > ROUND_BYTES:
+            out.append([])
+        out[-1].append(x)
+    return out
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Benchmark items found in ``docs`` (doc_id, text, any other columns).
 
@@ -424,35 +452,41 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     items, terms, idf, spaces = prepare(docs, benchmark)
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("cover", pa.float64()), ("answered", pa.bool_()), ("start_word", pa.int64())])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tidy()
-        searcher = Searcher(items, terms, idf, spaces)
-        for batch in batches:
-            texts, ids = texts_of(batch.column(1)), batch.column(0).to_pylist()
-            for lo, hi in slices(texts):
-                found = searcher.search(texts[lo:hi]) if items else []
-                yield batch_of(schema, [ids[lo + x[0]] for x in found], [items[x[1]].item_id for x in found], *([x[k] for x in found] for k in range(2, 6)))
+    def one(own: list[tuple[int, Space]]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tidy()
+            searcher = Searcher(items, terms, idf, own)
+            for batch in batches:
+                ids = batch.column(0).to_pylist()
+                for lo, _, texts in text_slices(batch.column(1)):
+                    found = searcher.search(texts) if items else []
+                    yield batch_of(schema, [ids[lo + x[0]] for x in found], [items[x[1]].item_id for x in found], *([x[k] for x in found] for k in range(2, 6)))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, item_id long, cosine double, cover double, answered boolean, start_word long")
+        return over_batches(rows, run, "doc_id long, item_id long, cosine double, cover double, answered boolean, start_word long")
+
+    return reduce(DataFrame.unionByName, map(one, _rounds(spaces)))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows of ``docs``, all columns, that hold no benchmark item.  Rows stay in
-    place."""
+    """Rows of ``docs`` (text and any other columns), all columns, that hold no
+    benchmark item.  Null and empty texts stay, repeated rows go or stay
+    together, rows stay in place; without documents or items nothing changes."""
     items, terms, idf, spaces = prepare(docs, benchmark)
     at = docs.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tidy()
-        searcher = Searcher(items, terms, idf, spaces)
-        for batch in batches:
-            texts = texts_of(batch.column(at))
-            keep = np.ones(len(texts), bool)
-            for lo, hi in slices(texts):
-                for found in searcher.search(texts[lo:hi]) if items else []:
-                    keep[lo + found[0]] = False
-            yield batch.filter(pa.array(keep))
-
-    return docs.mapInArrow(run, docs.schema)
+    def one(rows: DataFrame, own: list[tuple[int, Space]]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tidy()
+            searcher = Searcher(items, terms, idf, own)
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for lo, _, texts in text_slices(batch.column(at)):
+                    for found in searcher.search(texts) if items else []:
+                        keep[lo + found[0]] = False
+                yield batch.filter(pa.array(keep))
+
+        return over_batches(rows, run, rows.schema)
+
+    return reduce(one, _rounds(spaces), docs)

@@ -17,6 +17,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,20 +26,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, texts_of
+from .common import batch_of, over_batches, text_slices
 
 # fixed values: kinds of elements in HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math object select".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var br wbr img".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg annotation select".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var br wbr img math semantics mrow mi mo mn ms mtext mspace mstyle msup msub msubsup mfrac msqrt mroot munder mover munderover mpadded mphantom".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 # opening one of these closes an open one of those, up to the given holder
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tr", "td", "th", "thead", "tbody"}, {"table"}), "tfoot": ({"tr", "td", "th", "thead", "tbody"}, {"table"}), "option": ({"option"}, {"select"})}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_OPEN = re.compile(r"<(?:(/?)([a-zA-Z][^\s/<>\"']*)([^<>\"']*)|!--|[!?])")
+_PLAIN = re.compile(r"[^<>\"']*")
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
+#: how far up a tag looks for an element that it closes
+NEAR = 64
+
 GOOD = frozenset("article content post entry main body story text page blog hentry prose".split())
 BAD = frozenset(
     "ad ads advert advertisement adverts banner sponsor sponsored promo promoted popup modal overlay cookie cookies consent gdpr notice notices alert nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead footer foot bottom sidebar side aside widget widgets related recommended recommendations more share sharing social comment comments disqus reply replies discussion respond form search login signup subscribe newsletter copyright legal toolbar pager pagination tags meta byline skip toc topbar trending outbrain taboola hidden".split()
@@ -48,13 +53,49 @@ BAD = frozenset(
 class Node:
     """A block element, or a run of text and inline elements inside one."""
 
-    __slots__ = ("tag", "words", "parent", "children", "text", "linked", "hidden", "label")
+    __slots__ = ("tag", "words", "parent", "children", "text", "size", "linked", "inside", "amid", "hidden", "label")
 
     def __init__(self, tag: str, words: tuple[str, ...], parent: int, hidden: bool, label: int | None) -> None:
         self.tag, self.words, self.parent, self.hidden, self.label = tag, words, parent, hidden, label
         self.children: list[int] = []
         self.text: list[str] = []
-        self.linked = 0
+        self.size = self.linked = 0  # letters below, and those of them in links
+        self.inside = False  # below an article or main element
+        self.amid = False  # below a part whose tag or name says that it is no content
+
+
+def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(begin, end, closing, name, attributes) of the tags and comments of a
+    page; comments have no name.
+
+    Quoted values may hold any letter; a tag whose quote never closes ends at
+    the next ``>``.  What was read is never read again, so the time is linear.
+    """
+    last = {q: page.rfind(q) for q in "\"'>"}
+    at = page.find("<")
+    while at >= 0:
+        head = _OPEN.match(page, at)
+        if head is None:
+            at = page.find("<", at + 1)
+            continue
+        end = head.end()
+        if head[2] is None:
+            mark = "-->" if head[0] == "<!--" else ">"
+            found = page.find(mark, end)
+            end = found + len(mark) if found >= 0 else len(page)
+            yield at, end, False, "", ""
+        else:
+            while end < len(page) and page[end] in "\"'":
+                quote = page[end]
+                if last[quote] <= end:  # never closed
+                    found = page.find(">", end) if last[">"] > end else -1
+                    end = found if found >= 0 else len(page)
+                    break
+                end = _PLAIN.match(page, page.index(quote, end + 1) + 1).end()
+            attributes = page[head.start(3) : end]
+            end += end < len(page) and page[end] == ">"
+            yield at, end, bool(head[1]), head[2].lower(), attributes
+        at = page.find("<", end)
 
 
 def parse(page: str) -> list[Node]:
@@ -62,6 +103,8 @@ def parse(page: str) -> list[Node]:
     misnested tags are mended as browsers do for blocks."""
     nodes = [Node("#root", (), -1, False, None)]
     stack = [0]  # open blocks
+    opened: Counter[str] = Counter()  # of each tag
+    unclosed: set[str] = set()  # raw elements that no later tag closes
     links, text_node = 0, -1
 
     def open_node(tag: str, attributes: str) -> int:
@@ -94,34 +137,34 @@ def parse(page: str) -> list[Node]:
 
     def close_to(depth: int) -> None:
         nonlocal text_node
+        opened.subtract(nodes[i].tag for i in stack[depth:])
         del stack[depth:]
         text_node = -1
 
-    at, skip = 0, None
-    for match in _TAG.finditer(page):
-        if match.start() < at:
+    at = 0
+    for begin, end, closing, tag, attributes in tags(page):
+        if begin < at:
             continue
-        if skip is None:
-            add_text(page[at : match.start()])
-        at = match.end()
-        tag = match[2]
+        add_text(page[at:begin])
+        at = end
         if not tag:
             continue
-        tag = tag.lower()
-        if match[1]:
+        if closing:
             if tag == "a":
                 links = max(0, links - 1)
-            elif tag in INLINE:
-                continue
-            else:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if nodes[stack[depth]].tag == tag:
-                        close_to(depth)
-                        break
+            elif tag not in INLINE and opened[tag] > 0:
+                depth = len(stack) - 1
+                while nodes[stack[depth]].tag != tag:
+                    depth -= 1
+                close_to(depth)
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page) if tag in ("script", "style", "textarea", "title") else at
+            close = None if tag in unclosed else re.compile(rf"</{tag}\s{{0,99}}>", re.I).search(page, at)
+            if close:
+                at = close.end()
+            else:
+                unclosed.add(tag)
+                at = len(page) if tag in ("script", "style", "textarea", "title") else at
             continue
         if tag in ("br", "wbr", "img"):
             if tag != "wbr":
@@ -131,8 +174,9 @@ def parse(page: str) -> list[Node]:
             links += tag == "a"
             continue
         text_node = -1
-        if tag in CLOSES_P:
-            for depth in range(len(stack) - 1, 0, -1):
+        near = range(len(stack) - 1, max(0, len(stack) - 1 - NEAR), -1)
+        if tag in CLOSES_P and opened["p"] > 0:
+            for depth in near:
                 if nodes[stack[depth]].tag == "p":
                     close_to(depth)
                     break
@@ -140,7 +184,9 @@ def parse(page: str) -> list[Node]:
                     break
         if tag in IMPLIED:
             ends, holders = IMPLIED[tag]
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in near:
+                if depth >= len(stack):
+                    continue
                 if nodes[stack[depth]].tag in holders:
                     break
                 if nodes[stack[depth]].tag in ends:
@@ -149,21 +195,34 @@ def parse(page: str) -> list[Node]:
                         break
         if tag in VOID:
             continue
-        node = open_node(tag, match[3])
-        if not match[3].rstrip().endswith("/"):
+        node = open_node(tag, attributes)
+        if not attributes.rstrip().endswith("/"):
             stack.append(node)
+            opened[tag] += 1
         links = 0 if tag in CLOSES_P else links
     if at < len(page):
         add_text(page[at:])
+    for i in range(len(nodes) - 1, 0, -1):  # what stands below each node
+        node, up = nodes[i], nodes[nodes[i].parent]
+        if node.tag == "#text":
+            node.size = len("".join(node.text).strip())
+        up.size += node.size
+        up.linked += node.linked
+    for node in nodes[1:]:
+        up = nodes[node.parent]
+        node.inside = up.inside or up.tag in ("article", "main")
+        node.amid = up.amid or up.tag in _ASIDE or (up.tag == "header" and not up.inside) or any(w in BAD for w in up.words)
     return nodes
 
 
 TAGS = "#root #text html head body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th thead tbody pre blockquote figure figcaption nav header footer aside form button fieldset address details summary".split()
 _TAG_AT = {t: i for i, t in enumerate(TAGS)}
 _OWN = ["bias", "bad word", "good word", "hidden", "links < 1/4", "links < 3/4", "links more", "short", "middle", "long", "sentence end", "copyright"]
+_OWN += ["block links < 1/4", "block links < 3/4", "block links more", "block short", "block middle", "block long", "inside", "header inside", "amid", "text amid"]
 UNARY = len(TAGS) + 1 + len(_OWN)
 #: kinds of edges: by the child
 EDGES = ["text", "text block", "list", "container", "page part", "other"]
+_ASIDE = frozenset("nav footer aside form fieldset button".split())
 _PARTS = frozenset("nav header footer aside form article main section".split())
 
 
@@ -190,9 +249,18 @@ def features(node: Node) -> list[int]:
             out.append(base + 2)
     if node.hidden:
         out.append(base + 3)
+    if node.inside:
+        out.append(base + 18)
+        if node.tag in ("header", "hgroup"):
+            out.append(base + 19)
+    if node.amid:
+        out.append(base + (21 if node.tag == "#text" else 20))
+    share = node.linked / max(1, node.size)
+    if node.tag != "#text":
+        out.append(base + (12 if share < 0.25 else 13 if share < 0.75 else 14))
+        out.append(base + (15 if node.size < 60 else 16 if node.size < 300 else 17))
     if node.tag == "#text":
         text = "".join(node.text).strip()
-        share = node.linked / max(1, len(text))
         out.append(base + (4 if share < 0.25 else 5 if share < 0.75 else 6))
         out.append(base + (7 if len(text) < 25 else 8 if len(text) < 120 else 9))
         if text.endswith((".", "!", "?", "…", ":", ";", "”", '"')):
@@ -303,10 +371,16 @@ def fit(pages: list[str], steps: int = 600, rate: float = 0.05, decay: float = 1
     return model
 
 
-def labelled_pages(count: int = 150, seed: int = 7) -> list[str]:
-    """Labelled pages to learn from, written from templates of common layouts:
-    with and without ``article`` and ``main``, div-only pages, tables for layout,
-    side bars, notices, forms, adverts between paragraphs, comments."""
+#: layouts of ``labelled_pages``
+LAYOUTS = ["article", "article in main", "main", "content div", "post div", "section", "bare div", "grid", "table"]
+
+
+def labelled_pages(count: int = 360, seed: int = 7, layout: str | None = None) -> list[str]:
+    """Labelled pages to learn from, written from templates of common layouts
+    (``LAYOUTS``; all of them in turn unless one is named): with and without a
+    heading, headers inside articles, divs with meaningless names inside each
+    other, tables for layout, one short paragraph or many long ones, side bars,
+    notices, forms, adverts between paragraphs, comments."""
     r = random.Random(seed)
     vocabulary = ["".join(r.choice("bcdfglmnprstv") + r.choice("aeiou") for _ in range(r.randint(1, 4))) for _ in range(400)]
 
@@ -333,8 +407,9 @@ def labelled_pages(count: int = 150, seed: int = 7) -> list[str]:
     def body() -> str:
         parts = [paragraph() for _ in range(r.choice((1, 1, 2, 3, 5, 9)))]
         extra = [
-            lambda: f"<h2>{words(2, 6, '')}</h2>",
-            lambda: f"<ul>{''.join(f'<li>{sentences(1, 2)}</li>' for _ in range(3))}</ul>",
+            lambda: (lambda h: f"<{h}>{words(2, 6, '')}</{h}>")(r.choice(["h2", "h2", "h3", "h4"])),
+            lambda: (lambda t: f"<{t}>{''.join(f'<li>{sentences(1, 2)}</li>' for _ in range(3))}</{t}>")(r.choice(["ul", "ol"])),
+            lambda: f"<dl>{''.join(f'<dt>{words(1, 3, "")}</dt><dd>{sentences(1, 2)}</dd>' for _ in range(2))}</dl>",
             lambda: f"<blockquote><p>{sentences(1, 3)}</p></blockquote>",
             lambda: f"<table><tr><td>{words(1, 4, '')}</td><td>{words(1, 4, '')}</td></tr></table>",
             lambda: f"<pre>{words(4, 9, '')}</pre>",
@@ -345,20 +420,49 @@ def labelled_pages(count: int = 150, seed: int = 7) -> list[str]:
         ]
         for _ in range(r.randint(0, 4)):
             parts.insert(r.randint(0, len(parts)), r.choice(extra)())
-        return f"<h1>{words(3, 9, r.choice(['', '.']))}</h1>" + "".join(parts)
-
-    def page() -> str:
+        title = f"<h1>{words(3, 9, r.choice(['', '.']))}</h1>"
+        head = r.choice([title, title, f"<header>{title}</header>", f"<div class='{r.choice(['title', 'head', 'x1'])}'>{title}</div>", f"<h2>{words(2, 8, '')}</h2>", ""])
+        if r.random() < 0.15:  # lines without paragraphs
+            parts = ["<br>".join(sentences(1, 4) for _ in range(r.randint(1, 4)))]
+        return head + "".join(parts)
+
+    def grid(content: str) -> str:
+        names = ["row", "col", "col-8", "x", "c12", "wrap", "inner", "container", "a1", "box", "grid", "cell", "left", "page-7"]
+        for _ in range(r.randint(1, 3)):
+            content = f"<div {r.choice(['class', 'id'])}='{r.choice(names)}'>{content}</div>"
+        return content
+
+    def page(layout: str) -> str:
         nav = r.choice([f"<nav><ul>{links(6)}</ul></nav>", f"<div class='menu'>{links(6, 'span')}</div>", f"<header><p>{words(1, 4, '')}</p><nav>{links(4, 'div')}</nav></header>", f"<ul id='nav'>{links(5)}</ul>", ""])
         top = r.choice(["", f"<div class='ad'>{sentences(1, 1)}</div>", f"<div class='cookie-notice'><p>{sentences(1, 3)}</p><button>ok</button></div>", f"<div id='banner'>{words(4, 9)}</div>", f"<div role='alert' class='notice'>{sentences(1, 2)}</div>"])
         side = r.choice(["", f"<aside><h3>{words(1, 3, '')}</h3><p>{sentences(1, 3)}</p><ul>{links(4)}</ul></aside>", f"<div class='sidebar'><h3>{words(1, 3, '')}</h3><p>{sentences(1, 4)}</p></div>", f"<section class='related'><h2>{words(1, 2, '')}</h2>{links(3, 'p')}</section>"])
         form = r.choice(["", f"<form><label>{words(1, 3, '')}</label><p>{words(3, 8)}</p><input><button>{words(1, 1, '')}</button></form>"])
         comments = r.choice(["", f"<div class='comments'><h3>{words(1, 1, '')}</h3>" + "".join(f"<div class='comment'><p>{sentences(1, 4)}</p></div>" for _ in range(2)) + "</div>", f"<section id='comments'><article><p>{sentences(1, 4)}</p></article></section>", f"<ol class='commentlist'><li>{sentences(1, 3)}</li></ol>"])
         foot = r.choice([f"<footer>&copy; x.example &middot; {sentences(1, 2)}</footer>", f"<div class='footer'><p>{sentences(1, 2)}</p></div>", f"<footer><p>{words(2, 6)}</p><ul>{links(3)}</ul></footer>", ""])
-        open_, close = r.choice([("<article data-content=\"1\">", "</article>"), ("<article data-content=\"1\">", "</article>"), ("<main><article data-content=\"1\">", "</article></main>"), ("<main data-content=\"1\">", "</main>"), ("<div class='content' data-content=\"1\">", "</div>"), ("<div class='post' id='main' data-content=\"1\">", "</div>"), ("<div class='wrap'><section class='story' data-content=\"1\">", "</section></div>"), ("<div data-content=\"1\">", "</div>")])
+        mark = 'data-content="1"'
+        open_, close = {
+            "article": (f"<article {mark}>", "</article>"),
+            "article in main": (f"<main><article {mark}>", "</article></main>"),
+            "main": (f"<main {mark}>", "</main>"),
+            "content div": (f"<div class='{r.choice(['content', 'entry', 'article-body'])}' {mark}>", "</div>"),
+            "post div": (f"<div class='post' id='main' {mark}>", "</div>"),
+            "section": (f"<div class='wrap'><section class='story' {mark}>", "</section></div>"),
+            "bare div": (f"<div {mark}>", "</div>"),
+            "grid": ("", ""),
+            "table": ("", ""),
+        }[layout]
         inside = "" if r.random() < 0.7 else comments.replace("<div class='comments'>", "<div class='comments' data-content=\"0\">").replace("<section id='comments'>", "<section id='comments' data-content=\"0\">").replace("<ol class='commentlist'>", "<ol class='commentlist' data-content=\"0\">")
-        return f"<!DOCTYPE html><html><head><title>{words(2, 5, '')}</title><script>var a='<p>';</script></head><body>{nav}{top}{open_}{body()}{inside}{close}{side}{form}{'' if inside else comments}{foot}</body></html>"
+        text = f"{open_}{body()}{inside}{close}"
+        if layout == "grid":
+            text = grid(f"<div {mark}>{text}</div>") if r.random() < 0.5 else f"<div {mark}>{grid(text)}</div>"
+        if layout == "table":
+            text = f"<table><tr><td>{links(4, 'div')}</td><td {mark}>{text}</td>" + (f"<td>{side}</td>" if side else "") + "</tr></table>"
+            side = ""
+        elif r.random() < 0.4:
+            text, side = grid(text + (f"<div class='{r.choice(['row', 'col-4', 'x'])}'>{side}</div>" if side else "")), ""
+        return f"<!DOCTYPE html><html><head><title>{words(2, 5, '')}</title><script>var a='<p>';</script></head><body>{nav}{top}{text}{side}{form}{'' if inside else comments}{foot}</body></html>"
 
-    return [page() for _ in range(count)]
+    return [page(layout or LAYOUTS[k % len(LAYOUTS)]) for k in range(count)]
 
 
 @lru_cache(1)
@@ -384,8 +488,10 @@ def extract(page: str | None, model: TreeModel) -> str:
 
 def main_text(pages: DataFrame, model: TreeModel | None = None) -> DataFrame:
     """``page_id``, ``url``, ``text``, ``n_chars`` of each row of ``pages``
-    (page_id, url, html, any other columns).  Null html gives an empty text.
-    Rows stay in place; nothing is shuffled.  ``model`` defaults to the one
+    (page_id, url, html, any other columns).  Null and empty html, and pages
+    without a content block, give an empty text; null ids and urls stay null,
+    repeated rows give repeated results, an empty table none.  A page of any
+    length takes time in proportion.  Rows stay in place; nothing is shuffled.  ``model`` defaults to the one
     fitted on the driver from ``labelled_pages``; its few hundred numbers go
     with the tasks."""
     model = model or default_model()
@@ -393,11 +499,9 @@ def main_text(pages: DataFrame, model: TreeModel | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sources = texts_of(batch.column(2))
-            for at in range(0, len(sources), 1000):
-                texts = [extract(s, model) for s in sources[at : at + 1000]]
-                n = len(texts)
-                yield batch_of(schema, batch.column(0).slice(at, n), batch.column(1).slice(at, n), texts, [len(t) for t in texts])
+            for lo, hi, sources in text_slices(batch.column(2)):
+                texts = [extract(s, model) for s in sources]
+                yield batch_of(schema, batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), texts, [len(t) for t in texts])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return over_batches(rows, run, "page_id long, url string, text string, n_chars long")

@@ -20,12 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, held_out, resident, slices, texts_of
-
-#: bounds of the training sample, for each language: rows, letters of one row, letters in all
-ROWS_PER_LANG = 400
-CHARS_PER_ROW = 2_000
-CHARS_PER_LANG = 80_000
+from .common import batch_of, held_out, over_batches, resident, text_slices
+
+#: bound of the training sample: passages of each language, and characters of one
+PASSAGES_PER_LANG = 40
+PASSAGE = 2_000
+#: languages that are learned, the most frequent ones
+LANGUAGES = 250
+#: bits a letter above which no learned language explains a text; text of a
+#: learned language needs a third to a half of it, short texts up to eight
+STRANGE = 9.0
+#: phrases that are forgiven, as in a few letters any phrase is short
+FORGIVEN = 2
 #: letters of a segment; each segment starts at the root
 SEGMENT = 512
 
@@ -40,21 +46,31 @@ def normalise(text: str) -> str:
     return " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
 
 
-def training_text(docs: DataFrame, rows: int = ROWS_PER_LANG, chars: int = CHARS_PER_LANG) -> dict[str, str]:
-    """A bounded sample of labelled text per language: at most ``rows`` rows of
-    the learnable two thirds, in the order of a hash of their ids, at most
-    ``CHARS_PER_ROW`` letters of each and ``chars`` letters in all."""
+def training_text(docs: DataFrame, passages: int = PASSAGES_PER_LANG) -> dict[str, str]:
+    """A bounded sample of labelled text per language: ``passages`` passages of
+    the learnable two thirds, in the order of a hash of their document and place.
+
+    All labelled texts are cut into passages, so any part of a text may be
+    chosen.  A first pass counts the passages of each language; a second keeps
+    those whose hash is small enough that about four times as many as needed
+    stay, so the ranking reads that many rows at any size of ``docs``.
+    """
     learn = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id")).select("doc_id", "lang", "text")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = learn.select("lang", "doc_id").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= rows)
-    picked = picked.select(F.col("lang").alias("_lang"), F.col("doc_id").alias("_id"), "_r")
-    # at most ``rows`` ids for each language: a bounded side
-    sample = learn.join(F.broadcast(picked), learn.doc_id.eqNullSafe(F.col("_id")) & (learn.lang == F.col("_lang")))
-    found = sample.select("lang", "_r", F.substring("text", 1, 2 * CHARS_PER_ROW).alias("text")).collect()
+    parts = F.ceil(F.length("text") / PASSAGE)
+    counts = learn.groupBy("lang").agg(F.sum(parts).alias("n")).where("n > 0").orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    if not counts:
+        return {}
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(1.0, 4 * passages / r.n))])
+    place = learn.where("text <> ''").select("*", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))).alias("i"))
+    mark = F.xxhash64("doc_id", "i")
+    few = place.where((mark / float(1 << 64) + 0.5) <= F.try_element_at(share, "lang"))
+    few = few.select("lang", mark.alias("mark"), F.substring("text", F.col("i") * PASSAGE + 1, F.lit(PASSAGE)).alias("part"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("mark", "part"))
+    found = few.withColumn("rank", rank).where(F.col("rank") <= passages).collect()
     out: dict[str, list[str]] = {}
-    for row in sorted(found, key=lambda x: (x.lang, x._r, x.text)):
-        out.setdefault(row.lang, []).append(normalise(row.text)[:CHARS_PER_ROW])
-    return {lang: (" " + " ".join(x for x in parts if x) + " ")[:chars] for lang, parts in sorted(out.items()) if any(parts)}
+    for row in sorted(found, key=lambda x: (x.lang, x["rank"])):
+        out.setdefault(row.lang, []).append(normalise(row.part))
+    return {lang: " " + " ".join(x for x in own if x) + " " for lang, own in sorted(out.items()) if any(own)}
 
 
 def suffix_automaton(text: str) -> list[dict[str, int]]:
@@ -91,7 +107,9 @@ class CrossParser:
     """Tables of the automata of several languages.
 
     An entry of a table holds the next row and, in its lowest bit, whether a
-    phrase ended.  The last column is padding: it stays and counts nothing.
+    phrase ended.  A letter that the language never had is a phrase by itself:
+    it leads to the last state.  The last column is padding: it stays and counts
+    nothing.
     """
 
     def __init__(self, texts: dict[str, str]) -> None:
@@ -108,14 +126,15 @@ class CrossParser:
         for text in texts.values():
             automaton = suffix_automaton(text)
             row = 2 * self.width  # of a state, with the bit beside it
-            root = np.zeros(self.width, np.int32)
+            root = np.full(self.width, len(automaton) * row, np.int32)
             root[[column[c] for c in automaton[0]]] = [to * row for to in automaton[0].values()]
-            table = np.empty((len(automaton), self.width), np.int32)
+            table = np.empty((len(automaton) + 1, self.width), np.int32)
             table[:] = root + 1  # a failed step ends a phrase
+            table[0] = root
             for state, arrows in enumerate(automaton):
                 for c, to in arrows.items():
                     table[state, column[c]] = to * row
-            table[:, self.pad] = np.arange(len(automaton)) * row
+            table[:, self.pad] = np.arange(len(table)) * row
             self.tables.append(table.ravel())
             self.cost.append(np.log2(max(2, len(text))))
 
@@ -179,9 +198,7 @@ def identify(docs: DataFrame, training: dict[str, str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(texts)
         for batch in batches:
-            column = texts_of(batch.column(2))
-            for lo, hi in slices(column):
-                part = column[lo:hi]
+            for lo, hi, part in text_slices(batch.column(2)):
                 if not texts:
                     lang, score = ["und"] * len(part), np.zeros(len(part))
                 else:
@@ -195,24 +212,33 @@ def identify(docs: DataFrame, training: dict[str, str]) -> DataFrame:
                 yield batch_of(schema, batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), lang, score)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id").alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return over_batches(rows, run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def drop_unidentified(docs: DataFrame, training: dict[str, str]) -> DataFrame:
-    """Rows of ``docs``, all columns, whose text has a language: those with a
-    letter at least.  Rows stay in place, nothing is shuffled."""
+    """Rows of ``docs`` (doc_id, text, any other columns), all columns, whose
+    text is in a learned language.
+
+    Dropped are texts without a letter (null and empty ones, too), and those
+    for which even the best language needs more than ``STRANGE`` bits a letter:
+    phrases, less ``FORGIVEN``, times the logarithm of the language's text, by
+    the letters of the document.  Texts of other scripts and random letters need that much.  If
+    nothing was learned, only texts without a letter are dropped.  Repeated rows
+    and null ids are rows like others; rows stay in place, nothing is shuffled;
+    an empty table stays empty.
+    """
     texts = tuple(training.items())
-    names = docs.columns
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(texts)
-        at = names.index("text")
         for batch in batches:
-            column = texts_of(batch.column(at))
-            keep = np.zeros(len(column), bool)
-            for lo, hi in slices(column):
+            keep = np.zeros(batch.num_rows, bool)
+            for lo, hi, part in text_slices(batch.column(at)):
+                found, letters = parser.phrases(part)
+                keep[lo:hi] = letters > 0
                 if texts:
-                    keep[lo:hi] = parser.phrases(column[lo:hi])[1] > 0
+                    keep[lo:hi] &= ((found - FORGIVEN) * np.array(parser.cost)).min(axis=1) <= STRANGE * np.maximum(letters, 1)
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return over_batches(docs, run, docs.schema)

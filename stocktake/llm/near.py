@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, batch_of, slices, texts_of, tidy
+from .common import Workspace, batch_of, over_batches, text_slices, tidy
 from .graph import components
 from .textnum import Words, mix, shingles
 
@@ -52,7 +52,8 @@ DEEP = 10
 RECALL = 0.9995
 NEXT = 12
 SALTS = 64
-BLOCK = 1024
+#: rows of a block of a cluster, and shingles of all its rows
+BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
 #: ids that a join may broadcast; more go by a shuffle
 BROADCAST_ROWS = 4_000_000
 #: nodes of several classes that a join may broadcast; more go by a shuffle
@@ -109,9 +110,9 @@ def sign(docs: DataFrame, recall: float = RECALL, trees: int = TREES) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
         for batch in batches:
-            rid, ids, hashes, texts = batch.column(0), batch.column(1), batch.column(2), texts_of(batch.column(3))
-            for lo, hi in slices(texts):
-                words = Words(texts[lo:hi])
+            rid, ids, hashes = batch.column(0), batch.column(1), batch.column(2)
+            for lo, hi, texts in text_slices(batch.column(3)):
+                words = Words(texts)
                 values, places = shingles(words, SHINGLE_WORDS)
                 values &= np.uint64((1 << 40) - 1)
                 out: list[list] = [[] for _ in range(6)]
@@ -126,7 +127,7 @@ def sign(docs: DataFrame, recall: float = RECALL, trees: int = TREES) -> DataFra
                         packed = _pack(own)
                         mark = hashlib.blake2b(packed, digest_size=16).digest()
                     else:
-                        raw = texts[lo + i]
+                        raw = texts[i]
                         deep = flat = deeper = []
                         packed = b""
                         mark = hashlib.blake2b(b"raw" + raw.encode("utf-8", "surrogatepass"), digest_size=16).digest() if raw else None
@@ -135,7 +136,7 @@ def sign(docs: DataFrame, recall: float = RECALL, trees: int = TREES) -> DataFra
                 yield batch_of(schema, *(c.slice(lo, hi - lo) for c in (rid, ids, hashes)), *out)
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, _SIGNED)
+    return over_batches(rows, run, _SIGNED)
 
 
 def _ordered_pairs(rows: DataFrame, *group: str) -> DataFrame:
@@ -159,7 +160,7 @@ def _fitting(pairs: DataFrame) -> DataFrame:
 def _candidates(rows: DataFrame) -> DataFrame:
     """(a, b), a < b, from rows (node, child, rid, class, n): those of round one,
     see the module."""
-    rows = rows.withColumn("salt", F.pmod(F.hash("rid"), F.lit(SALTS)))
+    rows = rows.withColumn("salt", F.pmod(F.hash("node", "rid"), F.lit(SALTS)))
     place = Window.partitionBy("node", "salt").orderBy("child", "rid")
     heads = rows.withColumn("place", F.row_number().over(place)).where("place = 1").drop("place")
     pairs = _ordered_pairs(rows, "node", "salt").union(_ordered_pairs(heads, "node"))
@@ -200,7 +201,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     chosen = _picked(sets.select("rid", "members"), pairs.select(F.col("a").alias("rid")).union(pairs.select("b")))
     sides = [chosen.select(F.col("rid").alias(side), F.col("members").alias(f"set_{side}")) for side in "ab"]
     joined = pairs.join(sides[0], "a").join(sides[1], "b")
-    return joined.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    return over_batches(joined.select("a", "b", "set_a", "set_b"), run, "a long, b long")
 
 
 def link_matrix(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -245,10 +246,13 @@ def _compared(members: DataFrame) -> DataFrame:
     """(rid, links, root) from rows (cluster, rid, copies, members): for each
     block that a row takes part in, documents linked to its set, copies and
     itself counted, and the root of its component in the block.  A cluster is
-    cut into blocks of about ``BLOCK`` rows; each pair of blocks is one group of
-    bounded size."""
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1")
-    rows = members.join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    cut into blocks of about ``BLOCK`` rows or ``BLOCK_SHINGLES`` shingles,
+    whichever are fewer rows; each pair of blocks is one group of bounded size.
+    The number of links of every document is asked for, so a cluster of n
+    different texts takes n squared comparisons, spread over its pairs of blocks."""
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.length("members") / 5).alias("m")).where("n > 1")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("m") / BLOCK_SHINGLES)).cast("int")
+    rows = members.join(sizes, "cluster").withColumn("blocks", blocks)
     rows = rows.withColumn("own", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     rows = rows.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rid", "copies", "members")
@@ -285,7 +289,7 @@ def _compared(members: DataFrame) -> DataFrame:
             yield batch_of(schema, *compare(group))
 
     dealt = rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    return dealt.mapInArrow(run, "rid long, links long, root long")
+    return over_batches(dealt, run, "rid long, links long, root long")
 
 
 def near_duplicates(docs: DataFrame, recall: float = RECALL, trees: int = TREES) -> DataFrame:
@@ -349,7 +353,9 @@ def near_duplicates(docs: DataFrame, recall: float = RECALL, trees: int = TREES)
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """Rows of ``docs``, all columns, less all but one of each class.
 
-    Rows are found again by doc_id and a hash of the text.  Rows alike in both
+    Documents without words to compare (null and empty texts) all stay; of rows
+    alike in everything but other columns any one stays; an empty table stays
+    empty.  Rows are found again by doc_id and a hash of the text.  Rows alike in both
     are one keeper and its copies, of which any one stays, or have no text to
     compare, and then all stay.  That one is picked by an aggregation that
     combines before its shuffle.

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, slices, texts_of
+from .common import batch_of, over_batches, text_slices
 from .tokens import ENCODE_CHARS, encoder
 
 #: writer settings of the file format
@@ -51,15 +51,14 @@ def encode_parts(docs: DataFrame, tokenizer: str, end: int, parts: int | None =
         own = encoder(tokenizer, end)
         number, before = 0, 0
         for batch in batches:
-            column = texts_of(batch.column(1))
-            for lo, hi in slices(column, ENCODE_CHARS):
-                ids, offsets = own.encode(column[lo:hi])
+            for lo, hi, texts in text_slices(batch.column(1), ENCODE_CHARS):
+                ids, offsets = own.encode(texts)
                 size = np.diff(offsets)
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
                 yield batch_of(_SCHEMA, batch.column(0).slice(lo, hi - lo), np.full(hi - lo, part, np.int32), number + np.arange(hi - lo), before + offsets[:-1], size.astype(np.int32), lists)
                 number, before = number + hi - lo, before + int(offsets[-1])
 
-    return dealt.mapInArrow(run, _ROW)
+    return over_batches(dealt, run, _ROW)
 
 
 def write_orc(docs: DataFrame, path: str, tokenizer: str, end: int, parts: int | None = None) -> None:
@@ -106,4 +105,4 @@ def digest_ids(rows: DataFrame) -> DataFrame:
             yield batch_of(schema, batch.column(0), batch.column(1), batch.column(2), crc)
 
     assert names == ["doc_id", "start", "n_tokens"], names
-    return rows.select(*names, "ids").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return over_batches(rows.select(*names, "ids"), run, "doc_id long, start long, n_tokens long, ids_crc32 long")

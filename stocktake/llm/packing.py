@@ -9,7 +9,9 @@ When a task's rows end, or its open windows hold ``OPEN_TOKENS``, they are
 closed: the emptiest are cut up to fill the fullest, documents being free to
 continue in another window.  The last one becomes sequences whose lengths are
 powers of two, which need no padding.  So each task packs its own partition of
-the scan, nothing is shuffled, and no padding is left.
+the scan, nothing is shuffled, and no padding is left.  The more documents a task
+has, the more windows the rule itself fills: about six in ten with a thousand
+documents, nine in ten with eight thousand; closing fills the others.
 """
 
 from __future__ import annotations
@@ -23,11 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, slices, texts_of
+from .common import batch_of, over_batches, text_slices
 from .tokens import ENCODE_CHARS, encoder
 
 WINDOW = 4096
-OPEN_TOKENS = 32_000_000
+#: tokens that a task keeps in open windows
+OPEN_TOKENS = 2_000_000
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.large_binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("padded_length", pa.int64())])
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, padded_length long"
 
@@ -85,8 +88,8 @@ class SumOfSquares:
         whole = len(ids) - len(ids) % self.window
         for at in range(0, whole, self.window):
             self.full.append([(doc_id, at, ids[at : at + self.window], len(ids))])
-        if whole < len(ids):
-            self.place((doc_id, whole, ids[whole:], len(ids)))
+        if whole < len(ids):  # a copy, as a view would keep the slice's ids alive
+            self.place((doc_id, whole, ids[whole:].copy(), len(ids)))
 
     def close(self) -> list[list[Piece]]:
         """All windows so far, the open ones filled up from each other."""
@@ -161,9 +164,9 @@ def pack(docs: DataFrame, tokenizer: str, end: int, window: int = WINDOW) -> Dat
             return batch_of(_SCHEMA, *out)
 
         for batch in batches:
-            column, names = texts_of(batch.column(1)), batch.column(0).to_pylist()
-            for lo, hi in slices(column, ENCODE_CHARS):
-                ids, offsets = own.encode(column[lo:hi])
+            names = batch.column(0).to_pylist()
+            for lo, hi, texts in text_slices(batch.column(1), ENCODE_CHARS):
+                ids, offsets = own.encode(texts)
                 for i in range(hi - lo):
                     packer.add(names[lo + i], ids[offsets[i] : offsets[i + 1]])
                 if packer.open_tokens > OPEN_TOKENS:
@@ -176,7 +179,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int, window: int = WINDOW) -> Dat
             yield flush(rest[at : at + 1000])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, PIECES)
+    return over_batches(rows, run, PIECES)
 
 
 def digest_pieces(pieces: DataFrame) -> DataFrame:

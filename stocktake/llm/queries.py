@@ -75,8 +75,9 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents' bytes stored as mu-law clips, read back and described."""
-    clips = telephony.store_mulaw(_table(spark, sf_dir, "documents"))
+    """All documents' bytes stored as mu-law, A-law or ADPCM clips, read back,
+    described, and decoded to resampled PCM."""
+    clips = telephony.store_clips(_table(spark, sf_dir, "documents"))
     return telephony.describe(Workspace(spark, "media").save(clips, "clips"))
 
 

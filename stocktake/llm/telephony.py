@@ -2,8 +2,8 @@
 
 Mu-law and A-law samples expand by lookup tables of 256 entries, built from the
 companding rule.  ADPCM blocks are decoded side by side: one numpy step decodes
-the same sample of every block.  A clip is stored as a WAVE file; linear PCM can
-be resampled and stored as 16-bit WAVE.
+the same sample of every block of all clips at hand.  A clip is stored as a WAVE
+file; what it decodes to is resampled and stored as 16-bit PCM.
 """
 
 from __future__ import annotations
@@ -16,10 +16,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, texts_of
+from .common import SLICE_CHARS, batch_of, over_batches, text_slices
 
 # fixed values: format tags of WAVE files
 PCM, ALAW, MULAW, IMA_ADPCM = 1, 6, 7, 17
@@ -79,12 +80,21 @@ def decode_adpcm(data: bytes, block: int) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.int16)
 
 
+#: samples that one numpy step handles; bounds the memory of long clips
+STEP = 1 << 18
+
+
 def resample(samples: np.ndarray, source: int, target: int) -> np.ndarray:
-    """Linear interpolation between sample times."""
+    """Linear interpolation between sample times, a stretch at a time."""
     if source == target or not len(samples):
         return samples
     n = len(samples) * target // source
-    return np.rint(np.interp(np.arange(n) * (source / target), np.arange(len(samples)), samples)).astype(np.int16)
+    out = np.empty(n, np.int16)
+    for lo in range(0, n, STEP):
+        at = np.arange(lo, min(n, lo + STEP)) * (source / target)
+        first, last = int(at[0]), min(len(samples), int(at[-1]) + 2)
+        out[lo : lo + len(at)] = np.rint(np.interp(at - first, np.arange(last - first), samples[first:last]))
+    return out
 
 
 def wave(data: bytes, tag: int, rate: int, bits: int, block: int) -> bytes:
@@ -112,90 +122,149 @@ def parse_wave(media: bytes) -> tuple[int, int, int, bytes]:
 
 def decode(media: bytes) -> tuple[np.ndarray, int]:
     """16-bit samples and rate of a stored clip."""
-    tag, rate, block, data = parse_wave(media)
-    if tag == MULAW:
-        return mulaw_table()[np.frombuffer(data, np.uint8)], rate
-    if tag == ALAW:
-        return alaw_table()[np.frombuffer(data, np.uint8)], rate
-    if tag == IMA_ADPCM:
-        return decode_adpcm(data, block), rate
-    if tag == PCM:
-        return np.frombuffer(data, "<i2"), rate
-    raise ValueError(f"unknown format tag {tag}")
+    return decode_all([media])[0]
+
+
+def decode_all(clips: list[bytes]) -> list[tuple[np.ndarray, int]]:
+    """The same of many clips; ADPCM clips of whole blocks of one size are
+    decoded together."""
+    out: list[tuple[np.ndarray, int]] = []
+    together: dict[int, list[tuple[int, bytes]]] = {}
+    for i, media in enumerate(clips):
+        tag, rate, block, data = parse_wave(media)
+        if tag == MULAW:
+            samples = mulaw_table()[np.frombuffer(data, np.uint8)]
+        elif tag == ALAW:
+            samples = alaw_table()[np.frombuffer(data, np.uint8)]
+        elif tag == PCM:
+            samples = np.frombuffer(data, "<i2")
+        elif tag == IMA_ADPCM:
+            samples = np.zeros(0, np.int16)
+            if len(data) % block:
+                samples = decode_adpcm(data, block)
+            else:
+                together.setdefault(block, []).append((i, data))
+        else:
+            raise ValueError(f"unknown format tag {tag}")
+        out.append((samples, rate))
+    for block, own in together.items():
+        every, at = decode_adpcm(b"".join(d for _, d in own), block), 0
+        for i, data in own:
+            n = len(data) // block * ((block - 4) * 2 + 1)
+            out[i] = (every[at : at + n], out[i][1])
+            at += n
+    return out
 
 
 def features(samples: np.ndarray, rate: int) -> str:
     """Duration in milliseconds, root mean square, peak, zero crossings, and the
-    share of energy in eight bands of the mean spectrum of 256-sample frames."""
+    share of energy in eight bands of the mean spectrum of frames of 256
+    samples, the last one filled up with zeros."""
     n = len(samples)
     if not n:
         return "ms=0"
-    x = samples.astype(np.float32)
-    rms = float(np.sqrt(np.mean(np.square(x, dtype=np.float64))))
-    crossings = int(np.count_nonzero((samples[1:] < 0) != (samples[:-1] < 0)))
-    frames = x[: n - n % 256].reshape(-1, 256) if n >= 256 else np.pad(x, (0, 256 - n)).reshape(1, 256)
-    power = np.zeros(128)
-    for at in range(0, len(frames), 512):
-        power += np.square(np.abs(np.fft.rfft(frames[at : at + 512], axis=1)[:, 1:])).sum(axis=0)
+    squares, peak, power = 0.0, 0, np.zeros(128)
+    crossings = 0
+    for at in range(0, n, STEP):  # a multiple of 256
+        part = samples[at : at + STEP]
+        x = part.astype(np.float32)
+        squares += float(np.square(x, dtype=np.float64).sum())
+        peak = max(peak, int(np.abs(x).max()))
+        sign = samples[max(0, at - 1) : at + STEP] < 0
+        crossings += int(np.count_nonzero(sign[1:] != sign[:-1]))
+        frames = np.pad(x, (0, -len(x) % 256)).reshape(-1, 256)
+        power += np.square(np.abs(np.fft.rfft(frames, axis=1)[:, 1:])).sum(axis=0)
     bands = power.reshape(8, 16).sum(axis=1)
     share = bands / bands.sum() if bands.sum() else bands
-    return f"ms={n * 1000 // rate};rms={rms:.1f};peak={int(np.abs(x).max())};zc={crossings};bands=" + ",".join(f"{v:.3f}" for v in share)
+    return f"ms={n * 1000 // rate};rms={np.sqrt(squares / n):.1f};peak={peak};zc={crossings};bands=" + ",".join(f"{v:.3f}" for v in share)
+
 
+#: block size of a format's WAVE file
+_BLOCK = {MULAW: 1, ALAW: 1, IMA_ADPCM: UNIT}
 
-def store_mulaw(docs: DataFrame) -> DataFrame:
+
+def store_clips(docs: DataFrame, formats: tuple[int, ...] = (MULAW, ALAW, IMA_ADPCM)) -> DataFrame:
     """``doc_id``, ``n_bytes`` and ``media`` of each row (doc_id, text, any other
     columns): the text's UTF-8 bytes, padded with 0 to a positive multiple of
-    64, as the samples of a mu-law WAVE file.  Null texts are empty; lone
-    surrogates keep their bytes.  Nothing is shuffled."""
+    64, as the coded samples of a WAVE file.
+
+    A checksum of the bytes picks one of ``formats`` (mu-law, A-law, ADPCM in
+    blocks of 64 bytes), so equal texts give equal files.  Null texts are empty;
+    lone surrogates keep their bytes; null ids stay null and repeated rows give
+    repeated clips; an empty table gives none.  Nothing is shuffled."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ids = texts_of(batch.column(1)), batch.column(0)
-            for at in range(0, len(texts), 500):
-                raw = [t.encode("utf-8", "surrogatepass") for t in texts[at : at + 500]]
-                media = [wave(b + b"\0" * (-len(b) % UNIT if b else UNIT), MULAW, RATE, 8, 1) for b in raw]
-                yield batch_of(schema, ids.slice(at, len(raw)), [len(b) for b in raw], media)
+            for lo, hi, texts in text_slices(batch.column(1)):
+                media, sizes = [], []
+                for text in texts:
+                    raw = text.encode("utf-8", "surrogatepass")
+                    payload = raw + b"\0" * (-len(raw) % UNIT if raw else UNIT)
+                    tag = formats[zlib.crc32(payload) % len(formats)]
+                    media.append(wave(payload, tag, RATE, 4 if tag == IMA_ADPCM else 8, _BLOCK[tag]))
+                    sizes.append(len(raw))
+                yield batch_of(schema, batch.column(0).slice(lo, hi - lo), sizes, media)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return over_batches(rows, run, "doc_id long, n_bytes long, media binary")
 
 
 def resampled_pcm(clips: DataFrame, rate: int = RESAMPLED) -> DataFrame:
-    """``clips`` (doc_id, media) decoded, resampled and stored as 16-bit PCM."""
+    """``clips`` (doc_id, media, any other columns) decoded, resampled and stored
+    as 16-bit PCM: ``doc_id``, ``media``.  Null media stay null, null ids and
+    repeated rows are kept, an empty table gives no row."""
     schema = pa.schema([("doc_id", pa.int64()), ("media", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, media in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if media is None:
-                    yield batch_of(schema, [doc], [None])
-                    continue
-                samples, own = decode(media)
-                yield batch_of(schema, [doc], [wave(resample(samples, own, rate).astype("<i2").tobytes(), PCM, rate, 16, 2)])
+            for lo, hi, media in _media(batch.column(1)):
+                found = iter(decode_all([m for m in media if m is not None]))
+                out = [None if m is None else _pcm(*next(found), rate) for m in media]
+                yield batch_of(schema, batch.column(0).slice(lo, hi - lo), out)
 
-    return clips.select("doc_id", "media").mapInArrow(run, "doc_id long, media binary")
+    return over_batches(clips.select("doc_id", "media"), run, "doc_id long, media binary")
 
 
-DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+def _pcm(samples: np.ndarray, own: int, rate: int) -> bytes:
+    return wave(resample(samples, own, rate).astype("<i2", copy=False).tobytes(), PCM, rate, 16, 2)
+
+
+def _media(column: pa.Array) -> Iterator[tuple[int, int, list[bytes | None]]]:
+    """Ranges of clips with about ``SLICE_CHARS`` bytes each, and their bytes."""
+    size = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    lo = total = 0
+    for i, n in enumerate(size):
+        total += n
+        if total >= SLICE_CHARS or i + 1 == len(size):
+            yield lo, i + 1, column.slice(lo, i + 1 - lo).to_pylist()
+            lo, total = i + 1, 0
+
+
+DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, format int, pcm binary"
 
 
 def describe(clips: DataFrame) -> DataFrame:
-    """Digests and features of stored clips (doc_id, n_bytes, media), all taken
-    from the stored bytes: the payload is what the file's data chunk holds, the
-    features are those of the decoded samples resampled to ``RESAMPLED``."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+    """Digests, features and the resampled PCM of stored clips (doc_id, n_bytes,
+    media, any other columns), all taken from the stored bytes.
+
+    The payload is what the file's data chunk holds; ``pcm`` is a WAVE file of
+    the decoded samples at ``RESAMPLED``, and the features are those of its
+    samples; ``format`` is the clip's format tag.  Null ids stay null, repeated
+    rows give repeated results, an empty table none; media is never null in what
+    ``store_clips`` wrote."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("format", pa.int32()), ("pcm", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
-            for media in batch.column(2):
-                media = media.as_py()
-                payload = parse_wave(media)[3]
-                samples, rate = decode(media)
-                row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), features(resample(samples, rate, RESAMPLED), RESAMPLED))
-                for column, value in zip(out, row, strict=True):
-                    column.append(value)
-            yield batch_of(schema, batch.column(0), batch.column(1), *out)
-
-    return clips.select("doc_id", "n_bytes", "media").mapInArrow(run, DIGEST)
+            for lo, hi, clip in _media(batch.column(2)):
+                out: list[list] = [[] for _ in range(8)]
+                for media, (samples, rate) in zip(clip, decode_all(clip), strict=True):
+                    tag, _, _, payload = parse_wave(media)
+                    pcm = _pcm(samples, rate, RESAMPLED)
+                    row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), features(np.frombuffer(parse_wave(pcm)[3], "<i2"), RESAMPLED), tag, pcm)
+                    for column, value in zip(out, row, strict=True):
+                        column.append(value)
+                yield batch_of(schema, batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *out)
+
+    return over_batches(clips.select("doc_id", "n_bytes", "media"), run, DIGEST)

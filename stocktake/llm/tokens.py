@@ -19,10 +19,12 @@ import pyarrow.compute as pc
 
 from .common import resident
 
-#: characters encoded at once; bounds memory
-ENCODE_CHARS = 2_000_000
-#: distinct pieces whose ids a worker remembers
-REMEMBERED = 300_000
+#: bytes of text encoded at once; bounds memory
+ENCODE_CHARS = 1_200_000
+#: distinct pieces whose ids a worker remembers, and the bytes of their names
+REMEMBERED, REMEMBERED_BYTES = 300_000, 8 << 20
+#: pieces that the tokenizer holds at once
+AT_ONCE = 20_000
 _TAIL = ".,;!?%#$&*|"
 _OTHER = r"\t\x{0b}\x{0c}\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: runs of white space that the cuts would change
@@ -65,8 +67,11 @@ class Encoder:
     def _joined(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """As ``plain``, for pieces that may stand in one text with the mark."""
         names = pieces.to_pylist()
-        flat = [self.mark.join(names[at : at + 4000]) + self.mark for at in range(0, len(names), 4000)]
-        ids = np.concatenate([np.zeros(0, np.int32), *(np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(flat, add_special_tokens=False))])
+        parts = [np.zeros(0, np.int32)]
+        for low in range(0, len(names), AT_ONCE):
+            flat = [self.mark.join(names[at : min(at + 4000, low + AT_ONCE)]) + self.mark for at in range(low, min(low + AT_ONCE, len(names)), 4000)]
+            parts += [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(flat, add_special_tokens=False)]
+        ids = np.concatenate(parts)
         ends = np.flatnonzero(ids == self.mark_ids[0])
         return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
 
@@ -86,8 +91,10 @@ class Encoder:
         out = _gather(every, start[index], size[index]), size[index]
         self.known = pa.concat_arrays([self.known, fresh])
         self.flat, self.count, self.again = every, size, np.concatenate([self.again, np.zeros(len(fresh), bool)])
-        if len(size) > REMEMBERED:
+        if len(size) > REMEMBERED or self.known.nbytes > REMEMBERED_BYTES:
             keep = np.flatnonzero(self.again)
+            if self.known.take(pa.array(keep)).nbytes > REMEMBERED_BYTES // 2:
+                keep = keep[:0]
             self.known = self.known.take(pa.array(keep))
             self.flat, self.count = _gather(every, start[keep], size[keep]), size[keep]
             self.again = np.zeros(len(keep), bool)
@@ -109,7 +116,7 @@ class Encoder:
 
     def plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each encoded by itself, and their numbers."""
-        parts = [_ragged([e.ids for e in self.tokenizer.encode_batch_fast(texts[at : at + 50_000], add_special_tokens=False)]) for at in range(0, len(texts), 50_000)]
+        parts = [_ragged([e.ids for e in self.tokenizer.encode_batch_fast(texts[at : at + AT_ONCE], add_special_tokens=False)]) for at in range(0, len(texts), AT_ONCE)]
         return np.concatenate([x for x, _ in parts] or [np.zeros(0, np.int32)]), np.concatenate([n for _, n in parts] or [np.zeros(0, np.int64)])
 
     def _pieces(self, names: pa.Array, spaced: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,28 +1,34 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Word lists become small transducers that read a clause word by word:
-
-* insult and threat: arcs weighted by what labelled text says of the word;
-* target: the clause speaks to or about somebody, which raises its weight;
-* negation: for a few words after a negator, weights shrink;
-* reported speech: after a verb of saying with a colon, quote or conjunction,
-  or inside quotation marks, weights shrink.
-
-Their composition is one automaton whose state is (words left under negation,
-reported or not, quoted or not, target seen or not).  The weight of the
-accepting path is the score of the clause.  A document's score is a logistic
-function of its clauses' scores; unmatched clauses weigh nothing.
-
-Insults beyond the seed list are learned: words, and stems of 4 to 6 letters,
-that labelled toxic documents hold far more often than clean ones.
+A clause is a sequence of word classes.  Small transducers read it; each gives a
+factor at every word, and at most words that factor is one:
+
+* insult: matches an insult, the arc's weight being what labelled text says of
+  the word;
+* target: raises a match that speaks of or to somebody a few words before;
+* threat: matches a threat verb and the person it is aimed at, in either order;
+* negation: for a few words after a negator, matches shrink;
+* reported speech: after a verb of saying with a colon, a quotation mark or a
+  conjunction, and inside quotation marks, matches shrink.
+
+``compose`` multiplies transducers: one machine runs all of them at once.  The
+grammar is the union of insult o target o negation o reported speech and threat
+o negation o reported speech.  A path through a machine chooses one match; the
+weight of a clause is the sum over all paths of the product of their factors.
+A document's score is a logistic function of the sum over its clauses; words
+that match nothing, however many, change nothing.
+
+Insults beyond the seed list are learned: words that labelled toxic documents
+hold in many contexts and clean ones hardly ever, and stems of 4 to 6 letters
+with several such forms.  Contexts are counted, not documents, so that copies of
+one document teach no more than one.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,74 +36,196 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, held_out, slices, texts_of, tidy
+from .common import Workspace, batch_of, held_out, over_batches, text_slices, tidy
 from .textnum import Words, word_hash
 
 #: bound of the training sample: labelled rows of each label
 ROWS_PER_LABEL = 4_000
+#: bound of the lexicon: learned words, and learned stems
+LEARNED = 20_000
 THRESHOLD = 0.7
+#: what the meaning of the grammar is worth, as a share of the labelled rows
+PRIOR = 0.2
 STEMS = (4, 5, 6)
+#: contexts that a learned word needs, forms that a learned stem needs, least log odds of both
+CONTEXTS, FORMS, ODDS = 8, 5, 3.0
 
 INSULTS = "idiot moron imbecile scum loser trash garbage worthless pathetic stupid disgusting clown idiota imbécil estúpido basura escoria imbécile ordure minable crétin dummkopf abschaum trottel vollidiot".split()
-THREATS = "kill hurt murder destroy stab töten umbringen vernichten tuer détruire frapper matar destruir golpear".split()
-TARGETS = frozenset("you your he she they him her them we people du dich dir sie ihr euch er tu vous toi il elle ils usted tú te él ella ellos".split())
+THREATS = frozenset("kill hurt murder destroy stab töten umbringen vernichten tuer détruire frapper matar destruir golpear".split())
+#: persons that a clause may be about
+PERSONS = frozenset("your he she they we people du ihr er tu il elle ils elles usted él ella ellos".split())
+#: persons that a threat may be aimed at, behind its verb
+OBJECTS = frozenset("you him her them sie vous toi ustedes".split())
+#: the same, where they may also stand before the verb
+EARLY_OBJECTS = frozenset("dich euch ihn te dir ti".split())
 NEGATORS = frozenset("not no never neither nor isn aren wasn don doesn nicht kein keine nie niemals ne pas jamais nunca jamás ni tampoco".split())
 REPORTERS = frozenset("said says say told wrote claimed called sagte sagt schrieb behauptete dit disait écrit affirme dijo dice escribió afirmó".split())
 OPENERS = frozenset("that dass que ob if".split())
-NEGATION_REACH = 3
-NEGATED, REPORTED, TARGETED = 0.5, 0.6, 1.25
 
+INSULT_WEIGHT, THREAT_WEIGHT = 1.5, 3.0
+TARGETED, NEGATED, REPORTED = 2.0, 0.2, 0.25
+#: words that a target, a threat verb or its object, a negator, a verb of saying reach
+TARGET_REACH, THREAT_REACH, NEGATION_REACH, SAID_REACH = 4, 2, 3, 3
+
+# classes of tokens
+OTHER, INSULT, THREAT, PERSON, OBJECT, EARLY, NEGATOR, REPORTER, OPENER, COLON, QUOTE = range(11)
+CLASSES = 11
+_MARKS = (COLON, QUOTE)  # tokens that are no words
 _TOKEN = regex.compile(r"[^\W_]+|[\"“”«»„:]")
 _CLAUSE_END = ".!?;\n"
 
 
+@dataclass(frozen=True)
+class Transducer:
+    """A deterministic weighted transducer from state 0: for each state and
+    class the next state, and the factor of a match there."""
+
+    step: tuple[tuple[int, ...], ...]
+    factor: tuple[tuple[float, ...], ...]
+
+
+def _machine(states: Sequence[object], step, factor) -> Transducer:  # noqa: ANN001
+    """A transducer from functions of (state, class); the first state is the start."""
+    place = {s: i for i, s in enumerate(states)}
+    return Transducer(tuple(tuple(place[step(s, c)] for c in range(CLASSES)) for s in states), tuple(tuple(float(factor(s, c)) for c in range(CLASSES)) for s in states))
+
+
+def _reach(marks: set[int], words: int, factor: float) -> Transducer:
+    """``factor`` for so many words after a word of ``marks``."""
+    return _machine(range(words + 1), lambda s, c: words if c in marks else s if c in _MARKS else max(0, s - 1), lambda s, _: factor if s else 1.0)
+
+
+def insult_transducer() -> Transducer:
+    return _machine([0], lambda _s, _c: 0, lambda _, c: c == INSULT)
+
+
+def target_transducer() -> Transducer:
+    return _reach({PERSON, OBJECT, EARLY}, TARGET_REACH, TARGETED)
+
+
+def threat_transducer() -> Transducer:
+    """States: words left after a threat verb, and after an early object."""
+    states = [(v, o) for v in range(THREAT_REACH + 1) for o in range(THREAT_REACH + 1)]
+
+    def step(s: tuple[int, int], c: int) -> tuple[int, int]:
+        if c in _MARKS:
+            return s
+        hit = factor(s, c) > 0  # a match uses up what led to it
+        verb = THREAT_REACH if c == THREAT else 0 if hit else max(0, s[0] - 1)
+        early = THREAT_REACH if c == EARLY else 0 if hit else max(0, s[1] - 1)
+        return (0 if hit else verb), (0 if hit else early)
+
+    def factor(s: tuple[int, int], c: int) -> float:
+        return THREAT_WEIGHT if (c in (OBJECT, EARLY) and s[0]) or (c == THREAT and s[1]) else 0.0
+
+    return _machine(states, step, factor)
+
+
+def negation_transducer() -> Transducer:
+    return _reach({NEGATOR}, NEGATION_REACH, NEGATED)
+
+
+def reported_transducer() -> Transducer:
+    """States: words left after a verb of saying, whether what follows is
+    reported, and whether a quotation is open."""
+    states = [(said, told, quoted) for told in (False, True) for quoted in (False, True) for said in range(SAID_REACH + 1)]
+
+    def step(s: tuple[int, bool, bool], c: int) -> tuple[int, bool, bool]:
+        said, told, quoted = s
+        if c == REPORTER:
+            return SAID_REACH, told, quoted
+        if c == QUOTE:
+            return said, told, not quoted
+        if c in (COLON, OPENER) and said:
+            return 0, True, quoted
+        return (said if c == COLON else max(0, said - 1)), told, quoted
+
+    return _machine(states, step, lambda s, _: REPORTED if s[1] or s[2] else 1.0)
+
+
+def compose(*parts: Transducer) -> Transducer:
+    """The machine that runs all ``parts`` at once: its states are the reachable
+    tuples of theirs, its factors the products."""
+    place, waiting = {(0,) * len(parts): 0}, [(0,) * len(parts)]
+    steps, factors = [], []
+    for state in waiting:  # grows while it is read
+        row = []
+        for c in range(CLASSES):
+            to = tuple(p.step[s][c] for p, s in zip(parts, state, strict=True))
+            if to not in place:
+                place[to] = len(place)
+                waiting.append(to)
+            row.append(place[to])
+        steps.append(tuple(row))
+        factors.append(tuple(float(np.prod([p.factor[s][c] for p, s in zip(parts, state, strict=True)])) for c in range(CLASSES)))
+    return Transducer(tuple(steps), tuple(factors))
+
+
+@lru_cache(1)
+def grammar_machines() -> tuple[Transducer, Transducer]:
+    """The composed machines of insults and of threats."""
+    tail = (negation_transducer(), reported_transducer())
+    return compose(insult_transducer(), target_transducer(), *tail), compose(threat_transducer(), *tail)
+
+
 @dataclass
 class Grammar:
-    """Weights of the arcs (words; stems by their length), and the coefficients
-    of the logistic function."""
+    """Weights of the insult arcs (words; stems by their length), and the
+    coefficients of the logistic function."""
 
-    words: dict[str, float]
-    threats: frozenset[str]
-    stems: dict[str, float]
-    coefficients: list[float] = field(default_factory=lambda: [-4.0, 1.0, 1.0, 0.5, 0.0])
+    words: dict[str, float] = field(default_factory=lambda: dict.fromkeys(INSULTS, INSULT_WEIGHT))
+    stems: dict[str, float] = field(default_factory=dict)
+    coefficients: tuple[float, float] = (0.0, 0.0)
+
+    def __post_init__(self) -> None:
+        if self.coefficients == (0.0, 0.0):
+            self.coefficients = fit_coefficients(np.zeros(0), np.zeros(0))
 
     def arc(self, word: str) -> float:
+        """Weight of the word as an insult, 0 for others."""
         weight = self.words.get(word, 0.0)
         for k in STEMS:
             if len(word) >= k:
                 weight = max(weight, self.stems.get(word[:k], 0.0))
         return weight
 
-    def clause(self, text: str) -> tuple[float, int]:
-        """Weight of the clause's accepting path, and its matched words."""
-        negated, reported, quoted, target, said = 0, False, False, False, False
-        weight, matched = 0.0, 0
-        for token in _TOKEN.findall(text):
+    def read(self, clause: str) -> tuple[list[int], list[float]]:
+        """Class and arc weight of each token."""
+        classes, weights = [], []
+        for token in _TOKEN.findall(clause):
+            arc = 0.0
             if not token[0].isalnum():
-                quoted = quoted != (token != ":")
-                reported |= said and token == ":"
-                continue
-            if token in NEGATORS:
-                negated = NEGATION_REACH + 1
-            elif token in OPENERS:
-                reported |= said
-            said = token in REPORTERS or (said and token in TARGETS)
-            target |= token in TARGETS
-            arc = self.arc(token)
-            if arc:
-                weight += arc * (NEGATED if negated else 1.0) * (REPORTED if reported or quoted else 1.0)
-                matched += 1
-            negated = max(0, negated - 1)
-        return weight * (TARGETED if target else 1.0), matched
+                kind = COLON if token == ":" else QUOTE
+            else:
+                kind = next((k for k, known in _KINDS if token in known), OTHER)
+                if kind == OTHER and (arc := self.arc(token)):
+                    kind = INSULT
+            classes.append(kind)
+            weights.append(arc or 1.0)
+        return classes, weights
+
+    def weigh(self, clause: str) -> float:
+        """Weight of the lower-cased clause: the sum over all paths."""
+        classes, weights = self.read(clause)
+        total = 0.0
+        for machine in grammar_machines():
+            state = 0
+            for c, w in zip(classes, weights, strict=True):
+                total += machine.factor[state][c] * w
+                state = machine.step[state][c]
+        return total
+
+
+_KINDS = ((NEGATOR, NEGATORS), (REPORTER, REPORTERS), (OPENER, OPENERS), (THREAT, THREATS), (EARLY, EARLY_OBJECTS), (OBJECT, OBJECTS), (PERSON, PERSONS))
 
 
 class Matcher:
-    """Finds the matched clauses of whole slices of texts: words are looked up
-    as numbers, and the automaton reads only clauses that hold an arc."""
+    """Weighs whole slices of texts: words are looked up as numbers, and the
+    machines read only clauses that hold an insult or a threat verb."""
 
     def __init__(self, grammar: Grammar) -> None:
         self.grammar = grammar
-        self.words = np.sort(np.array([word_hash(w) for w in grammar.words], np.uint64))
+        self.words = np.sort(np.array([word_hash(w) for w in {*grammar.words, *THREATS}], np.uint64))
         self.stems = {k: np.sort(np.array([word_hash(s) for s in grammar.stems if len(s) == k], np.uint64)) for k in STEMS}
 
     @staticmethod
@@ -112,18 +240,17 @@ class Matcher:
         found[at] = known[place] == values[at]
         return found
 
-    def features(self, texts: list[str]) -> np.ndarray:
-        """For each text: total and greatest clause weight, matched clauses and
-        words, each on a logarithmic scale, and matched words per hundred."""
+    def weights(self, texts: list[str]) -> np.ndarray:
+        """For each text the sum of its clauses' weights."""
         words = Words(texts, STEMS)
         hit = self._among(words.hashes, self.words)
         for k in STEMS:
             hit |= self._among(words.prefix[k], self.stems[k])
         at = np.flatnonzero(hit)
         owner = np.searchsorted(words.offsets, at, side="right") - 1
-        out = np.zeros((len(texts), 4))
+        out = np.zeros(len(texts))
         joined, done, last = words.joined, -1, -1
-        for i, doc in zip(at, owner, strict=True):
+        for i, doc in zip(at.tolist(), owner.tolist(), strict=True):
             begin, end = int(words.starts[i]), int(words.ends[i])
             if doc != last:
                 done, last = -1, doc
@@ -131,115 +258,129 @@ class Matcher:
                 continue
             low, high = int(words.begins[doc]), int(words.begins[doc + 1]) - 1
             start = max(joined.rfind(c, low, begin) for c in _CLAUSE_END) + 1 or low
-            stop = min((x for x in (joined.find(c, end, high) for c in _CLAUSE_END) if x >= 0), default=high)
-            done = stop
-            weight, matched = self.grammar.clause(joined[max(start, low) : stop])
-            out[doc] += (weight, 0, 1, matched)
-            out[doc, 1] = max(out[doc, 1], weight)
-        size = np.maximum(1, np.diff(words.offsets))
-        return np.column_stack([np.log1p(out[:, 0]), np.log1p(out[:, 1]), np.log1p(out[:, 2]), np.minimum(5, 100 * out[:, 3] / size)])
+            done = min((x for x in (joined.find(c, end, high) for c in _CLAUSE_END) if x >= 0), default=high)
+            out[doc] += self.grammar.weigh(joined[max(start, low) : done])
+        return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        c = np.array(self.grammar.coefficients)
-        return 1 / (1 + np.exp(-(c[0] + self.features(texts) @ c[1:])))
-
-
-def _lexicon(texts: list[str], labels: np.ndarray) -> tuple[dict[str, float], dict[str, float]]:
-    """Words and stems far more common in toxic documents, with their weights:
-    log odds of document frequency, between 0.5 and 3."""
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
-    for text, label in zip(texts, labels, strict=True):
-        own = set(regex.findall(r"[^\W_]+", text.lower()))
-        counts[label].update(own | {f"{w[:k]}*" for w in own for k in STEMS if len(w) >= k})
-    toxic, clean = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
-    words, stems = {}, {}
-    for term, n in counts[1].items():
-        m = counts[0][term]
-        odds = math.log(((n + 0.1) / toxic) / ((m + 0.5) / clean))
-        # enough documents hold it, and hardly a clean one
-        if n >= 5 and odds >= 3.5 and n > 2 * m:
-            (stems if term[-1] == "*" else words)[term.rstrip("*")] = min(3.0, odds / 2)
-    # a stem stands for more than one learned form, or else the word does
-    return words, stems
-
-
-def _logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
-    """Coefficients of a ridge logistic regression, by Newton's method."""
-    x = np.column_stack([np.ones(len(x)), x])
-    ridge = np.diag([1e-3] + [1.0] * (x.shape[1] - 1))
-    w = np.zeros(x.shape[1])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
-        w += step
-        if np.abs(step).max() < 1e-6:
+        a, b = self.grammar.coefficients
+        return 1 / (1 + np.exp(-(a + b * np.log1p(self.weights(texts)))))
+
+
+def fit_coefficients(weights: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """Logistic regression of labels on log1p(weight), by Newton's method.
+
+    What the grammar means is a prior, worth ``PRIOR`` of the rows and at least
+    forty rows: an insult or threat at somebody is toxic; nothing, one insulting
+    word at nobody, and an insult negated or reported are not.  Without rows the
+    prior alone counts.
+    """
+    one = INSULT_WEIGHT * TARGETED
+    prior = [(0.0, 0), (INSULT_WEIGHT, 0), (one * NEGATED, 0), (one * REPORTED, 0), (one, 1), (THREAT_WEIGHT, 1)]
+    share = max(40.0, PRIOR * len(labels)) / len(prior)
+    x = np.log1p(np.concatenate([weights, [w for w, _ in prior]]))
+    y = np.concatenate([labels, [k for _, k in prior]]).astype(float)
+    worth = np.concatenate([np.ones(len(labels)), np.full(len(prior), share)])
+    rows, ridge, c = np.column_stack([np.ones(len(x)), x]), np.diag([1e-3, 0.1]), np.zeros(2)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(rows @ c, -30, 30)))
+        move = np.linalg.solve((rows * (worth * p * (1 - p))[:, None]).T @ rows + ridge, rows.T @ (worth * (y - p)) - ridge @ c)
+        c += move
+        if np.abs(move).max() < 1e-8:
             break
-    return [float(v) for v in w]
+    return float(c[0]), float(c[1])
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_LABEL) -> tuple[list[str], np.ndarray]:
-    """At most ``rows`` texts of each label, in the order of a hash of their
-    ids, from the learnable two thirds."""
-    marked = labels.where(F.col("toxic").isNotNull() & ~held_out("doc_id")).select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic"))
-    marked = marked.groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
-    picked = [marked.where(F.col("_toxic") == k).orderBy(F.xxhash64("_id"), "_id").limit(rows) for k in (0, 1)]
+def training_rows(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_LABEL) -> DataFrame:
+    """(id, toxic, text) of at most ``rows`` labelled rows of each label, in the
+    order of a hash of their ids, from the learnable two thirds."""
+    marked = labels.where(F.col("toxic").isNotNull() & ~held_out("doc_id")).select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic"))
+    marked = marked.groupBy("id").agg(F.max("toxic").alias("toxic"))
+    picked = [marked.where(F.col("toxic") == k).orderBy(F.xxhash64("id"), "id").limit(rows) for k in (0, 1)]
+    texts = docs.select(F.col("doc_id").alias("_doc"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     # at most 2 * rows ids: a bounded side
-    texts = docs.select("doc_id", "text")
-    sample = texts.join(F.broadcast(picked[0].union(picked[1])), texts.doc_id == F.col("_id"))
-    found = sample.where("text IS NOT NULL").select("_id", "_toxic", "text").dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").collect()
-    return [r.text for r in found], np.array([r._toxic for r in found], np.int64)
+    sample = texts.join(F.broadcast(picked[0].union(picked[1])), F.col("_doc") == F.col("id"))
+    return sample.groupBy("id", "toxic").agg(F.max("text").alias("text"))
+
+
+def lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
+    """Weights of learned words and stems, counted by Spark over ``sample``: log
+    odds of contexts among toxic rows and occurrences among clean ones."""
+    sizes = sample.agg(F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("toxic") == 0).alias("clean")).first()
+    if not sizes.toxic or not sizes.clean:
+        return {}, {}
+    words = sample.withColumn("w", F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), 0))
+    pairs = F.array_distinct(F.zip_with("w", F.concat(F.array(F.lit("")), "w"), lambda w, before: F.struct(w.alias("word"), before.alias("before"))))
+    pairs = words.select("toxic", F.explode(pairs).alias("p")).where("p.word IS NOT NULL").groupBy("p.word", "p.before").agg(F.count_if(F.col("toxic") == 1).alias("n"), F.count_if(F.col("toxic") == 0).alias("m"))
+    counts = pairs.groupBy("word").agg(F.count_if(F.col("n") > 0).alias("n"), F.sum("m").alias("m")).where("n > 0 OR m > 0")
+    odds = F.log((F.col("n") / sizes.toxic) / ((F.col("m") + 0.5) / sizes.clean))
+    weight = F.greatest(F.lit(1.0), F.least(F.lit(2.0), F.col("odds") / 3)).alias("weight")
+    known = [*NEGATORS, *REPORTERS, *OPENERS, *PERSONS, *OBJECTS, *EARLY_OBJECTS, *THREATS]
+    chosen = counts.withColumn("odds", odds).where((F.col("n") >= CONTEXTS) & (F.col("odds") >= ODDS) & ~F.col("word").isin(known))
+    found = chosen.orderBy(F.desc("odds"), "word").limit(LEARNED).select("word", weight).collect()
+    stem = F.explode(F.array(*[F.when(F.length("word") >= k, F.left("word", F.lit(k))) for k in STEMS])).alias("stem")
+    forms = counts.select(stem, "n", "m").where("stem IS NOT NULL").groupBy("stem").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.count_if((F.col("n") >= 2) & (F.col("m") == 0)).alias("forms"))
+    good = forms.withColumn("odds", odds).where((F.col("forms") >= FORMS) & (F.col("n") >= CONTEXTS) & (F.col("odds") >= ODDS))
+    stems = good.orderBy(F.desc("odds"), "stem").limit(LEARNED).select("stem", "n", weight).collect()
+    size = {r.stem: r.n for r in stems}
+    # a stem whose words nearly all share a longer learned stem says no more than that
+    longer = {s[:k] for s, n in size.items() for k in STEMS if k < len(s) and 10 * n >= 9 * size.get(s[:k], 10 * n)}
+    return {r.word: r.weight for r in found}, {r.stem: r.weight for r in stems if r.stem not in longer}
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_LABEL) -> Grammar:
-    """A grammar from labelled rows.  Half of them choose the arcs while the
-    other half fits the coefficients; the final arcs come from all of them.
-    Without both labels the seed lists and default coefficients stand."""
-    texts, y = training_rows(docs, labels, rows)
-    seeds = dict.fromkeys(INSULTS, 1.5) | dict.fromkeys(THREATS, 1.0)
-    grammar = Grammar(seeds, frozenset(THREATS), {})
-    if len(set(y.tolist())) < 2:
-        return grammar
-    half = np.arange(len(texts)) % 2 == 0
-    parts = [[t for t, h in zip(texts, half, strict=True) if h == side] for side in (True, False)]
-    x, target = [], []
-    for own, other in ((0, 1), (1, 0)):
-        words, stems = _lexicon(parts[own], y[half if own == 0 else ~half])
-        matcher = Matcher(Grammar(seeds | words, grammar.threats, stems))
-        x += [matcher.features(parts[other][lo:hi]) for lo, hi in slices(parts[other])]
-        target.append(y[~half if own == 0 else half])
-    words, stems = _lexicon(texts, y)
-    return Grammar(seeds | words, grammar.threats, stems, _logistic(np.concatenate(x), np.concatenate(target)))
+    """A grammar from labelled rows: Spark counts the lexicon and weighs the
+    sample; the driver sees counts of learned words and two numbers a row.
+    Without both labels the seed lists and the prior coefficients stand."""
+    work = Workspace(docs.sparkSession, "toxicity")
+    sample = work.save(training_rows(docs, labels, rows), "sample")
+    words, stems = lexicon(sample)
+    arcs = Grammar(dict.fromkeys(INSULTS, INSULT_WEIGHT) | words, stems)
+    schema = pa.schema([("toxic", pa.int32()), ("weight", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(arcs)
+        for batch in batches:
+            for lo, hi, texts in text_slices(batch.column(1)):
+                yield batch_of(schema, batch.column(0).slice(lo, hi - lo), matcher.weights(texts))
+
+    found = over_batches(sample.select("toxic", "text"), run, "toxic int, weight double").collect()
+    work.drop()
+    return Grammar(arcs.words, arcs.stems, fit_coefficients(np.array([r.weight for r in found]), np.array([r.toxic for r in found])))
 
 
 def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
     """``doc_id``, ``held_out``, ``score``, ``predicted`` of each row of ``docs``
     (doc_id, text, any other columns, which scores don't see).  Null and empty
-    texts get the score of a text without a match."""
+    texts get the score of a text without a match; repeated rows, null ids and
+    very long texts are scored like others; an empty table gives no row."""
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
         matcher = Matcher(grammar)
         for batch in batches:
-            column = texts_of(batch.column(2))
-            for lo, hi in slices(column):
-                value = matcher.scores(column[lo:hi])
+            for lo, hi, texts in text_slices(batch.column(2)):
+                value = matcher.scores(texts)
                 yield batch_of(schema, batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), value, (value >= THRESHOLD).astype(np.int32))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id").alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return over_batches(rows, run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, grammar: Grammar) -> DataFrame:
-    """Rows of ``docs``, all columns, with a score below the threshold."""
+    """Rows of ``docs`` (text and any other columns), all columns, with a score
+    below the threshold.  Null and empty texts stay; repeated rows go or stay
+    together; rows stay in place, and an empty table stays empty."""
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
         matcher = Matcher(grammar)
         for batch in batches:
-            column = texts_of(batch.column(at))
-            value = [matcher.scores(column[lo:hi]) for lo, hi in slices(column)]
-            yield batch.filter(pa.array(np.concatenate([np.zeros(0), *value]) < THRESHOLD))
+            value = np.zeros(batch.num_rows)
+            for lo, hi, texts in text_slices(batch.column(at)):
+                value[lo:hi] = matcher.scores(texts)
+            yield batch.filter(pa.array(value < THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return over_batches(docs, run, docs.schema)

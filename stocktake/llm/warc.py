@@ -6,11 +6,14 @@ earlier: an as-of join.  Validators are checked (entity tag first, else the
 modification time), and the headers that a not-modified answer may update are
 merged over those of the response.
 
-The as-of join is two windows.  Records of a URL are dealt to time buckets; the
-first window looks back inside a bucket, the second carries the last response of
-each bucket to later buckets.  A URL with a third of all records is thus spread
-over its buckets, and only bucket summaries meet in one place.  Bodies take no
-part in the windows.
+The as-of join works on moments: one row for each canonical URL and time, with
+the answer that stands there.  So records that repeat, or share a moment, are
+combined before any window sees them.  The moments of a URL that holds a
+thousandth of all moments or more are dealt to buckets by rank, at quantiles of
+its own times, so that no outlier in time fills one bucket; the first window looks back
+inside a bucket, the second carries the last answer of each bucket to later
+ones.  Every revisit then meets its moment by an equality join.  Bodies take no
+part.
 """
 
 from __future__ import annotations
@@ -18,9 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Workspace
+
 #: fixed values: headers that a not-modified answer may update
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "vary", "last-modified"]
-BUCKETS = 64
+#: buckets of a hot URL; URLs with fewer moments than these are never hot
+BUCKETS, HOT = 64, 1000
 _TRACKING = "(utm_[a-z]+|ref|fbclid|gclid|sessionid)"
 
 
@@ -45,47 +51,59 @@ def merge_headers(response: Column, revisit: Column) -> Column:
     return F.map_concat(old, new)
 
 
-def resolve_revisits(records: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def _bucketed(moments: DataFrame, buckets: int, hot: int) -> tuple[DataFrame, bool]:
+    """``moments`` with ``bucket``, and whether any URL has more than one.  At
+    most a thousand URLs can hold a thousandth of all, so few bounds are sent."""
+    total = moments.count()
+    large = moments.groupBy("canonical").count().where(F.col("count") >= max(hot, total // 1000)).select("canonical")
+    at = [k / buckets for k in range(1, buckets)]
+    bounds = moments.join(F.broadcast(large), "canonical", "left_semi").groupBy("canonical").agg(F.percentile_approx(F.col("captured").cast("double"), at, 10_000).alias("bounds")).collect()
+    if not bounds:
+        return moments.withColumn("bucket", F.lit(0)), False
+    known = moments.sparkSession.createDataFrame([(r.canonical, sorted(set(r.bounds))) for r in bounds], "canonical string, bounds array<double>")
+    rank = F.size(F.filter("bounds", lambda b: b < F.col("captured").cast("double")))
+    return moments.join(F.broadcast(known), "canonical", "left").withColumn("bucket", F.when(F.col("bounds").isNull(), 0).otherwise(rank)).drop("bounds"), True
+
+
+def resolve_revisits(records: DataFrame, buckets: int = BUCKETS, hot: int = HOT) -> DataFrame:
     """Revisits of ``records`` with what they resolve to.
 
-    ``records``: ``record_id`` string, unique; ``url``; ``captured`` timestamp or
-    number; ``kind`` (``response`` or ``revisit``; others are ignored);
-    ``headers`` map of lower-case names.  Result, one row for each revisit:
-    ``record_id``, ``canonical``, ``captured``, ``response_id`` (null: none
+    ``records``: ``record_id`` string; ``url``; ``captured`` timestamp or number;
+    ``kind`` (``response`` or ``revisit``; others are ignored); ``headers`` map
+    of lower-case names; any other columns.  Result, one row for each revisit
+    row: ``record_id``, ``canonical``, ``captured``, ``response_id`` (null: none
     earlier), ``status`` (``resolved``, ``validator-mismatch``, ``no-validator``
     or ``no-response``) and ``headers``, merged if resolved.
 
     Strictly earlier counts; responses captured at the same time go by
-    record_id, the greatest last.  Null urls and null times resolve to nothing.
-    A response that fails the validators is not replaced by an older one.
+    record_id, the greatest last, then by their headers as text.  Repeated
+    revisit rows give as many result rows, repeated responses count once.  Null
+    urls and null times resolve to nothing.  A response that fails the
+    validators is not replaced by an older one.  An empty table gives no row.
     """
-    moment = F.col("captured")
-    rows = records.where(F.col("kind").isin("response", "revisit")).select("record_id", canonical_url(F.col("url")).alias("canonical"), moment.alias("captured"), "kind", "headers")
-    usable = rows.where("canonical IS NOT NULL AND captured IS NOT NULL")
-    keys = usable.select("record_id", "canonical", "captured", "kind")
-    span = keys.agg(F.min("captured").cast("double").alias("lo"), F.max("captured").cast("double").alias("hi")).first()
-    lo, width = span.lo or 0.0, max(((span.hi or 0.0) - (span.lo or 0.0)) / buckets, 1e-9)
-    keys = keys.withColumn("bucket", F.least(F.lit(buckets - 1), F.floor((F.col("captured").cast("double") - lo) / width)).cast("int"))
-    answer = F.when(F.col("kind") == "response", F.struct("captured", "record_id"))
-    # responses at the same moment stand after the revisits, so they don't count
-    order = [F.col("captured"), F.when(F.col("kind") == "revisit", 0).otherwise(1), F.col("record_id")]
-    near = Window.partitionBy("canonical", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    found = keys.withColumn("near", F.last(answer, True).over(near))
-    summary = keys.where("kind = 'response'").groupBy("canonical", "bucket").agg(F.max(F.struct("captured", "record_id")).alias("top"))
-    # revisits whose own bucket has nothing earlier look at earlier buckets;
-    # every bucket of such a URL needs a row in the summary
-    asked = found.where("kind = 'revisit' AND near IS NULL").select("canonical", "bucket").distinct()
-    far = Window.partitionBy("canonical").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = asked.join(summary, ["canonical", "bucket"], "full").withColumn("far", F.last("top", True).over(far)).where("far IS NOT NULL").select("canonical", "bucket", "far")
-    matched = found.where("kind = 'revisit'").join(carried, ["canonical", "bucket"], "left").select("record_id", F.coalesce("near.record_id", "far.record_id").alias("response_id"))
-    revisits = rows.where("kind = 'revisit'").join(matched, "record_id", "left")
-    heads = rows.where("kind = 'response'").select(F.col("record_id").alias("response_id"), F.col("headers").alias("_stored"))
-    rows = revisits.join(heads, "response_id", "left")
+    rows = records.where(F.col("kind").isin("response", "revisit")).select("record_id", canonical_url(F.col("url")).alias("canonical"), F.col("captured").alias("captured"), "kind", "headers")
+    work = Workspace(records.sparkSession, "warc")
+    answer = F.struct("record_id", "headers")
+    full = F.col("kind") == "response"
+    order = F.when(full, F.struct(F.coalesce("record_id", F.lit("")), F.coalesce(F.to_json("headers"), F.lit(""))))
+    moments = rows.where("canonical IS NOT NULL AND captured IS NOT NULL").groupBy("canonical", "captured").agg(F.max_by(F.when(full, answer), order).alias("answer"))
+    # saved, as its rows are counted, cut at quantiles and then read
+    moments, several = _bucketed(work.save(moments, "moments"), buckets, hot)
+    near = Window.partitionBy("canonical", "bucket").orderBy("captured").rowsBetween(Window.unboundedPreceding, -1)
+    found = moments.withColumn("found", F.last("answer", True).over(near))
+    if several:
+        # the last answer of every bucket, and of those before it
+        tops = moments.groupBy("canonical", "bucket").agg(F.max_by(F.when(F.col("answer").isNotNull(), F.col("answer")), F.when(F.col("answer").isNotNull(), F.col("captured"))).alias("top"))
+        far = Window.partitionBy("canonical").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        carried = tops.withColumn("far", F.last("top", True).over(far)).where("bucket > 0 AND far IS NOT NULL").select("canonical", "bucket", "far")
+        found = found.join(carried, ["canonical", "bucket"], "left").withColumn("found", F.coalesce("found", "far"))
+    found = found.where("found IS NOT NULL").select("canonical", "captured", F.col("found.record_id").alias("response_id"), F.col("found.headers").alias("_stored"), F.lit(True).alias("_met"))
+    rows = rows.where("kind = 'revisit'").join(found, ["canonical", "captured"], "left")
     tag, stored_tag = F.col("headers")["etag"], F.col("_stored")["etag"]
     time, stored_time = F.col("headers")["last-modified"], F.col("_stored")["last-modified"]
     weak = lambda c: F.regexp_replace(c, "^W/", "")
     status = (
-        F.when(F.col("response_id").isNull(), "no-response")
+        F.when(F.col("_met").isNull(), "no-response")
         .when(tag.isNotNull() & stored_tag.isNotNull(), F.when(weak(tag) == weak(stored_tag), "resolved").otherwise("validator-mismatch"))
         .when(time.isNotNull() & stored_time.isNotNull(), F.when(time == stored_time, "resolved").otherwise("validator-mismatch"))
         .otherwise("no-validator")

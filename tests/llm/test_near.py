@@ -85,6 +85,40 @@ def test_documents_linked_to_one_member_of_a_family(spark):
     assert {r.doc_id: (r.class_id, r.n_links) for r in found} == expected
 
 
+def borderline(seed=21, count=40, members=8):
+    """Families whose texts are about 0.8 alike."""
+    r = random.Random(seed)
+    rows = []
+    for f in range(count):
+        base = [f"b{f}x{i}" for i in range(r.randint(80, 200))]
+        for k in range(members):
+            other = list(base)
+            for at in r.sample(range(len(other)), r.randint(1, max(1, len(other) // 60))):
+                other[at] = f"z{f}x{k}x{at}"
+            rows.append((100 * f + k, " ".join(other)))
+    return rows
+
+
+def test_recall_of_borderline_links(spark):
+    rows = borderline()
+    expected = brute(rows)
+    found = {x.doc_id: x.n_links for x in near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    links, got = sum(n for _, n in expected.values()), sum(found.values())
+    assert links > 500 and got >= 0.99 * links and all(found[i] <= expected[i][1] for i in found)
+
+
+def test_one_large_class_of_different_texts(spark, monkeypatch):
+    """Several blocks, by rows and by shingles."""
+    monkeypatch.setattr(near, "BLOCK", 100)
+    monkeypatch.setattr(near, "BLOCK_SHINGLES", 9_000)
+    words = [f"base{i}" for i in range(120)]
+    rows = [(i, " ".join(words[: i % 100 + 10] + [f"own{i}"] + words[i % 100 + 11 :])) for i in range(400)]
+    rows = [(i, t) for i, t in rows] + [(1000 + i, rows[0][1]) for i in range(50)]
+    expected = brute(rows)
+    found = {x.doc_id: (x.class_id, x.n_links) for x in near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == expected
+
+
 def test_depth_reaches_recall():
     depth = near.depth_for(0.9995, 20, 0.8)
     assert 1 - (1 - 0.8**depth) ** 20 >= 0.9995 > 1 - (1 - 0.8 ** (depth + 1)) ** 20

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import pytest
 from compare import SF
 
 from stocktake.llm.common import Workspace
@@ -25,3 +26,16 @@ def test_stages_drop_what_they_should(spark):
     assert left == {90_001, 90_006}
     pieces = corpus_pipeline.packed(spark, docs, SF)
     assert pieces.select("doc_id").distinct().count() == docs.count()
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_take_awkward_and_empty_tables(spark, awkward, nothing, name, stage):
+    out = stage(spark, awkward, SF)
+    if name == "packing":
+        assert out.select("doc_id").distinct().count() == 8
+    else:
+        assert out.columns == awkward.columns
+        ids = sorted(x.doc_id or 0 for x in out.collect())
+        # without a letter: 2 (null), 3 (empty), 4 and the null text without an id
+        assert ids == {"language": [0, 1, 1, 5, 6, 7], "toxicity": [0, 0, 1, 1, 2, 3, 4, 5, 6, 7], "near_duplicates": [0, 0, 1, 2, 3, 4, 5, 6, 7], "decontamination": [0, 0, 1, 1, 2, 3, 4, 5, 6, 7]}[name]
+    assert stage(spark, nothing, SF).count() == 0

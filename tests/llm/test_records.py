@@ -2,9 +2,12 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from stocktake.llm import chat, htmltree, telephony, warc
 
@@ -34,8 +37,47 @@ def test_companding_tables():
     assert len(set(mu.tolist())) == 255 and len(set(a.tolist())) == 256
 
 
+def plain_clip(media):
+    """Samples at twice the rate and their features, without tables, blocks or
+    slices."""
+    tag, rate, block, data = telephony.parse_wave(media)
+    if tag == telephony.MULAW:
+        samples = []
+        for b in data:
+            b = ~b & 255
+            size = ((((b & 15) << 3) + 132) << (b >> 4 & 7)) - 132
+            samples.append(-size if b & 128 else size)
+    elif tag == telephony.ALAW:
+        samples = []
+        for b in data:
+            b ^= 0x55
+            size, e = (b & 15) << 4, b >> 4 & 7
+            size = size + 8 if e == 0 else (size + 264) << (e - 1)
+            samples.append(size if b & 128 else -size)
+    else:
+        samples = telephony.decode_adpcm(data, block).tolist()
+    last = len(samples) - 1
+    out = [int(np.rint((samples[i // 2] + samples[min(last, (i + 1) // 2)]) / 2)) for i in range(2 * len(samples))]
+    x = np.array(out, np.float64)
+    frames = np.concatenate([x, np.zeros(-len(x) % 256)]).astype(np.float32).reshape(-1, 256)
+    bands = (np.abs(np.fft.rfft(frames, axis=1)[:, 1:]) ** 2).sum(axis=0).reshape(8, 16).sum(axis=1)
+    share = bands / bands.sum() if bands.sum() else bands
+    crossings = sum((a < 0) != (b < 0) for a, b in zip(out, out[1:], strict=False))
+    return out, f"ms={len(out) * 1000 // (2 * rate)};rms={np.sqrt(np.mean(x**2)):.1f};peak={int(np.abs(x).max())};zc={crossings};bands=" + ",".join(f"{v:.3f}" for v in share)
+
+
+def test_long_clips_in_stretches(monkeypatch):
+    r = np.random.default_rng(3)
+    clip = telephony.wave(r.integers(0, 256, 64 * 400, np.uint8).tobytes(), telephony.MULAW, 8000, 8, 1)
+    monkeypatch.setattr(telephony, "STEP", 1024)
+    samples, rate = telephony.decode(clip)
+    out = telephony.resample(samples, rate, 16_000)
+    assert out.tolist() == plain_clip(clip)[0]
+    assert telephony.features(out, 16_000) == plain_clip(clip)[1]
+
+
 def test_audio_round_trip(spark, awkward, nothing):
-    clips = telephony.store_mulaw(awkward)
+    clips = telephony.store_clips(awkward)
     found = telephony.describe(clips).collect()
     assert len(found) == 10
     want = {}
@@ -45,9 +87,16 @@ def test_audio_round_trip(spark, awkward, nothing):
         want.setdefault(r.doc_id, set()).add((len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:])))
     for r in found:
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) in want[r.doc_id]
+    stored = {bytes(x.media) for x in clips.collect()}
+    assert {telephony.parse_wave(m)[0] for m in stored} == {telephony.ALAW, telephony.MULAW, telephony.IMA_ADPCM}
+    plain = {hashlib.sha256(m).hexdigest(): plain_clip(m) for m in stored}
+    for r in found:
+        samples, text = plain[r.media_sha256]
+        assert telephony.parse_wave(bytes(r.pcm))[3] == np.array(samples, "<i2").tobytes()
+        assert r.feature == text
     pcm = telephony.resampled_pcm(clips).where("doc_id = 1").first().media
     assert telephony.parse_wave(bytes(pcm))[:2] == (telephony.PCM, telephony.RESAMPLED)
-    assert telephony.describe(telephony.store_mulaw(nothing)).count() == 0
+    assert telephony.describe(telephony.store_clips(nothing)).count() == 0
 
 
 def test_chat_round_trip(spark):
@@ -61,6 +110,17 @@ def test_chat_round_trip(spark):
     for x in back:
         assert x.loss_text == (x.text if x.role == "assistant" else "")
     assert chat.digests(chat.read_turns(chat.format_turns(table.limit(0)))).count() == 0
+    # whole conversations, parsed from their text alone
+    whole = chat.turns_of(chat.conversations_of(chat.format_turns(table))).orderBy("conv_id", "place").collect()
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    assert [(x.conv_id, x.role, x.text) for x in whole] == [(c, r or "", t or "") for c, _, r, t in order]
+
+
+def test_chat_clashing_and_repeated_rows(spark):
+    rows = [(1, 0, "user", "a", 1, "x", 0), (1, 0, "user", "a", 1, "x", 0), (1, 1, "assistant", "### b", 2, "y", 1)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, level int, formatted string, loss_start int")
+    found = chat.digests(chat.read_turns(chat.format_turns(table))).first()
+    assert found.n_turns == 3 and found.loss_chars == 5
 
 
 def test_revisits_equal_a_plain_search(spark):
@@ -80,6 +140,28 @@ def test_revisits_equal_a_plain_search(spark):
     assert warc.resolve_revisits(table.limit(0)).count() == 0
 
 
+def test_revisits_with_repeated_rows_hot_times_and_other_columns(spark):
+    """One URL with an outlier in time, and many moments at one place."""
+    r = random.Random(2)
+    times = [-(10**9)] + [r.randint(0, 5000) for _ in range(900)]
+    rows = [(f"k{i:04}", "hot.example/a", t, "response" if i % 3 == 0 else "revisit", {"etag": '"1"'}) for i, t in enumerate(times)]
+    rows += [(f"s{i}", f"u{i}.example", i, "response", {"etag": '"1"'}) for i in range(9)] + [("q1", "u3.example", 7, "revisit", {"etag": '"1"'})] * 3
+    rows += rows[:60]
+    table = spark.createDataFrame(rows, "record_id string, url string, captured long, kind string, headers map<string,string>").selectExpr("*", "1 AS canonical", "2 AS bucket", "3 AS response_id", "4 AS status", "5 AS found", "6 AS answer")
+    found = warc.resolve_revisits(table, buckets=8, hot=50).collect()
+    asked = [x for x in rows if x[3] == "revisit"]
+    assert sorted(x.record_id for x in found) == sorted(x[0] for x in asked)
+    full = [(t, k) for k, u, t, kind, _ in rows if kind == "response" and u == "hot.example/a"]
+    for x in found:
+        if x.record_id == "q1":
+            assert x.response_id == "s3"
+        else:
+            assert x.response_id == max((y for y in full if y[0] < x.captured), default=(0, None))[1]
+    moments = warc._bucketed(table.select("record_id", F.col("url").alias("canonical"), "captured").distinct(), 8, 50)
+    sizes = [n["count"] for n in moments[0].where("canonical = 'hot.example/a'").groupBy("bucket").count().collect()]
+    assert moments[1] and len(sizes) == 8 and max(sizes) < 2 * min(sizes)
+
+
 def tree_marginals(model, nodes, own):
     """Marginals by listing all labellings of a small tree."""
     from itertools import product
@@ -104,6 +186,48 @@ def test_marginals_equal_all_labellings():
     assert np.allclose(found, tree_marginals(model, nodes, own), atol=1e-6)
 
 
+@pytest.mark.parametrize("layout", htmltree.LAYOUTS)
+def test_held_out_pages_by_layout(layout):
+    model = htmltree.default_model()
+    right = wrong = lost = 0
+    for page in htmltree.labelled_pages(40, 1234, layout):
+        nodes = htmltree.parse(page)
+        content, _ = model.marginals(nodes, [htmltree.features(x) for x in nodes])
+        for node, p in zip(nodes, content, strict=True):
+            if node.tag == "#text":
+                right += bool(node.label) and p >= 0.5
+                wrong += not node.label and p >= 0.5
+                lost += bool(node.label) and p < 0.5
+    assert right / (right + wrong) > 0.97 and right / (right + lost) > 0.95
+
+
+def test_ordinary_layouts_keep_their_article():
+    model, text = htmltree.default_model(), "Some words of an ordinary sentence that goes on for about a hundred letters and then comes to an end."
+    menu, foot = "<ul class='nav'><li><a href='/'>Home</a></li><li><a href='/b'>Blog</a></li></ul>", "<footer>&copy; somebody</footer>"
+    bodies = [
+        f"<article><p>{text}</p><p>{text}</p></article>",
+        f"<article><header><h1>A title</h1></header><p>{text}</p><p>{text}</p></article>",
+        f"<div id=x><div class=row><div class=col><p>{text}</p><ul><li>{text}</li></ul></div></div></div>",
+        f"<table><tr><td><a href=/>Home</a><br><a href=/x>News</a></td><td><p>{text}</p><p>{text}</p></td></tr></table>",
+        f"<article><p>{text} <math><mi>x</mi><mo>=</mo><mn>2</mn></math></p><object><p>{text}</p></object></article>",
+    ]
+    for body in bodies:
+        found = htmltree.extract(f"<html><body>{menu}{body}{foot}</body></html>", model)
+        assert found.count(text) == 2 and "Home" not in found and "somebody" not in found
+    assert found.endswith(text) and "x=2" in found
+
+
+@pytest.mark.parametrize("piece", ["<a '", '<a ="', "<div>", "<svg>", "</x>", "<x>", "<li>", "<p><b>", "<!--", "<a b='>' c=\"", "<td><li>"])
+def test_hostile_pages_take_linear_time(piece):
+    model = htmltree.default_model()
+    times = []
+    for size in (100_000, 1_000_000):
+        began = time.process_time()
+        htmltree.extract(piece * (size // len(piece)), model)
+        times.append(time.process_time() - began)
+    assert times[1] < 25 * max(times[0], 0.05)
+
+
 def test_pages_awkward(spark):
     rows = [(1, "u", None), (1, "u", ""), (None, None, "<p>"), (2, "u", "<html><body><nav><a>Home</a></nav><article><h1>Title</h1><p>Tom &amp; Ann\n went   out.</p></article><footer>&copy; x</footer></body></html>"), (3, "u", "<div>" * 3000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS text", "2 AS n_chars")

@@ -22,6 +22,11 @@ def docs(spark, sf_dir=SF2):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@pytest.fixture(scope="module")
+def learned(spark):
+    return toxicity.learn(docs(spark, SF3), spark.read.parquet(f"{SF3}/labels.parquet"))
+
+
 def longest_phrases(text, known):
     n, i = 0, 0
     while i < len(text):
@@ -51,6 +56,49 @@ def test_suffix_automaton_knows_all_substrings():
         assert known(s) == (s in text)
 
 
+def parsed_stream(text):
+    """Letters, one space for each run of others, and one at the end."""
+    out, before = "", False
+    for c in text.lower():
+        out += c if c.isalpha() else " " if before else ""
+        before = c.isalpha()
+    return out + " "
+
+
+class Substrings:
+    def __init__(self, text):
+        self.text = text
+
+    def __contains__(self, s):
+        return s in self.text
+
+
+def test_phrases_and_predictions_equal_a_plain_parser():
+    r = random.Random(5)
+    texts = {k: " " + " ".join("".join(r.choice(letters) for _ in range(r.randint(1, 6))) for _ in range(200)) + " " for k, letters in (("a", "abcd e"), ("b", "abfgh"), ("c", "cdxyé"))}
+    docs = ["".join(r.choice("abcdefghxyé zq.,1\n") for _ in range(n)) for n in (0, 1, 7, 60, 511, 512, 513, 1500)] + ["zzzz", "...", ".ab. "]
+    parser = langid.CrossParser(texts)
+    found, letters = parser.phrases(docs)
+    for i, doc in enumerate(docs):
+        stream = parsed_stream(doc)
+        assert letters[i] == sum(c.isalpha() for c in doc)
+        plain = [sum(longest_phrases(stream[at : at + langid.SEGMENT], Substrings(t)) for at in range(0, len(stream), langid.SEGMENT)) for t in texts.values()]
+        assert found[i].tolist() == plain
+        assert (found[i] * parser.cost).argmin() == np.argmin([n * np.log2(len(t)) for n, t in zip(plain, texts.values(), strict=True)])
+
+
+def test_rejected_are_strange_texts_only(spark):
+    table = docs(spark)
+    training = langid.training_text(table)
+    r = random.Random(3)
+    noise = ["".join(r.choice("qwertzuiopasdfghjklyxcvbnm ") for _ in range(400)), "Это обычный русский текст о реках, горах и погоде на завтра. " * 4, "12 34", None]
+    more = spark.createDataFrame([(10_000_000 + i, t) for i, t in enumerate(noise)], "doc_id long, text string")
+    kept = langid.drop_unidentified(table.select("doc_id", "text").unionByName(more), training)
+    assert kept.where("doc_id >= 10000000").count() == 0
+    lettered = table.where(r"text rlike '\\p{L}'").count()
+    assert kept.count() == lettered
+
+
 def test_language_held_out_accuracy(spark):
     table = docs(spark)
     found = langid.identify(table, langid.training_text(table)).where("held_out")
@@ -68,21 +116,75 @@ def test_language_of_awkward_rows(awkward, nothing):
     assert langid.identify(nothing, {}).count() == 0
 
 
-def test_toxicity_held_out(spark):
+def test_toxicity_held_out(spark, learned):
     table, labels = docs(spark, SF3), spark.read.parquet(f"{SF3}/labels.parquet")
-    found = toxicity.score(table, toxicity.learn(table, labels)).where("held_out")
+    found = toxicity.score(table, learned).where("held_out")
     rows = found.join(labels, "doc_id").where("toxic IS NOT NULL").collect()
     toxic, clean = [r for r in rows if r.toxic], [r for r in rows if not r.toxic]
     assert toxic and sum(r.predicted for r in toxic) / len(toxic) > 0.8
     assert sum(r.predicted for r in clean) / len(clean) < 0.05
 
 
-def test_negation_and_reports_weigh_less():
-    grammar = toxicity.Grammar(dict.fromkeys(toxicity.INSULTS, 2.0), frozenset(), {})
-    direct = grammar.clause("you are an idiot")[0]
-    assert grammar.clause("you are not an idiot")[0] < direct
-    assert grammar.clause("she said: you are an idiot")[0] < direct
-    assert grammar.clause("the river is wide")[0] == 0
+def every_path(grammar, clause):
+    """The sum over all paths: each chooses one match; every transducer runs by
+    itself."""
+    classes, weights = grammar.read(clause)
+    tail = (toxicity.negation_transducer(), toxicity.reported_transducer())
+    total = 0.0
+    for parts in ((toxicity.insult_transducer(), toxicity.target_transducer(), *tail), (toxicity.threat_transducer(), *tail)):
+        for chosen in range(len(classes)):
+            path = weights[chosen]
+            for part in parts:
+                state = 0
+                for c in classes[:chosen]:
+                    state = part.step[state][c]
+                path *= part.factor[state][classes[chosen]]
+            total += path
+    return total
+
+
+def test_composed_machines_equal_all_paths():
+    grammar, r = toxicity.Grammar(), random.Random(9)
+    some = ["idiot", "scum", "kill", "töten", "dich", "you", "he", "not", "kein", "said", "that", ":", '"', "river", "and", "the"]
+    for _ in range(400):
+        clause = " ".join(r.choices(some, k=r.randint(0, 14)))
+        assert abs(grammar.weigh(clause) - every_path(grammar, clause)) < 1e-9
+
+
+@pytest.mark.parametrize("size", [0, 10, 100, 1000])
+@pytest.mark.parametrize("own", [False, True])
+def test_clauses_count_whatever_the_length(learned, size, own):
+    grammar = learned if own else toxicity.Grammar()
+    around = "rivers run along wide valleys and the weather stays mild. " * (size // 20)
+    score = lambda text: toxicity.Matcher(grammar).scores([around + text + ". " + around])[0]
+    for text in ("you are an idiot", "I will kill you", "ich werde dich töten", "du bist ein Idiot und Abschaum", "they are scum, you are trash"):
+        assert score(text) >= 0.7, text
+    harmless = ["you are not an idiot", "He said: you are an idiot", '"you are an idiot", she wrote', "I will not kill you", "he said that you are a moron", "the trash is full", "we kill time before you arrive", "the path to the lake is worth a walk and you never lose the view", "Das Wort steht im Worte der Woche", "I lost my keys lower down"]
+    for text in harmless:
+        assert score(text) < 0.7, text
+
+
+def test_only_a_threat_with_its_object_is_one():
+    grammar = toxicity.Grammar({}, {})
+    assert grammar.weigh("i will kill you") == toxicity.THREAT_WEIGHT
+    assert grammar.weigh("i will kill time and see you") == 0
+    assert grammar.weigh("the river is wide") == 0
+    assert grammar.weigh("i will not kill you") == pytest.approx(toxicity.THREAT_WEIGHT * toxicity.NEGATED)
+
+
+def test_chance_words_and_copies_teach_nothing(spark):
+    """Words of one toxic text that was copied, and prefixes of one insult."""
+    r = random.Random(1)
+    plain = [f"calm{i}" for i in range(200)]
+    copy = " ".join(f"chance{i}" for i in range(40)) + " grumble"
+    rows = [(i, copy, 1) for i in range(30)]
+    rows += [(100 + i, " ".join(r.choices(plain, k=30) + ["grumble"] + r.choices(plain, k=9)), 1) for i in range(40)]
+    rows += [(200 + i, " ".join(r.choices(plain, k=40)), 0) for i in range(100)]
+    words, stems = toxicity.lexicon(spark.createDataFrame(rows, "id long, text string, toxic int"))
+    assert set(words) == {"grumble"} and stems == {}
+    forms = [(300 + i, " ".join(r.choices(plain, k=30)) + f" grumbl{'abcdefgh'[i % 8]} " + r.choice(plain), 1) for i in range(40)]
+    _, stems = toxicity.lexicon(spark.createDataFrame(rows[30:] + forms, "id long, text string, toxic int"))
+    assert set(stems) == {"grumbl"}
 
 
 def test_toxicity_of_awkward_rows(spark, awkward, nothing):
@@ -142,6 +244,72 @@ def test_paraphrases_of_an_item_in_a_third_of_the_documents(spark, filler):
     assert found == set(range(1000, 1100))
 
 
+def planted(seed, count=40):
+    """Items, and documents that hold parts of them: cut, shuffled in places,
+    with words put in or replaced."""
+    r = random.Random(seed)
+    common = [f"w{i}" for i in range(120)]
+    items = [" ".join(r.choices(common, k=5) + [f"i{k}x{j}" for j in range(r.randint(12, 40))] + r.choices(common, k=5)) + ". The answer is " + f"a{k} b{k}" for k in range(6)]
+    rows = []
+    for d in range(count):
+        words = r.choice(items).replace(".", "").split()
+        kind = r.random()
+        if kind < 0.5:
+            words = [w if r.random() > kind * 0.7 else r.choice(common) for w in words]
+        elif kind < 0.75:
+            at = r.randint(0, len(words))
+            words = words[at:] + words[:at]
+        else:
+            words = [x for w in words for x in ([w, r.choice(common)] if r.random() < 0.15 else [w])]
+        rows.append((d, " ".join(r.choices(common, k=r.randint(0, 150)) + words + r.choices(common, k=r.randint(0, 150)))))
+    rows += [(1000 + d, " ".join(r.choices(common, k=200))) for d in range(20)]
+    return items, rows
+
+
+def test_leaks_equal_a_search_of_all_windows(spark):
+    """Plain longest common subsequences over every region that any window
+    could be checked on."""
+    wanted, got, clean = 0, 0, 0
+    items, rows = planted(11)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {(x.doc_id, x.item_id) for x in decontam.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    listed = decontam.items_of(bench)
+    for d, text in rows:
+        words = Words([text]).hashes
+        for item in listed:
+            slack = len(item.words) if len(item.words) > decontam.PROBE else decontam.STRIDE
+            leak = False
+            for at in range(0, len(words), decontam.STRIDE):
+                region = words[max(0, at - slack) : at + decontam.WINDOW + slack].tolist()
+                cover = lcs(item.words.tolist(), region) / len(item.words)
+                answer = item.words[item.answer :].tolist()
+                whole = any(region[i : i + len(answer)] == answer for i in range(len(region)))
+                leak |= decontam.is_leak(item, cover, item.answer > 0 and whole)
+            wanted += leak
+            got += leak and (d, item.item_id) in found
+            clean += not leak and (d, item.item_id) in found
+    assert wanted > 25 and got >= 0.95 * wanted and clean == 0
+
+
+def test_many_items_take_several_rounds(spark, monkeypatch):
+    items, rows = planted(12)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    once = {(x.doc_id, x.item_id) for x in decontam.find_leaks(table, bench).collect()}
+    monkeypatch.setattr(decontam, "ITEM_BLOCK", 2)
+    monkeypatch.setattr(decontam, "ROUND_BYTES", 1)
+    assert len(decontam._rounds(decontam.prepare(table, bench)[3])) > 1
+    assert once == {(x.doc_id, x.item_id) for x in decontam.find_leaks(table, bench).collect()}
+    assert {x.doc_id for x in decontam.drop_leaks(table, bench).collect()} == {d for d, _ in rows} - {d for d, _ in once}
+
+
+def test_an_answer_counts_only_whole():
+    answer, region = np.array([5, 6], np.uint64).tobytes(), np.array
+    assert decontam._holds(region([1, 5, 6], np.uint64).tobytes(), answer)
+    assert not decontam._holds(region([5, 1, 6], np.uint64).tobytes(), answer)
+    assert not decontam._holds(region([5, 6], np.uint64).tobytes(), b"")
+
+
 def test_frequencies_count_passages(spark):
     texts = ["a b a a " * 40, "a c", "c " * 64 + "c b", ""]
     words = Words(["a b c"]).hashes

@@ -1,5 +1,6 @@
 """Packing and ORC against the tokenizers library itself."""
 
+import random
 import tempfile
 import zlib
 from collections import defaultdict
@@ -48,6 +49,36 @@ def test_sum_of_squares_fills_the_level_that_lowers_the_squares():
     assert len(level.full) == 1 and level.count[6] == 1
 
 
+def test_every_item_goes_where_the_squares_grow_least():
+    """Against a search of all levels, with the squares counted anew."""
+    r, window = random.Random(7), 24
+    level = packing.SumOfSquares(window)
+
+    def squares(count):
+        return sum(int(n) ** 2 for n in count[1:window])
+
+    for _ in range(600):
+        size, before = r.randint(1, window - 1), level.count.copy()
+        choices = []
+        for h in [0, *(h for h in range(1, window - size + 1) if before[h])]:
+            after = before.copy()
+            after[h] -= h > 0
+            after[h + size] += h + size < window
+            choices.append(squares(after))
+        level.place((0, 0, np.zeros(size, np.int32), size))
+        assert squares(level.count) == min(choices)
+    total = sum(len(p[2]) for w in level.full for p in w) + level.open_tokens
+    assert sum(len(p[2]) for w in level.close() for p in w) == total
+
+
+def test_open_windows_keep_only_their_own_ids():
+    level = packing.SumOfSquares()
+    ids = np.zeros(1_000_000, np.int32)
+    level.add(1, ids[:5000])
+    kept = level.levels[5000 - 4096][0][0][2]
+    assert kept.base is None and kept.nbytes == 4 * (5000 - 4096)
+
+
 def test_orc_reads_back_what_was_encoded(spark, awkward, nothing):
     path = public_tokenizers.path("byte_bpe_50k.json")
     out = tempfile.mkdtemp()
@@ -69,5 +100,12 @@ def test_orc_reads_back_what_was_encoded(spark, awkward, nothing):
 
 def test_awkward_rows_pack(awkward, nothing):
     path = public_tokenizers.path("word_bpe_49k.json")
-    assert packing.pack(awkward, path, 2).select("doc_id").distinct().count() == 8
+    pieces = packing.pack(awkward, path, 2).collect()
+    texts = defaultdict(list)
+    for r in awkward.collect():
+        texts[r.doc_id].append(direct(path, 2, r.text).tobytes())
+    assert {p.doc_id for p in pieces} == set(texts)
+    for doc, wanted in texts.items():  # rows that share an id differ in length or are alike
+        own = sorted((p for p in pieces if p.doc_id == doc), key=lambda p: (p.doc_tokens, p.start))
+        assert sorted(b"".join(bytes(p.ids) for p in own if 4 * p.doc_tokens == len(w)) for w in set(wanted)) == sorted(w * wanted.count(w) if len(set(wanted)) < len(wanted) and len(w) < 4 * 4096 else w for w in set(wanted))
     assert packing.pack(nothing, path, 2).count() == 0
