@@ -303,16 +303,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_LABEL
     return sample.groupBy("id", "toxic").agg(F.max("text").alias("text"))
 
 
-def lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
+def lexicon(sample: DataFrame, work: Workspace) -> tuple[dict[str, float], dict[str, float]]:
     """Weights of learned words and stems, counted by Spark over ``sample``: log
     odds of contexts among toxic rows and occurrences among clean ones."""
     sizes = sample.agg(F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("toxic") == 0).alias("clean")).first()
     if not sizes.toxic or not sizes.clean:
         return {}, {}
     words = sample.withColumn("w", F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), 0))
-    pairs = F.array_distinct(F.zip_with("w", F.concat(F.array(F.lit("")), "w"), lambda w, before: F.struct(w.alias("word"), before.alias("before"))))
+    pairs = F.zip_with("w", F.concat(F.array(F.lit("")), "w"), lambda w, before: F.struct(w.alias("word"), before.alias("before")))
     pairs = words.select("toxic", F.explode(pairs).alias("p")).where("p.word IS NOT NULL").groupBy("p.word", "p.before").agg(F.count_if(F.col("toxic") == 1).alias("n"), F.count_if(F.col("toxic") == 0).alias("m"))
-    counts = pairs.groupBy("word").agg(F.count_if(F.col("n") > 0).alias("n"), F.sum("m").alias("m")).where("n > 0 OR m > 0")
+    counts = work.save(pairs.groupBy("word").agg(F.count_if(F.col("n") > 0).alias("n"), F.sum("m").alias("m")), "counts")
     odds = F.log((F.col("n") / sizes.toxic) / ((F.col("m") + 0.5) / sizes.clean))
     weight = F.greatest(F.lit(1.0), F.least(F.lit(2.0), F.col("odds") / 3)).alias("weight")
     known = [*NEGATORS, *REPORTERS, *OPENERS, *PERSONS, *OBJECTS, *EARLY_OBJECTS, *THREATS]
@@ -334,7 +334,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_LABEL) -> Gra
     Without both labels the seed lists and the prior coefficients stand."""
     work = Workspace(docs.sparkSession, "toxicity")
     sample = work.save(training_rows(docs, labels, rows), "sample")
-    words, stems = lexicon(sample)
+    words, stems = lexicon(sample, work)
     arcs = Grammar(dict.fromkeys(INSULTS, INSULT_WEIGHT) | words, stems)
     schema = pa.schema([("toxic", pa.int32()), ("weight", pa.float64())])
 

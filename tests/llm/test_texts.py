@@ -8,7 +8,7 @@ import pytest
 from compare import SF
 
 from stocktake.llm import decontam, langid, toxicity
-from stocktake.llm.common import held_out
+from stocktake.llm.common import Workspace, held_out
 from stocktake.llm.textnum import Words
 
 SF2 = SF.replace("0.001", "0.01")
@@ -180,10 +180,10 @@ def test_chance_words_and_copies_teach_nothing(spark):
     rows = [(i, copy, 1) for i in range(30)]
     rows += [(100 + i, " ".join(r.choices(plain, k=30) + ["grumble"] + r.choices(plain, k=9)), 1) for i in range(40)]
     rows += [(200 + i, " ".join(r.choices(plain, k=40)), 0) for i in range(100)]
-    words, stems = toxicity.lexicon(spark.createDataFrame(rows, "id long, text string, toxic int"))
+    words, stems = toxicity.lexicon(spark.createDataFrame(rows, "id long, text string, toxic int"), Workspace(spark, "lexicon"))
     assert set(words) == {"grumble"} and stems == {}
     forms = [(300 + i, " ".join(r.choices(plain, k=30)) + f" grumbl{'abcdefgh'[i % 8]} " + r.choice(plain), 1) for i in range(40)]
-    _, stems = toxicity.lexicon(spark.createDataFrame(rows[30:] + forms, "id long, text string, toxic int"))
+    _, stems = toxicity.lexicon(spark.createDataFrame(rows[30:] + forms, "id long, text string, toxic int"), Workspace(spark, "lexicon"))
     assert set(stems) == {"grumbl"}
 
 
