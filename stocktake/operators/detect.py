@@ -3,35 +3,43 @@
 A fact is one row: ``repo, detector, ordinal, place, rel_path, seq, kind, name,
 value, source_file, endpoint, category, severity, confidence``.
 
-kind       name                  value
-model      type                  model
-dataset    type
-tool       name
-prompt     id                    template
-framework  name
-finding    id                    evidence
-context    field of the context  value
+kind         name                  value
+file                               scanned, or seen if it could not be read
+model        type                  model
+dataset      type
+tool         name
+prompt       id                    template
+framework    name
+finding      id                    evidence
+context      field of the context  value
+unsupported  type of the artifact
 
 ``ordinal`` is that of the detector, ``place`` orders its files, ``seq`` the
-facts of a file; together they say which fact came first.  Every detector reads
-the files once and turns a file, or a line, into all its facts by one
-``explode``.  Nothing is shuffled here.
+facts of a file; together they say which fact came first.
+
+All detectors share one pass: a file becomes a row for each detector that reads
+it, one vectorised function parses what needs a parser, and one expression for
+each detector turns the row into all its facts.  Nothing is shuffled here, and
+each file is read once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stocktake import constants as C
 from stocktake.functions import columns as X
-from stocktake.functions.parsers import python_events_of, script_events_of, setting_leaves_of
+from stocktake.functions.parsers import parsed_texts
 
 FACT = ["kind", "name", "value", "source_file", "endpoint", "category", "severity", "confidence"]
 COLUMNS = ["repo", "detector", "ordinal", "place", "rel_path", "seq", *FACT]
-Detector = Callable[[DataFrame], DataFrame]
+CustomDetector = Callable[[DataFrame], DataFrame]
+STEP = 1_000_000  # facts of one line, cell or pair
 
 
 def fact(kind: str, name: Column, value: Column | None = None, source: Column | None = None, endpoint: Column | None = None, category: Column | None = None, severity: Column | None = None, confidence: Column | None = None) -> Column:
@@ -48,72 +56,72 @@ def _concat(*parts: str | Column) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-def _emit(rows: DataFrame, detector: str, facts: Column, place: Column, seq: Column | None = None) -> DataFrame:
-    """Facts of an array column, nulls left out; ``seq`` goes before the place
-    in the array."""
-    rows = rows.select("repo", "rel_path", place.alias("place"), (F.lit(0) if seq is None else seq).alias("_seq"), F.posexplode(facts).alias("_at", "_fact")).where("_fact IS NOT NULL")
-    ordinal = C.SOURCE_TYPES.index(detector)
-    number = (F.col("_seq").cast("long") * 1_000_000 + F.col("_at")).alias("seq")
-    return rows.select("repo", F.lit(detector).alias("detector"), F.lit(ordinal).alias("ordinal"), "place", "rel_path", number, *[F.col(f"_fact.{n}").alias(n) for n in FACT])
-
+@dataclass(frozen=True)
+class Detector:
+    """Which files are read (a condition on name, suffix and rel_path), how they
+    are ordered, what is parsed (language and texts, null for nothing), which are
+    scanned beyond being readable, and their facts: an array of (seq, fact)."""
 
-_BY_NAME = F.array  # files in string order
-_BY_PART = X.path_parts  # files in the order of their path's parts
+    reads: Column
+    by_part: bool
+    facts: Column
+    language: str | None = None
+    texts: Column | None = None
+    scanned: Column | None = None
 
 
-# ---- which files a detector reads ----
+def _numbered(facts: Column, base: Column | int = 0) -> Column:
+    """(seq, fact) of an array, ``seq`` from ``base`` on."""
+    start = F.lit(base) if isinstance(base, int) else base
+    return F.transform(facts, lambda f, i: F.struct((start.cast("long") * STEP + i).alias("seq"), f.alias("fact")))
 
 
-def python_files(files: DataFrame) -> DataFrame:
-    return files.where("suffix = '.py'")
+def _spread(items: Column, facts: Callable[[Column, Column], Column], first: int = 0) -> Column:
+    """(seq, fact) of every item of an array."""
+    return F.flatten(F.transform(items, lambda x, i: _numbered(facts(x, i), i + first)))
 
 
-def notebook_files(files: DataFrame) -> DataFrame:
-    return files.where("suffix = '.ipynb'")
+# ---- which files a detector reads ----
 
 
-def config_files(files: DataFrame) -> DataFrame:
-    return files.where(F.col("suffix").isin(".yaml", ".yml", ".json") | (F.col("name") == ".env"))
+def _text() -> Column:
+    return F.col("text")
 
 
-def manifest_files(files: DataFrame) -> DataFrame:
-    parts = F.transform(X.path_parts("rel_path"), F.lower)
-    hinted = F.lower("suffix").isin(C.MANIFEST_SUFFIXES) & F.arrays_overlap(parts, F.array(*map(F.lit, C.MANIFEST_FOLDERS)))
-    return files.where(F.col("name").isin(C.MANIFEST_NAMES) | F.lower("name").isin(C.DEPLOYMENT_NAMES) | hinted)
+def _path() -> Column:
+    return F.col("rel_path")
 
 
-def js_manifest_files(files: DataFrame) -> DataFrame:
-    return files.where(F.col("name").isin(C.JS_MANIFESTS))
+def _name() -> Column:
+    return F.col("name")
 
 
-def script_files(files: DataFrame) -> DataFrame:
-    return files.where(F.lower("suffix").isin(C.JS_SUFFIXES))
+def _suffix() -> Column:
+    return F.col("suffix")
 
 
-def line_files(language: str) -> Detector:
-    return lambda files: files.where(F.col("suffix") == C.LINE_LANGUAGES[language]["suffix"])
+def _is_json() -> Column:
+    return F.lower(_suffix()) == ".json"
 
 
-def unsupported(files: DataFrame) -> DataFrame:
-    """Files of known types that no detector covers."""
-    found = files.where(F.lower("suffix") == ".toml")
-    return found.select("repo", F.col("rel_path").alias("path"), F.lower("suffix").alias("artifact_type"), F.lit("No enabled detector covers this source artifact type.").alias("reason"))
+def _events() -> Column:
+    return F.col("parsed")[0]["events"]
 
 
-def _read(files: DataFrame) -> DataFrame:
-    return files.where("length(text) > 0")
+def _hinted() -> Column:
+    parts = F.transform(X.path_parts("rel_path"), F.lower)
+    return F.lower(_suffix()).isin(C.MANIFEST_SUFFIXES) & F.arrays_overlap(parts, F.array(*map(F.lit, C.MANIFEST_FOLDERS)))
 
 
 # ---- line detectors: Java, Go, C# ----
 
 
-def line_facts(language: str) -> Detector:
-    """Facts of each line, by patterns alone: built-in expressions only."""
+def _line_facts(language: str) -> Column:
+    """Facts of each line, by patterns alone."""
     spec = C.LINE_LANGUAGES[language]
 
-    def detect(files: DataFrame) -> DataFrame:
-        rows = _read(line_files(language)(files)).select("repo", "rel_path", F.posexplode(X.lines("text")).alias("row", "line"))
-        line, source = F.col("line"), _concat(F.col("rel_path"), ":", (F.col("row") + 1).cast("string"))
+    def of(line: Column, row: Column) -> Column:
+        source = _concat(_path(), ":", (row + 1).cast("string"))
         facts = []
         if spec["import"]:
             imported = F.lower(F.regexp_extract(line, spec["import"], 1))
@@ -127,9 +135,13 @@ def line_facts(language: str) -> Detector:
             facts.append(F.when(line.rlike(pattern), _finding(_concat(f"{spec['prefix']}-model:{kind}:", source), "model invocation", source, "medium", "medium", F.lit(evidence))))
         facts.append(F.when(X.any_of([line.rlike(p) for p in spec["tools"]]), fact("tool", X.first_group(line, spec["tool_name"], spec["tool_default"]), None, source)))
         facts.append(F.when(X.any_of([line.rlike(p) for p in spec["prompts"]]), fact("prompt", source, X.literal_in(line, 4), source)))
-        return _emit(rows, language, F.array(*facts), _BY_NAME("rel_path"), F.col("row"))
+        return F.array(*facts)
 
-    return detect
+    # most lines match nothing: one pattern decides which are looked at
+    telling = [p for p, _, _ in spec["models"]] + spec["tools"] + spec["prompts"] + [spec["import"] or '"[^"]+"']
+    any_fact = "|".join(f"(?:{p})" for p in telling)
+    lines = F.filter(F.transform(X.lines(_text()), lambda x, i: F.struct(x.alias("line"), i.alias("row"))), lambda x: x["line"].rlike(any_fact))
+    return F.flatten(F.transform(lines, lambda x: _numbered(of(x["line"], x["row"]), x["row"])))
 
 
 # ---- Python and notebooks ----
@@ -154,26 +166,17 @@ def _python_facts(e: Column, source: Column, findings: bool) -> Column:
     return F.array(*facts)
 
 
-def python_facts(files: DataFrame) -> DataFrame:
-    rows = _read(python_files(files)).select("repo", "rel_path", python_events_of("text").alias("events"))
-    facts = F.flatten(F.transform("events", lambda e: _python_facts(e, F.col("rel_path"), True)))
-    return _emit(rows, "python", facts, _BY_NAME("rel_path"))
-
-
-def notebook_cells(files: DataFrame) -> DataFrame:
-    """(repo, rel_path, cell, source) of the code cells that are not blank."""
-    cells = F.from_json("text", "struct<cells:array<struct<cell_type:string,source:variant>>>")
-    rows = _read(notebook_files(files)).select("repo", "rel_path", F.posexplode(cells["cells"]).alias("cell", "c")).where("c.cell_type = 'code'")
-    source = F.coalesce(F.array_join(F.try_variant_get("c.source", "$", "array<string>"), ""), F.try_variant_get("c.source", "$", "string"))
-    return rows.select("repo", "rel_path", "cell", source.alias("source")).where("btrim(source) <> ''")
+def notebook_cells(text: Column) -> Column:
+    """(cell, source) of the code cells that are not blank."""
+    cells = F.from_json(text, "struct<cells:array<struct<cell_type:string,source:variant>>>")["cells"]
+    joined = lambda c: F.coalesce(F.array_join(F.try_variant_get(c["source"], "$", "array<string>"), ""), F.try_variant_get(c["source"], "$", "string"))
+    numbered = F.transform(cells, lambda c, i: F.struct(i.alias("cell"), F.when(c["cell_type"] == "code", joined(c)).alias("source")))
+    return F.filter(numbered, lambda c: F.btrim(c["source"]) != "")
 
 
-def notebook_facts(files: DataFrame) -> DataFrame:
-    rows = notebook_cells(files).select("repo", "rel_path", "cell", python_events_of("source").alias("events"))
-    source = _concat(F.col("rel_path"), "#cell-", F.col("cell").cast("string"))
-    rows = rows.withColumn("source", source)
-    facts = F.flatten(F.transform("events", lambda e: _python_facts(e, F.col("source"), False)))
-    return _emit(rows, "jupyter_notebook", facts, _BY_PART("rel_path"), F.col("cell"))
+def _notebook_facts() -> Column:
+    cells = F.arrays_zip(F.col("cells").alias("c"), F.col("parsed").alias("p"))
+    return F.flatten(F.transform(cells, lambda z: _numbered(F.flatten(F.transform(z["p"]["events"], lambda e: _python_facts(e, _concat(_path(), "#cell-", z["c"]["cell"].cast("string")), False))), z["c"]["cell"])))
 
 
 # ---- JavaScript and TypeScript ----
@@ -199,23 +202,13 @@ def _script_fact(e: Column, source: Column) -> Column:
     )
 
 
-def script_facts(files: DataFrame) -> DataFrame:
-    rows = _read(script_files(files)).select("repo", "rel_path", script_events_of("text").alias("events"))
-    facts = F.flatten(F.transform("events", lambda e: _script_fact(e, _concat(F.col("rel_path"), ":", e["line"].cast("string")))))
-    return _emit(rows, "js_ts_ast", facts, _BY_NAME("rel_path"))
-
-
 # ---- settings ----
 
 
-def settings(files: DataFrame) -> DataFrame:
-    """(repo, rel_path, name, pos, key, value) of the settings of files: leaves
-    of JSON, ``KEY=value`` of .env, lines ``key: value`` of all others."""
-    rows = _read(files).select("repo", "rel_path", "name", "suffix", "text")
-    nested = setting_leaves_of(F.when(F.lower("suffix") == ".json", F.col("text")))
-    rows = rows.withColumn("_leaves", nested)
-    pairs = F.when(F.col("name") == ".env", X.env_pairs("text")).when(F.lower("suffix") == ".json", F.col("_leaves")).otherwise(X.line_pairs("text"))
-    return rows.select("repo", "rel_path", "name", F.posexplode(pairs).alias("pos", "pair")).select("repo", "rel_path", "name", "pos", F.col("pair.key").alias("key"), F.col("pair.value").alias("value"))
+def settings() -> Column:
+    """(key, value) of the settings of a file: leaves of JSON, ``KEY=value`` of
+    .env, lines ``key: value`` of all others."""
+    return F.when(_name() == ".env", X.env_pairs(_text())).when(_is_json(), F.col("parsed")[0]["pairs"]).otherwise(X.line_pairs(_text()))
 
 
 def _context_facts(key: Column, value: Column, tables: Sequence[dict[str, list[str]]] = (C.CONTEXT_KEYS, C.LINEAGE_KEYS)) -> list[Column]:
@@ -228,38 +221,40 @@ def _context_facts(key: Column, value: Column, tables: Sequence[dict[str, list[s
     return out
 
 
-def config_facts(files: DataFrame, strict: bool = False) -> DataFrame:
-    rows = settings(config_files(files)).withColumn("low", F.lower("key"))
-    low, value, path = F.col("low"), F.col("value"), F.col("rel_path")
+def _config_facts(strict: bool) -> Column:
     hints = F.create_map(*[F.lit(x) for pair in C.CONFIG_HINTS.items() for x in pair])
-    category = F.try_element_at(hints, low)
-    severity = F.when(category.contains("credential"), "high").otherwise("medium")
-    confidence = X.confidence_of([F.lit(True), low.isin("model", "model_name", "provider")])
-    facts = [
-        *_context_facts(low, value),
-        F.when(category.isNotNull(), _finding(_concat("config:", low, ":", path), category, path, severity, confidence, X.config_evidence(F.col("key"), value, strict))),
-        F.when(low.isin("model", "model_name") & (value != ""), fact("model", F.lit("ConfigModelHint"), value, path)),
-        F.when((low == "provider") & (value != ""), fact("framework", F.lower(value))),
-    ]
-    return _emit(rows, "config", F.array(*facts), _BY_PART("rel_path"), F.col("pos"))
+
+    def of(pair: Column, _: Column) -> Column:
+        low, value = F.lower(pair["key"]), pair["value"]
+        category = F.try_element_at(hints, low)
+        severity = F.when(category.contains("credential"), "high").otherwise("medium")
+        confidence = X.confidence_of([F.lit(True), low.isin("model", "model_name", "provider")])
+        return F.array(
+            *_context_facts(low, value),
+            F.when(category.isNotNull(), _finding(_concat("config:", low, ":", _path()), category, _path(), severity, confidence, X.config_evidence(pair["key"], value, strict))),
+            F.when(low.isin("model", "model_name") & (value != ""), fact("model", F.lit("ConfigModelHint"), value, _path())),
+            F.when((low == "provider") & (value != ""), fact("framework", F.lower(value))),
+        )
+
+    return _spread(settings(), of)
 
 
 # ---- dependencies and manifests ----
 
 
 def _matches(pattern: str) -> Column:
-    return F.regexp_extract_all("text", F.lit(pattern), 1)
+    return F.regexp_extract_all(_text(), F.lit(pattern), 1)
 
 
 def _object_keys(field: str) -> Column:
-    return F.coalesce(F.json_object_keys(F.get_json_object("text", f"$.{field}")), F.array().cast("array<string>"))
+    return F.coalesce(F.json_object_keys(F.get_json_object(_text(), f"$.{field}")), F.array().cast("array<string>"))
 
 
-def dependencies(files: DataFrame) -> DataFrame:
-    """(repo, rel_path, dep): distinct lower-case packages of Python manifests,
-    lock files and charts."""
-    low = F.lower("name")
-    wanted = F.transform(X.lines("text"), lambda x: F.btrim(x))
+def dependencies() -> Column:
+    """Distinct lower-case packages of Python manifests, lock files and charts,
+    in their order."""
+    low = F.lower(_name())
+    wanted = F.transform(X.lines(_text()), lambda x: F.btrim(x))
     wanted = F.filter(wanted, lambda x: (x != "") & ~x.rlike("^[#-]"))
     wanted = F.transform(wanted, lambda x: F.btrim(F.regexp_extract(x, "^(.*?)(==|>=|<=|~=|!=|<|>|$)", 1)))
     found = (
@@ -271,10 +266,10 @@ def dependencies(files: DataFrame) -> DataFrame:
         .when(F.col("name") == "Pipfile.lock", _object_keys("default"))
         .when(F.col("name") == "package-lock.json", _object_keys("dependencies"))
     )
-    return _distinct_deps(files, found)
+    return _distinct_deps(found)
 
 
-def js_dependencies(files: DataFrame, strict_parity: bool = False) -> DataFrame:
+def js_dependencies(strict_parity: bool = False) -> Column:
     """The same of package.json and the lock files of scripts.  ``strict_parity``
     reads lock files as if no package had a scope or a version folder."""
     sections = F.concat(*[_object_keys(s) for s in ("dependencies", "devDependencies", "peerDependencies")])
@@ -282,41 +277,33 @@ def js_dependencies(files: DataFrame, strict_parity: bool = False) -> DataFrame:
     pnpm = r"(?m)^\s*/([^:@]+)" if strict_parity else r"(?m)^\s*/((?:@[^/\s]+/)?[^/:@\s]+)"
     pnpm_names = F.transform(_matches(pnpm), lambda x: F.substring_index(x, "/", -1)) if strict_parity else _matches(pnpm)
     found = F.when(F.col("name").isin("package.json", "package-lock.json"), sections).when(F.col("name") == "yarn.lock", _matches(yarn)).when(F.col("name") == "pnpm-lock.yaml", pnpm_names)
-    return _distinct_deps(files, found)
+    return _distinct_deps(found)
 
 
-def _distinct_deps(files: DataFrame, found: Column) -> DataFrame:
+def _distinct_deps(found: Column) -> Column:
     """Distinct in each file, by array functions: no shuffle."""
-    clean = F.array_distinct(F.filter(F.transform(found, F.lower), lambda x: x != ""))
-    return _read(files).select("repo", "rel_path", "name", clean.alias("deps"))
+    return F.array_distinct(F.filter(F.transform(found, F.lower), lambda x: x != ""))
 
 
-def _dependency_facts(rows: DataFrame, detector: str, prefix: str, label: str) -> DataFrame:
-    path = F.col("rel_path")
+def _dependency_facts(prefix: str, label: str) -> Column:
+    path = _path()
     aliases = F.create_map(*[F.lit(x) for pair in C.FRAMEWORK_ALIASES.items() for x in pair])
     listed = F.concat_ws(", ", F.slice(F.sort_array("deps"), 1, 10))
     one = F.when(F.size("deps") > 0, _finding(_concat(prefix, path), "dependency graph", path, "medium", "medium", _concat(f"Detected {label}: ", listed)))
     named = F.filter(F.transform("deps", lambda d: F.try_element_at(aliases, d)), lambda x: x.isNotNull())
-    facts = F.concat(F.array(one), F.transform(named, lambda x: fact("framework", x)))
-    return _emit(rows, detector, facts, _BY_PART("rel_path"))
+    return _numbered(F.concat(F.array(one), F.transform(named, lambda x: fact("framework", x))))
 
 
-def js_manifest_facts(files: DataFrame) -> DataFrame:
-    return _dependency_facts(js_dependencies(js_manifest_files(files)), "js_ts_manifest", "js-ts-deps:", "JS/TS dependencies")
-
-
-def manifest_facts(files: DataFrame, strict: bool = False) -> DataFrame:
+def _manifest_facts(strict: bool) -> Column:
     """Dependencies, images, runtime settings and lineage of deployment files.
 
     Inside a file the image of ``FROM`` counts least, then the first image with
     a digest, then settings in order.
     """
-    chosen = manifest_files(files)
-    deps = _dependency_facts(dependencies(chosen), "runtime_manifest", "runtime-deps:", "dependencies")
-    rows = _read(chosen).select("repo", "rel_path", "name", X.image_refs("text").alias("refs"), F.regexp_extract("text", r"(?im)^\s*FROM\s+([^\s]+)", 1).alias("base"))
-    path, docker = F.col("rel_path"), F.lower("name").startswith("docker")
-    base = F.when(docker & (F.col("base") != ""), F.col("base"))
-    first = F.try_element_at("refs", F.lit(1))
+    refs, path, docker = X.image_refs(_text()), _path(), F.lower(_name()).startswith("docker")
+    base = F.regexp_extract(_text(), r"(?im)^\s*FROM\s+([^\s]+)", 1)
+    base = F.when(docker & (base != ""), base)
+    first = F.try_element_at(refs, F.lit(1))
     container = _finding(_concat("runtime-container:", path), "container metadata", path, "low", "medium", F.lit("Container/runtime metadata discovered."))
     images = F.concat(
         F.array(
@@ -324,26 +311,26 @@ def manifest_facts(files: DataFrame, strict: bool = False) -> DataFrame:
             F.when(base.contains("/"), fact("context", F.lit("registry_uri"), F.regexp_replace(base, ":[^:]*$", ""))),
             F.when(first.isNotNull(), fact("context", F.lit("immutable_version"), first)),
             F.when(first.isNotNull(), fact("context", F.lit("registry_uri"), F.substring_index(first, "@", 1))),
-            F.when((F.size("refs") > 0) | docker, container),
+            F.when((F.size(refs) > 0) | docker, container),
         ),
-        F.transform("refs", lambda r: _finding(_concat("runtime-image-digest:", path, ":", r), "immutable image digest", path, "low", "medium", _concat("Immutable OCI image reference detected: ", r))),
+        F.transform(refs, lambda r: _finding(_concat("runtime-image-digest:", path, ":", r), "immutable image digest", path, "low", "medium", _concat("Immutable OCI image reference detected: ", r))),
     )
-    images = _emit(rows, "runtime_manifest", images, _BY_PART("rel_path"))
-    keys = settings(chosen).withColumn("low", F.lower("key"))
-    low, value = F.col("low"), F.col("value")
     lineage_keys = sorted({k for ks in C.LINEAGE_KEYS.values() for k in ks})
-    runtime_keys = [k for f in ("provider_endpoint", "immutable_version", "registry_uri") for k in C.CONTEXT_KEYS[f]]
-    runtime, lineage = low.rlike(C.RUNTIME_KEY) | low.isin(runtime_keys), low.isin(lineage_keys)
     known = {f: C.CONTEXT_KEYS[f] for f in ("provider_endpoint", "immutable_version", "registry_uri")}
-    evidence = X.config_evidence(low, value, strict)
-    facts = [
-        *_context_facts(low, value, (known, _single_field(C.LINEAGE_KEYS))),
-        F.when(lineage, _finding(_concat("runtime-lineage:", path, ":", low), "deployment lineage", path, "low", "medium", evidence)),
-        F.when(runtime, _finding(_concat("runtime-ai-config:", path, ":", low), "runtime ai service config", path, "medium", "medium", evidence)),
-        F.when(runtime | lineage, container),
-    ]
-    pairs = _emit(keys, "runtime_manifest", F.array(*facts), _BY_PART("rel_path"), F.col("pos") + 1)
-    return deps.unionByName(images).unionByName(pairs)
+    runtime_keys = [k for ks in known.values() for k in ks]
+
+    def of(pair: Column, _: Column) -> Column:
+        low, value = F.lower(pair["key"]), pair["value"]
+        runtime, lineage = low.rlike(C.RUNTIME_KEY) | low.isin(runtime_keys), low.isin(lineage_keys)
+        evidence = X.config_evidence(low, value, strict)
+        return F.array(
+            *_context_facts(low, value, (known, _single_field(C.LINEAGE_KEYS))),
+            F.when(lineage, _finding(_concat("runtime-lineage:", path, ":", low), "deployment lineage", path, "low", "medium", evidence)),
+            F.when(runtime, _finding(_concat("runtime-ai-config:", path, ":", low), "runtime ai service config", path, "medium", "medium", evidence)),
+            F.when(runtime | lineage, container),
+        )
+
+    return F.concat(_numbered(images), _spread(settings(), of, 1), F.when(F.size("deps") >= 0, _dependency_facts("runtime-deps:", "dependencies")).otherwise(F.array().cast(_FACTS)))
 
 
 def _single_field(table: dict[str, list[str]]) -> dict[str, list[str]]:
@@ -354,59 +341,89 @@ def _single_field(table: dict[str, list[str]]) -> dict[str, list[str]]:
 
 # ---- all of them ----
 
-CANDIDATES: dict[str, Detector] = {
-    "python": python_files,
-    "jupyter_notebook": notebook_files,
-    "config": config_files,
-    "runtime_manifest": manifest_files,
-    "js_ts_manifest": js_manifest_files,
-    "js_ts_ast": script_files,
-    **{language: line_files(language) for language in C.LINE_LANGUAGES},
-}
-
-
-def detectors(strict: bool = False, runtime_manifests: bool = True) -> dict[str, Detector]:
-    """Detectors by source type; more can be put beside them."""
-    found: dict[str, Detector] = {
-        "python": python_facts,
-        "jupyter_notebook": notebook_facts,
-        "config": lambda files: config_facts(files, strict),
-        "js_ts_manifest": js_manifest_facts,
-        "js_ts_ast": script_facts,
-        **{language: line_facts(language) for language in C.LINE_LANGUAGES},
+_FACTS = "array<struct<seq:bigint,fact:struct<" + ",".join(f"{n}:string" for n in FACT) + ">>>"
+
+
+def detectors(strict: bool = False) -> dict[str, Detector]:
+    """Detectors by source type, in the order in which their facts count."""
+    own = F.array(_text())
+    settings_file = F.when(_is_json(), own)
+    scripts = lambda e: _script_fact(e, _concat(_path(), ":", e["line"].cast("string")))
+    manifest = _name().isin(C.MANIFEST_NAMES) | F.lower(_name()).isin(C.DEPLOYMENT_NAMES) | _hinted()
+    found = {
+        "python": Detector(_suffix() == ".py", False, _numbered(F.flatten(F.transform(_events(), lambda e: _python_facts(e, _path(), True)))), "python", own, F.col("parsed")[0]["ok"]),
+        "jupyter_notebook": Detector(_suffix() == ".ipynb", True, _notebook_facts(), "python", F.col("cells.source"), F.get_json_object(_text(), "$").startswith("{")),
+        "config": Detector(_suffix().isin(".yaml", ".yml", ".json") | (_name() == ".env"), True, _config_facts(strict), "settings", settings_file),
+        "runtime_manifest": Detector(manifest, True, _manifest_facts(strict), "settings", settings_file),
+        "js_ts_manifest": Detector(_name().isin(C.JS_MANIFESTS), True, _dependency_facts("js-ts-deps:", "JS/TS dependencies")),
+        "js_ts_ast": Detector(F.lower(_suffix()).isin(C.JS_SUFFIXES), False, _numbered(F.flatten(F.transform(_events(), scripts))), "script", own),
+        **{language: Detector(_suffix() == spec["suffix"], False, _line_facts(language)) for language, spec in C.LINE_LANGUAGES.items()},
+        "unsupported": Detector(F.lower(_suffix()) == ".toml", True, F.array().cast(_FACTS)),
     }
-    if runtime_manifests:
-        found["runtime_manifest"] = lambda files: manifest_facts(files, strict)
+    assert [*found][:-1] == C.SOURCE_TYPES
     return found
 
 
-def all_facts(files: DataFrame, strict: bool = False, runtime_manifests: bool = True, extra: dict[str, Detector] | None = None) -> DataFrame:
-    """Facts of all detectors over ``files``."""
-    out: DataFrame | None = None
-    for detect in (detectors(strict, runtime_manifests) | (extra or {})).values():
-        found = detect(files).select(*COLUMNS)
-        out = found if out is None else out.unionByName(found)
-    assert out is not None
+@lru_cache(4)
+def _expressions(context: int, strict: bool) -> dict[str, Detector]:
+    """``detectors`` of a Spark context: expressions name columns, not tables, so
+    they serve every table and are built once."""
+    return detectors(strict)
+
+
+def scan(files: DataFrame, strict: bool = False, runtime_manifests: bool = True, only: Sequence[str] | None = None) -> DataFrame:
+    """Facts of the detectors over ``files`` (repo, rel_path, name, suffix, text),
+    those of kind ``file`` and ``unsupported`` included; ``only`` names detectors.
+
+    Null and empty texts give a ``file`` fact alone; repeated files give repeated
+    facts; an empty table gives none."""
+    known = _expressions(id(files.sparkSession.sparkContext), strict)
+    chosen = {n: d for n, d in known.items() if (only is None or n in only) and (n != "runtime_manifest" or runtime_manifests)}
+
+    def cases(field: str) -> Column:
+        picked = {n: getattr(d, field) for n, d in chosen.items()}
+        return F.coalesce(*[F.when(F.col("detector") == n, F.lit(c) if isinstance(c, str) else c) for n, c in picked.items() if c is not None], F.lit(None))
+
+    names = F.array_compact(F.array(*[F.when(d.reads, F.lit(n)) for n, d in chosen.items()]))
+    rows = files.select("repo", "rel_path", "name", "suffix", "text", F.explode(names).alias("detector"))
+    rows = rows.withColumn("read", F.coalesce(F.length("text") > 0, F.lit(False)))
+    text = F.when(F.col("read"), _text())
+    rows = rows.withColumn("cells", F.when(F.col("detector") == "jupyter_notebook", notebook_cells(text)))
+    rows = rows.withColumn("deps", F.when(F.col("detector") == "runtime_manifest", dependencies()).when(F.col("detector") == "js_ts_manifest", js_dependencies()))
+    rows = rows.withColumn("parsed", parsed_texts(cases("language"), F.when(F.col("read"), cases("texts"))))
+    done = F.col("read") & F.coalesce(cases("scanned"), F.lit(True))
+    head = F.when(F.col("detector") == "unsupported", fact("unsupported", F.lower(_suffix()), None, _path())).otherwise(fact("file", F.lit(""), F.when(done, "scanned").otherwise("seen"), _path()))
+    head = F.array(F.struct(F.lit(-1).cast("long").alias("seq"), head.alias("fact")))
+    found = F.when(F.col("read"), cases("facts"))
+    every = F.explode(F.filter(F.concat(head, F.coalesce(found, F.array().cast(_FACTS))), lambda x: x["fact"].isNotNull())).alias("f")
+    place = F.when(F.col("detector").isin([n for n, d in chosen.items() if d.by_part]), X.path_parts("rel_path")).otherwise(F.array("rel_path"))
+    ordinal = F.array_position(F.array(*map(F.lit, C.SOURCE_TYPES)), F.col("detector")).cast("int") - 1
+    return rows.select("repo", "detector", ordinal.alias("ordinal"), place.alias("place"), "rel_path", every).select("repo", "detector", "ordinal", "place", "rel_path", "f.seq", *[F.col(f"f.fact.{n}").alias(n) for n in FACT])
+
+
+def all_facts(files: DataFrame, strict: bool = False, runtime_manifests: bool = True, extra: dict[str, CustomDetector] | None = None) -> DataFrame:
+    """``scan``, and the facts of further detectors, each a function from files to
+    rows with the columns ``COLUMNS``."""
+    out = scan(files, strict, runtime_manifests)
+    for detect in (extra or {}).values():
+        out = out.unionByName(detect(files).select(*COLUMNS))
     return out
 
 
-def detector_coverage(files: DataFrame, runtime_manifests: bool = True) -> DataFrame:
+def unsupported(facts: DataFrame) -> DataFrame:
+    """Files of known types that no detector covers."""
+    found = facts.where("kind = 'unsupported'")
+    return found.select("repo", F.col("rel_path").alias("path"), F.col("name").alias("artifact_type"), F.lit("No enabled detector covers this source artifact type.").alias("reason"))
+
+
+def detector_coverage(facts: DataFrame, repos: DataFrame | None = None) -> DataFrame:
     """(repo, source_type, artifacts_seen, artifacts_scanned, default_confidence)
-    for every repository and detector, zeros kept.  A file counts as scanned if
-    its text could be read, and parsed where that is needed."""
-    parsed = {"python": python_events_of("text").isNotNull(), "jupyter_notebook": F.get_json_object("text", "$").startswith("{")}
-    counts = []
-    for name, choose in CANDIDATES.items():
-        ok = F.coalesce(F.length("text") > 0, F.lit(False))
-        rows = choose(files).where(F.lit(name != "runtime_manifest" or runtime_manifests))
-        if name in parsed:
-            rows = rows.withColumn("_parsed", parsed[name])
-            ok &= F.coalesce("_parsed", F.lit(False))
-        counts.append(rows.groupBy("repo").agg(F.count("*").alias("seen"), F.count_if(ok).alias("scanned")).withColumn("source_type", F.lit(name)))
-    every = counts[0]
-    for more in counts[1:]:
-        every = every.unionByName(more)
+    for every repository and detector, zeros kept; ``repos`` names those that
+    may have no fact.  A file counts as scanned if its text could be read, and
+    parsed where that is needed."""
+    counts = facts.where("kind = 'file'").groupBy("repo", F.col("detector").alias("source_type")).agg(F.count("*").alias("seen"), F.count_if(F.col("value") == "scanned").alias("scanned"))
     names = F.explode(F.array(*map(F.lit, C.SOURCE_TYPES))).alias("source_type")
-    full = files.select("repo").distinct().select("repo", names).join(every, ["repo", "source_type"], "left")
+    every = (facts if repos is None else repos).select("repo").distinct()
+    full = every.select("repo", names).join(counts, ["repo", "source_type"], "left")
     n = lambda c: F.coalesce(c, F.lit(0)).cast("int")
     return full.select("repo", "source_type", n("seen").alias("artifacts_seen"), n("scanned").alias("artifacts_scanned"), F.lit("medium").alias("default_confidence"))

@@ -12,6 +12,7 @@ from stocktake import constants as C
 from stocktake.functions import columns as X
 from stocktake.operators import detect, risk
 from stocktake.operators.relational import fill_from, keep_first, merge_last_known
+from stocktake.sources.work import Workspace
 
 ORDER = ["ordinal", "place", "seq"]
 CONTEXT = C.PROVENANCE_FIELDS + C.LINEAGE_FIELDS
@@ -61,9 +62,13 @@ def models(facts: DataFrame, context: DataFrame) -> DataFrame:
 
 
 def take_stock(files: DataFrame, strict: bool = False, runtime_manifests: bool = True, include_prompts: bool = False, facts: DataFrame | None = None) -> Inventory:
-    """All sections of ``files``.  Pass ``facts`` where they are kept in a table
-    already; each section reads them, so large trees should write them first."""
-    facts = detect.all_facts(files, strict, runtime_manifests) if facts is None else facts
+    """All sections of ``files``.  The facts are written once, in folders by
+    kind, and every section reads its own kind; pass ``facts`` where they are
+    kept in a table already."""
+    if facts is None:
+        # facts are far fewer than files; rebalancing makes few files of a kind
+        found = detect.all_facts(files, strict, runtime_manifests).hint("rebalance", "kind")
+        facts = Workspace(files.sparkSession, "stock").save(found, "facts", by=("kind",))
     context = runtime_context(facts)
     entity = lambda kind, *keys: keep_first(facts.where(F.col("kind") == kind), ["repo", *keys], ORDER)
     prompts = entity("prompt", "name").select("repo", F.col("name").alias("id"), "source_file", *([F.col("value").alias("template")] if include_prompts else []))
@@ -75,8 +80,8 @@ def take_stock(files: DataFrame, strict: bool = False, runtime_manifests: bool =
         frameworks=facts.where("kind = 'framework'").select("repo", "name").distinct(),
         scan_findings=entity("finding", "name").select("repo", F.col("name").alias("id"), "category", F.col("detector").alias("source_type"), "source_file", "severity", "confidence", F.col("value").alias("evidence")),
         context=context,
-        coverage=detect.detector_coverage(files, runtime_manifests),
-        unsupported=detect.unsupported(files),
+        coverage=detect.detector_coverage(facts, files),
+        unsupported=detect.unsupported(facts),
     )
 
 

@@ -85,16 +85,20 @@ def match_exceptions(entities: DataFrame, exceptions: DataFrame, fields: Sequenc
     """``entities`` with ``reason``, that of the first exception, by ``pos``,
     whose fields equal theirs; a blank field matches any value.
 
-    Each entity asks for every choice of blank fields, so this is an equality
-    join and no loop over pairs.
+    Each distinct choice of values asks for every choice of blank fields, so
+    this is an equality join and no loop over pairs; the answers go back by the
+    values themselves.
     """
-    rows = entities.withColumn("_eid", F.monotonically_increasing_id())
     blank = F.lit("")
-    asks = [F.struct(*[(F.coalesce(F.col(f), blank) if keep else blank).alias(f"_{f}") for f, keep in zip(fields, mask, strict=True)]) for mask in product((True, False), repeat=len(fields))]
-    asked = rows.select("_eid", F.explode(F.array_distinct(F.array(*asks))).alias("_ask")).select("_eid", "_ask.*")
-    known = exceptions.select(*[F.btrim(F.coalesce(f, blank)).alias(f"_{f}") for f in fields], "pos", "reason")
-    hits = asked.join(known, [f"_{f}" for f in fields]).groupBy("_eid").agg(F.min_by("reason", "pos").alias("reason"))
-    return rows.join(hits, "_eid", "left").drop("_eid")
+    value = {f: F.coalesce(F.col(f), blank) for f in fields}
+    distinct = entities.select(*[v.alias(f"_{f}") for f, v in value.items()]).distinct()
+    asks = [F.struct(*[(F.col(f"_{f}") if keep else blank).alias(f"_a_{f}") for f, keep in zip(fields, mask, strict=True)]) for mask in product((True, False), repeat=len(fields))]
+    own = [f"_{f}" for f in fields]
+    asked = distinct.select(*own, F.explode(F.array_distinct(F.array(*asks))).alias("_ask")).select(*own, "_ask.*")
+    known = exceptions.select(*[F.btrim(F.coalesce(f, blank)).alias(f"_a_{f}") for f in fields], "pos", "reason")
+    hits = asked.join(known, [f"_a_{f}" for f in fields]).groupBy(*own).agg(F.min_by("reason", "pos").alias("reason"))
+    rows = entities.withColumns({f"_{f}": v for f, v in value.items()})
+    return rows.join(hits, own, "left").drop(*own)
 
 
 def coverage(groups: DataFrame, rows: DataFrame, key: str, done: Column) -> DataFrame:

@@ -33,7 +33,9 @@ def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.concat(*[values[x] if i % 2 else F.lit(x) for i, x in enumerate(marked)])
 
     pick = F.array(*[F.struct(filled(path).alias("rel_path"), filled(text).cast("binary").alias("content")) for path, text in _KINDS])
-    rows = part.select(F.col("p_brand").alias("repo"), F.element_at(pick, (F.col("p_partkey") % 7 + 1).cast("int")).alias("f"))
+    # the table is one small split, parsing its files is the work: deal them out
+    part = part.repartition(spark.sparkContext.defaultParallelism, "p_partkey")
+    rows = part.select(F.col("p_brand").alias("repo"), F.element_at(pick, (F.col("p_partkey") % len(_KINDS) + 1).cast("int")).alias("f"))
     return files_of(rows.select("repo", "f.rel_path", "f.content"))
 
 
@@ -48,8 +50,7 @@ _MADE = "m AS (SELECT p_brand AS repo, p_partkey AS k, p_partkey % 7 AS kind, p_
 SELECT f.repo, type, n AS model, source_file, provider_endpoint, CASE WHEN kind = 5 THEN f.region ELSE coalesce(ctx.region, 'unknown') END AS region FROM found f LEFT JOIN ctx ON f.repo = ctx.repo""",
 )
 def inventory_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = detect.all_facts(part_files(spark, sf_dir))
-    return inventory.models(facts, inventory.runtime_context(facts)).select("repo", "type", "model", "source_file", "provider_endpoint", "region")
+    return inventory.take_stock(part_files(spark, sf_dir)).models.select("repo", "type", "model", "source_file", "provider_endpoint", "region")
 
 
 @registered(
@@ -62,7 +63,7 @@ UNION ALL SELECT detector, 'context', count(*) FROM f WHERE kind = 5 GROUP BY AL
 SELECT detector, kind, n::BIGINT AS n FROM n""",
 )
 def detected_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.all_facts(part_files(spark, sf_dir)).groupBy("detector", "kind").agg(F.count("*").alias("n"))
+    return detect.all_facts(part_files(spark, sf_dir)).where("kind <> 'file'").groupBy("detector", "kind").agg(F.count("*").alias("n"))
 
 
 @registered(
@@ -78,7 +79,7 @@ def inventory_frameworks(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {_MADE} SELECT repo, 'runtime-deps:p' || k || '/requirements.txt' AS id, 'Detected dependencies: openai, zz' || k AS evidence FROM m WHERE kind = 6""",
 )
 def manifest_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = detect.manifest_facts(part_files(spark, sf_dir))
+    facts = detect.scan(part_files(spark, sf_dir), only=["runtime_manifest"])
     return facts.where("kind = 'finding'").select("repo", F.col("name").alias("id"), F.col("value").alias("evidence"))
 
 
@@ -88,7 +89,7 @@ def manifest_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT r.repo, t.source_type, count(m.k)::INTEGER AS artifacts_seen, count(m.k)::INTEGER AS artifacts_scanned, 'medium' AS default_confidence FROM (SELECT DISTINCT repo FROM m) r CROSS JOIN t LEFT JOIN m ON m.repo = r.repo AND m.kind = t.kind GROUP BY r.repo, t.source_type""",
 )
 def detector_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.detector_coverage(part_files(spark, sf_dir))
+    return detect.detector_coverage(detect.all_facts(part_files(spark, sf_dir)))
 
 
 @registered(
