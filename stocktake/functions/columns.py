@@ -120,6 +120,13 @@ def bom_ref(kind: Column, name: Column, version: Column, source: Column, prefix:
     return F.concat(F.lit(prefix), F.left(F.sha2(seed, 256), F.lit(16)))
 
 
+def stable_seed(artifact: Column, commit: Column, document: Column) -> Column:
+    """What a document's identifiers come from: its hash or commit, unless they
+    are placeholders, else the hash of its text."""
+    real = lambda c: F.when(~F.coalesce(c, F.lit("")).isin("", "DYNAMIC", C.UNKNOWN), c)
+    return F.coalesce(real(artifact), real(commit), F.sha2(document, 256))
+
+
 def risk_source(risk_id: Column) -> Column:
     """Source file at the end of a finding's id; empty with fewer than three parts."""
     parts = F.split(risk_id, ":")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,14 +55,15 @@ class Evaluation:
     findings: DataFrame
     applied: DataFrame
     suppressed: DataFrame
+    weights: dict[str, float]  # global ones of the policy; they explain, but never change a score
 
 
-def _rule_rows(spark: SparkSession, policy: Policy) -> tuple[DataFrame, DataFrame]:
+def _rule_rows(spark: SparkSession, policy: Policy, more: Sequence[dict]) -> tuple[DataFrame, DataFrame]:
     """Rules with their overrides; exceptions by rule."""
     overrides = policy.get("rule_overrides")
     overrides = overrides if isinstance(overrides, dict) else {}
     rules, exceptions = [], []
-    for rule in C.RULES:
+    for rule in [*C.RULES, *more]:
         base = rule["base_rule_id"]
         own = overrides.get(base)
         own = own if isinstance(own, dict) else {}
@@ -82,22 +84,23 @@ def weighted_score(rows: DataFrame) -> DataFrame:
     return rows.withColumn("score", F.col("c") * F.col("wc") + F.col("e") * F.col("we") + F.col("p") * F.col("wp"))
 
 
-def evaluate(entities: DataFrame, policy: Policy | None = None) -> Evaluation:
-    """Risk findings of ``entities``, by repository.
+def evaluate(entities: DataFrame, policy: Policy | None = None, more: Sequence[dict] = ()) -> Evaluation:
+    """Risk findings of ``entities``, by repository; ``more`` rules may stand
+    beside the built-in ones, with the same fields.
 
     Null names are ``unknown``, null sources empty.  Repeated entities give
     repeated findings.  An empty table gives no findings, and each enabled rule
     of each repository it names is listed as applied.
     """
     spark = entities.sparkSession
-    rules, exceptions = _rule_rows(spark, policy or {})
+    rules, exceptions = _rule_rows(spark, policy or {}, more)
     triggers = rules.select("*", F.explode("names").alias("name")).withColumnRenamed("rule_entity", "entity_type")
     clean = entities.select("repo", "entity_type", F.coalesce("name", F.lit(C.UNKNOWN)).alias("name"), F.coalesce("source_file", F.lit("")).alias("source_file"))
     # rules are constants: a bounded side
     matches = clean.join(F.broadcast(triggers.where("enabled")), ["entity_type", "name"])
     matches = match_exceptions(matches, exceptions, ["base_rule_id", "entity_type", "name", "source_file"])
     counted = matches.groupBy("repo", "base_rule_id").agg(F.count("*").alias("candidates"), F.count_if(F.col("reason").isNull()).alias("kept"))
-    bases = F.explode(F.array(*[F.lit(r["base_rule_id"]) for r in C.RULES])).alias("base_rule_id")
+    bases = F.explode(F.array(*[F.lit(r["base_rule_id"]) for r in [*C.RULES, *more]])).alias("base_rule_id")
     repos = entities.select("repo").distinct().select("repo", bases)
     every = repos.join(F.broadcast(rules), "base_rule_id").join(counted, ["repo", "base_rule_id"], "left").na.fill(0, ["candidates", "kept"])
     open_rules = every.where("enabled AND kept >= threshold").select("repo", "base_rule_id")
@@ -129,4 +132,6 @@ def evaluate(entities: DataFrame, policy: Policy | None = None) -> Evaluation:
     excepted = matches.where("reason IS NOT NULL").select("repo", "base_rule_id", "rule_id", "entity_type", "name", "source_file", "reason")
     few = F.concat(F.lit("threshold-not-met: "), F.col("kept").cast("string"), F.lit(" < "), F.col("threshold").cast("string"))
     closed = every.where("NOT enabled OR kept < threshold").select("repo", "base_rule_id", "rule_id", F.lit("rule").alias("entity_type"), F.col("base_rule_id").alias("name"), F.lit("").alias("source_file"), F.when(F.col("enabled"), few).otherwise("disabled-by-policy").alias("reason"))
-    return Evaluation(findings, applied, excepted.unionByName(closed))
+    scoring = (policy or {}).get("scoring")
+    weights = normal_weights(scoring.get("weights") if isinstance(scoring, dict) else None)
+    return Evaluation(findings, applied, excepted.unionByName(closed), weights)

@@ -11,7 +11,16 @@ def append_run(snapshot: DataFrame, path: str, run_id: str) -> None:
     snapshot.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)
 
 
-def read_runs(spark: SparkSession, path: str) -> DataFrame:
+#: runs of a repository that count
+CAP = 200
+
+
+def read_runs(spark: SparkSession, path: str, cap: int = CAP) -> DataFrame:
+    """The last ``cap`` runs of each repository."""
+    return last_runs(_all_runs(spark, path), cap)
+
+
+def _all_runs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("recursiveFileLookup", "false").parquet(path).withColumn("run_id", F.col("run_id").cast("string"))
 
 
@@ -25,6 +34,12 @@ def last_runs(runs: DataFrame, limit: int = 0) -> DataFrame:
     return runs.join(kept, ["repo", "run_id"], "left_semi")
 
 
+def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Documents that ``write_documents`` wrote, as (repo, document struct)."""
+    rows = spark.read.schema("repo string, document string, slug string").json(path)
+    return rows.select("repo", F.from_json("document", schema).alias("document"))
+
+
 def write_documents(documents: DataFrame, path: str) -> None:
     """One JSON line for each repository, in folders by repository."""
     documents.withColumn("slug", F.replace("repo", F.lit("/"), F.lit("__"))).write.mode("overwrite").partitionBy("slug").json(path)

@@ -2,7 +2,8 @@
 
 Spark's file sources skip names that begin with a dot or underscore, and
 ``.env`` is an input here, so local trees come through a Python data source: the
-driver lists names only, executors read the contents.  Trees in a store that
+driver lists the first level of each tree, executors walk what is below and read
+the contents.  Trees in a store that
 only Spark reads come from ``files_of``, which takes any table of
 (repo, rel_path, content).
 """
@@ -20,33 +21,39 @@ from stocktake import constants as C
 from stocktake.functions import columns as X
 
 SCHEMA = "repo string, rel_path string, content binary"
-FILES_PER_PARTITION = 500
+#: entries of a root's first level that one partition walks
+ENTRIES = 64
 
 
-class _Files(InputPartition):
-    def __init__(self, files: Sequence[tuple[str, str, str]]) -> None:
-        self.files = list(files)
+class _Part(InputPartition):
+    """Some entries of a root's first level."""
+
+    def __init__(self, repo: str, root: str, names: Sequence[str]) -> None:
+        self.repo, self.root, self.names = repo, root, list(names)
 
 
 class _TreeReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.roots = [r.split("=", 1) for r in options["roots"].split("\n") if r]
-        self.size = int(options.get("filesperpartition", FILES_PER_PARTITION))
 
     def partitions(self) -> Sequence[InputPartition]:
+        """The driver lists the first level of each root only."""
         found = []
         for repo, root in self.roots:
-            for folder, inner, names in os.walk(root):
-                # .venv and the like are kept out of the walk; notebooks below
-                # __pycache__ or venv don't occur in practice
-                inner[:] = sorted(d for d in inner if d not in C.IGNORED_DIRS)
-                found += [(repo, os.path.relpath(p := os.path.join(folder, n), root), p) for n in sorted(names) if os.path.isfile(os.path.join(folder, n))]
-        return [_Files(found[at : at + self.size]) for at in range(0, len(found), self.size)] or [_Files([])]
+            names = sorted(os.listdir(root))
+            found += [_Part(repo, root, names[at : at + ENTRIES]) for at in range(0, len(names), ENTRIES)]
+        return found or [_Part("", "", [])]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for repo, rel, path in partition.files:
-            with open(path, "rb") as f:
-                yield repo, rel.replace(os.sep, "/"), f.read()
+        for name in partition.names:
+            top = os.path.join(partition.root, name)
+            found = [top] if os.path.isfile(top) else [os.path.join(d, n) for d, _, names in os.walk(top) for n in sorted(names)]
+            for path in found:
+                rel = os.path.relpath(path, partition.root).replace(os.sep, "/")
+                # below folders that no scan enters only notebooks count
+                if os.path.isfile(path) and (rel.endswith(".ipynb") or not set(rel.split("/")) & set(C.IGNORED_DIRS)):
+                    with open(path, "rb") as f:
+                        yield partition.repo, rel, f.read()
 
 
 class TreeSource(DataSource):
@@ -65,8 +72,9 @@ class TreeSource(DataSource):
 
 def files_of(contents: DataFrame) -> DataFrame:
     """(repo, rel_path, name, suffix, text) from (repo, rel_path, content).
-    ``text`` is null where the bytes are no UTF-8; ignored folders are left out."""
-    files = contents.where(~X.is_ignored("rel_path"))
+    ``text`` is null where the bytes are no UTF-8; of ignored folders only
+    notebooks are kept."""
+    files = contents.where(~X.is_ignored("rel_path") | (X.suffix("rel_path") == ".ipynb"))
     return files.select("repo", "rel_path", X.file_name("rel_path").alias("name"), X.suffix("rel_path").alias("suffix"), X.decoded("content").alias("text"))
 
 
@@ -77,10 +85,18 @@ def read_trees(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
     return files_of(spark.read.format("source_tree").option("roots", listed).load())
 
 
-def repo_list(spark: SparkSession, path: str, first: Sequence[str] = ()) -> DataFrame:
+def repo_list(spark: SparkSession, path: str, first: Sequence[str] = (), limit: int | None = None) -> DataFrame:
     """Distinct repositories (repo, place) of a list file behind those named
-    first; blank lines and comments are skipped, the first mention counts."""
+    first, the first ``limit`` of them; blank lines and comments are skipped, the
+    first mention counts."""
     text = spark.read.text(path, wholetext=True).select(F.posexplode(X.lines("value")).alias("place", "repo"))
     given = spark.createDataFrame([(i - len(first), x) for i, x in enumerate(first)], "place int, repo string")
     rows = given.unionByName(text).select("place", F.btrim("repo").alias("repo")).where("repo <> '' AND NOT startswith(repo, '#')")
-    return rows.groupBy("repo").agg(F.min("place").alias("place"))
+    found = rows.groupBy("repo").agg(F.min("place").alias("place"))
+    return found if limit is None else found.orderBy("place").limit(limit)
+
+
+def license_report(spark: SparkSession, path: str) -> DataFrame:
+    """(name, license, verdict) of a report: a JSON list of packages."""
+    rows = spark.read.schema("Name string, License string").option("multiLine", "true").json(path)
+    return rows.select(F.col("Name").alias("name"), F.col("License").alias("license"), X.license_verdict(F.col("License")).alias("verdict"))

@@ -1,13 +1,14 @@
 """Drift as a stream: snapshots arrive as files, each batch is compared with the
-history and then joins it."""
+keys seen before and then adds its own."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from stocktake.operators.drift import KEY
-from stocktake.operators.relational import keep_last, novel
+from stocktake.operators.relational import keep_last
 
 SNAPSHOT = "repo string, section string, key string, payload string, run_id string"
 
@@ -16,20 +17,23 @@ def follow(spark: SparkSession, arrivals: str, history: str, out: str, checkpoin
     """Write the keys of arriving snapshots that ``history`` never held to
     ``out``.  Takes all that is there, then ends (``availableNow``).
 
-    Both writes are named after the batch, so a batch that is run again after a
-    failure replaces its own rows.
+    ``history`` holds each key once: a batch adds its new keys only, so the
+    state grows with the keys and not with the runs.  Both writes are named after
+    the batch, so a batch that is run again after a failure replaces its own rows.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         rows = keep_last(batch, KEY, ["run_id", "payload"])
         try:
-            earlier = spark.read.schema(f"{SNAPSHOT}, batch long").parquet(history).where(f"batch < {number}")
-            rows = novel(rows, earlier, KEY)
-        except Exception as e:  # no history yet
-            if "PATH_NOT_FOUND" not in str(e):
+            earlier = spark.read.schema("repo string, section string, key string, batch long").parquet(history).where(f"batch < {number}")
+            rows = rows.join(earlier.select(*KEY), KEY, "left_anti")
+        except AnalysisException as e:  # no history yet
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
+        rows = rows.persist()
         rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
-        batch.write.mode("overwrite").parquet(f"{history}/batch={number}")
+        rows.select(*KEY).write.mode("overwrite").parquet(f"{history}/batch={number}")
+        rows.unpersist()
 
     stream = spark.readStream.schema(SNAPSHOT).parquet(arrivals)
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
