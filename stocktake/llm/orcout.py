@@ -19,8 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batch_of, over_batches, text_slices
-from .tokens import ENCODE_CHARS, encoder
+from .tokens import encoder
 
+#: bytes of text encoded at once: more than packing takes, as nothing else
+#: stands in these tasks' memory and larger slices repeat fewer words
+ENCODE_BYTES = 3_000_000
 #: writer settings of the file format
 ORC_OPTIONS = {
     "orc.compress": "ZSTD",
@@ -51,7 +54,7 @@ def encode_parts(docs: DataFrame, tokenizer: str, end: int, parts: int | None =
         own = encoder(tokenizer, end)
         number, before = 0, 0
         for batch in batches:
-            for lo, hi, texts in text_slices(batch.column(1), ENCODE_CHARS):
+            for lo, hi, texts in text_slices(batch.column(1), ENCODE_BYTES):
                 ids, offsets = own.encode(texts)
                 size = np.diff(offsets)
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
