@@ -188,7 +188,7 @@ def documents(stock: Inventory, policy: risk.Policy | None = None, source: dict[
     quoted = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("x"))), r'^\{"x":(.*)\}$', 1)
     types = F.lit("[" + ",".join(json.dumps({"default_confidence": "high" if s == "python" else "medium", "default_severity": "medium", "name": s}, separators=(",", ":")) for s in C.SOURCE_TYPES) + "]")
     plain = lambda value: F.lit(json.dumps(value, sort_keys=True, separators=(",", ":")))
-    context = F.coalesce(F.element_at("runtime_context", 1), plain(dict.fromkeys(C.PROVENANCE_FIELDS, C.UNKNOWN)))
+    context = F.coalesce(F.try_element_at("runtime_context", F.lit(1)), plain(dict.fromkeys(C.PROVENANCE_FIELDS, C.UNKNOWN)))
 
     def body(meta: list[tuple[str, Column]]) -> Column:
         fields = {

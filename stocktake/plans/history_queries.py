@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stocktake.functions import columns as X
-from stocktake.operators import drift, export, risk
+from stocktake.operators import drift, export, report, risk
 from stocktake.operators import relational as R
 from stocktake.plans.registry import Registry, registered, table
 from stocktake.sources.history import last_runs
@@ -159,9 +158,11 @@ def normalize_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT o_orderstatus, o_orderkey, rank::INTEGER AS rank FROM r WHERE rank <= 3""",
 )
 def top_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    severity = F.substring("o_orderpriority", 3, 100)
-    order = [X.severity_rank(severity), F.desc("o_totalprice"), F.col("o_orderkey")]
-    return R.top_of_each(table(spark, sf_dir, "orders"), ["o_orderstatus"], order, 3).select("o_orderstatus", "o_orderkey", "rank")
+    orders = table(spark, sf_dir, "orders")
+    # the key as ten digits, so that the order of ids is that of the numbers
+    risks = orders.select(F.col("o_orderstatus").alias("repo"), F.lpad(F.col("o_orderkey").cast("string"), 10, "0").alias("id"), F.substring("o_orderpriority", 3, 100).alias("severity"), F.col("o_totalprice").alias("weighted_score"), F.lit("").alias("rationale"))
+    found = report.top_risks(risks)
+    return found.select(F.col("repo").alias("o_orderstatus"), F.col("id").cast("long").alias("o_orderkey"), "rank")
 
 
 @registered(QUERIES, "WITH f AS (SELECT source, min(doc_id) AS first_id FROM documents GROUP BY source) SELECT d.doc_id, f.first_id FROM documents d LEFT JOIN f ON d.source = f.source")
