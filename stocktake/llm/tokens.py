@@ -10,6 +10,7 @@ are encoded whole.  The ids equal those of the whole text either way (tested).
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 from itertools import chain
 
@@ -36,6 +37,8 @@ _MARKS = ("\n", " ~ ")
 
 
 def _tokenizer(path: str):
+    # a task has one core; threads of its own would only hold memory of their own
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
