@@ -121,10 +121,17 @@ def bom_ref(kind: Column, name: Column, version: Column, source: Column, prefix:
 
 
 def stable_seed(artifact: Column, commit: Column, document: Column) -> Column:
-    """What a document's identifiers come from: its hash or commit, unless they
-    are placeholders, else the hash of its text."""
-    real = lambda c: F.when(~F.coalesce(c, F.lit("")).isin("", "DYNAMIC", C.UNKNOWN), c)
-    return F.coalesce(real(artifact), real(commit), F.sha2(document, 256))
+    """What a document's identifiers come from: its hash, or its commit where it
+    has none, unless that is a placeholder; else the hash of its text."""
+    given = F.coalesce(F.nullif(artifact, F.lit("")), F.nullif(commit, F.lit("")))
+    return F.coalesce(F.nullif(given, F.lit("DYNAMIC")), F.sha2(document, 256))
+
+
+def uuid5(name: Column) -> Column:
+    """Version 5 UUID of a name in the namespace of URLs (RFC 4122)."""
+    h = F.sha1(F.concat(F.unhex(F.lit(C.URL_NAMESPACE)), F.encode(name, "UTF-8")))
+    variant = F.lower(F.hex(F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8)))
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
 
 
 def risk_source(risk_id: Column) -> Column:

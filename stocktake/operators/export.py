@@ -91,6 +91,27 @@ def cyclonedx(stock: Inventory, risks: DataFrame, vendor: str = VENDOR) -> tuple
     return components, depends, joined.groupBy(*fields).agg(F.sort_array(F.collect_set("_ref")).alias("affects"))
 
 
+def root_dependencies(depends: DataFrame) -> DataFrame:
+    """(repo, depends_on): what each document depends on, distinct and sorted.
+    One row is a document's list of its frameworks, tools and models."""
+    return depends.groupBy("repo").agg(F.sort_array(F.collect_set("bom_ref")).alias("depends_on"))
+
+
+def serials(documents: DataFrame, vendor: str = VENDOR) -> DataFrame:
+    """(repo, seed, bom_serial, vex_id) from (repo, artifact_sha256, git_sha,
+    document): identifiers that stay the same as long as the document does."""
+    rows = documents.withColumn("seed", X.stable_seed(F.col("artifact_sha256"), F.col("git_sha"), F.col("document")))
+    urn = lambda kind: F.concat(F.lit("urn:uuid:"), X.uuid5(F.concat(F.lit(f"{vendor}:{kind}"), "seed")))
+    return rows.select("repo", "seed", urn("").alias("bom_serial"), urn("vex:").alias("vex_id"))
+
+
+def in_order(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows of an export in the order of its format: packages by ``spdx_id``,
+    components by ``bom_ref``, statements and results by id, within each
+    repository.  A sort by range, which splits a large repository."""
+    return rows.orderBy("repo", *keys)
+
+
 def sarif(findings: DataFrame, risks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Results of scan and risk findings, and the first definition of each rule
     (SARIF 2.1.0)."""

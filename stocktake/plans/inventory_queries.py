@@ -169,6 +169,36 @@ def cyclonedx_vulnerabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("repo", "id", F.size("affects").alias("n_affected"), F.try_element_at("affects", F.lit(1)).alias("affected"))
 
 
+@registered(
+    QUERIES,
+    f"""WITH {_FOUND}, c AS (SELECT repo, lower(type) AS low, 'stocktake-' || left(sha256('application:' || type || ':' || n || ':' || source_file), 16) AS ref, 0 AS ord, type AS name, n AS version, source_file AS src FROM found
+UNION ALL SELECT repo, name, 'stocktake-' || left(sha256('library:' || name || ':unknown:'), 16), 3, name, 'unknown', '' FROM fw),
+first AS (SELECT repo, low, arg_min(ref, (ord, name, version, src)) AS ref FROM c GROUP BY ALL)
+SELECT repo, string_agg(DISTINCT ref, ',' ORDER BY ref) AS depends_on FROM first WHERE low = 'openai' AND repo IN (SELECT repo FROM m WHERE kind = 6) GROUP BY repo""",
+)
+def document_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = export.root_dependencies(export.cyclonedx(*_stock(spark, sf_dir))[1])
+    return found.select("repo", F.array_join("depends_on", ",").alias("depends_on"))
+
+
+@registered(
+    QUERIES,
+    """WITH d AS (SELECT 'r' || p_partkey AS repo, CASE p_partkey % 4 WHEN 0 THEN sha256(p_name) WHEN 1 THEN 'DYNAMIC' WHEN 2 THEN '' END AS a, CASE p_partkey % 3 WHEN 0 THEN p_type WHEN 1 THEN '' END AS g, p_name AS t FROM part),
+s AS (SELECT repo, CASE WHEN x <> 'DYNAMIC' THEN x ELSE sha256(t) END AS seed FROM (SELECT *, CASE WHEN a <> '' THEN a WHEN g <> '' THEN g END AS x FROM d)),
+h AS (SELECT *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('stocktake:' || seed)) AS b, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('stocktake:vex:' || seed)) AS v FROM s)
+SELECT repo, seed, """
+    + ", ".join(f"'urn:uuid:' || {h}[1:8] || '-' || {h}[9:12] || '-5' || {h}[14:16] || '-' || translate({h}[17:17], '0123456789abcdef', '89ab89ab89ab89ab') || {h}[18:20] || '-' || {h}[21:32] AS {name}" for h, name in (("b", "bom_serial"), ("v", "vex_id")))
+    + " FROM h",
+)
+def export_serials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers of documents that have a hash, a commit, a placeholder, or none."""
+    key = F.col("p_partkey")
+    artifact = F.when(key % 4 == 0, F.sha2("p_name", 256)).when(key % 4 == 1, "DYNAMIC").when(key % 4 == 2, "")
+    commit = F.when(key % 3 == 0, F.col("p_type")).when(key % 3 == 1, "")
+    rows = table(spark, sf_dir, "part").select(F.concat(F.lit("r"), key.cast("string")).alias("repo"), artifact.alias("artifact_sha256"), commit.alias("git_sha"), F.col("p_name").alias("document"))
+    return export.serials(rows)
+
+
 @registered(
     QUERIES,
     f"""WITH {_FOUND} SELECT repo, 'SPDXRef-Model-' || type || '-' || {_SLUG.format("n")} || '-' || {_SLUG.format("source_file")} || '-' || left(sha256(type || '::' || n || '::' || source_file), 10) AS spdx_id, type AS name, n AS version_info FROM found

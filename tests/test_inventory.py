@@ -4,6 +4,7 @@ import hashlib
 import json
 import os
 import tempfile
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,6 +102,11 @@ def test_risks_document_and_exports(stock):
     assert [m["model"] for m in back["models"]] == [m["model"] for m in document["models"]] and back["schema_version"] == "1.0"
     related = export.spdx(stock, found.findings)[2].where("relationship = 'DEPENDS_ON'").count()
     assert related == 1
+    packages = [r.spdx_id for r in export.in_order(export.spdx(stock, found.findings)[0], "spdx_id").collect()]
+    assert packages == sorted(packages) and len(packages) > 1
+    components, depends, _ = export.cyclonedx(stock, found.findings)
+    listed = export.root_dependencies(depends.unionByName(depends)).first().depends_on
+    assert listed == sorted(set(listed)) and set(listed) <= {r.bom_ref for r in components.collect()}
     top = report.top_risks(found.findings).collect()
     assert len(top) == 3 and top[0].severity == "critical"
 
@@ -211,3 +217,13 @@ def test_policy_weights_explain_only(spark):
     plain, weighed = (risk.evaluate(rows, p) for p in (None, {"scoring": {"weights": {"confidence": 1, "exposure": 0, "provenance": 0}}}))
     assert plain.findings.collect() == weighed.findings.collect()
     assert weighed.weights == {"confidence": 1.0, "exposure": 0.0, "provenance": 0.0}
+
+
+def test_serials_follow_the_seed(spark):
+    rows = [("a", "h1", "g", "t"), ("b", None, "g", "t"), ("c", "DYNAMIC", "g", "t"), ("d", "", "", "t"), ("e", None, None, "ü")]
+    found = {r.repo: r for r in export.serials(spark.createDataFrame(rows, "repo string, artifact_sha256 string, git_sha string, document string"), "v").collect()}
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert {k: r.seed for k, r in found.items()} == {"a": "h1", "b": "g", "c": digest("t"), "d": digest("t"), "e": digest("ü")}
+    for r in found.values():
+        assert r.bom_serial == f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'v:{r.seed}')}"
+        assert r.vex_id == f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'v:vex:{r.seed}')}"
