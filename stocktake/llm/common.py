@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 
 from stocktake.sources.work import Workspace, shared_dir
 
-__all__ = ["Workspace", "batch_of", "held_out", "over_batches", "resident", "shared_dir", "slices", "text_slices", "texts_of", "tidy"]
+__all__ = ["Workspace", "batch_of", "held_out", "over_batches", "resident", "shared_dir", "slices", "text_ranges", "text_slices", "texts_of", "tidy"]
 
 #: bytes of text that one numpy step handles; bounds a task's memory
 SLICE_CHARS = 300_000
@@ -69,18 +69,24 @@ def texts_of(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def text_slices(column: pa.Array, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int, list[str]]]:
-    """Ranges of whole texts with about ``limit`` bytes each, and their texts;
-    only one range at a time stands in memory as Python strings."""
+def text_ranges(column: pa.Array, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
+    """Ranges of whole texts with about ``limit`` bytes each."""
     size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
     ends = np.cumsum(size)
     lo = 0
     while lo < len(size):
         hi = int(np.searchsorted(ends, ends[lo] - size[lo] + limit)) + 1
-        yield lo, min(hi, len(size)), texts_of(column.slice(lo, hi - lo))
+        yield lo, min(hi, len(size))
         lo = hi
 
 
+def text_slices(column: pa.Array, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int, list[str]]]:
+    """As ``text_ranges``, with the texts; only one range at a time stands in
+    memory as Python strings."""
+    for lo, hi in text_ranges(column, limit):
+        yield lo, hi, texts_of(column.slice(lo, hi - lo))
+
+
 def slices(texts: Sequence[str], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of whole texts with about ``limit`` characters each."""
     lo, size = 0, 0

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, htmltree, langid, near, orcout, packing, telephony, toxicity, warc
+from . import chat, counts, decontam, htmltree, langid, near, orcout, packing, periodic, telephony, toxicity, warc, whiten
 from .common import Workspace
 
 
@@ -81,8 +81,38 @@ def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.describe(Workspace(spark, "media").save(clips, "clips"))
 
 
+def _made_periodic(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): with h the checksum of a tenth of the ids, every word from
+    the a-th on is the one some whole number of periods before it."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    split = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
+    rows = docs.select("doc_id", "text", (h.cast("decimal(20,0)") / 10).cast("long").alias("g"), F.when(h % 10 == 0, split).alias("words"))
+    rows = rows.withColumn("n", F.size("words").cast("long"))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    rows = rows.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    made = F.expr("concat(slice(words, 1, int(a)), slice(flatten(array_repeat(slice(words, int(a) + 1, int(p)), int((n - a) div p) + 1)), 1, int(n - a)))")
+    return rows.select("doc_id", F.when(F.col("n") > 0, F.array_join(made, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in every document, after a tenth of the documents
+    were made periodic."""
+    return periodic.digest_runs(periodic.find_runs(_made_periodic(_table(spark, sf_dir, "documents"))))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
+    """Tokens of every document."""
+    return counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(tokenizer))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight whitened components of every embedding."""
+    found = whiten.whiten(_table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_html_tree, op2_packing, op3_orc_tokens, op4_warc_revisits, op5_chat_format, op6_language_id, op7_ngram_jaccard, op8_toxicity, op9_decontamination, op10_telephony]
+    found = [op1_html_tree, op2_packing, op3_orc_tokens, op4_warc_revisits, op5_chat_format, op6_language_id, op7_ngram_jaccard, op8_toxicity, op9_decontamination, op10_telephony, op11_periodic_runs, op12_token_counts, op13_embedding_whitening]
     return {f.__name__: f for f in found}
 
 
