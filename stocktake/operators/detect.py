@@ -365,9 +365,9 @@ def detectors(strict: bool = False) -> dict[str, Detector]:
 
 
 @lru_cache(4)
-def _expressions(context: int, strict: bool) -> dict[str, Detector]:
-    """``detectors`` of a Spark context: expressions name columns, not tables, so
-    they serve every table and are built once."""
+def _expressions(application: str, strict: bool) -> dict[str, Detector]:
+    """``detectors`` of a Spark application: expressions name columns, not tables,
+    so they serve every table and are built once."""
     return detectors(strict)
 
 
@@ -377,7 +377,7 @@ def scan(files: DataFrame, strict: bool = False, runtime_manifests: bool = True,
 
     Null and empty texts give a ``file`` fact alone; repeated files give repeated
     facts; an empty table gives none."""
-    known = _expressions(id(files.sparkSession.sparkContext), strict)
+    known = _expressions(files.sparkSession.sparkContext.applicationId, strict)
     chosen = {n: d for n, d in known.items() if (only is None or n in only) and (n != "runtime_manifest" or runtime_manifests)}
 
     def cases(field: str) -> Column:

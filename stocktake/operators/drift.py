@@ -3,7 +3,7 @@ gates."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stocktake.functions import columns as X
@@ -65,8 +65,53 @@ def scan_gates(counts: DataFrame, max_high_risk: int | None = None, max_unsuppor
     return counts.select("repo", F.explode(F.array_compact(F.array(*hits, F.lit(None).cast("string")))).alias("gate"))
 
 
+#: counts of a repository, in the order of a summary
+COUNTS = ["models", "tools", "datasets", "frameworks", "prompts", "unsupported_artifacts", "high_or_critical_risks"]
+
+
 def repo_summary(repos: DataFrame, counts: DataFrame, errors: DataFrame) -> DataFrame:
-    """(repo, status, counts): a repository whose ingest failed is a row, not a
-    failed job."""
-    out = repos.select("repo").distinct().join(counts, "repo", "left").join(errors.select("repo", F.col("reason").alias("error")), "repo", "left")
+    """(repo, status, counts, error): a repository whose ingest failed, by
+    ``errors`` (repo, reason), is a row, not a failed job; of several reasons the
+    least is named."""
+    reasons = errors.groupBy("repo").agg(F.min("reason").alias("error"))
+    out = repos.select("repo").distinct().join(counts, "repo", "left").join(reasons, "repo", "left")
     return out.withColumn("status", F.when(X.known("error").isNotNull(), "error").otherwise("ok"))
+
+
+def scan_summary(repos: DataFrame, counts: DataFrame, errors: DataFrame, failed: DataFrame) -> DataFrame:
+    """One row for each repository: repo, status, error, ``COUNTS``,
+    ``gate_verdict`` and ``gate_failures``, sorted and distinct.
+
+    ``counts`` are those of ``section_counts``, ``failed`` (repo, gate) are gates
+    that didn't hold.  A repository that could not be scanned has zeros, the
+    verdict ``fail`` and the one failure ``scan-error``."""
+    gates_of = failed.groupBy("repo").agg(F.sort_array(F.collect_set("gate")).alias("gate_failures"))
+    rows = repo_summary(repos, counts, errors).join(gates_of, "repo", "left")
+    ok = F.col("status") == "ok"
+    found = F.when(ok, F.coalesce("gate_failures", F.array().cast("array<string>"))).otherwise(F.array(F.lit("scan-error")))
+    numbers = [F.when(ok, F.coalesce(c, F.lit(0))).otherwise(0).cast("long").alias(c) for c in COUNTS]
+    return rows.select("repo", "status", "error", *numbers, F.when(F.size(found) == 0, "pass").otherwise("fail").alias("gate_verdict"), found.alias("gate_failures"))
+
+
+def rollup(summary: DataFrame, organisation: Column) -> DataFrame:
+    """Totals of ``scan_summary`` by ``organisation`` and section, by organisation
+    and over all: (organisation, section, level, repositories, failed, total,
+    gate_verdict), in one aggregation over grouping sets.
+
+    ``level`` is ``section``, ``organisation`` or ``all``; what a row sums over is
+    null.  ``failed`` counts repositories that did not pass, and a group passes
+    if all of them do."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("section"), F.col(c).alias("n")) for c in COUNTS])).alias("cell")
+    rows = summary.select(organisation.alias("organisation"), "repo", "gate_verdict", cells).select("organisation", "repo", "gate_verdict", "cell.section", "cell.n")
+    lead = F.col("section") == COUNTS[0]  # one of a repository's cells counts it
+    found = rows.groupingSets([["organisation", "section"], ["organisation"], []], "organisation", "section").agg(
+        F.when(F.grouping("organisation") == 1, "all").when(F.grouping("section") == 1, "organisation").otherwise("section").alias("level"),
+        F.count_if(F.lit(True)).alias("cells"),
+        F.count_if(lead).alias("heads"),
+        F.count_if(F.col("gate_verdict") == "fail").alias("failed_cells"),
+        F.count_if((F.col("gate_verdict") == "fail") & lead).alias("failed_heads"),
+        F.sum("n").alias("total"),
+    )
+    one = F.col("level") == "section"
+    failed = F.when(one, F.col("failed_cells")).otherwise(F.col("failed_heads"))
+    return found.select("organisation", "section", "level", F.when(one, F.col("cells")).otherwise(F.col("heads")).alias("repositories"), failed.alias("failed"), "total", F.when(failed > 0, "fail").otherwise("pass").alias("gate_verdict"))

@@ -245,20 +245,6 @@ def policy_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.evaluate(_entities(spark, sf_dir), _POLICY).applied.select("repo", "base_rule_id", "rule_id", "severity", "candidate_count", "post_allowlist_count")
 
 
-@registered(
-    QUERIES,
-    """WITH d AS (SELECT source AS repo, count(*)::BIGINT AS files FROM documents WHERE source IS NOT NULL GROUP BY source)
-SELECT repo, CASE WHEN suffix(repo, '3') THEN 'error' ELSE 'ok' END AS status, CASE WHEN suffix(repo, '3') THEN 'unreachable' END AS error, CASE WHEN NOT suffix(repo, '3') THEN files END AS files FROM d""",
-)
-def failed_repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repositories whose name ends in 3 could not be fetched: rows, not a failed job."""
-    docs = table(spark, sf_dir, "documents").where("source IS NOT NULL").select(F.col("source").alias("repo"))
-    failed = F.col("repo").endswith("3")
-    errors = docs.where(failed).distinct().withColumn("reason", F.lit("unreachable"))
-    counts = docs.where(~failed).groupBy("repo").agg(F.count("*").alias("files"))
-    return drift.repo_summary(docs, counts, errors).select("repo", "status", "error", "files")
-
-
 @registered(
     QUERIES,
     """WITH s AS (SELECT event_type AS repo, strftime(ts, '%Y%m%d') AS run_id, 'models' AS section, user_id::VARCHAR AS key, arg_max(props, (ts, event_id)) AS payload FROM events GROUP BY ALL),

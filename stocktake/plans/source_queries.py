@@ -24,7 +24,8 @@ _KINDS = [
 ]
 
 
-def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def part_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo, rel_path, content)."""
     part = table(spark, sf_dir, "part")
     values = {"n": F.col("p_name"), "k": F.col("p_partkey").cast("string"), "s": F.col("p_size").cast("string")}
 
@@ -36,7 +37,11 @@ def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the table is one small split, parsing its files is the work: deal them out
     part = part.repartition(spark.sparkContext.defaultParallelism, "p_partkey")
     rows = part.select(F.col("p_brand").alias("repo"), F.element_at(pick, (F.col("p_partkey") % len(_KINDS) + 1).cast("int")).alias("f"))
-    return files_of(rows.select("repo", "f.rel_path", "f.content"))
+    return rows.select("repo", "f.rel_path", "f.content")
+
+
+def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files_of(part_contents(spark, sf_dir))
 
 
 _MADE = "m AS (SELECT p_brand AS repo, p_partkey AS k, p_partkey % 7 AS kind, p_name AS n, 'r' || p_size AS region FROM part), ctx AS (SELECT repo, arg_max(region, 'src/p' || k || '.yaml') AS region FROM m WHERE kind = 5 GROUP BY repo)"
