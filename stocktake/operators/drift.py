@@ -45,6 +45,68 @@ def _newest_first():  # noqa: ANN202
     return Window.partitionBy("repo").orderBy(F.desc("run_id"))
 
 
+def lifetimes(runs: DataFrame) -> DataFrame:
+    """One row for each key of ``runs`` (run_id and ``KEY``): ``first_seen``,
+    ``last_seen``, ``runs_seen``, ``absences`` (spans without it between two that
+    hold it), ``longest_absence`` in runs, and ``status`` at the repository's last
+    run: ``new``, ``present``, ``returned`` or ``gone``.
+
+    Runs are numbered by repository; numbers of a key that follow each other form
+    an island, found by their distance to the rank of the row.  All runs are read
+    once.  A key has at most one row for each run after the first aggregation, so
+    no group grows with repeated rows; a snapshot that comes twice counts once,
+    and the order of arrival plays no part.  An empty table gives no row."""
+    from pyspark.sql import Window
+
+    numbers = runs.select("repo", "run_id").distinct()
+    of_repo = Window.partitionBy("repo")
+    numbers = numbers.withColumn("no", F.row_number().over(of_repo.orderBy("run_id"))).withColumn("last_no", F.max("no").over(of_repo))
+    seen = runs.select(*KEY, "run_id").distinct().join(numbers, ["repo", "run_id"])
+    rank = F.row_number().over(Window.partitionBy(*KEY).orderBy("no"))
+    gap = F.col("no") - F.lag("no").over(Window.partitionBy(*KEY).orderBy("no")) - 1
+    spans = seen.withColumn("island", F.col("no") - rank).withColumn("gap", F.coalesce(gap, F.lit(0)))
+    islands = spans.groupBy(*KEY, "island").agg(F.min("run_id").alias("start"), F.max("run_id").alias("end"), F.count("*").alias("n"), F.min("no").alias("from_no"), F.max("no").alias("to_no"), F.max("last_no").alias("last_no"), F.max("gap").alias("gap"))
+    keys = islands.groupBy(*KEY).agg(
+        F.min("start").alias("first_seen"),
+        F.max("end").alias("last_seen"),
+        F.sum("n").alias("runs_seen"),
+        (F.count("*") - 1).alias("absences"),
+        F.max("gap").cast("long").alias("longest_absence"),
+        F.max("to_no").alias("_to"),
+        F.max("from_no").alias("_from"),
+        F.max("last_no").alias("_last"),
+    )
+    status = F.when(F.col("_to") < F.col("_last"), "gone").when(F.col("_from") < F.col("_last"), "present").when(F.col("absences") > 0, "returned").otherwise("new")
+    return keys.select(*KEY, "first_seen", "last_seen", "runs_seen", "absences", "longest_absence", status.alias("status"))
+
+
+def key_changes(sightings: DataFrame, keep: str) -> DataFrame:
+    """What happened to each key of ``sightings`` (``KEY``, ``at`` timestamp,
+    payload): (``KEY``, at, status, payload).
+
+    ``added`` where the key was not seen for ``keep`` (an interval of days or
+    less) before, ``changed`` where its payload is another than at its last
+    sighting, ``removed`` at the end of ``keep`` after a sighting that none
+    followed until then, if the newest sighting of all is that late.  Of several
+    payloads of one time the greatest counts.  ``streaming.drift.follow`` gives
+    the same rows from a stream."""
+    from pyspark.sql import Window
+
+    once = sightings.groupBy(*KEY, "at").agg(F.max("payload").alias("payload"))
+    newest = sightings.agg(F.max("at").alias("newest"))  # one row
+    own = Window.partitionBy(*KEY).orderBy("at")
+    until = F.expr(f"at + INTERVAL {keep}")
+    rows = once.withColumns({"before": F.lag("at").over(own), "was": F.lag("payload").over(own), "next": F.lead("at").over(own), "until": until}).crossJoin(F.broadcast(newest))
+    fresh = F.col("before").isNull() | (F.col("before") + F.expr(f"INTERVAL {keep}") < F.col("at"))
+    event = lambda at, status, payload: F.struct(at.alias("at"), F.lit(status).alias("status"), payload.alias("payload"))
+    gone = (F.col("next").isNull() | (F.col("next") > F.col("until"))) & (F.col("until") < F.col("newest"))
+    events = F.array(
+        F.when(fresh, event(F.col("at"), "added", F.col("payload"))).when(~F.col("payload").eqNullSafe(F.col("was")), event(F.col("at"), "changed", F.col("payload"))),
+        F.when(gone, event(F.col("until"), "removed", F.col("payload"))),
+    )
+    return rows.select(*KEY, F.explode(F.array_compact(events)).alias("e")).select(*KEY, "e.at", "e.status", "e.payload")
+
+
 def gates(changes: DataFrame, providers: list[str], names: list[str]) -> DataFrame:
     """(repo, gate) of the gates that fail: new-model, new-tool,
     new-external-provider.  Unknown names are ignored."""

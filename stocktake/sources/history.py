@@ -1,27 +1,85 @@
-"""The history of runs: a table of snapshots partitioned by repository."""
+"""The history of runs: snapshots in a folder for each run, and an index of
+which repositories each run holds.
+
+``data/run_id=X`` holds the rows of a run and ``index/run_id=X`` one row for each
+of its repositories.  The index is written last, so a run without one never
+happened: readers take the run folders that they need from the index, and read
+no other.  A run that is written again replaces itself.
+"""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-def append_run(snapshot: DataFrame, path: str, run_id: str) -> None:
-    """Add a run's snapshot.  ``run_id`` sorts by time, as UTC stamps do."""
-    snapshot.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)
-
-
 #: runs of a repository that count
 CAP = 200
-
-
-def read_runs(spark: SparkSession, path: str, cap: int = CAP) -> DataFrame:
-    """The last ``cap`` runs of each repository."""
-    return last_runs(_all_runs(spark, path), cap)
-
-
-def _all_runs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("recursiveFileLookup", "false").parquet(path).withColumn("run_id", F.col("run_id").cast("string"))
+_INDEX = "repo string, n long, run_id string"
+
+
+def append_run(snapshot: DataFrame, path: str, run_id: str, cap: int = CAP) -> None:
+    """Add a run's snapshot (repo, any other columns).  ``run_id`` sorts by time,
+    as UTC stamps do; see ``append_runs``."""
+    append_runs(snapshot.withColumn("run_id", F.lit(run_id)), path, cap)
+
+
+def append_runs(snapshots: DataFrame, path: str, cap: int = CAP) -> None:
+    """Add runs, named by ``run_id``, in one write of their rows and one of their
+    index.  Then run folders that no repository has among its last ``cap`` runs
+    are removed, index first.  Runs of an empty table don't exist."""
+    spark = snapshots.sparkSession
+    rows = snapshots.hint("rebalance", "run_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    rows.partitionBy("run_id").parquet(f"{path}/data")
+    # one row for each repository and run: bounded by the repositories
+    counted = snapshots.groupBy("repo", F.col("run_id").cast("string").alias("run_id")).agg(F.count("*").alias("n"))
+    counted.select("repo", "n", "run_id").hint("rebalance", "run_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{path}/index")
+    if cap > 0:
+        index = read_index(spark, path)
+        kept = _aged(index).where(F.col("age") <= cap).select("run_id").distinct()
+        # as many rows as there are run folders to remove
+        for row in index.select("run_id").distinct().join(kept, "run_id", "left_anti").collect():
+            for part in ("index", "data"):
+                _delete(spark, f"{path}/{part}/run_id={row.run_id}")
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """(repo, n, run_id) of all runs; empty before the first one."""
+    try:
+        return spark.read.schema(_INDEX).parquet(f"{path}/index")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], _INDEX)
+
+
+def _aged(index: DataFrame) -> DataFrame:
+    """The index with ``age``, 1 for a repository's last run."""
+    return index.withColumn("age", F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("run_id"))))
+
+
+def read_runs(spark: SparkSession, path: str, cap: int = CAP, schema: str | None = None) -> DataFrame:
+    """The last ``cap`` runs of each repository, all for 0.
+
+    Only run folders that the index names are listed and read: as many names as
+    folders reach the driver, which has to list them anyway."""
+    kept = _aged(read_index(spark, path)).where(F.lit(cap <= 0) | (F.col("age") <= cap)).select("repo", "run_id")
+    names = sorted(r.run_id for r in kept.select("run_id").distinct().collect())
+    reader = spark.read.option("basePath", f"{path}/data")
+    if not names:
+        return spark.createDataFrame([], schema or "repo string, run_id string")
+    rows = (reader.schema(schema) if schema else reader).parquet(*[f"{path}/data/run_id={n}" for n in names])
+    return rows.withColumn("run_id", F.col("run_id").cast("string")).join(kept, ["repo", "run_id"], "left_semi")
+
+
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """The last run of each repository."""
+    return read_runs(spark, path, 1)
 
 
 def last_runs(runs: DataFrame, limit: int = 0) -> DataFrame:

@@ -1,39 +1,105 @@
-"""Drift as a stream: snapshots arrive as files, each batch is compared with the
-keys seen before and then adds its own."""
+"""Drift as a stream: snapshots arrive as files, and each key keeps its own state.
+
+A key's state is its last sighting and the sightings that still wait for the
+watermark, so a batch touches the keys that it holds and those whose time has
+come, never the history.  Sightings are handled in the order of their time once
+the watermark has passed them: late ones find their place, repeated ones are one,
+and a batch that is run again starts from the state before it.  A key that was
+not seen for ``keep`` is removed, and so is its state.
+"""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
+from collections.abc import Iterator
+from datetime import UTC, datetime, timedelta
+
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+
+SNAPSHOT = "repo string, section string, key string, payload string, at timestamp"
+CHANGES = "repo string, section string, key string, at timestamp, status string, payload string"
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _millis(at: datetime) -> int:
+    return round(at.replace(tzinfo=at.tzinfo or UTC).timestamp() * 1000)
+
+
+class KeyDrift(StatefulProcessor):
+    """The state of one key, and the changes that it gives."""
+
+    def __init__(self, keep: timedelta) -> None:
+        self.keep = round(keep.total_seconds() * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        #: the last sighting that was handled
+        self.last = handle.getValueState("last", "at long, payload string")
+        #: payloads of sightings to come, by their time
+        self.waiting = handle.getMapState("waiting", "at long", "payload string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:  # noqa: N802, N803
+        for row in rows:
+            at = (_millis(row["at"]),)
+            if self.waiting.containsKey(at):
+                held = self.waiting.getValue(at)[0]
+                payload = max((p for p in (held, row["payload"]) if p is not None), default=None)
+            else:
+                payload = row["payload"]
+                self.handle.registerTimer(at[0])
+            self.waiting.updateValue(at, (payload,))
+        yield from ()
 
-from stocktake.operators.drift import KEY
-from stocktake.operators.relational import keep_last
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:  # noqa: N802, N803
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        last = self.last.get() if self.last.exists() else None
+        if self.waiting.containsKey((now,)):
+            payload = self.waiting.getValue((now,))[0]
+            self.waiting.removeKey((now,))
+            if last is not None and last[0] + self.keep < now:
+                # the timer of its end comes in this batch, too, but later
+                yield self._change(key, last[0] + self.keep, "removed", last[1])
+                last = None
+            if last is None:
+                yield self._change(key, now, "added", payload)
+            elif last[1] != payload:
+                yield self._change(key, now, "changed", payload)
+            end = now + self.keep
+            if end < timerValues.getCurrentWatermarkInMs() and not any(now < at <= end for (at,) in self.waiting.keys()):
+                # the end has passed already, and timers set now come with the next batch
+                yield self._change(key, end, "removed", payload)
+                self.last.clear()
+            else:
+                self.last.update((now, payload))
+                # one past it, as a sighting at the very end still counts as seen
+                self.handle.registerTimer(end + 1)
+        elif last is not None and last[0] + self.keep + 1 == now:
+            yield self._change(key, now - 1, "removed", last[1])
+            self.last.clear()
 
-SNAPSHOT = "repo string, section string, key string, payload string, run_id string"
+    def close(self) -> None:
+        pass
 
+    @staticmethod
+    def _change(key: tuple, at: int, status: str, payload: str | None) -> Row:
+        return Row(repo=key[0], section=key[1], key=key[2], at=datetime.fromtimestamp(at / 1000, UTC), status=status, payload=payload)
 
-def follow(spark: SparkSession, arrivals: str, history: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Write the keys of arriving snapshots that ``history`` never held to
-    ``out``.  Takes all that is there, then ends (``availableNow``).
 
-    ``history`` holds each key once: a batch adds its new keys only, so the
-    state grows with the keys and not with the runs.  Both writes are named after
-    the batch, so a batch that is run again after a failure replaces its own rows.
-    """
+def changes(snapshots: DataFrame, keep: timedelta, late: str = "0 seconds") -> DataFrame:
+    """``CHANGES`` of a stream of ``SNAPSHOT`` rows, as
+    ``operators.drift.key_changes`` gives them for a table.  Sightings that are up
+    to ``late`` behind the newest are put in order; later ones are dropped.
+    Times are kept to the millisecond.  Rows without a time or a key are none."""
+    rows = snapshots.where("at IS NOT NULL AND key IS NOT NULL").withWatermark("at", late)
+    return rows.groupBy("repo", "section", "key").transformWithState(KeyDrift(keep), CHANGES, "Append", "EventTime")
 
-    def step(batch: DataFrame, number: int) -> None:
-        rows = keep_last(batch, KEY, ["run_id", "payload"])
-        try:
-            earlier = spark.read.schema("repo string, section string, key string, batch long").parquet(history).where(f"batch < {number}")
-            rows = rows.join(earlier.select(*KEY), KEY, "left_anti")
-        except AnalysisException as e:  # no history yet
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-        rows = rows.persist()
-        rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
-        rows.select(*KEY).write.mode("overwrite").parquet(f"{history}/batch={number}")
-        rows.unpersist()
 
+def follow(spark: SparkSession, arrivals: str, out: str, checkpoint: str, keep: timedelta, late: str = "0 seconds") -> StreamingQuery:
+    """Write the changes of arriving snapshots to ``out``.  Takes all that is
+    there, then ends (``availableNow``); started again it goes on from its state.
+    The file sink commits by batch, so no change is written twice."""
+    if spark.conf.get(_STORE, None) != _ROCKS:
+        spark.conf.set(_STORE, _ROCKS)  # the state of keys needs column families
     stream = spark.readStream.schema(SNAPSHOT).parquet(arrivals)
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return changes(stream, keep, late).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()

@@ -142,16 +142,6 @@ def test_repo_list_keeps_first_mentions(spark):
     assert [r.repo for r in repo_list(spark, path, ["a"]).orderBy("place").collect()] == ["a", "b"]
 
 
-def test_drift_stream(spark):
-    from stocktake.streaming.drift import SNAPSHOT, follow
-
-    root = tempfile.mkdtemp()
-    for k, keys in enumerate((["x", "y"], ["y", "z"])):
-        spark.createDataFrame([("r", "models", key, "{}", str(k)) for key in keys], SNAPSHOT).write.mode("append").parquet(f"{root}/in")
-        follow(spark, f"{root}/in", f"{root}/history", f"{root}/new", f"{root}/checkpoint").awaitTermination()
-    assert sorted((r.batch, r.key) for r in spark.read.parquet(f"{root}/new").collect()) == [(0, "x"), (0, "y"), (1, "z")]
-
-
 def test_notebooks_below_ignored_folders_are_read(stock):
     assert [(r.type, r.source_file) for r in stock.datasets.where("source_file LIKE '%ipynb%'").collect()] == [("FAISS.x", "venv/kept.ipynb#cell-0")]
 
