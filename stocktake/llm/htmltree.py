@@ -1,9 +1,11 @@
 """Main text of web pages by a tree-structured graphical model.
 
 A page is parsed into a tree of block elements.  Each node is content or
-boilerplate.  A node's potential comes from its own features (tag, words of its
-class and id, link density, length), a parent and child share a potential that
-depends on the child's kind.  Messages go up the tree and down again
+boilerplate.  A node's potential comes from its own features: tag, link density,
+length, and what its class and id say, which counts differently for an element
+that holds most of the page's text or its heading.  A parent and child share a
+potential that depends on the child's kind, and on whether the parent is named or
+made as a part beside the text.  No name decides for all that stands below it.  Messages go up the tree and down again
 (sum-product), which gives every node its exact marginal.  The parameters are
 fitted by maximum likelihood on labelled pages: the gradient is the difference
 between the features of the labels and their expectation under the model.
@@ -48,20 +50,32 @@ GOOD = frozenset("article content post entry main body story text page blog hent
 BAD = frozenset(
     "ad ads advert advertisement adverts banner sponsor sponsored promo promoted popup modal overlay cookie cookies consent gdpr notice notices alert nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead footer foot bottom sidebar side aside widget widgets related recommended recommendations more share sharing social comment comments disqus reply replies discussion respond form search login signup subscribe newsletter copyright legal toolbar pager pagination tags meta byline skip toc topbar trending outbrain taboola hidden".split()
 )
+#: words beside which such a name tells how a page is laid out, not what a part is
+MODIFIERS = frozenset("has have no not with without is show shows hide hides enabled disabled enable disable left right open opened closed fixed sticky on off active inactive layout col cols column columns mode style theme aware ready below above toggled count".split())
 
 
 class Node:
     """A block element, or a run of text and inline elements inside one."""
 
-    __slots__ = ("tag", "words", "parent", "children", "text", "size", "linked", "inside", "amid", "hidden", "label")
-
-    def __init__(self, tag: str, words: tuple[str, ...], parent: int, hidden: bool, label: int | None) -> None:
-        self.tag, self.words, self.parent, self.hidden, self.label = tag, words, parent, hidden, label
+    __slots__ = ("tag", "bad", "good", "parent", "children", "text", "size", "linked", "inside", "first", "holds", "share", "marked", "hidden", "label")
+
+    def __init__(self, tag: str, names: list[str], parent: int, hidden: bool, label: int | None) -> None:
+        self.tag, self.parent, self.hidden, self.label = tag, parent, hidden, label
+        self.bad, self.good = 0, False  # 1: only beside a modifier, 2: by itself
+        for name in names:
+            words = {w.lower().rstrip("0123456789") for w in _SPLIT.split(name)}
+            if words & BAD:
+                self.bad = max(self.bad, 1 if words & MODIFIERS else 2)
+            elif words & GOOD:
+                self.good = True
         self.children: list[int] = []
         self.text: list[str] = []
         self.size = self.linked = 0  # letters below, and those of them in links
         self.inside = False  # below an article or main element
-        self.amid = False  # below a part whose tag or name says that it is no content
+        self.first = False  # the page's first h1, article or main element
+        self.holds = False  # it is, or holds, the page's first h1, article or main element
+        self.share = 0.0  # of the page's letters, those below
+        self.marked = False  # its tag or name says that it is beside the text, and it is no holder
 
 
 def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
@@ -101,24 +115,25 @@ def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
 def parse(page: str) -> list[Node]:
     """Nodes of a page in document order, the root first.  Unclosed and
     misnested tags are mended as browsers do for blocks."""
-    nodes = [Node("#root", (), -1, False, None)]
+    nodes = [Node("#root", [], -1, False, None)]
     stack = [0]  # open blocks
     opened: Counter[str] = Counter()  # of each tag
     unclosed: set[str] = set()  # raw elements that no later tag closes
     links, text_node = 0, -1
 
     def open_node(tag: str, attributes: str) -> int:
-        found, hidden, label = [], False, None
+        found: list[str] = []
+        hidden, label = False, None
         for name, a, b, c in _ATTR.findall(attributes):
             value = a or b or c
             name = name.lower()
             if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "").lower()):
                 hidden = True
             elif name in ("class", "id", "role"):
-                found += _SPLIT.split(value.lower())
+                found += value.split()
         if "data-content" in attributes:
             label = int('data-content="1"' in attributes)
-        node = Node(tag, tuple(w for w in found if w), stack[-1], hidden or nodes[stack[-1]].hidden, label if label is not None else nodes[stack[-1]].label)
+        node = Node(tag, found, stack[-1], hidden or nodes[stack[-1]].hidden, label if label is not None else nodes[stack[-1]].label)
         nodes.append(node)
         nodes[stack[-1]].children.append(len(nodes) - 1)
         return len(nodes) - 1
@@ -208,25 +223,49 @@ def parse(page: str) -> list[Node]:
             node.size = len("".join(node.text).strip())
         up.size += node.size
         up.linked += node.linked
-    for node in nodes[1:]:
+    total, seen = max(1, nodes[0].size), set()
+    away = [False] * len(nodes)  # below a small part beside the text, as comments are
+    for i, node in enumerate(nodes):
+        node.share = node.size / total
+        if not i:
+            continue
         up = nodes[node.parent]
         node.inside = up.inside or up.tag in ("article", "main")
-        node.amid = up.amid or up.tag in _ASIDE or (up.tag == "header" and not up.inside) or any(w in BAD for w in up.words)
+        away[i] = away[node.parent] or ((up.bad == 2 or up.tag in _ASIDE) and up.share < 0.7)
+        if node.tag in ("h1", "article", "main") and node.tag not in seen and not away[i]:
+            seen.add(node.tag)
+            node.first = True
+            while i >= 0 and not nodes[i].holds:
+                nodes[i].holds = True
+                i = nodes[i].parent
+    for node in nodes:
+        beside = node.bad == 2 or node.tag in _ASIDE or (node.tag == "header" and not node.inside)
+        # without any heading or article the text may stand in a part of an odd name
+        node.marked = beside and not node.holds and (bool(seen) or node.tag in _NEVER or node.share < 0.8 or 2 * node.linked > node.size)
     return nodes
 
 
 TAGS = "#root #text html head body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th thead tbody pre blockquote figure figcaption nav header footer aside form button fieldset address details summary".split()
 _TAG_AT = {t: i for i, t in enumerate(TAGS)}
-_OWN = ["bias", "bad word", "good word", "hidden", "links < 1/4", "links < 3/4", "links more", "short", "middle", "long", "sentence end", "copyright"]
-_OWN += ["block links < 1/4", "block links < 3/4", "block links more", "block short", "block middle", "block long", "inside", "header inside", "amid", "text amid"]
+_SHARES = ("little", "some", "most")
+_OWN = ["bias", "good name", "hidden", "links < 1/4", "links < 3/4", "links more", "short", "middle", "long", "sentence end", "copyright"]
+_OWN += ["block links < 1/4", "block links < 3/4", "block links more", "block short", "block middle", "block long", "inside", "header inside", "form around most", "first h1", "first article", "first main"]
+_OWN += [f"bad name, {how}, {what}, {share}" for how in ("modified", "plain") for what in ("beside", "holder") for share in _SHARES]
+_OWN_AT = {name: len(TAGS) + 1 + i for i, name in enumerate(_OWN)}
 UNARY = len(TAGS) + 1 + len(_OWN)
-#: kinds of edges: by the child
-EDGES = ["text", "text block", "list", "container", "page part", "other"]
+#: kinds of edges: by the child, and by whether the parent is marked
+_CHILDREN = ["text", "text block", "list", "container", "page part", "other"]
+EDGES = _CHILDREN + [f"{c} of a marked parent" for c in _CHILDREN]
 _ASIDE = frozenset("nav footer aside form fieldset button".split())
+_NEVER = frozenset("nav footer aside button".split())
 _PARTS = frozenset("nav header footer aside form article main section".split())
 
 
-def _edge(node: Node) -> int:
+def _edge(node: Node, parent: Node) -> int:
+    return _child(node) + (len(_CHILDREN) if parent.marked else 0)
+
+
+def _child(node: Node) -> int:
     if node.tag == "#text":
         return 0
     if node.tag in ("p", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "figure", "figcaption", "dd", "dt"):
@@ -240,33 +279,34 @@ def _edge(node: Node) -> int:
 
 def features(node: Node) -> list[int]:
     """Places of the features that the node has."""
-    base = len(TAGS) + 1
-    if any(w in BAD for w in node.words):
-        out = [base, base + 1]  # the name says more than the tag
-    else:
-        out = [base, _TAG_AT.get(node.tag, len(TAGS))]
-        if any(w in GOOD for w in node.words):
-            out.append(base + 2)
+    around = node.tag == "form" and (node.holds or node.share >= 0.5)
+    out = [_OWN_AT["bias"], _OWN_AT["form around most"] if around else _TAG_AT.get(node.tag, len(TAGS))]
+    if node.bad:
+        share = _SHARES[0 if node.share < 0.3 else 1 if node.share < 0.7 else 2]
+        out.append(_OWN_AT[f"bad name, {'plain' if node.bad == 2 else 'modified'}, {'holder' if node.holds else 'beside'}, {share}"])
+    elif node.good:
+        out.append(_OWN_AT["good name"])
     if node.hidden:
-        out.append(base + 3)
+        out.append(_OWN_AT["hidden"])
     if node.inside:
-        out.append(base + 18)
+        out.append(_OWN_AT["inside"])
         if node.tag in ("header", "hgroup"):
-            out.append(base + 19)
-    if node.amid:
-        out.append(base + (21 if node.tag == "#text" else 20))
-    share = node.linked / max(1, node.size)
+            out.append(_OWN_AT["header inside"])
+    linked = node.linked / max(1, node.size)
+    density = "links < 1/4" if linked < 0.25 else "links < 3/4" if linked < 0.75 else "links more"
     if node.tag != "#text":
-        out.append(base + (12 if share < 0.25 else 13 if share < 0.75 else 14))
-        out.append(base + (15 if node.size < 60 else 16 if node.size < 300 else 17))
-    if node.tag == "#text":
+        if node.first:
+            out.append(_OWN_AT[f"first {node.tag}"])
+        out.append(_OWN_AT[f"block {density}"])
+        out.append(_OWN_AT["block short" if node.size < 60 else "block middle" if node.size < 300 else "block long"])
+    else:
         text = "".join(node.text).strip()
-        out.append(base + (4 if share < 0.25 else 5 if share < 0.75 else 6))
-        out.append(base + (7 if len(text) < 25 else 8 if len(text) < 120 else 9))
+        out.append(_OWN_AT[density])
+        out.append(_OWN_AT["short" if len(text) < 25 else "middle" if len(text) < 120 else "long"])
         if text.endswith((".", "!", "?", "…", ":", ";", "”", '"')):
-            out.append(base + 10)
+            out.append(_OWN_AT["sentence end"])
         if "©" in text or "&copy" in text or "all rights reserved" in text.lower():
-            out.append(base + 11)
+            out.append(_OWN_AT["copyright"])
     return out
 
 
@@ -280,7 +320,7 @@ class TreeModel:
         """Content marginal of each node, and joint marginals of each node with
         its parent (node, parent's state, own state)."""
         n = len(nodes)
-        score, kind = [float(self.unary[f].sum()) for f in own], [_edge(x) for x in nodes]
+        score, kind = [float(self.unary[f].sum()) for f in own], [_edge(x, nodes[x.parent]) for x in nodes]
         pot = np.exp(self.edge).tolist()
         belief = [(1.0, float(np.exp(np.clip(s, -30, 30)))) for s in score]
         up: list[tuple[float, float]] = [(1.0, 1.0)] * n
@@ -320,7 +360,7 @@ class Forest:
         shift = np.repeat(np.cumsum([0] + [len(t) for t in trees[:-1]]), [len(t) for t in trees])
         parent = np.array([x.parent for x in nodes])
         self.parent = np.where(parent < 0, -1, parent + shift)
-        self.kind = np.array([_edge(x) for x in nodes])
+        self.kind = np.array([_edge(x, t[x.parent]) for t in trees for x in t])
         self.label = np.array([x.label or 0 for x in nodes])
         own = [features(x) for x in nodes]
         self.rows, self.columns = np.repeat(np.arange(len(nodes)), [len(f) for f in own]), np.concatenate(own)
@@ -375,12 +415,14 @@ def fit(pages: list[str], steps: int = 600, rate: float = 0.05, decay: float = 1
 LAYOUTS = ["article", "article in main", "main", "content div", "post div", "section", "bare div", "grid", "table"]
 
 
-def labelled_pages(count: int = 360, seed: int = 7, layout: str | None = None) -> list[str]:
+def labelled_pages(count: int = 450, seed: int = 7, layout: str | None = None) -> list[str]:
     """Labelled pages to learn from, written from templates of common layouts
     (``LAYOUTS``; all of them in turn unless one is named): with and without a
     heading, headers inside articles, divs with meaningless names inside each
     other, tables for layout, one short paragraph or many long ones, side bars,
-    notices, forms, adverts between paragraphs, comments."""
+    notices, forms, adverts between paragraphs, few or many comments.  Bodies,
+    wrappers and holders often have names with words of ``BAD``, and some pages
+    stand in one form."""
     r = random.Random(seed)
     vocabulary = ["".join(r.choice("bcdfglmnprstv") + r.choice("aeiou") for _ in range(r.randint(1, 4))) for _ in range(400)]
 
@@ -405,7 +447,7 @@ def labelled_pages(count: int = 360, seed: int = 7, layout: str | None = None) -
         return f"<p>{text}" + ("</p>" if r.random() < 0.85 else "")
 
     def body() -> str:
-        parts = [paragraph() for _ in range(r.choice((1, 1, 2, 3, 5, 9)))]
+        parts = [paragraph() for _ in range(r.choice((1, 1, 2, 3, 5, 9)))] if r.random() < 0.93 else [f"<p>{words(1, 3)}</p>"]
         extra = [
             lambda: (lambda h: f"<{h}>{words(2, 6, '')}</{h}>")(r.choice(["h2", "h2", "h3", "h4"])),
             lambda: (lambda t: f"<{t}>{''.join(f'<li>{sentences(1, 2)}</li>' for _ in range(3))}</{t}>")(r.choice(["ul", "ol"])),
@@ -418,7 +460,7 @@ def labelled_pages(count: int = 360, seed: int = 7, layout: str | None = None) -
             lambda: f"<aside data-content=\"0\"><p>{sentences(1, 2)}</p></aside>",
             lambda: f"<div class='{r.choice(['share', 'social', 'related', 'tags'])}' data-content=\"0\">{links(3, 'span')}</div>",
         ]
-        for _ in range(r.randint(0, 4)):
+        for _ in range(r.choice((0, 0, 1, 2, 3, 4)) if len(parts) > 1 else r.choice((0, 0, 0, 1, 3))):
             parts.insert(r.randint(0, len(parts)), r.choice(extra)())
         title = f"<h1>{words(3, 9, r.choice(['', '.']))}</h1>"
         head = r.choice([title, title, f"<header>{title}</header>", f"<div class='{r.choice(['title', 'head', 'x1'])}'>{title}</div>", f"<h2>{words(2, 8, '')}</h2>", ""])
@@ -432,12 +474,27 @@ def labelled_pages(count: int = 360, seed: int = 7, layout: str | None = None) -
             content = f"<div {r.choice(['class', 'id'])}='{r.choice(names)}'>{content}</div>"
         return content
 
+    bad = sorted(BAD)
+
+    def name() -> str:
+        """What a body, wrapper or holder may be called though it has the text."""
+        kinds = [
+            lambda: f"{r.choice(['has', 'no', 'with', 'show', 'is', 'hide'])}-{r.choice(bad)}",
+            lambda: f"{r.choice(bad)}-{r.choice(['left', 'right', 'enabled', 'open', 'fixed', 'off', 'layout', 'active'])}",
+            lambda: f"{r.choice(['single', 'page', 'main-column', 'layout', 'x', 'site'])} {r.choice(bad)}",
+            lambda: f"{r.choice(['layout', 'page', 'view'])} {r.choice(['with', 'no'])}-{r.choice(bad)} {r.choice(bad)}-{r.choice(['on', 'left'])}",
+        ]
+        return r.choice(kinds)()
+
+    def named(tag: str, chance: float = 0.4) -> str:
+        return f"<{tag} {r.choice(['class', 'class', 'id'])}='{name()}'>" if r.random() < chance else f"<{tag}>"
+
     def page(layout: str) -> str:
         nav = r.choice([f"<nav><ul>{links(6)}</ul></nav>", f"<div class='menu'>{links(6, 'span')}</div>", f"<header><p>{words(1, 4, '')}</p><nav>{links(4, 'div')}</nav></header>", f"<ul id='nav'>{links(5)}</ul>", ""])
         top = r.choice(["", f"<div class='ad'>{sentences(1, 1)}</div>", f"<div class='cookie-notice'><p>{sentences(1, 3)}</p><button>ok</button></div>", f"<div id='banner'>{words(4, 9)}</div>", f"<div role='alert' class='notice'>{sentences(1, 2)}</div>"])
         side = r.choice(["", f"<aside><h3>{words(1, 3, '')}</h3><p>{sentences(1, 3)}</p><ul>{links(4)}</ul></aside>", f"<div class='sidebar'><h3>{words(1, 3, '')}</h3><p>{sentences(1, 4)}</p></div>", f"<section class='related'><h2>{words(1, 2, '')}</h2>{links(3, 'p')}</section>"])
         form = r.choice(["", f"<form><label>{words(1, 3, '')}</label><p>{words(3, 8)}</p><input><button>{words(1, 1, '')}</button></form>"])
-        comments = r.choice(["", f"<div class='comments'><h3>{words(1, 1, '')}</h3>" + "".join(f"<div class='comment'><p>{sentences(1, 4)}</p></div>" for _ in range(2)) + "</div>", f"<section id='comments'><article><p>{sentences(1, 4)}</p></article></section>", f"<ol class='commentlist'><li>{sentences(1, 3)}</li></ol>"])
+        comments = r.choice(["", f"<div class='comments'><h3>{words(1, 1, '')}</h3>" + "".join(f"<div class='comment'><p>{sentences(1, 4)}</p></div>" for _ in range(r.choice((2, 2, 6, 12)))) + "</div>", f"<section id='comments'><article><p>{sentences(1, 4)}</p></article></section>", f"<ol class='commentlist'><li>{sentences(1, 3)}</li></ol>"])
         foot = r.choice([f"<footer>&copy; x.example &middot; {sentences(1, 2)}</footer>", f"<div class='footer'><p>{sentences(1, 2)}</p></div>", f"<footer><p>{words(2, 6)}</p><ul>{links(3)}</ul></footer>", ""])
         mark = 'data-content="1"'
         open_, close = {
@@ -452,6 +509,9 @@ def labelled_pages(count: int = 360, seed: int = 7, layout: str | None = None) -
             "table": ("", ""),
         }[layout]
         inside = "" if r.random() < 0.7 else comments.replace("<div class='comments'>", "<div class='comments' data-content=\"0\">").replace("<section id='comments'>", "<section id='comments' data-content=\"0\">").replace("<ol class='commentlist'>", "<ol class='commentlist' data-content=\"0\">")
+        if open_ and r.random() < 0.35:  # a holder's own name, or one more
+            own = name()
+            open_ = open_.replace("class='", f"class='{own} ", 1) if "class='" in open_ else open_.replace(f" {mark}", f" class='{own}' {mark}", 1)
         text = f"{open_}{body()}{inside}{close}"
         if layout == "grid":
             text = grid(f"<div {mark}>{text}</div>") if r.random() < 0.5 else f"<div {mark}>{grid(text)}</div>"
@@ -460,7 +520,12 @@ def labelled_pages(count: int = 360, seed: int = 7, layout: str | None = None) -
             side = ""
         elif r.random() < 0.4:
             text, side = grid(text + (f"<div class='{r.choice(['row', 'col-4', 'x'])}'>{side}</div>" if side else "")), ""
-        return f"<!DOCTYPE html><html><head><title>{words(2, 5, '')}</title><script>var a='<p>';</script></head><body>{nav}{top}{text}{side}{form}{'' if inside else comments}{foot}</body></html>"
+        rest = f"{nav}{top}{text}{side}{form}{'' if inside else comments}{foot}"
+        if r.random() < 0.25:
+            rest = f"{named('div', 0.9)}{rest}</div>"
+        if not form and r.random() < 0.12:
+            rest = f"<form id='{r.choice(['form1', 'aspnetForm', name()])}' method='post'><input type='hidden'>{rest}</form>"
+        return f"<!DOCTYPE html><html><head><title>{words(2, 5, '')}</title><script>var a='<p>';</script></head>{named('body')}{rest}</body></html>"
 
     return [page(layout or LAYOUTS[k % len(LAYOUTS)]) for k in range(count)]
 

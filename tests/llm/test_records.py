@@ -171,7 +171,7 @@ def tree_marginals(model, nodes, own):
         total = sum(sum(model.unary[f] for f in own[i]) for i, x in enumerate(labels) if x)
         for i, node in enumerate(nodes):
             if node.parent >= 0:
-                total += model.edge[htmltree._edge(node)].reshape(2, 2)[labels[node.parent], labels[i]]
+                total += model.edge[htmltree._edge(node, nodes[node.parent])].reshape(2, 2)[labels[node.parent], labels[i]]
         scores.append((labels, np.exp(total)))
     z = sum(s for _, s in scores)
     return [sum(s for labels, s in scores if labels[i]) / z for i in range(len(nodes))]
@@ -217,6 +217,33 @@ def test_ordinary_layouts_keep_their_article():
     assert found.endswith(text) and "x=2" in found
 
 
+TITLE = "<h1>A long title of things</h1>"
+LINES = ["This is the first paragraph of the article, and it says something about the weather.", "Second paragraph with more words about rivers and hills and towns.", "Third one ends it here, with a last remark."]
+ARTICLE = TITLE + "".join(f"<p>{x}</p>" for x in LINES)
+MENU = "<nav><ul><li><a href='/a'>Home</a></li><li><a href='/b'>News</a></li></ul></nav>"
+SIDE = "<div class='sidebar'><h3>About</h3><p>We write about many things. Read on and learn more of us.</p></div>"
+FOOT = "<footer>&copy; example 2020</footer>"
+COMMENTS = "<div class='comments'><h3>Comments</h3>" + "".join(f"<div class='comment'><p>I think that number {i} is quite right about this, thank you for it.</p></div>" for i in range(8)) + "</div>"
+EVERYDAY = {
+    "body has-sidebar": f"<body class='single has-sidebar'>{MENU}<div>{ARTICLE}</div>{SIDE}{COMMENTS}{FOOT}</body>",
+    "body no-comments": f"<body class='no-comments'>{MENU}<article>{ARTICLE}</article>{FOOT}</body>",
+    "main with-nav": f"<body>{MENU}<main class='page with-nav'>{ARTICLE}</main>{SIDE}{COMMENTS}{FOOT}</body>",
+    "layout sidebar-left": f"<body>{MENU}<div class='layout sidebar-left'><div class='content'>{ARTICLE}</div>{SIDE}</div>{FOOT}</body>",
+    "article ads-enabled": f"<body>{MENU}<article class='ads-enabled'>{ARTICLE}</article>{COMMENTS}{FOOT}</body>",
+    "column more": f"<body>{MENU}<div class='main-column more'>{ARTICLE}</div>{SIDE}{FOOT}</body>",
+    "form around the page": f"<body><form id='aspnetForm' method=post><input>{MENU}<div id='content'>{ARTICLE}</div>{SIDE}{FOOT}</form></body>",
+    "wiki": f"<body><div id='page-base'></div><div id='content' class='wiki-body'>{ARTICLE}</div><div id='wiki-navigation'>{MENU}</div>{FOOT}</body>",
+    "no name at all": f"<body>{ARTICLE}</body>",
+    "site parts": f"<body class='page-template widget-area-on header-fixed'><div class='site-header'>{MENU}</div><div class='site-main'><div class='post'>{ARTICLE}</div>{COMMENTS}</div><div class='site-footer'><p>Imprint and other things are here.</p></div></body>",
+}
+
+
+@pytest.mark.parametrize("name", EVERYDAY)
+def test_names_of_wrappers_and_holders_do_not_decide(name):
+    found = htmltree.extract(f"<html>{EVERYDAY[name]}</html>", htmltree.default_model())
+    assert found.split("\n\n") == ["A long title of things", *LINES]
+
+
 @pytest.mark.parametrize("piece", ["<a '", '<a ="', "<div>", "<svg>", "</x>", "<x>", "<li>", "<p><b>", "<!--", "<a b='>' c=\"", "<td><li>"])
 def test_hostile_pages_take_linear_time(piece):
     model = htmltree.default_model()
