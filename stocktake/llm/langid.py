@@ -5,9 +5,11 @@ that occurs in that text.  A document is parsed, left to right, into the longest
 phrases that the automaton knows; the language whose automaton needs the fewest
 phrases, normalised by the logarithm of its text's length, wins.
 
-The automata are tables of next states.  All segments of a slice of documents
-walk them in step, so one numpy operation advances thousands of documents by a
-letter; a failed step returns to the root and counts a phrase.
+The automata are tables of next states: one entry for each state and letter of
+the language while such tables are small, and else only the steps that exist, the
+rows of all states laid into each other's gaps.  All segments of a slice of
+documents walk them in step, so one numpy operation advances thousands of
+documents by a letter; a failed step returns to the root and counts a phrase.
 """
 
 from __future__ import annotations
@@ -25,8 +27,9 @@ from .common import batch_of, held_out, over_batches, resident, text_slices
 #: bound of the training sample: passages of each language, and characters of one
 PASSAGES_PER_LANG = 40
 PASSAGE = 2_000
-#: languages that are learned, the most frequent ones
-LANGUAGES = 250
+#: entries of full tables in one worker, over all languages; those of further
+#: languages, and wide ones, are sparse
+FULL_ENTRIES = 32_000_000
 #: bits a letter above which no learned language explains a text; text of a
 #: learned language needs a third to a half of it, short texts up to eight
 STRANGE = 9.0
@@ -38,7 +41,7 @@ SEGMENT = 512
 
 @lru_cache(1)
 def _letters() -> np.ndarray:
-    return np.array([chr(c).isalpha() for c in range(0x10000)] + [True])
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
 def normalise(text: str) -> str:
@@ -57,7 +60,7 @@ def training_text(docs: DataFrame, passages: int = PASSAGES_PER_LANG) -> dict[st
     """
     learn = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id")).select("doc_id", "lang", "text")
     parts = F.ceil(F.length("text") / PASSAGE)
-    counts = learn.groupBy("lang").agg(F.sum(parts).alias("n")).where("n > 0").orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    counts = learn.groupBy("lang").agg(F.sum(parts).alias("n")).where("n > 0").collect()  # a row for each language
     if not counts:
         return {}
     share = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(1.0, 4 * passages / r.n))])
@@ -65,6 +68,7 @@ def training_text(docs: DataFrame, passages: int = PASSAGES_PER_LANG) -> dict[st
     mark = F.xxhash64("doc_id", "i")
     few = place.where((mark / float(1 << 64) + 0.5) <= F.try_element_at(share, "lang"))
     few = few.select("lang", mark.alias("mark"), F.substring("text", F.col("i") * PASSAGE + 1, F.lit(PASSAGE)).alias("part"))
+    few = few.distinct()  # repeated rows have one mark: they count once, and don't fill a task
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("mark", "part"))
     found = few.withColumn("rank", rank).where(F.col("rank") <= passages).collect()
     out: dict[str, list[str]] = {}
@@ -103,39 +107,103 @@ def suffix_automaton(text: str) -> list[dict[str, int]]:
     return step
 
 
-class CrossParser:
-    """Tables of the automata of several languages.
+class Full:
+    """An automaton as one table.  An entry holds the place of the next row and,
+    in its lowest bit, whether a phrase ended."""
+
+    def __init__(self, automaton: list[dict[str, int]], column: dict[str, int]) -> None:
+        width = len(column) + 1  # the last column: letters that the language never had
+        row = 2 * width
+        root = np.full(width, len(automaton) * row, np.int32)
+        root[[column[c] for c in automaton[0]]] = [to * row for to in automaton[0].values()]
+        table = np.empty((len(automaton) + 1, width), np.int32)
+        table[:] = root + 1  # a failed step ends a phrase
+        table[0] = root
+        for state, arrows in enumerate(automaton):
+            for c, to in arrows.items():
+                table[state, column[c]] = to * row
+        self.table = table.ravel()
+
+    def step(self, state: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next places, and whether a phrase ended."""
+        value = self.table[state + letter]
+        return value >> 1, value & 1
+
+
+class Sparse:
+    """An automaton by its existing steps.  Those of a state stand at the state's
+    base plus the letter; ``owner`` tells whose step a place holds."""
+
+    def __init__(self, automaton: list[dict[str, int]], column: dict[str, int]) -> None:
+        width, n = len(column) + 1, len(automaton)
+        self.root = np.full(width, n, np.int32)
+        self.root[[column[c] for c in automaton[0]]] = list(automaton[0].values())
+        steps = sum(map(len, automaton))
+        size = steps + 2 * width
+        taken, self.base = bytearray(size), np.zeros(n + 1, np.int32)
+        places, owners, targets = [], [], []
+        low = reached = width  # no gap before the first
+        # wide rows first; narrow ones fill the gaps
+        for state in sorted(range(1, n), key=lambda s: -len(automaton[s])):
+            letters = [column[c] for c in automaton[state]]
+            if not letters:
+                continue
+            # a wide row is not tried in gaps far behind, which narrow ones will fill
+            least, at = min(letters), low if len(letters) == 1 else max(low, reached)
+            while True:
+                at = taken.find(0, at)
+                if at < 0:
+                    at = len(taken)
+                if at + width >= len(taken):
+                    taken.extend(bytes(len(taken) // 2 + width))
+                base = at - least
+                if base >= 0 and not any(taken[base + x] for x in letters):
+                    break
+                at += 1
+            reached = max(reached, at - 4 * width)
+            for x, to in zip(letters, automaton[state].values(), strict=True):
+                taken[base + x] = 1
+                places.append(base + x)
+                owners.append(state)
+                targets.append(to)
+            self.base[state] = base
+            low = taken.find(0, low)
+            low = len(taken) if low < 0 else low
+        last = max(places, default=0) + width + 1
+        self.owner, self.target = np.full(last, -1, np.int32), np.zeros(last, np.int32)
+        self.owner[places], self.target[places] = owners, targets
+
+    def step(self, state: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = self.base[state] + letter
+        found = self.owner[place] == state
+        return np.where(found, self.target[place], self.root[letter]), ~found & (state != 0)
 
-    An entry of a table holds the next row and, in its lowest bit, whether a
-    phrase ended.  A letter that the language never had is a phrase by itself:
-    it leads to the last state.  The last column is padding: it stays and counts
-    nothing.
-    """
+
+class CrossParser:
+    """The automata of several languages.  A letter that a language never had is
+    a phrase by itself: it leads to the last state, which has no step."""
 
     def __init__(self, texts: dict[str, str]) -> None:
         self.langs = list(texts)
         alphabet = sorted(set("".join(texts.values())) - {" "})
-        self.symbol = np.full(0x10001, len(alphabet) + 1, np.uint8 if len(alphabet) < 250 else np.uint16)  # letters never learned
+        self.symbol = np.full(0x110000, len(alphabet) + 1, np.uint16 if len(alphabet) < 0xFFFE else np.uint32)  # letters never learned
         self.symbol[~_letters()] = 0
-        for i, c in enumerate(alphabet):
-            self.symbol[min(ord(c), 0x10000)] = i + 1
-        column = {" ": 0} | {c: i + 1 for i, c in enumerate(alphabet)}
-        self.width = len(alphabet) + 3
-        self.pad = self.width - 1
-        self.tables, self.cost = [], []
+        self.symbol[[ord(c) for c in alphabet]] = np.arange(1, len(alphabet) + 1)
+        self.tables: list[Full | Sparse] = []
+        self.column: list[np.ndarray] = []  # of each symbol, in a language's table
+        self.cost, room = [], FULL_ENTRIES
         for text in texts.values():
+            own = sorted(set(text) - {" "})
+            column = {" ": 0} | {c: i + 1 for i, c in enumerate(own)}
+            at = np.full(len(alphabet) + 2, len(column), np.int32)
+            at[0] = 0
+            at[[self.symbol[ord(c)] for c in own]] = np.arange(1, len(column))
             automaton = suffix_automaton(text)
-            row = 2 * self.width  # of a state, with the bit beside it
-            root = np.full(self.width, len(automaton) * row, np.int32)
-            root[[column[c] for c in automaton[0]]] = [to * row for to in automaton[0].values()]
-            table = np.empty((len(automaton) + 1, self.width), np.int32)
-            table[:] = root + 1  # a failed step ends a phrase
-            table[0] = root
-            for state, arrows in enumerate(automaton):
-                for c, to in arrows.items():
-                    table[state, column[c]] = to * row
-            table[:, self.pad] = np.arange(len(table)) * row
-            self.tables.append(table.ravel())
+            entries = (len(automaton) + 1) * (len(column) + 1)
+            full = entries <= min(room, FULL_ENTRIES // 4)
+            room -= entries if full else 0
+            self.tables.append((Full if full else Sparse)(automaton, column))
+            self.column.append(at)
             self.cost.append(np.log2(max(2, len(text))))
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +211,7 @@ class CrossParser:
         lowered = [t.lower() for t in texts]
         joined = "\n".join(lowered) + "\n"
         codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-        symbols = self.symbol[np.minimum(codes, 0x10000)]
+        symbols = self.symbol[codes]
         ends = np.cumsum([len(t) + 1 for t in lowered]) - 1
         space = symbols == 0
         keep = ~space
@@ -160,19 +228,18 @@ class CrossParser:
         size = np.minimum(SEGMENT, begins[owner + 1] - start)
         order = np.argsort(-size, kind="stable")
         owner, start, size = owner[order], start[order], size[order]
-        grid = np.full((SEGMENT, len(owner)), self.pad, np.int32)
+        grid = np.zeros((SEGMENT, len(owner)), self.symbol.dtype)  # what lies behind a segment's end is not read
         for t in range(int(size.max(initial=0))):
             live = int(np.searchsorted(-size, -t, side="left"))
             grid[t, :live] = stream[start[:live] + t]
         total = np.zeros((len(texts), len(self.langs)))
-        for k, table in enumerate(self.tables):
+        for k, (table, column) in enumerate(zip(self.tables, self.column, strict=True)):
             state = np.zeros(len(owner), np.int32)
             found = np.zeros(len(owner), np.int32)
             for t in range(int(size.max(initial=0))):
                 live = int(np.searchsorted(-size, -t, side="left"))
-                value = table[state[:live] + grid[t, :live]]
-                found[:live] += value & 1
-                state[:live] = value >> 1
+                state[:live], ended = table.step(state[:live], column[grid[t, :live]])
+                found[:live] += ended
             total[:, k] = np.bincount(owner, found + 1, len(texts))  # the open phrase counts
         return total, letters
 
@@ -187,8 +254,10 @@ def identify(docs: DataFrame, training: dict[str, str]) -> DataFrame:
     """``doc_id``, ``held_out``, ``lang_pred``, ``score`` of each row of ``docs``
     (doc_id, text, any other columns, which predictions don't see).
 
-    A text that is null or has no letter is ``und`` with score 0, as is any
-    text if nothing was learned.  Score: 1/2 if two languages tie, nearer 1 the
+    A text that is null, empty or has no letter (digits, marks, emojis) is
+    ``und`` with score 0, as is any text if nothing was learned.  Texts are parsed
+    whole, however long; repeated rows and null ids are rows like others; an empty
+    table gives no row.  Score: 1/2 if two languages tie, nearer 1 the
     fewer phrases the best needs against the second; 1 with one language
     learned.  Ties go to the language that sorts first.
     """

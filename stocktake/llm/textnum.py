@@ -19,9 +19,8 @@ _MIX2 = np.uint64(0x94D049BB133111EB)
 
 @lru_cache(1)
 def word_chars() -> np.ndarray:
-    """For each code point of the basic plane, and for one beyond it, whether
-    it belongs to words."""
-    return np.array([chr(c).isalnum() for c in range(0x10000)] + [True])
+    """For each code point, whether it belongs to words."""
+    return np.array([chr(c).isalnum() for c in range(0x110000)])
 
 
 @lru_cache(1)
@@ -60,7 +59,7 @@ class Words:
         codes = np.frombuffer(self.joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         lengths = np.fromiter(map(len, lowered), np.int64, len(lowered))
         self.begins = np.concatenate(([0], np.cumsum(lengths + 1)))
-        inside = word_chars()[np.minimum(codes, 0x10000)]
+        inside = word_chars()[codes]
         change = np.diff(inside.view(np.int8), prepend=np.int8(0))
         self.starts = np.flatnonzero(change == 1)
         self.ends = np.flatnonzero(change == -1)

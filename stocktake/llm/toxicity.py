@@ -5,20 +5,27 @@ factor at every word, and at most words that factor is one:
 
 * insult: matches an insult, the arc's weight being what labelled text says of
   the word;
+* predication: matches a word that is an ordinary noun, too (garbage, clown), in
+  full only where somebody is called so ("you are a ...", "you ...");
 * target: raises a match that speaks of or to somebody a few words before;
 * threat: matches a threat verb and the person it is aimed at, in either order;
-* negation: for a few words after a negator, matches shrink;
+* negation: for a few words after a negator, up to a comma, matches shrink;
 * reported speech: after a verb of saying with a colon, a quotation mark or a
   conjunction, and inside quotation marks, matches shrink.
 
 ``compose`` multiplies transducers: one machine runs all of them at once.  The
-grammar is the union of insult o target o negation o reported speech and threat
-o negation o reported speech.  A path through a machine chooses one match; the
-weight of a clause is the sum over all paths of the product of their factors.
-A document's score is a logistic function of the sum over its clauses; words
-that match nothing, however many, change nothing.
-
-Insults beyond the seed list are learned: words that labelled toxic documents
+grammar is the union of insult o target o negation o reported speech, predication
+o target o negation o reported speech, and threat o negation o reported speech.
+A path through a machine chooses one match; the weight of a clause is the sum over
+all paths of the product of their factors.
+
+A document's weight is that of its gravest clause, or what its different insulting
+words weigh together where they stand plainly, neither negated nor reported, if
+that is more.  Nouns at nobody count among these if another word does.  So harmless clauses don't add up, however many they are, and the
+length of a text plays no part.  The score is a logistic function of the weight.
+
+Threat verbs beyond the seed list are learned as words that stand right before a
+person in many contexts of toxic documents and hardly ever in clean ones.  Insults beyond the seed list are learned: words that labelled toxic documents
 hold in many contexts and clean ones hardly ever, and stems of 4 to 6 letters
 with several such forms.  Contexts are counted, not documents, so that copies of
 one document teach no more than one.
@@ -26,7 +33,7 @@ one document teach no more than one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -50,10 +57,18 @@ STEMS = (4, 5, 6)
 #: contexts that a learned word needs, forms that a learned stem needs, least log odds of both
 CONTEXTS, FORMS, ODDS = 8, 5, 3.0
 
-INSULTS = "idiot moron imbecile scum loser trash garbage worthless pathetic stupid disgusting clown idiota imbécil estúpido basura escoria imbécile ordure minable crétin dummkopf abschaum trottel vollidiot".split()
-THREATS = frozenset("kill hurt murder destroy stab töten umbringen vernichten tuer détruire frapper matar destruir golpear".split())
+INSULTS = "idiot moron imbecile scum worthless pathetic stupid disgusting idiota imbécil estúpido escoria imbécile minable crétin dummkopf abschaum trottel vollidiot".split()
+#: insults that are ordinary nouns
+NOUNS = frozenset("loser trash garbage clown basura ordure".split())
+#: present forms that call somebody something
+COPULAS = frozenset("are re is am be bist seid ist sind es est êtes eres sois son".split())
+#: articles of a particular thing
+DEFINITES = frozenset("the this that der die das den dem le la les el los las".split())
+THREATS = frozenset("kill hurt murder destroy stab hate despise töten umbringen vernichten hasse tuer détruire frapper déteste matar destruir golpear odio".split())
 #: persons that a clause may be about
-PERSONS = frozenset("your he she they we people du ihr er tu il elle ils elles usted él ella ellos".split())
+PERSONS = frozenset("he she they we people du ihr er tu il elle ils elles usted él ella ellos".split())
+#: whose something is: a target, but nobody who is called something
+OWNERS = frozenset("your dein deine votre vos vuestro vuestra".split())
 #: persons that a threat may be aimed at, behind its verb
 OBJECTS = frozenset("you him her them sie vous toi ustedes".split())
 #: the same, where they may also stand before the verb
@@ -63,15 +78,16 @@ REPORTERS = frozenset("said says say told wrote claimed called sagte sagt schrie
 OPENERS = frozenset("that dass que ob if".split())
 
 INSULT_WEIGHT, THREAT_WEIGHT = 1.5, 3.0
-TARGETED, NEGATED, REPORTED = 2.0, 0.2, 0.25
+TARGETED, NEGATED, REPORTED, FAINT = 2.0, 0.2, 0.25, 0.3
 #: words that a target, a threat verb or its object, a negator, a verb of saying reach
-TARGET_REACH, THREAT_REACH, NEGATION_REACH, SAID_REACH = 4, 2, 3, 3
+TARGET_REACH, THREAT_REACH, NEGATION_REACH, SAID_REACH, CALLED_REACH = 4, 2, 3, 3, 4
 
 # classes of tokens
-OTHER, INSULT, THREAT, PERSON, OBJECT, EARLY, NEGATOR, REPORTER, OPENER, COLON, QUOTE = range(11)
-CLASSES = 11
-_MARKS = (COLON, QUOTE)  # tokens that are no words
-_TOKEN = regex.compile(r"[^\W_]+|[\"“”«»„:]")
+OTHER, INSULT, NOUN, THREAT, PERSON, OBJECT, EARLY, NEGATOR, REPORTER, OPENER, COPULA, DEFINITE, OWNER, COLON, QUOTE, COMMA = range(16)
+CLASSES = 16
+_MARKS = (COLON, QUOTE, COMMA)  # tokens that are no words
+_SOMEBODY = (PERSON, OBJECT, EARLY)
+_TOKEN = regex.compile(r"[^\W_]+|[\"“”«»„:,]")
 _CLAUSE_END = ".!?;\n"
 
 
@@ -99,8 +115,26 @@ def insult_transducer() -> Transducer:
     return _machine([0], lambda _s, _c: 0, lambda _, c: c == INSULT)
 
 
+def predication_transducer() -> Transducer:
+    """States: somebody was just named, or words left of what they are called."""
+    called = [f"called {k}" for k in range(CALLED_REACH, 0, -1)]
+
+    def step(s: str, c: int) -> str:
+        if c in (COLON, QUOTE):
+            return s
+        if c in _SOMEBODY:
+            return "somebody"
+        if c == COPULA and s != "":
+            return called[0]
+        if c in (DEFINITE, OWNER, COMMA) or s in ("", "somebody", called[-1]):
+            return ""
+        return called[called.index(s) + 1]
+
+    return _machine(["", "somebody", *called], step, lambda s, c: 0.0 if c != NOUN else 1.0 if s else FAINT)
+
+
 def target_transducer() -> Transducer:
-    return _reach({PERSON, OBJECT, EARLY}, TARGET_REACH, TARGETED)
+    return _reach({PERSON, OBJECT, EARLY, OWNER}, TARGET_REACH, TARGETED)
 
 
 def threat_transducer() -> Transducer:
@@ -122,7 +156,9 @@ def threat_transducer() -> Transducer:
 
 
 def negation_transducer() -> Transducer:
-    return _reach({NEGATOR}, NEGATION_REACH, NEGATED)
+    """States: words left after a negator."""
+    reach = NEGATION_REACH
+    return _machine(range(reach + 1), lambda s, c: reach if c == NEGATOR else 0 if c == COMMA else s if c in _MARKS else max(0, s - 1), lambda s, _: NEGATED if s else 1.0)
 
 
 def reported_transducer() -> Transducer:
@@ -138,7 +174,7 @@ def reported_transducer() -> Transducer:
             return said, told, not quoted
         if c in (COLON, OPENER) and said:
             return 0, True, quoted
-        return (said if c == COLON else max(0, said - 1)), told, quoted
+        return (said if c in (COLON, COMMA) else max(0, said - 1)), told, quoted
 
     return _machine(states, step, lambda s, _: REPORTED if s[1] or s[2] else 1.0)
 
@@ -162,10 +198,11 @@ def compose(*parts: Transducer) -> Transducer:
 
 
 @lru_cache(1)
-def grammar_machines() -> tuple[Transducer, Transducer]:
-    """The composed machines of insults and of threats."""
+def grammar_machines() -> tuple[Transducer, ...]:
+    """The composed machines of insults, of nouns that may be insults, and of
+    threats."""
     tail = (negation_transducer(), reported_transducer())
-    return compose(insult_transducer(), target_transducer(), *tail), compose(threat_transducer(), *tail)
+    return compose(insult_transducer(), target_transducer(), *tail), compose(predication_transducer(), target_transducer(), *tail), compose(threat_transducer(), *tail)
 
 
 @dataclass
@@ -175,6 +212,7 @@ class Grammar:
 
     words: dict[str, float] = field(default_factory=lambda: dict.fromkeys(INSULTS, INSULT_WEIGHT))
     stems: dict[str, float] = field(default_factory=dict)
+    threats: frozenset[str] = THREATS
     coefficients: tuple[float, float] = (0.0, 0.0)
 
     def __post_init__(self) -> None:
@@ -195,28 +233,52 @@ class Grammar:
         for token in _TOKEN.findall(clause):
             arc = 0.0
             if not token[0].isalnum():
-                kind = COLON if token == ":" else QUOTE
+                kind = COLON if token == ":" else COMMA if token == "," else QUOTE
             else:
-                kind = next((k for k, known in _KINDS if token in known), OTHER)
+                kind = THREAT if token in self.threats else next((k for k, known in _KINDS if token in known), OTHER)
                 if kind == OTHER and (arc := self.arc(token)):
                     kind = INSULT
             classes.append(kind)
-            weights.append(arc or 1.0)
+            weights.append(arc or (INSULT_WEIGHT if kind == NOUN else 1.0))
         return classes, weights
 
-    def weigh(self, clause: str) -> float:
-        """Weight of the lower-cased clause: the sum over all paths."""
+    def matches(self, clause: str) -> list[tuple[int, float, float]]:
+        """Place and weight of each match of the lower-cased clause, and what it
+        weighs plainly: its weight if nothing shrinks it, that of an insult for a
+        noun at nobody (as a negative number), else 0."""
         classes, weights = self.read(clause)
-        total = 0.0
+        found = []
         for machine in grammar_machines():
             state = 0
-            for c, w in zip(classes, weights, strict=True):
-                total += machine.factor[state][c] * w
+            for i, (c, w) in enumerate(zip(classes, weights, strict=True)):
+                factor = machine.factor[state][c]
+                if factor:
+                    faint = c == NOUN and factor in (FAINT, FAINT * TARGETED)
+                    found.append((i, factor * w, factor * w if factor >= 1 else -w if faint else 0.0))
                 state = machine.step[state][c]
-        return total
+        return found
+
+    def weigh(self, clause: str) -> float:
+        """Weight of the lower-cased clause: the sum over all paths."""
+        return sum(w for _, w, _ in self.matches(clause))
+
+    def weigh_all(self, clauses: Iterable[str]) -> float:
+        """Weight of a document's lower-cased clauses: of the gravest, or of the
+        different words that match plainly, together.  Nouns at nobody count in
+        the company of another word that matches plainly."""
+        gravest, plain, nouns = 0.0, {}, {}
+        for clause in clauses:
+            found = self.matches(clause)
+            gravest = max(gravest, sum(w for _, w, _ in found))
+            tokens = _TOKEN.findall(clause)
+            for i, _, p in found:
+                into = plain if p > 0 else nouns
+                into[tokens[i]] = max(into.get(tokens[i], 0.0), abs(p))
+        company = sum(w for t, w in nouns.items() if t not in plain) if plain else 0.0
+        return max(gravest, sum(plain.values()) + company)
 
 
-_KINDS = ((NEGATOR, NEGATORS), (REPORTER, REPORTERS), (OPENER, OPENERS), (THREAT, THREATS), (EARLY, EARLY_OBJECTS), (OBJECT, OBJECTS), (PERSON, PERSONS))
+_KINDS = ((NEGATOR, NEGATORS), (REPORTER, REPORTERS), (OPENER, OPENERS), (NOUN, NOUNS), (EARLY, EARLY_OBJECTS), (OBJECT, OBJECTS), (PERSON, PERSONS), (COPULA, COPULAS), (DEFINITE, DEFINITES), (OWNER, OWNERS))
 
 
 class Matcher:
@@ -225,7 +287,7 @@ class Matcher:
 
     def __init__(self, grammar: Grammar) -> None:
         self.grammar = grammar
-        self.words = np.sort(np.array([word_hash(w) for w in {*grammar.words, *THREATS}], np.uint64))
+        self.words = np.sort(np.array([word_hash(w) for w in {*grammar.words, *grammar.threats, *NOUNS}], np.uint64))
         self.stems = {k: np.sort(np.array([word_hash(s) for s in grammar.stems if len(s) == k], np.uint64)) for k in STEMS}
 
     @staticmethod
@@ -241,7 +303,7 @@ class Matcher:
         return found
 
     def weights(self, texts: list[str]) -> np.ndarray:
-        """For each text the sum of its clauses' weights."""
+        """For each text the weight of its clauses (``Grammar.weigh_all``)."""
         words = Words(texts, STEMS)
         hit = self._among(words.hashes, self.words)
         for k in STEMS:
@@ -250,6 +312,7 @@ class Matcher:
         owner = np.searchsorted(words.offsets, at, side="right") - 1
         out = np.zeros(len(texts))
         joined, done, last = words.joined, -1, -1
+        clauses: dict[int, list[str]] = {}
         for i, doc in zip(at.tolist(), owner.tolist(), strict=True):
             begin, end = int(words.starts[i]), int(words.ends[i])
             if doc != last:
@@ -259,7 +322,9 @@ class Matcher:
             low, high = int(words.begins[doc]), int(words.begins[doc + 1]) - 1
             start = max(joined.rfind(c, low, begin) for c in _CLAUSE_END) + 1 or low
             done = min((x for x in (joined.find(c, end, high) for c in _CLAUSE_END) if x >= 0), default=high)
-            out[doc] += self.grammar.weigh(joined[max(start, low) : done])
+            clauses.setdefault(doc, []).append(joined[max(start, low) : done])
+        for doc, own in clauses.items():
+            out[doc] = self.grammar.weigh_all(dict.fromkeys(own))
         return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
@@ -303,19 +368,21 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_LABEL
     return sample.groupBy("id", "toxic").agg(F.max("text").alias("text"))
 
 
-def lexicon(sample: DataFrame, work: Workspace) -> tuple[dict[str, float], dict[str, float]]:
-    """Weights of learned words and stems, counted by Spark over ``sample``: log
-    odds of contexts among toxic rows and occurrences among clean ones."""
+def lexicon(sample: DataFrame, work: Workspace) -> tuple[dict[str, float], dict[str, float], frozenset[str]]:
+    """Weights of learned words and stems, and learned threat verbs, counted by
+    Spark over ``sample``: log odds of contexts among toxic rows and occurrences
+    among clean ones."""
     sizes = sample.agg(F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("toxic") == 0).alias("clean")).first()
     if not sizes.toxic or not sizes.clean:
-        return {}, {}
+        return {}, {}, frozenset()
     words = sample.withColumn("w", F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), 0))
     pairs = F.zip_with("w", F.concat(F.array(F.lit("")), "w"), lambda w, before: F.struct(w.alias("word"), before.alias("before")))
     pairs = words.select("toxic", F.explode(pairs).alias("p")).where("p.word IS NOT NULL").groupBy("p.word", "p.before").agg(F.count_if(F.col("toxic") == 1).alias("n"), F.count_if(F.col("toxic") == 0).alias("m"))
+    pairs = work.save(pairs, "pairs")
     counts = work.save(pairs.groupBy("word").agg(F.count_if(F.col("n") > 0).alias("n"), F.sum("m").alias("m")), "counts")
     odds = F.log((F.col("n") / sizes.toxic) / ((F.col("m") + 0.5) / sizes.clean))
     weight = F.greatest(F.lit(1.0), F.least(F.lit(2.0), F.col("odds") / 3)).alias("weight")
-    known = [*NEGATORS, *REPORTERS, *OPENERS, *PERSONS, *OBJECTS, *EARLY_OBJECTS, *THREATS]
+    known = [*NEGATORS, *REPORTERS, *OPENERS, *PERSONS, *OBJECTS, *EARLY_OBJECTS, *THREATS, *NOUNS, *COPULAS, *DEFINITES, *OWNERS]
     chosen = counts.withColumn("odds", odds).where((F.col("n") >= CONTEXTS) & (F.col("odds") >= ODDS) & ~F.col("word").isin(known))
     found = chosen.orderBy(F.desc("odds"), "word").limit(LEARNED).select("word", weight).collect()
     stem = F.explode(F.array(*[F.when(F.length("word") >= k, F.left("word", F.lit(k))) for k in STEMS])).alias("stem")
@@ -325,7 +392,11 @@ def lexicon(sample: DataFrame, work: Workspace) -> tuple[dict[str, float], dict[
     size = {r.stem: r.n for r in stems}
     # a stem whose words nearly all share a longer learned stem says no more than that
     longer = {s[:k] for s, n in size.items() for k in STEMS if k < len(s) and 10 * n >= 9 * size.get(s[:k], 10 * n)}
-    return {r.word: r.weight for r in found}, {r.stem: r.weight for r in stems if r.stem not in longer}
+    # a verb needs most of its contexts before a person, or it is an insult that stands anywhere
+    verbs = pairs.groupBy(F.col("before").alias("word")).agg(F.count_if(F.col("word").isin([*OBJECTS]) & (F.col("n") > 0)).alias("aimed"), F.sum(F.when(F.col("word").isin([*OBJECTS]), F.col("n"))).alias("n"), F.sum(F.when(F.col("word").isin([*OBJECTS]), F.col("m"))).alias("m"), F.count_if(F.col("n") > 0).alias("all"))
+    aimed = verbs.withColumn("odds", odds).where((F.col("n") >= CONTEXTS) & (F.col("odds") >= ODDS) & (2 * F.col("aimed") >= F.col("all")) & ~F.col("word").isin([*known, *INSULTS]))
+    threats = frozenset(r.word for r in aimed.orderBy(F.desc("odds"), "word").limit(LEARNED).collect() if r.word)
+    return {r.word: r.weight for r in found if r.word not in threats}, {r.stem: r.weight for r in stems if r.stem not in longer}, threats
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_LABEL) -> Grammar:
@@ -334,8 +405,8 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_LABEL) -> Gra
     Without both labels the seed lists and the prior coefficients stand."""
     work = Workspace(docs.sparkSession, "toxicity")
     sample = work.save(training_rows(docs, labels, rows), "sample")
-    words, stems = lexicon(sample, work)
-    arcs = Grammar(dict.fromkeys(INSULTS, INSULT_WEIGHT) | words, stems)
+    words, stems, threats = lexicon(sample, work)
+    arcs = Grammar(dict.fromkeys(INSULTS, INSULT_WEIGHT) | words, stems, THREATS | threats)
     schema = pa.schema([("toxic", pa.int32()), ("weight", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,7 +417,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_LABEL) -> Gra
 
     found = over_batches(sample.select("toxic", "text"), run, "toxic int, weight double").collect()
     work.drop()
-    return Grammar(arcs.words, arcs.stems, fit_coefficients(np.array([r.weight for r in found]), np.array([r.toxic for r in found])))
+    return Grammar(arcs.words, arcs.stems, arcs.threats, fit_coefficients(np.array([r.weight for r in found]), np.array([r.toxic for r in found])))
 
 
 def score(docs: DataFrame, grammar: Grammar) -> DataFrame:

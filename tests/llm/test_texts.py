@@ -2,6 +2,7 @@
 planted cases."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -87,6 +88,52 @@ def test_phrases_and_predictions_equal_a_plain_parser():
         assert (found[i] * parser.cost).argmin() == np.argmin([n * np.log2(len(t)) for n, t in zip(plain, texts.values(), strict=True)])
 
 
+def many_languages(r, latin, wide, size):
+    def text(letters):
+        words = ["".join(r.choice(letters) for _ in range(r.randint(1, 6))) for _ in range(size // 20)]
+        return " " + " ".join(r.choices(words, k=size // 4))[:size] + " "
+
+    out = {f"l{k}": text(r.sample("abcdefghijklmnopqrstuvwxyzäöüßéèñçøå", 26)) for k in range(latin)}
+    return out | {f"w{k}": text([chr(0x4E00 + 3000 * k + i) for i in range(wide)] + ["\U00020000", "\U00020001"]) for k in range(2)}
+
+
+def test_sparse_automata_equal_full_ones(monkeypatch):
+    r = random.Random(8)
+    texts = many_languages(r, 3, 300, 4_000)
+    docs = [t[100:900] for t in texts.values()] + ["", "zzz", "\U00020000\U00020001 \U00020002", "😀 x"]
+    full = langid.CrossParser(texts)
+    monkeypatch.setattr(langid, "FULL_ENTRIES", 0)
+    sparse = langid.CrossParser(texts)
+    assert {type(t) for t in full.tables} == {langid.Full} and {type(t) for t in sparse.tables} == {langid.Sparse}
+    for a, b in zip(full.phrases(docs), sparse.phrases(docs), strict=True):
+        assert (a == b).all()
+
+
+def test_many_languages_take_bounded_memory():
+    """Sixty languages, two of them with large alphabets; a full table of each
+    would take 20 MB for one of the narrow ones' size and 300 for a wide one."""
+    texts = many_languages(random.Random(9), 58, 3_000, 20_000)
+    parser = langid.CrossParser(texts)
+    size = sum(sum(x.nbytes for x in vars(t).values()) for t in parser.tables)
+    assert len(parser.tables) == 60 and size < 180 << 20
+    own = [t for t in parser.tables if isinstance(t, langid.Sparse)]
+    assert sum(len(t.owner) for t in own) < 1.3 * sum((t.owner >= 0).sum() for t in own)
+    sample = {k: t[500:1500] for k, t in texts.items()}
+    found, _ = parser.phrases(list(sample.values()))
+    assert [parser.langs[i] for i in (found * parser.cost).argmin(axis=1)] == list(sample)
+
+
+def test_emojis_are_no_letters(spark):
+    table = docs(spark)
+    rows = spark.createDataFrame([(1, "😀🚀😀"), (2, "🀄"), (3, "12 😀 !!"), (4, "the river 😀 and the hills"), (5, "𠀀𠀁")], "doc_id long, text string")
+    training = langid.training_text(table)
+    found = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(rows, training).collect()}
+    assert {i for i, (lang, _) in found.items() if lang == "und"} == {1, 2, 3}
+    assert all(found[i][1] == 0 for i in (1, 2, 3))
+    assert not {r.doc_id for r in langid.drop_unidentified(rows, training).collect()} & {1, 2, 3}
+    assert Words(["hello😀world again"]).offsets.tolist() == [0, 3]
+
+
 def test_rejected_are_strange_texts_only(spark):
     table = docs(spark)
     training = langid.training_text(table)
@@ -116,6 +163,72 @@ def test_language_of_awkward_rows(awkward, nothing):
     assert langid.identify(nothing, {}).count() == 0
 
 
+HARMLESS = {
+    "negated": "you are not an idiot. ",
+    "reported": 'He said: "you are an idiot". ',
+    "waste": "The garbage truck comes on Monday. ",
+    "plainly waste": "They collect the garbage on Monday. ",
+    "somebody's waste": "Take your trash outside. ",
+    "sport": "He was the loser of the final. ",
+    "circus": "The clown made children laugh at the party. ",
+    "prose": "The river runs past the hills and the old town. ",
+}
+
+
+@pytest.mark.parametrize("kind", HARMLESS)
+def test_harmless_clauses_do_not_add_up(learned, kind):
+    matcher = toxicity.Matcher(learned)
+    scores = matcher.scores([HARMLESS[kind] * n for n in (1, 3, 20, 200)])
+    assert max(scores) < 0.7 and max(scores) - min(scores) < 1e-9
+
+
+@pytest.mark.parametrize("insult", ["you are an idiot", "you are not wrong, idiot", "You are a worthless piece of trash", "you clown", "I hate you and everyone like you", "I will kill you", "du bist ein Idiot"])
+def test_one_insult_counts_in_any_company(learned, insult):
+    matcher = toxicity.Matcher(learned)
+    filler = "".join(HARMLESS[k] for k in ("prose", "waste", "negated")) * 40
+    assert min(matcher.scores([f"{insult}.", f"{filler}{insult}. {filler}"])) >= 0.7
+
+
+def plain_weight(grammar, text):
+    """A document's weight, clause by clause, with each machine run by itself."""
+    gravest, plain, nouns = 0.0, {}, {}
+    for clause in re.split(r"[.!?;\n]", text.lower()):
+        tokens = re.findall(r"[^\W_]+|[\"“”«»„:,]", clause)
+        classes, arcs = grammar.read(clause)
+        tail = (toxicity.negation_transducer(), toxicity.reported_transducer())
+        total = 0.0
+        for parts in ((toxicity.insult_transducer(), toxicity.target_transducer(), *tail), (toxicity.predication_transducer(), toxicity.target_transducer(), *tail), (toxicity.threat_transducer(), *tail)):
+            state = [0] * len(parts)
+            for token, c, w in zip(tokens, classes, arcs, strict=True):
+                factors = [p.factor[s][c] for p, s in zip(parts, state, strict=True)]
+                weight = float(np.prod(factors)) * w
+                total += weight
+                if weight and (factors[-1] * factors[-2]) == 1 and not (c == toxicity.NOUN and factors[0] < 1):
+                    plain[token] = max(plain.get(token, 0), weight)
+                elif c == toxicity.NOUN and factors[-1] * factors[-2] == 1:
+                    nouns[token] = w
+                state = [p.step[s][c] for p, s in zip(parts, state, strict=True)]
+        gravest = max(gravest, total)
+    return max(gravest, sum(plain.values()) + (sum(w for t, w in nouns.items() if t not in plain) if plain else 0))
+
+
+def test_documents_weigh_as_their_clauses(learned):
+    r = random.Random(12)
+    parts = ["you", "are", "not", "an", "idiot", "the", "clown", "said", ":", '"', ",", "kill", "him", "your", "garbage", "moron", "river", "word", ".", "!", "\n", "that", "du", "trash", "scum"]
+    texts = [" ".join(r.choices(parts, k=r.randint(0, 60))) for _ in range(400)]
+    found = toxicity.Matcher(learned).weights(texts)
+    assert np.allclose(found, [plain_weight(learned, t) for t in texts])
+    assert len(set(np.round(found, 3))) > 20
+
+
+def test_threat_verbs_are_learned(spark):
+    rows = [(i, f"word{i} I will zork you and zork them word{i % 7}", 1) for i in range(40)] + [(100 + i, f"the river{i} and the hills", 0) for i in range(40)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    grammar = toxicity.learn(table.select("doc_id", "text"), table.select("doc_id", "toxic"))
+    assert "zork" in grammar.threats - toxicity.THREATS
+    assert "zork" not in grammar.words and "river" not in grammar.threats
+
+
 def test_toxicity_held_out(spark, learned):
     table, labels = docs(spark, SF3), spark.read.parquet(f"{SF3}/labels.parquet")
     found = toxicity.score(table, learned).where("held_out")
@@ -131,7 +244,7 @@ def every_path(grammar, clause):
     classes, weights = grammar.read(clause)
     tail = (toxicity.negation_transducer(), toxicity.reported_transducer())
     total = 0.0
-    for parts in ((toxicity.insult_transducer(), toxicity.target_transducer(), *tail), (toxicity.threat_transducer(), *tail)):
+    for parts in ((toxicity.insult_transducer(), toxicity.target_transducer(), *tail), (toxicity.predication_transducer(), toxicity.target_transducer(), *tail), (toxicity.threat_transducer(), *tail)):
         for chosen in range(len(classes)):
             path = weights[chosen]
             for part in parts:
@@ -180,10 +293,10 @@ def test_chance_words_and_copies_teach_nothing(spark):
     rows = [(i, copy, 1) for i in range(30)]
     rows += [(100 + i, " ".join(r.choices(plain, k=30) + ["grumble"] + r.choices(plain, k=9)), 1) for i in range(40)]
     rows += [(200 + i, " ".join(r.choices(plain, k=40)), 0) for i in range(100)]
-    words, stems = toxicity.lexicon(spark.createDataFrame(rows, "id long, text string, toxic int"), Workspace(spark, "lexicon"))
+    words, stems, _ = toxicity.lexicon(spark.createDataFrame(rows, "id long, text string, toxic int"), Workspace(spark, "lexicon"))
     assert set(words) == {"grumble"} and stems == {}
     forms = [(300 + i, " ".join(r.choices(plain, k=30)) + f" grumbl{'abcdefgh'[i % 8]} " + r.choice(plain), 1) for i in range(40)]
-    _, stems = toxicity.lexicon(spark.createDataFrame(rows[30:] + forms, "id long, text string, toxic int"), Workspace(spark, "lexicon"))
+    _, stems, _ = toxicity.lexicon(spark.createDataFrame(rows[30:] + forms, "id long, text string, toxic int"), Workspace(spark, "lexicon"))
     assert set(stems) == {"grumbl"}
 
 
