@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from stocktake import constants as C
 
@@ -176,3 +177,47 @@ def license_verdict(name: Column) -> Column:
     normal = F.btrim(F.regexp_replace(F.coalesce(name, F.lit("")), r"\s+", " "))
     copyleft = any_of([normal.contains(x) for x in C.LICENSES_COPYLEFT])
     return F.when((normal == "") | (F.upper(normal) == "UNKNOWN"), "unknown").when(copyleft, "copyleft").when(normal.isin(C.LICENSES_ALLOWED), "ok").otherwise("unlisted")
+
+
+def _escaped(char: Column) -> Column:
+    """A character as JSON writes it in ASCII: one or two units of UTF-16."""
+    code = F.ascii(char)
+    unit = lambda n: F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(n), 4, "0")))
+    high, low = F.lit(0xD800) + F.shiftright(code - 0x10000, 10), F.lit(0xDC00) + (code - 0x10000).bitwiseAND(0x3FF)
+    return F.when(code < 0x7F, char).when(code < 0x10000, unit(code)).otherwise(F.concat(unit(high), unit(low)))
+
+
+#: control characters whose escapes have a letter among their digits
+_LETTERED = [n for n in range(0x20) if f"{n:x}" != f"{n:X}" and n not in (0x0A, 0x0C, 0x0D)]
+
+
+def ascii_json(text: Column) -> Column:
+    """A JSON text with all that is no ASCII escaped, surrogate pairs for what is
+    beyond the basic plane, and escapes in small letters.  Outside of strings JSON
+    is ASCII, so the value stays the same."""
+    chars = F.transform(F.regexp_extract_all(text, F.lit("(?s)."), 0), _escaped)
+    found = F.when(text.rlike("[^\\x00-\\x7e]"), F.array_join(chars, "")).otherwise(text)
+    small = found
+    for n in _LETTERED:  # an escape begins behind an even number of backslashes
+        small = F.regexp_replace(small, rf"(?<!\\)((?:\\\\)*)\\u{n:04X}", rf"$1\\u{n:04x}")
+    return F.when(found.contains("\\u00"), small).otherwise(found)
+
+
+def _in_order(value: Column, kind: DataType) -> Column:
+    """A value whose fields and keys, at any depth, are sorted by name."""
+    if isinstance(kind, StructType):
+        fields = [_in_order(value[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]
+        return F.when(value.isNotNull(), F.struct(*fields)) if fields else value
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: _in_order(x, kind.elementType))
+    if isinstance(kind, MapType):
+        pairs = F.transform(F.array_sort(F.map_keys(value)), lambda k: F.struct(k.alias("key"), _in_order(F.try_element_at(value, k), kind.valueType).alias("value")))
+        return F.map_from_entries(pairs)
+    return value
+
+
+def canonical(value: Column, kind: DataType) -> Column:
+    """The canonical JSON text of a struct, array or map: keys sorted, no blanks,
+    nulls written, ASCII only.  Equal values have equal texts, so its hash stands
+    for the value and its order is that of the text.  Map keys are strings."""
+    return ascii_json(F.to_json(_in_order(value, kind), {"ignoreNullFields": "false"}))

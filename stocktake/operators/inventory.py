@@ -87,6 +87,15 @@ def take_stock(files: DataFrame, strict: bool = False, runtime_manifests: bool =
     )
 
 
+def described_entities(stock: Inventory) -> DataFrame:
+    """``entities`` with what is known of each: ``model`` and the fields of its
+    provenance, for rules whose predicates ask for them; null for others."""
+    known = ["model", *CONTEXT]
+    models = stock.models.select("repo", F.lit("model").alias("entity_type"), F.col("type").alias("name"), "source_file", *known)
+    none = [F.lit(None).cast("string").alias(c) for c in known]
+    return models.unionByName(entities(stock).where("entity_type <> 'model'").select("*", *none))
+
+
 def entities(stock: Inventory) -> DataFrame:
     """Models, tools and, where a repository has prompts, one prompt surface."""
     rows = stock.models.select("repo", F.lit("model").alias("entity_type"), F.col("type").alias("name"), "source_file")
@@ -143,7 +152,7 @@ DOCUMENT = ", ".join(
 def _section(rows: DataFrame, name: str, item: Column, key: Column | None = None) -> DataFrame:
     """Items of a section as JSON, and what they are sorted by: ``key``, or the
     spread-out JSON of the item."""
-    return rows.select("repo", F.lit(name).alias("section"), F.coalesce(F.to_json(item, {"pretty": "true"}) if key is None else key, F.lit("")).alias("key"), F.to_json(item).alias("item"))
+    return rows.select("repo", F.lit(name).alias("section"), F.coalesce(X.ascii_json(F.to_json(item, {"pretty": "true"})) if key is None else key, F.lit("")).alias("key"), F.to_json(item).alias("item"))
 
 
 def _fields(rows: DataFrame, *without: str) -> Column:

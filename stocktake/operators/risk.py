@@ -1,7 +1,8 @@
 """Risk rules over entities (repo, entity_type, name, source_file), by policy.
 
-A rule asks for an entity type and some names: an equality join with a small
-table of constants.  A policy may rename or disable a rule, set its severity,
+A rule is a predicate over the columns of an entity; the built-in ones ask for an
+entity type and some names.  All rules are evaluated as one array in one pass
+over the entities, so a rule more is an expression more and no join.  A policy may rename or disable a rule, set its severity,
 threshold and weights, and list exceptions.
 """
 
@@ -12,7 +13,7 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stocktake import constants as C
@@ -70,15 +71,26 @@ def _rule_rows(spark: SparkSession, policy: Policy, more: Sequence[dict]) -> tup
         w = normal_weights(own.get("weights"))
         tags = own.get("control_mapping_tags")
         severity = own.get("severity")
-        rules.append((base, str(own.get("rule_id", base)), own.get("enabled") is not False, int(own.get("threshold", 1)), None if severity is None else str(severity), rule["entity_type"], rule["names"], rule["category"], rule["owasp_llm"], rule["default_severity"], rule["rationale"], rule["confidence"], rule["exposure"], rule["with_source"], rule["without_source"], w["confidence"], w["exposure"], w["provenance"], rule["control_mappings"], [str(t) for t in tags] if isinstance(tags, list) else [], rule["evidence_requirements"]))
+        rules.append((base, str(own.get("rule_id", base)), own.get("enabled") is not False, int(own.get("threshold", 1)), None if severity is None else str(severity), rule["category"], rule["owasp_llm"], rule["default_severity"], rule["rationale"], rule["confidence"], rule["exposure"], rule["with_source"], rule["without_source"], w["confidence"], w["exposure"], w["provenance"], rule["control_mappings"], [str(t) for t in tags] if isinstance(tags, list) else [], rule["evidence_requirements"]))
         listed = own.get("allowlist")
         for pos, item in enumerate(listed if isinstance(listed, list) else []):
             text = {f: str(item.get(f, "")).strip() for f in ("entity_type", "name", "source_file")}
             exceptions.append((base, text["entity_type"], text["name"], text["source_file"], pos, str(item.get("reason", "allowlisted"))))
-    schema = "base_rule_id string, rule_id string, enabled boolean, threshold int, set_severity string, rule_entity string, names array<string>, category string, owasp_llm string, default_severity string, rationale string, c double, e double, with_source double, without_source double, wc double, we double, wp double, control_mappings array<string>, control_mapping_tags array<string>, evidence_requirements array<string>"
+    schema = "base_rule_id string, rule_id string, enabled boolean, threshold int, set_severity string, category string, owasp_llm string, default_severity string, rationale string, c double, e double, with_source double, without_source double, wc double, we double, wp double, control_mappings array<string>, control_mapping_tags array<string>, evidence_requirements array<string>"
     return spark.createDataFrame(rules, schema), spark.createDataFrame(exceptions, "base_rule_id string, entity_type string, name string, source_file string, pos int, reason string")
 
 
+def predicate(rule: dict) -> Column:
+    """When a rule speaks of an entity: ``when``, a column or its SQL text, or its
+    ``entity_type`` and ``names``.  Null counts as no."""
+    when = rule.get("when")
+    if when is None:
+        found = (F.col("entity_type") == rule["entity_type"]) & F.col("name").isin(rule["names"])
+    else:
+        found = F.expr(when) if isinstance(when, str) else when
+    return F.coalesce(found, F.lit(False))
+
+
 def weighted_score(rows: DataFrame) -> DataFrame:
     """``rows`` (c, e, p, wc, we, wp) with ``score``."""
     return rows.withColumn("score", F.col("c") * F.col("wc") + F.col("e") * F.col("we") + F.col("p") * F.col("wp"))
@@ -86,7 +98,8 @@ def weighted_score(rows: DataFrame) -> DataFrame:
 
 def evaluate(entities: DataFrame, policy: Policy | None = None, more: Sequence[dict] = ()) -> Evaluation:
     """Risk findings of ``entities``, by repository; ``more`` rules may stand
-    beside the built-in ones, with the same fields.
+    beside the built-in ones, with the same fields or with a ``when`` over any
+    column of ``entities`` in place of ``entity_type`` and ``names``.
 
     Null names are ``unknown``, null sources empty.  Repeated entities give
     repeated findings.  An empty table gives no findings, and each enabled rule
@@ -94,10 +107,12 @@ def evaluate(entities: DataFrame, policy: Policy | None = None, more: Sequence[d
     """
     spark = entities.sparkSession
     rules, exceptions = _rule_rows(spark, policy or {}, more)
-    triggers = rules.select("*", F.explode("names").alias("name")).withColumnRenamed("rule_entity", "entity_type")
-    clean = entities.select("repo", "entity_type", F.coalesce("name", F.lit(C.UNKNOWN)).alias("name"), F.coalesce("source_file", F.lit("")).alias("source_file"))
-    # rules are constants: a bounded side
-    matches = clean.join(F.broadcast(triggers.where("enabled")), ["entity_type", "name"])
+    clean = entities.withColumns({"name": F.coalesce("name", F.lit(C.UNKNOWN)), "source_file": F.coalesce("source_file", F.lit(""))})
+    # one pass: the rules that speak of each entity, as an array of their names
+    hits = F.array_compact(F.array(*[F.when(predicate(rule), F.lit(rule["base_rule_id"])) for rule in [*C.RULES, *more]]))
+    matches = clean.select("repo", "entity_type", "name", "source_file", F.explode(hits).alias("base_rule_id"))
+    # what a rule says is a constant: a bounded side
+    matches = matches.join(F.broadcast(rules.where("enabled")), "base_rule_id")
     matches = match_exceptions(matches, exceptions, ["base_rule_id", "entity_type", "name", "source_file"])
     counted = matches.groupBy("repo", "base_rule_id").agg(F.count("*").alias("candidates"), F.count_if(F.col("reason").isNull()).alias("kept"))
     bases = F.explode(F.array(*[F.lit(r["base_rule_id"]) for r in [*C.RULES, *more]])).alias("base_rule_id")

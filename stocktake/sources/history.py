@@ -5,41 +5,57 @@ which repositories each run holds.
 of its repositories.  The index is written last, so a run without one never
 happened: readers take the run folders that they need from the index, and read
 no other.  A run that is written again replaces itself.
+
+With ``sketch`` columns a run also keeps ``sketch/run_id=X``: one row for each
+repository and range of hash values, a bitmap of the hashes of its keys.  A key
+whose bits a run's bitmaps don't hold is not in that run, so ``novel_keys`` reads
+only runs that may hold one of its keys.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: runs of a repository that count
 CAP = 200
+#: bits of one bitmap (fixed by the function), bitmaps of a repository and run, and hashes of a key
+BITS, BUCKETS, HASHES = 32_768, 64, 2
 _INDEX = "repo string, n long, run_id string"
 
 
-def append_run(snapshot: DataFrame, path: str, run_id: str, cap: int = CAP) -> None:
+def append_run(snapshot: DataFrame, path: str, run_id: str, cap: int = CAP, sketch: Sequence[str] = ()) -> None:
     """Add a run's snapshot (repo, any other columns).  ``run_id`` sorts by time,
     as UTC stamps do; see ``append_runs``."""
-    append_runs(snapshot.withColumn("run_id", F.lit(run_id)), path, cap)
+    append_runs(snapshot.withColumn("run_id", F.lit(run_id)), path, cap, sketch)
+
+
+def _write(rows: DataFrame, path: str) -> None:
+    """Replace the run folders that ``rows`` name."""
+    rows.hint("rebalance", "run_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
 
-def append_runs(snapshots: DataFrame, path: str, cap: int = CAP) -> None:
-    """Add runs, named by ``run_id``, in one write of their rows and one of their
-    index.  Then run folders that no repository has among its last ``cap`` runs
+def append_runs(snapshots: DataFrame, path: str, cap: int = CAP, sketch: Sequence[str] = ()) -> None:
+    """Add runs, named by ``run_id``: their rows, the sketch of the key columns
+    ``sketch`` if any, and last their index.  Then run folders that no repository has among its last ``cap`` runs
     are removed, index first.  Runs of an empty table don't exist."""
     spark = snapshots.sparkSession
-    rows = snapshots.hint("rebalance", "run_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    rows.partitionBy("run_id").parquet(f"{path}/data")
+    _write(snapshots, f"{path}/data")
+    if sketch:
+        bits = hashed(snapshots, sketch).groupBy("repo", "run_id", "hash_no", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+        _write(bits, f"{path}/sketch")
     # one row for each repository and run: bounded by the repositories
     counted = snapshots.groupBy("repo", F.col("run_id").cast("string").alias("run_id")).agg(F.count("*").alias("n"))
-    counted.select("repo", "n", "run_id").hint("rebalance", "run_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{path}/index")
+    _write(counted.select("repo", "n", "run_id"), f"{path}/index")
     if cap > 0:
         index = read_index(spark, path)
         kept = _aged(index).where(F.col("age") <= cap).select("run_id").distinct()
         # as many rows as there are run folders to remove
         for row in index.select("run_id").distinct().join(kept, "run_id", "left_anti").collect():
-            for part in ("index", "data"):
+            for part in ("index", "sketch", "data"):
                 _delete(spark, f"{path}/{part}/run_id={row.run_id}")
 
 
@@ -77,6 +93,47 @@ def read_runs(spark: SparkSession, path: str, cap: int = CAP, schema: str | None
     return rows.withColumn("run_id", F.col("run_id").cast("string")).join(kept, ["repo", "run_id"], "left_semi")
 
 
+def hashed(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` with ``hash_no``, ``bucket`` and ``bit``: a row for each of
+    ``HASHES`` independent hashes of the keys."""
+    at = F.pmod(F.xxhash64(*keys, F.col("hash_no")), F.lit(BUCKETS * BITS)).alias("at")
+    every = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(HASHES - 1))).alias("hash_no")).select("*", at)
+    # numbers of bitmaps and bits begin with 1 and 0
+    return every.select("*", F.bitmap_bucket_number(F.col("at") + 1).alias("bucket"), F.bitmap_bit_position(F.col("at") + 1).alias("bit")).drop("at")
+
+
+def _is_set(bits: Column, position: Column) -> Column:
+    byte = F.conv(F.hex(F.substring(bits, (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    return F.getbit(byte, (position % 8).cast("int")) == 1
+
+
+def may_hold(spark: SparkSession, path: str, current: DataFrame, keys: Sequence[str], window: int) -> DataFrame:
+    """(keys, repo, run_id) of the last ``window`` runs whose sketches hold all
+    bits of a key of ``current`` (repo among its keys): all runs that hold it, and
+    by chance a few more."""
+    kept = _aged(read_index(spark, path)).where(F.col("age") <= window).select("repo", "run_id")
+    sketches = spark.read.schema("repo string, hash_no int, bucket long, bits binary, run_id string").parquet(f"{path}/sketch").join(kept, ["repo", "run_id"], "left_semi")
+    asked = hashed(current.select(*keys).distinct(), keys)
+    met = asked.join(sketches, ["repo", "hash_no", "bucket"]).where(_is_set(F.col("bits"), F.col("bit")))
+    return met.groupBy(*keys, "run_id").agg(F.count("*").alias("n")).where(F.col("n") == HASHES).drop("n")
+
+
+def novel_keys(spark: SparkSession, path: str, current: DataFrame, keys: Sequence[str], window: int) -> DataFrame:
+    """Rows of ``current`` whose ``keys`` (repo among them) none of the last
+    ``window`` runs holds, exactly.
+
+    The sketches say which runs may hold which key; only those runs are read, and
+    only their keys, to see whether they do.  As many run names reach the driver
+    as folders are read."""
+    hits = may_hold(spark, path, current, keys, window)
+    names = sorted(r.run_id for r in hits.select("run_id").distinct().collect())
+    if not names:
+        return current
+    rows = spark.read.option("basePath", f"{path}/data").parquet(*[f"{path}/data/run_id={n}" for n in names])
+    held = rows.select(*keys, F.col("run_id").cast("string").alias("run_id")).join(hits, [*keys, "run_id"], "left_semi")
+    return current.join(held.select(*keys), list(keys), "left_anti")
+
+
 def latest(spark: SparkSession, path: str) -> DataFrame:
     """The last run of each repository."""
     return read_runs(spark, path, 1)
