@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import history_queries, inventory_queries, lifetime_queries, mechanism_queries, source_queries, text_queries, tree_queries
+from . import history_queries, inventory_queries, lifetime_queries, mechanism_queries, report_queries, source_queries, text_queries, tree_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (text_queries, history_queries, source_queries, inventory_queries, lifetime_queries, mechanism_queries, tree_queries)
+_MODULES = (text_queries, history_queries, source_queries, inventory_queries, lifetime_queries, mechanism_queries, report_queries, tree_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

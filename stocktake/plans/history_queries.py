@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stocktake.operators import drift, export, report, risk
+from stocktake.operators import drift, export, inventory, report, risk
 from stocktake.operators import relational as R
 from stocktake.plans.registry import Registry, registered, table
+from stocktake.plans.source_queries import _TOOLED, tool_files
 from stocktake.sources.history import last_runs
 
 QUERIES: Registry = {}
@@ -145,11 +146,14 @@ def policy_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.evaluate(_entities(spark, sf_dir), _POLICY).suppressed.select("repo", "base_rule_id", "name", "source_file", "reason")
 
 
-@registered(QUERIES, "SELECT 'customer' AS entity_type, c_name AS name, c_nationkey::BIGINT AS nation FROM customer UNION ALL SELECT 'supplier', s_name, s_nationkey::BIGINT FROM supplier")
+@registered(
+    QUERIES,
+    f"""WITH {_TOOLED} SELECT repo, 'tool' AS entity_type, CASE kind WHEN 1 THEN 'search' || k WHEN 3 THEN 'tool' ELSE 'find' || k END AS name, path || CASE kind WHEN 3 THEN ':2' ELSE ':1' END AS source_file FROM m
+UNION ALL SELECT DISTINCT repo, 'prompt_surface', 'prompt_templates', '' FROM m""",
+)
 def normalize_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").select(F.lit("customer").alias("entity_type"), F.col("c_name").alias("name"), F.col("c_nationkey").cast("long").alias("nation"))
-    s = table(spark, sf_dir, "supplier").select(F.lit("supplier").alias("entity_type"), F.col("s_name").alias("name"), F.col("s_nationkey").cast("long").alias("nation"))
-    return c.unionByName(s)
+    """Entities of the inventory: every tool, and one prompt surface a repository."""
+    return inventory.entities(inventory.take_stock(tool_files(spark, sf_dir)))
 
 
 @registered(

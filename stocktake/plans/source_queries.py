@@ -44,6 +44,32 @@ def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files_of(part_contents(spark, sf_dir))
 
 
+# path and text of each kind; {k} is the part's key
+_TOOLS = [
+    ("t{k}.java", 'ToolSpecification find{k}(x)\nvar p = new PromptTemplate("template {k}");\n'),
+    ("t{k}.go", 'search{k} := tools.Search()\np := PromptTemplate("template {k}")\n'),
+    ("t{k}.cs", 'find{k} = KernelFunction()\nvar p = new PromptTemplateConfig("template {k}");\n'),
+    ("t{k}.ts", 'import {{ tool, PromptTemplate }} from "langchain";\nconst t = tool(x);\nconst p = PromptTemplate("template {k}");\n'),
+]
+
+
+_TOOLED = "m AS (SELECT p_brand AS repo, p_partkey AS k, p_partkey % 4 AS kind, 't' || p_partkey || CASE p_partkey % 4 WHEN 0 THEN '.java' WHEN 1 THEN '.go' WHEN 2 THEN '.cs' ELSE '.ts' END AS path FROM part)"
+
+
+def tool_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file with a tool and a prompt for each part, in four languages."""
+    part = table(spark, sf_dir, "part").repartition(spark.sparkContext.defaultParallelism, "p_partkey")
+    key = F.col("p_partkey").cast("string")
+
+    def filled(text: str):  # noqa: ANN202
+        marked = text.format(k="\0").split("\0")
+        return F.concat(*[c for i, x in enumerate(marked) for c in ([key] if i else []) + [F.lit(x)]])
+
+    pick = F.array(*[F.struct(filled(path).alias("rel_path"), filled(text).cast("binary").alias("content")) for path, text in _TOOLS])
+    rows = part.select(F.col("p_brand").alias("repo"), F.element_at(pick, (F.col("p_partkey") % 4 + 1).cast("int")).alias("f"))
+    return files_of(rows.select("repo", "f.rel_path", "f.content"))
+
+
 _MADE = "m AS (SELECT p_brand AS repo, p_partkey AS k, p_partkey % 7 AS kind, p_name AS n, 'r' || p_size AS region FROM part), ctx AS (SELECT repo, arg_max(region, 'src/p' || k || '.yaml') AS region FROM m WHERE kind = 5 GROUP BY repo)"
 
 

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from stocktake.functions import columns as X
 from stocktake.functions.parsers import setting_leaves_of
+from stocktake.operators import inventory, risk
 from stocktake.operators.export import manifest
 from stocktake.operators.relational import coverage, first_distinct, keep_first, unpivot_known
 from stocktake.plans.registry import Registry, registered, table
+from stocktake.plans.source_queries import _TOOLED, tool_files
 
 QUERIES: Registry = {}
 
@@ -57,10 +59,15 @@ def json_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "p.key", "p.value")
 
 
-@registered(QUERIES, "SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages")
+_IMAGED = "html || '<img src=\"reg.io/p' || page_id || ':1@sha256:' || sha256(page_id::VARCHAR) || '\">'"
+
+
+@registered(QUERIES, f"SELECT page_id, unnest(regexp_extract_all({_IMAGED}, '([\\w./:-]+@sha256:[a-fA-F0-9]{{64}})', 1)) AS image FROM pages")
 def html_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tags = F.array_distinct(F.regexp_extract_all("html", F.lit("<([a-z][a-z0-9]*)"), 1))
-    return table(spark, sf_dir, "pages").select("page_id", F.explode(tags).alias("tag"))
+    """References to images by digest in pages that got one each."""
+    name = F.col("page_id").cast("string")
+    page = F.concat(F.col("html"), F.lit('<img src="reg.io/p'), name, F.lit(":1@sha256:"), F.sha2(name, 256), F.lit('">'))
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(X.image_refs(page)).alias("image"))
 
 
 _SLUG = "coalesce(nullif(trim(regexp_replace({}, '[^A-Za-z0-9.-]+', '-', 'g'), '-'), ''), 'unknown')"
@@ -144,6 +151,11 @@ def timestamp_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", X.normal_timestamp(compact).alias("created"))
 
 
-@registered(QUERIES, "SELECT conv_id, count(*)::BIGINT AS turns, (count(*) FILTER (WHERE role = 'user'))::BIGINT AS user_turns, (count(*) FILTER (WHERE role = 'system'))::BIGINT AS prompt_surface FROM conversations GROUP BY conv_id")
+@registered(
+    QUERIES,
+    f"""WITH {_TOOLED} SELECT repo, 0::BIGINT AS models, count(*)::BIGINT AS tools, 0::BIGINT AS datasets, max(CASE WHEN kind = 3 THEN 1 ELSE 0 END)::BIGINT AS frameworks, count(*)::BIGINT AS prompts, 0::BIGINT AS unsupported_artifacts, 0::BIGINT AS high_or_critical_risks FROM m GROUP BY repo""",
+)
 def section_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.count_if(F.col("role") == "user").alias("user_turns"), F.count_if(F.col("role") == "system").alias("prompt_surface"))
+    """Counts of every section of an inventory of tools and prompts."""
+    stock = inventory.take_stock(tool_files(spark, sf_dir))
+    return inventory.section_counts(stock, risk.evaluate(inventory.entities(stock)).findings)

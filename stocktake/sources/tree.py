@@ -189,7 +189,8 @@ def repo_list(spark: SparkSession, path: str, first: Sequence[str] = (), limit:
     return found if limit is None else found.orderBy("place").limit(limit)
 
 
-def license_report(spark: SparkSession, path: str) -> DataFrame:
-    """(name, license, verdict) of a report: a JSON list of packages."""
-    rows = spark.read.schema("Name string, License string").option("multiLine", "true").json(path)
+def license_report(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(name, license, verdict) of a report: a JSON list of packages, or with
+    ``lines`` one package a line, which Spark splits."""
+    rows = spark.read.schema("Name string, License string").option("multiLine", str(not lines).lower()).json(path)
     return rows.select(F.col("Name").alias("name"), F.col("License").alias("license"), X.license_verdict(F.col("License")).alias("verdict"))
