@@ -103,7 +103,10 @@ def format_turns(conversations: DataFrame) -> DataFrame:
 
 def read_turns(formatted: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text, loss_text, formatted) parsed from rendered
-    turns alone.  A backslash marks level 1, so the level need not be kept."""
+    turns alone.  A backslash marks level 1, so the level need not be kept.
+    Repeated rows and null ids are rows like others, empty and very long texts
+    come back whole; ``formatted`` is never null in what ``format_turns`` gave; an
+    empty table gives no row."""
     escaped = F.col("formatted").contains("\\")
     plain, marked = _parsed(F.col("formatted"), 0), _parsed(F.col("formatted"), 1)
     span = F.col("formatted").substr(F.col("loss_start") + 1, F.col("loss_chars"))
@@ -116,7 +119,10 @@ def read_turns(formatted: DataFrame) -> DataFrame:
 
 
 def conversations_of(formatted: DataFrame) -> DataFrame:
-    """One row per conversation: ``formatted`` is its whole text."""
+    """One row per conversation: ``formatted`` is its whole text, turns in order,
+    those of one turn number by their text, repeated rows repeated.  Null ids are
+    one conversation; an empty table gives none.  A conversation is gathered in
+    one task, as its text is one value."""
     listed = F.array_sort(F.collect_list(F.struct("turn", "formatted")))
     return formatted.groupBy("conv_id").agg(F.concat_ws("", listed.getField("formatted")).alias("formatted"))
 
@@ -124,7 +130,9 @@ def conversations_of(formatted: DataFrame) -> DataFrame:
 def turns_of(conversations: DataFrame) -> DataFrame:
     """(conv_id, place, role, text) parsed from whole conversations (conv_id,
     formatted) alone.  No turn holds a close mark but at its end, so cutting
-    behind each mark gives the turns; ``place`` counts them from 0."""
+    behind each mark gives the turns; ``place`` counts them from 0.  A null or
+    empty conversation gives no turn, null ids stay null, repeated rows give
+    repeated turns; an empty table gives no row."""
     parts = F.split("formatted", " </turn>\n")
     rows = conversations.select("conv_id", F.posexplode(F.slice(parts, 1, F.size(parts) - 1)).alias("place", "part"))
     turn = F.concat("part", F.lit(CLOSE))
@@ -135,7 +143,9 @@ def turns_of(conversations: DataFrame) -> DataFrame:
 
 def digests(turns: DataFrame) -> DataFrame:
     """Per conversation: ``n_turns``, ``turns_sha256``, ``loss_chars``,
-    ``loss_sha256``, ``formatted_chars`` of parsed turns."""
+    ``loss_sha256``, ``formatted_chars`` of parsed turns, in the order of turn
+    numbers, then roles and texts, so that ties have one order.  Repeated rows
+    count each; null ids are one conversation; an empty table gives no row."""
     item = F.struct("turn", "role", "text", "loss_text", F.length("formatted").alias("chars"))
     rows = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(item)).alias("t"))
     each = F.transform("t", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n")))

@@ -65,7 +65,10 @@ def encode_parts(docs: DataFrame, tokenizer: str, end: int, parts: int | None =
 
 
 def write_orc(docs: DataFrame, path: str, tokenizer: str, end: int, parts: int | None = None) -> None:
-    """Write the ids of ``docs`` to ORC files under ``path``."""
+    """Write the ids of ``docs`` (as ``encode_parts`` takes them) to ORC files
+    under ``path``, one file for each part.  Null texts are empty and have the end
+    id alone, null doc_ids stand first, repeated rows are written each, texts of
+    any length are whole; an empty table gives files without rows."""
     encode_parts(docs, tokenizer, end, parts).write.format("orc").options(**ORC_OPTIONS).save(path)
 
 
@@ -73,7 +76,8 @@ def read_orc(spark: SparkSession, path: str) -> DataFrame:
     """Documents of the files with ``start``: ids of all documents before each.
 
     Only the sums of the parts are joined to the rows: one short row for each
-    part, so broadcast size follows the number of files.
+    part, so broadcast size follows the number of files.  Rows with null or equal
+    doc_ids each have their own ``start``; files without rows give none.
     """
     files = spark.read.schema(_ROW).orc(path)
     sums = files.groupBy("part").agg(F.sum(F.col("n_tokens").cast("long")).alias("size"))
@@ -87,8 +91,9 @@ def read_orc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lookup(spark: SparkSession, path: str, doc_id: int) -> DataFrame:
-    """Documents with this id: the predicate reaches the ORC reader, which
-    skips stripes by their statistics and Bloom filters."""
+    """Documents with this id, several if the id is repeated: the predicate
+    reaches the ORC reader, which skips stripes by their statistics and row groups
+    by their Bloom filters.  Rows without an id are never found."""
     return spark.read.schema(_ROW).orc(path).where(F.col("doc_id") == doc_id)
 
 

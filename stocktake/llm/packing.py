@@ -139,8 +139,8 @@ def pack(docs: DataFrame, tokenizer: str, end: int, window: int = WINDOW) -> Dat
 
     ``docs`` has doc_id, text and any other columns; null texts are empty and
     have one id, the end.  Result: ``doc_id``; ``start``, ids of the document
-    before the piece; ``length``; ``ids``, unsigned 16- or 32-bit little-endian
-    as the vocabulary needs; ``doc_tokens``; ``sequence_id``, unique: the
+    before the piece; ``length``; ``ids``, unsigned 32-bit little-endian;
+    ``doc_tokens``; ``sequence_id``, unique: the
     number of the task and the number in it; ``offset`` in the sequence;
     ``padded_length`` of the sequence, equal to the sum of its pieces.  Ties,
     repeated rows and null ids are packed like any others; an empty table gives
@@ -183,7 +183,8 @@ def pack(docs: DataFrame, tokenizer: str, end: int, window: int = WINDOW) -> Dat
 
 
 def digest_pieces(pieces: DataFrame) -> DataFrame:
-    """``pieces`` with ``ids`` replaced by ``ids_crc32``."""
+    """``pieces`` with ``ids`` replaced by ``ids_crc32``.  Null doc_ids stay null,
+    repeated rows stay repeated, no piece has null ids; an empty table stays empty."""
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

@@ -25,8 +25,9 @@ from .common import Workspace
 
 #: fixed values: headers that a not-modified answer may update
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "vary", "last-modified"]
-#: buckets of a hot URL; URLs with fewer moments than these are never hot
-BUCKETS, HOT = 64, 1000
+#: buckets of a hot URL; URLs with fewer moments than these are never hot, and
+#: those with so many always are
+BUCKETS, HOT, ALWAYS = 64, 1000, 1_000_000
 _TRACKING = "(utm_[a-z]+|ref|fbclid|gclid|sessionid)"
 
 
@@ -51,18 +52,21 @@ def merge_headers(response: Column, revisit: Column) -> Column:
     return F.map_concat(old, new)
 
 
-def _bucketed(moments: DataFrame, buckets: int, hot: int) -> tuple[DataFrame, bool]:
-    """``moments`` with ``bucket``, and whether any URL has more than one.  At
-    most a thousand URLs can hold a thousandth of all, so few bounds are sent."""
-    total = moments.count()
-    large = moments.groupBy("canonical").count().where(F.col("count") >= max(hot, total // 1000)).select("canonical")
+def _bucketed(moments: DataFrame, buckets: int, hot: int, work: Workspace | None = None) -> tuple[DataFrame, bool]:
+    """``moments`` with ``bucket``, and whether any URL has more than one.  A URL
+    is cut at quantiles of its times if it has ``hot`` moments and a thousandth of
+    all, or ``ALWAYS`` moments whatever share that is.  The bounds are a table of those URLs, joined like any other:
+    Spark sends it where it is small, and splits the skewed side where not."""
+    work = work or Workspace(moments.sparkSession, "warc")
+    least = min(ALWAYS, max(hot, moments.count() // 1000))
+    large = moments.groupBy("canonical").count().where(F.col("count") >= least).select("canonical")
     at = [k / buckets for k in range(1, buckets)]
-    bounds = moments.join(F.broadcast(large), "canonical", "left_semi").groupBy("canonical").agg(F.percentile_approx(F.col("captured").cast("double"), at, 10_000).alias("bounds")).collect()
-    if not bounds:
+    bounds = moments.join(large, "canonical", "left_semi").groupBy("canonical").agg(F.array_sort(F.array_distinct(F.percentile_approx(F.col("captured").cast("double"), at, 10_000))).alias("bounds"))
+    bounds = work.save(bounds, "bounds")
+    if bounds.isEmpty():
         return moments.withColumn("bucket", F.lit(0)), False
-    known = moments.sparkSession.createDataFrame([(r.canonical, sorted(set(r.bounds))) for r in bounds], "canonical string, bounds array<double>")
     rank = F.size(F.filter("bounds", lambda b: b < F.col("captured").cast("double")))
-    return moments.join(F.broadcast(known), "canonical", "left").withColumn("bucket", F.when(F.col("bounds").isNull(), 0).otherwise(rank)).drop("bounds"), True
+    return moments.join(bounds, "canonical", "left").withColumn("bucket", F.when(F.col("bounds").isNull(), 0).otherwise(rank)).drop("bounds"), True
 
 
 def resolve_revisits(records: DataFrame, buckets: int = BUCKETS, hot: int = HOT) -> DataFrame:
@@ -88,7 +92,7 @@ def resolve_revisits(records: DataFrame, buckets: int = BUCKETS, hot: int = HOT)
     order = F.when(full, F.struct(F.coalesce("record_id", F.lit("")), F.coalesce(F.to_json("headers"), F.lit(""))))
     moments = rows.where("canonical IS NOT NULL AND captured IS NOT NULL").groupBy("canonical", "captured").agg(F.max_by(F.when(full, answer), order).alias("answer"))
     # saved, as its rows are counted, cut at quantiles and then read
-    moments, several = _bucketed(work.save(moments, "moments"), buckets, hot)
+    moments, several = _bucketed(work.save(moments, "moments"), buckets, hot, work)
     near = Window.partitionBy("canonical", "bucket").orderBy("captured").rowsBetween(Window.unboundedPreceding, -1)
     found = moments.withColumn("found", F.last("answer", True).over(near))
     if several:
@@ -98,7 +102,11 @@ def resolve_revisits(records: DataFrame, buckets: int = BUCKETS, hot: int = HOT)
         carried = tops.withColumn("far", F.last("top", True).over(far)).where("bucket > 0 AND far IS NOT NULL").select("canonical", "bucket", "far")
         found = found.join(carried, ["canonical", "bucket"], "left").withColumn("found", F.coalesce("found", "far"))
     found = found.where("found IS NOT NULL").select("canonical", "captured", F.col("found.record_id").alias("response_id"), F.col("found.headers").alias("_stored"), F.lit(True).alias("_met"))
-    rows = rows.where("kind = 'revisit'").join(found, ["canonical", "captured"], "left")
+    asked = rows.where("kind = 'revisit'")
+    # rows without a url or a time meet nothing: they would all be one key of the join
+    placed = asked.where("canonical IS NOT NULL AND captured IS NOT NULL").join(found, ["canonical", "captured"], "left")
+    none = [F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("response_id", "_stored", "_met")]
+    rows = placed.unionByName(asked.where("canonical IS NULL OR captured IS NULL").select("*", *none))
     tag, stored_tag = F.col("headers")["etag"], F.col("_stored")["etag"]
     time, stored_time = F.col("headers")["last-modified"], F.col("_stored")["last-modified"]
     weak = lambda c: F.regexp_replace(c, "^W/", "")
@@ -114,9 +122,12 @@ def resolve_revisits(records: DataFrame, buckets: int = BUCKETS, hot: int = HOT)
 
 
 def captures_of_pages(pages: DataFrame) -> DataFrame:
-    """Records of a crawl over ``pages`` (page_id, url, html): each page is a
-    full response at ten times its id, with the hash of its html as entity tag,
-    and was asked for again fifteen moments later by its entity tag."""
+    """Records of a crawl over ``pages`` (page_id, url, html, any other columns):
+    each page is a full response at ten times its id, with the hash of its html as
+    entity tag, and was asked for again fifteen moments later by its entity tag.
+    Null ids give null moments and null record ids, null urls null urls, null html
+    the tag ``"none"`` and length 0; repeated rows give repeated records; an empty
+    table gives none."""
     tag = F.concat(F.lit('"'), F.coalesce(F.md5("html"), F.lit("none")), F.lit('"'))
     text = lambda c: c.cast("string")
     moment = F.col("page_id") * 10

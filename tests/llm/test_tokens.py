@@ -98,6 +98,26 @@ def test_orc_reads_back_what_was_encoded(spark, awkward, nothing):
     assert orcout.read_orc(spark, f"file://{out}/none").count() == 0
 
 
+def rows_scanned(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().get("numOutputRows").get().value()
+
+
+def test_lookups_skip_row_groups(spark):
+    """Of 30,000 documents with even ids in three files a lookup reads the row
+    group that holds the id, and none where the Bloom filters exclude it."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    out = f"file://{tempfile.mkdtemp()}/ids"
+    docs = spark.range(30_000).selectExpr("2 * id AS doc_id", "concat('word ', id % 50) AS text")
+    orcout.write_orc(docs, out, path, 0, parts=3)
+    stride = int(orcout.ORC_OPTIONS["orc.row.index.stride"])
+    assert [r.doc_id for r in orcout.lookup(spark, out, 40_000).collect()] == [40_000]
+    assert 1 <= rows_scanned(orcout.lookup(spark, out, 40_000)) <= stride
+    absent = [rows_scanned(orcout.lookup(spark, out, k)) for k in (10_001, 30_001, 50_001)]
+    assert sorted(absent)[:2] == [0, 0]  # each is excluded but for one time in a hundred
+    assert rows_scanned(orcout.lookup(spark, out, 1_000_000)) == 0
+
+
 def test_awkward_rows_pack(awkward, nothing):
     path = public_tokenizers.path("word_bpe_49k.json")
     pieces = packing.pack(awkward, path, 2).collect()
