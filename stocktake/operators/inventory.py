@@ -33,6 +33,14 @@ class Inventory:
     context: DataFrame
     coverage: DataFrame
     unsupported: DataFrame
+    #: where the facts are kept, if they were written for it
+    work: Workspace | None = None
+
+    def release(self) -> None:
+        """Drop the facts; no section may be read after it.  Without it they stay
+        until the driver ends."""
+        if self.work is not None:
+            self.work.drop()
 
 
 def _wide(merged: DataFrame, keys: list[str]) -> DataFrame:
@@ -66,11 +74,14 @@ def models(facts: DataFrame, context: DataFrame) -> DataFrame:
 def take_stock(files: DataFrame, strict: bool = False, runtime_manifests: bool = True, include_prompts: bool = False, facts: DataFrame | None = None) -> Inventory:
     """All sections of ``files``.  The facts are written once, in folders by
     kind, and every section reads its own kind; pass ``facts`` where they are
-    kept in a table already."""
+    kept in a table already.  A driver that takes stock many times calls
+    ``release`` of each inventory that it is done with."""
+    work = None
     if facts is None:
         # facts are far fewer than files; rebalancing makes few files of a kind
         found = detect.all_facts(files, strict, runtime_manifests).hint("rebalance", "kind")
-        facts = Workspace(files.sparkSession, "stock").save(found, "facts", by=("kind",))
+        work = Workspace(files.sparkSession, "stock")
+        facts = work.save(found, "facts", by=("kind",))
     context = runtime_context(facts)
     entity = lambda kind, *keys: keep_first(facts.where(F.col("kind") == kind), ["repo", *keys], ORDER)
     prompts = entity("prompt", "name").select("repo", F.col("name").alias("id"), "source_file", *([F.col("value").alias("template")] if include_prompts else []))
@@ -84,6 +95,7 @@ def take_stock(files: DataFrame, strict: bool = False, runtime_manifests: bool =
         context=context,
         coverage=detect.detector_coverage(facts, files),
         unsupported=detect.unsupported(facts),
+        work=work,
     )
 
 

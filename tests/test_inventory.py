@@ -177,6 +177,18 @@ const b = new A.OpenAI({ model: 'm' });
     assert parsers.script_events("new (") == [] and parsers.script_events('import { a } from') == []
 
 
+@pytest.mark.parametrize("piece", ["a(", "new A(", "import {", "const {", "a(b) c("])
+def test_unclosed_marks_take_linear_time(piece):
+    import time
+
+    times = []
+    for size in (50_000, 400_000):
+        began = time.process_time()
+        parsers.script_events(piece * (size // len(piece)))
+        times.append(time.process_time() - began)
+    assert times[1] < 20 * max(times[0], 0.02)
+
+
 def test_exceptions_belong_to_their_values(spark):
     rows = spark.range(2000).selectExpr("id", "IF(id % 3 = 0, 'tool', 'model') AS entity_type", "concat('n', id % 50) AS name").repartition(7)
     known = spark.createDataFrame([(0, "tool", "n6", "one"), (1, "", "n7", "two"), (2, "tool", "", "three")], "pos int, entity_type string, name string, reason string")
