@@ -88,6 +88,32 @@ def indexed_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.read_runs(spark, path, 3, runs.drop("run_id").schema.simpleString()[7:-1].replace(":", " ") + ", run_id string").select("repo", "run_id", "key", "payload")
 
 
+_TWO_RUNS = """s AS (SELECT event_type AS repo, strftime(ts, '%Y%m%d') AS run_id, user_id::VARCHAR AS key, arg_max(props, (ts, event_id)) AS payload FROM events GROUP BY ALL),
+r AS (SELECT repo, run_id, row_number() OVER (PARTITION BY repo ORDER BY run_id DESC) AS age FROM (SELECT DISTINCT repo, run_id FROM s)),
+n AS (SELECT s.* FROM s JOIN r USING (repo, run_id) WHERE age = 1), o AS (SELECT s.* FROM s JOIN r USING (repo, run_id) WHERE age = 2),
+c AS (SELECT coalesce(o.repo, n.repo) AS repo, 'models' AS section, coalesce(o.key, n.key) AS key, CASE WHEN o.repo IS NULL THEN 'added' WHEN n.repo IS NULL THEN 'removed' WHEN o.payload IS DISTINCT FROM n.payload THEN 'changed' END AS status, o.payload AS old_payload, n.payload AS new_payload FROM o FULL JOIN n ON o.repo = n.repo AND o.key = n.key)"""
+
+
+def _last_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The last run of each repository, and all before it."""
+    rows = _events(spark, sf_dir, F.date_format("ts", "yyyyMMdd").alias("run_id"))
+    runs = R.keep_last(rows, ["repo", "run_id", "section", "key"], ["ts", "event_id"]).select(*drift.KEY, "payload", "run_id")
+    marked = runs.join(runs.groupBy("repo").agg(F.max("run_id").alias("newest")), "repo")
+    return marked.where("run_id = newest").select(*drift.KEY, "payload"), marked.where("run_id < newest").drop("newest")
+
+
+@registered(QUERIES, f"WITH {_TWO_RUNS} SELECT * FROM c WHERE status IS NOT NULL")
+def trend_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that changed from each repository's run before the last to the last."""
+    return drift.trend(*_last_runs(spark, sf_dir), 3)[0]
+
+
+@registered(QUERIES, f"WITH {_TWO_RUNS} SELECT repo, section, (count(*) FILTER (WHERE status = 'added'))::BIGINT AS added, (count(*) FILTER (WHERE status = 'removed'))::BIGINT AS removed, (count(*) FILTER (WHERE status = 'changed'))::BIGINT AS changed FROM c WHERE status IS NOT NULL GROUP BY ALL")
+def trend_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many keys were added, removed and changed."""
+    return drift.trend(*_last_runs(spark, sf_dir), 3)[2]
+
+
 _ORDER_SCHEMA = {
     "type": "object",
     "required": ["key", "status", "lines"],

@@ -105,6 +105,18 @@ def policy_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("repo", "base_rule_id", "name", "source_file", "reason", F.lit(source["policy_id"]).alias("policy_id"), F.lit(source["version"]).alias("version"))
 
 
+@registered(
+    QUERIES,
+    f"""WITH {_ENTITIES} SELECT repo, 'exfil-surface:' || name || ':' || source_file AS id, CASE WHEN source_file = '' THEN 0.688 ELSE 0.838 END::DOUBLE AS score, 0.5::DOUBLE AS confidence, 0.25::DOUBLE AS exposure, 0.25::DOUBLE AS provenance FROM e WHERE name = 'SerpAPI'""",
+)
+def weighted_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of a rule with weights of its own, which are made to sum to one."""
+    found = risk.evaluate(_entities(spark, sf_dir), {"rule_overrides": {"exfil-surface": {"weights": {"confidence": 2, "exposure": 1, "provenance": 1}}}})
+    weights = found.applied.where("base_rule_id = 'exfil-surface'").select("repo", "effective_weights.*")
+    rows = found.findings.where("base_rule_id = 'exfil-surface'").select("repo", "id", F.col("weighted_score").cast("double").alias("score"))
+    return rows.join(weights, "repo")
+
+
 @registered(
     QUERIES,
     """WITH b AS (SELECT DISTINCT p_brand AS repo FROM part), f AS (SELECT repo, 0 AS first FROM b WHERE suffix(repo, '1') UNION ALL SELECT repo, 1 FROM b WHERE NOT suffix(repo, '1'))
