@@ -59,7 +59,7 @@ class Words:
         codes = np.frombuffer(self.joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         lengths = np.fromiter(map(len, lowered), np.int64, len(lowered))
         self.begins = np.concatenate(([0], np.cumsum(lengths + 1)))
-        inside = word_chars()[codes]
+        inside = word_chars().take(codes, mode="clip")  # no bounds to check
         change = np.diff(inside.view(np.int8), prepend=np.int8(0))
         self.starts = np.flatnonzero(change == 1)
         self.ends = np.flatnonzero(change == -1)
