@@ -15,13 +15,16 @@ from pyspark.sql.types import StructType
 
 from stocktake.sources.work import Workspace, shared_dir
 
-__all__ = ["Workspace", "batch_of", "held_out", "over_batches", "resident", "shared_dir", "slices", "text_ranges", "text_slices", "texts_of", "tidy"]
+__all__ = ["Workspace", "batch_of", "fewer", "held_out", "over_batches", "resident", "shared_dir", "slices", "text_ranges", "text_slices", "texts_of", "tidy"]
 
 #: bytes of text that one numpy step handles; bounds a task's memory
 SLICE_CHARS = 300_000
 #: bytes of one Arrow batch
 BATCH_BYTES = 8 << 20
 _LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: tasks that write a table of a few numbers a row: as many as a session's
+#: shuffles have partitions, or these and one for each ``SHARED`` partitions
+WRITERS, SHARED = 48, 8
 
 _resident: dict[object, object] = {}
 
@@ -37,6 +40,14 @@ def over_batches(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iter
     return rows.mapInArrow(run, schema)
 
 
+def fewer(rows: DataFrame) -> DataFrame:
+    """``rows``, each of a few numbers, in fewer partitions, for a table that is
+    written: where shuffles have hundreds of partitions, starting a writer for
+    each would take longer than the rows.  Tasks still grow in number with the
+    partitions."""
+    return rows.coalesce(max(WRITERS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // SHARED))
+
+
 def tidy(key: object = None) -> None:
     """At the start of a task: drop the model that an earlier operator's tasks
     left in this worker process, unless it is ``key``'s, and give freed memory

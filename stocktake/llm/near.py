@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, batch_of, over_batches, text_slices, tidy
+from .common import Workspace, batch_of, fewer, over_batches, text_slices, tidy
 from .graph import components
 from .textnum import Words, mix, shingles
 
@@ -168,11 +168,13 @@ def _candidates(rows: DataFrame) -> DataFrame:
 
 
 def _picked(table: DataFrame, rids: DataFrame) -> DataFrame:
-    """Rows of ``table`` with these rids.  Up to ``BROADCAST_ROWS`` distinct ids
-    are broadcast, so that the table's sets need no shuffle; more are joined by
-    a shuffle."""
+    """Rows of ``table`` with these rids, which may repeat.  Up to
+    ``BROADCAST_ROWS`` distinct ids are broadcast, so that the table's sets need
+    no shuffle; more are joined by a shuffle.  Distinct ids are only counted
+    where the rows, which are read from work tables, leave it open."""
+    few = rids.count() <= BROADCAST_ROWS
     rids = rids.select("rid").distinct()
-    return table.join(F.broadcast(rids) if rids.count() <= BROADCAST_ROWS else rids, "rid", "left_semi")
+    return table.join(F.broadcast(rids) if few or rids.count() <= BROADCAST_ROWS else rids, "rid", "left_semi")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -306,37 +308,37 @@ def near_duplicates(docs: DataFrame, recall: float = RECALL, trees: int = TREES)
     signed = work.save(sign(docs, recall, trees), "signed")
     rank = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "rid")
     heads = signed.where("fingerprint IS NOT NULL").groupBy("fingerprint").agg(F.min(rank).alias("head"), F.count("*").alias("copies"))
-    heads = work.save(heads.select("fingerprint", F.col("head.rid").alias("rid"), "copies"), "heads")
+    heads = work.save(fewer(heads.select("fingerprint", F.col("head.rid").alias("rid"), "copies")), "heads")
     keys = signed.where("n_shingles > 0").select("rid", F.col("n_shingles").alias("n"), "deep", "flat", "next")
     keys = work.save(keys.join(heads.select("rid"), "rid", "left_semi"), "keys")
     sets = signed.select("rid", "members")
 
     deep = keys.select("rid", "n", F.explode("deep").alias("node")).select("node", F.lit(0).alias("child"), "rid", F.col("rid").alias("class"), "n")
-    close = work.save(_verified(work.save(_candidates(deep), "pairs1"), sets), "close")
+    close = work.save(_verified(work.save(fewer(_candidates(deep)), "pairs1"), sets), "close")
     first = components(close, work, "round1")
 
     classes = keys.join(first, keys.rid == first.node, "left").select("rid", "n", F.coalesce("root", "rid").alias("class"), F.arrays_zip("flat", "next").alias("trees"))
     flat = classes.select("rid", "n", "class", F.explode("trees").alias("t")).select("rid", "n", "class", F.col("t.flat").alias("node"), F.col("t.next").alias("child"))
     # nodes of one class are settled by it; the others are counted with every document
     nodes = flat.groupBy("node").agg(F.count("*").alias("size"), F.min("class").alias("b"), F.max("class").alias("last")).where("b < last")
-    nodes = work.save(nodes.select("node", "size", "b"), "nodes")
+    nodes = work.save(fewer(nodes.select("node", "size", "b")), "nodes")
     mixed = flat.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes, "node")
     small = mixed.where(F.col("size") <= NEXT + 1).drop("size", "b")
-    wide = work.save(_verified(work.save(_fitting(_ordered_pairs(small, "node")), "pairs2"), sets), "wide")
+    wide = work.save(_verified(work.save(fewer(_fitting(_ordered_pairs(small, "node"))), "pairs2"), sets), "wide")
     crowded = mixed.where(F.col("size") > NEXT + 1).select(F.col("class").alias("a"), "b").distinct()
     joined = first.select(F.col("node").alias("a"), F.col("root").alias("b"))
     clusters = components(wide.union(joined).union(crowded), work, "clusters")
 
     linked = heads.join(clusters.union(clusters.select("root", "root").distinct()).toDF("rid", "cluster"), "rid").select("cluster", "rid", "copies")
-    linked = work.save(linked, "linked")
+    linked = work.save(fewer(linked), "linked")
     compared = work.save(_compared(linked.join(_picked(sets, linked), "rid").select("cluster", "rid", "copies", "members")), "compared")
     links = compared.groupBy("rid").agg(F.sum("links").alias("links"))
     second = components(compared.select(F.col("rid").alias("a"), F.col("root").alias("b")), work, "round2")
-    classes = work.save(heads.join(second, heads.rid == second.node, "left").select("fingerprint", heads.rid, "copies", F.coalesce("root", heads.rid).alias("class")), "classes")
+    classes = work.save(fewer(heads.join(second, heads.rid == second.node, "left").select("fingerprint", heads.rid, "copies", F.coalesce("root", heads.rid).alias("class"))), "classes")
     named = signed.select("rid", "doc_id")
     best = classes.join(named, "rid").groupBy("class").agg(F.min(rank).alias("best"), F.sum("copies").alias("class_size"))
     classes = classes.join(best, "class").join(links, "rid", "left").select("fingerprint", F.col("best.rid").alias("keeper_rid"), "class_size", (F.col("copies") - 1 + F.coalesce(F.col("links") - F.col("copies"), F.lit(0))).alias("n_links"))
-    classes = work.save(classes.join(named.select(F.col("rid").alias("keeper_rid"), F.col("doc_id").alias("class_id")), "keeper_rid"), "result")
+    classes = work.save(fewer(classes.join(named.select(F.col("rid").alias("keeper_rid"), F.col("doc_id").alias("class_id")), "keeper_rid")), "result")
     work.drop("keys", "nodes", "pairs1", "pairs2", "close", "wide", "heads", "classes", "linked", "compared")
     lone = F.col("fingerprint").isNull()
     rows = signed.select("rid", "doc_id", "text_hash", "fingerprint").join(classes, "fingerprint", "left")
