@@ -47,7 +47,7 @@ COVER, COVER_WITH_ANSWER = 0.7, 0.6
 MIN_WORDS = 8  # shorter items can't be told from chance; they match only whole
 SCREENED = 0.6  # share of an item's words, rarest first, that screens windows
 ITEM_BLOCK = 256  # items searched at once, at most
-BITMAP = 1 << 24  # passages times terms that a task marks at once
+PIECE = 32  # rows of a run that are summed one by one
 PARTS = 32  # pieces in which tasks send their sums
 FAN_IN = 32  # sums of tasks that one step adds up
 ROUND_BYTES = 64 << 20  # latent spaces that tasks hold at once; more take more passes
@@ -111,6 +111,28 @@ def _passages(words: Words) -> tuple[np.ndarray, int]:
     return first[doc] + (np.arange(count.sum()) - words.offsets[:-1][doc]) // PASSAGE, int(parts.sum())
 
 
+def row_sums(table: np.ndarray, place: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of ``table[place]`` over the runs of ``place`` that begin at
+    ``starts``, none of them empty.  The k-th rows of all runs are added at once,
+    the longest runs first, so numpy adds whole arrays; runs of more than
+    ``PIECE`` are summed in pieces, and their pieces in turn."""
+    sizes = np.diff(starts, append=len(place))
+    if len(sizes) and sizes.max() > PIECE:
+        count = -(-sizes // PIECE)
+        first = np.cumsum(count) - count
+        pieces = np.repeat(starts - PIECE * first, count) + PIECE * np.arange(count.sum())
+        return row_sums(row_sums(table, place, pieces), np.arange(len(pieces)), first)
+    order = np.argsort(-sizes, kind="stable")
+    begins, longer = starts[order], np.cumsum(np.bincount(sizes, minlength=1)[::-1])[::-1]
+    sums = table[place[begins]]
+    for k in range(1, len(longer) - 1):
+        active = longer[k + 1]
+        sums[:active] += table[place[begins[:active] + k]]
+    out = np.empty_like(sums)
+    out[order] = sums
+    return out
+
+
 _SHARE = "task int, part int, data binary"
 _SHARE_SCHEMA = pa.schema([("task", pa.int32()), ("part", pa.int32()), ("data", pa.binary())])
 
@@ -153,19 +175,15 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
         found = np.zeros(len(terms) + 1)
-        step = max(1, BITMAP // len(terms))
         for batch in batches:
             for _, _, texts in text_slices(batch.column(0)):
                 words = Words(texts)
                 passage, count = _passages(words)
                 place = _term_places(words.hashes, terms)
                 hit = np.flatnonzero(place >= 0)
-                passage, place = passage[hit], place[hit]
-                for at in range(0, count, step):
-                    first, last = np.searchsorted(passage, (at, at + step))
-                    held = np.zeros((min(step, count - at), len(terms)), bool)
-                    held[passage[first:last] - at, place[first:last]] = True
-                    found[:-1] += held.sum(axis=0)
+                pairs = np.sort(passage[hit] * len(terms) + place[hit])
+                held = pairs[np.diff(pairs, prepend=-1) > 0] % len(terms)
+                found[:-1] += np.bincount(held, minlength=len(terms))
                 found[-1] += count
         yield _share(found)
 
@@ -192,11 +210,11 @@ def singular_vectors(docs: DataFrame, terms: np.ndarray, idf: np.ndarray, rank:
                     continue
                 own, place = passage[hit], place[hit]
                 first = np.flatnonzero(np.diff(own, prepend=-1))
-                product = np.add.reduceat(weighted[place], first, axis=0)  # rows of A W
-                rows = product[np.cumsum(np.diff(own, prepend=own[0]) > 0)]
+                product = row_sums(weighted, place, first)  # rows of A W
                 order = np.argsort(place, kind="stable")
                 start = np.flatnonzero(np.diff(place[order], prepend=-1))
-                share[place[order][start]] += np.add.reduceat(rows[order], start, axis=0)
+                row = np.cumsum(np.diff(own, prepend=own[0]) > 0)
+                share[place[order][start]] += row_sums(product, row[order], start)
         yield _share(share * idf[:, None])
 
     y = _sum_arrays(over_batches(docs.select(F.col("text").cast("string")), run, _SHARE), len(terms) * rank).reshape(-1, rank)
@@ -386,7 +404,7 @@ class Searcher:
                 cut = np.flatnonzero(np.diff(local[used], prepend=-1))
                 if not len(cut):
                     continue
-                dense[local[used][cut]] = np.add.reduceat(space.embed[place[lo:hi][used]], cut, axis=0)
+                dense[local[used][cut]] = row_sums(space.embed, place[lo:hi][used], cut)
                 vectors = np.zeros((len(part), dense.shape[1]), np.float32)
                 for k in range(span):
                     inside = part + k < end[part]
