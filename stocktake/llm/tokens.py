@@ -31,6 +31,7 @@ _OTHER = r"\t\x{0b}\x{0c}\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{
 #: runs of white space that the cuts would change
 _RUNS = rf" [ \n{_OTHER}]|\n\n[ \n]|\n\n$|\n[{_OTHER}]|[{_OTHER}]\n"
 _VISIBLE = r"[^\s\pZ\pC~]+"
+_LETTERS = r"^ ?\pL+$"
 #: marks that stand for themselves between pieces: a line end, or one for
 #: tokenizers that drop white space
 _MARKS = ("\n", " ~ ")
@@ -64,6 +65,13 @@ class Encoder:
         self.tokenizer, self.end = _tokenizer(path), end
         ids = [self.tokenizer.encode(f"a{mark}b", add_special_tokens=False).ids[1:-1] for mark in _MARKS]
         self.mark, self.mark_ids = next(((m, i) for m, i in zip(_MARKS, ids, strict=True) if len(i) == 1), ("", []))
+        #: for each id, whether its token ends a word
+        self.closing = np.zeros(0, bool)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if suffix and self.mark == _MARKS[1]:
+            vocabulary = self.tokenizer.get_vocab()
+            self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.closing[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.known, self.again = pa.array([], pa.large_string()), np.zeros(0, bool)
         self.flat, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
@@ -78,6 +86,26 @@ class Encoder:
         ends = np.flatnonzero(ids == self.mark_ids[0])
         return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
 
+    def _lettered(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ``plain``, for pieces of letters and a tokenizer that drops white
+        space and has tokens of its own for the ends of words (``closing``), so
+        that none needs a mark.  A word never spans two pieces and each has one at
+        least; so where words are not as many as pieces, a letter was no letter
+        any more in lower case or normal form, and those pieces get marks."""
+        names = pieces.to_pylist()
+        parts, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for low in range(0, len(names), AT_ONCE):
+            groups = [(at, min(at + 4000, low + AT_ONCE, len(names))) for at in range(low, min(low + AT_ONCE, len(names)), 4000)]
+            coded = self.tokenizer.encode_batch_fast([" ".join(names[a:b]) for a, b in groups], add_special_tokens=False)
+            for (a, b), e in zip(groups, coded, strict=True):
+                ids = np.array(e.ids, np.int32)
+                ends = np.flatnonzero(self.closing[ids])
+                whole = len(ends) == b - a and ends[-1] == len(ids) - 1
+                own = (ids, np.diff(ends, prepend=-1)) if whole else self._joined(pieces[a:b])
+                parts.append(own[0])
+                sizes.append(own[1])
+        return np.concatenate(parts), np.concatenate(sizes)
+
     def _distinct(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """As ``plain``, for distinct pieces; those of earlier slices are
         remembered.  When there are too many, only those that came again stay."""
@@ -107,15 +135,18 @@ class Encoder:
         """As ``plain``, for distinct pieces."""
         if len(self.mark_ids) != 1 or len(pieces) < 100:
             return self.plain(pieces.to_pylist())
-        fits = pc.match_substring_regex(pieces, f"^ ?{_VISIBLE}$")
-        one, n = self._joined(pieces.filter(fits))
-        two, m = self.plain(pieces.filter(pc.invert(fits)).to_pylist())
-        fits = fits.to_numpy(zero_copy_only=False)
-        assert len(n) == fits.sum(), "a mark was not kept apart"
+        fits = pc.match_substring_regex(pieces, f"^ ?{_VISIBLE}$").to_numpy(zero_copy_only=False)
+        letters = pc.match_substring_regex(pieces, _LETTERS).to_numpy(zero_copy_only=False) & (len(self.closing) > 0)
+        groups = [(letters, self._lettered), (fits & ~letters, self._joined), (~fits & ~letters, lambda x: self.plain(x.to_pylist()))]
         size, place = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
-        size[fits], place[fits] = n, np.cumsum(n) - n
-        size[~fits], place[~fits] = m, np.cumsum(m) - m + len(one)
-        return _gather(np.concatenate([one, two]), place, size), size
+        flat, before = [], 0
+        for chosen, method in groups:
+            ids, n = method(pieces.filter(pa.array(chosen)))
+            assert len(n) == chosen.sum(), "a mark was not kept apart"
+            size[chosen], place[chosen] = n, before + np.cumsum(n) - n
+            flat.append(ids)
+            before += len(ids)
+        return _gather(np.concatenate(flat), place, size), size
 
     def plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each encoded by itself, and their numbers."""
