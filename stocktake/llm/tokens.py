@@ -32,6 +32,7 @@ _OTHER = r"\t\x{0b}\x{0c}\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{
 _RUNS = rf" [ \n{_OTHER}]|\n\n[ \n]|\n\n$|\n[{_OTHER}]|[{_OTHER}]\n"
 _VISIBLE = r"[^\s\pZ\pC~]+"
 _LETTERS = r"^ ?\pL+$"
+_SPACED = rf"^ {_VISIBLE}$"
 #: marks that stand for themselves between pieces: a line end, or one for
 #: tokenizers that drop white space
 _MARKS = ("\n", " ~ ")
@@ -47,6 +48,14 @@ def _tokenizer(path: str):
     return tokenizer
 
 
+def _cuts_bytes(tokenizer) -> bool:
+    """Whether tokens stand for the bytes of a text as it is, one letter a byte."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    cutter = tokenizer.pre_tokenizer
+    return tokenizer.normalizer is None and isinstance(cutter, ByteLevel) and cutter.use_regex and not cutter.add_prefix_space
+
+
 def _ragged(lists: list[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
     size = np.fromiter(map(len, lists), np.int64, len(lists))
     return np.fromiter(chain.from_iterable(lists), np.int32, int(size.sum())), size
@@ -58,6 +67,16 @@ def _gather(flat: np.ndarray, place: np.ndarray, size: np.ndarray) -> np.ndarray
     return flat[np.repeat(place - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
+def _after(names: pa.Array, stems: pa.Array) -> pa.Array:
+    """What follows each stem in its name, as large strings."""
+    size, skip = (pc.binary_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (names, stems))
+    if not size.sum():
+        return names
+    bounds = np.frombuffer(names.buffers()[1], np.int64)[names.offset : names.offset + len(names)]
+    data = _gather(np.frombuffer(names.buffers()[2], np.uint8), bounds + skip, size - skip)
+    return pa.LargeStringArray.from_buffers(len(names), pa.py_buffer(np.concatenate(([0], np.cumsum(size - skip)))), pa.py_buffer(data))
+
+
 class Encoder:
     """Ids of texts by a tokenizer file; ``end`` is appended to every text."""
 
@@ -67,11 +86,21 @@ class Encoder:
         self.mark, self.mark_ids = next(((m, i) for m, i in zip(_MARKS, ids, strict=True) if len(i) == 1), ("", []))
         #: for each id, whether its token ends a word
         self.closing = np.zeros(0, bool)
+        #: for each id, the bytes that its token stands for
+        self.width = np.zeros(0, np.int64)
+        #: pieces that need no mark between them, and what joins them instead
+        self.alone, self.joint = "", ""
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         if suffix and self.mark == _MARKS[1]:
             vocabulary = self.tokenizer.get_vocab()
             self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
             self.closing[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+            self.alone, self.joint = _LETTERS, " "
+        elif self.mark == _MARKS[0] and _cuts_bytes(self.tokenizer):
+            vocabulary = self.tokenizer.get_vocab()
+            self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
+            self.width[list(vocabulary.values())] = [len(token) for token in vocabulary]
+            self.alone = _SPACED
         self.known, self.again = pa.array([], pa.large_string()), np.zeros(0, bool)
         self.flat, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
@@ -86,26 +115,42 @@ class Encoder:
         ends = np.flatnonzero(ids == self.mark_ids[0])
         return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
 
-    def _lettered(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """As ``plain``, for pieces of letters and a tokenizer that drops white
-        space and has tokens of its own for the ends of words (``closing``), so
-        that none needs a mark.  A word never spans two pieces and each has one at
-        least; so where words are not as many as pieces, a letter was no letter
-        any more in lower case or normal form, and those pieces get marks."""
-        names = pieces.to_pylist()
+    def _unmarked(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ``plain``, for pieces that match ``alone``, which need no mark.  Where
+        the pieces' ends can't be told from the ids, pieces get marks."""
+        names, sizes_of = pieces.to_pylist(), pc.binary_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64)
         parts, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         for low in range(0, len(names), AT_ONCE):
             groups = [(at, min(at + 4000, low + AT_ONCE, len(names))) for at in range(low, min(low + AT_ONCE, len(names)), 4000)]
-            coded = self.tokenizer.encode_batch_fast([" ".join(names[a:b]) for a, b in groups], add_special_tokens=False)
+            coded = self.tokenizer.encode_batch_fast([self.joint.join(names[a:b]) for a, b in groups], add_special_tokens=False)
             for (a, b), e in zip(groups, coded, strict=True):
                 ids = np.array(e.ids, np.int32)
-                ends = np.flatnonzero(self.closing[ids])
-                whole = len(ends) == b - a and ends[-1] == len(ids) - 1
-                own = (ids, np.diff(ends, prepend=-1)) if whole else self._joined(pieces[a:b])
+                ends = self._ends(ids, sizes_of[a:b])
+                own = self._joined(pieces[a:b]) if ends is None else (ids, np.diff(ends, prepend=-1))
                 parts.append(own[0])
                 sizes.append(own[1])
         return np.concatenate(parts), np.concatenate(sizes)
 
+    def _ends(self, ids: np.ndarray, size: np.ndarray) -> np.ndarray | None:
+        """Places of each piece's last id, or None if they can't be told; ``size``
+        are the pieces' bytes.
+
+        A tokenizer that drops white space and has tokens of its own for the ends
+        of words (``closing``) takes pieces of letters.  A word never spans two
+        pieces and each has one at least; so where words are not as many as pieces,
+        a letter was no letter any more in lower case or normal form.  A tokenizer
+        of bytes (``width``) takes pieces that begin with a space, before which it
+        cuts; each byte is in one token, so every piece's end is one of a token.
+        """
+        if len(self.closing):
+            ends = np.flatnonzero(self.closing[ids])
+            return ends if len(ends) == len(size) and ends[-1] == len(ids) - 1 else None
+        have, want = np.cumsum(self.width[ids]), np.cumsum(size)
+        if not len(ids) or have[-1] != want[-1]:
+            return None
+        ends = np.searchsorted(have, want)
+        return ends if np.array_equal(have[ends], want) else None
+
     def _distinct(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """As ``plain``, for distinct pieces; those of earlier slices are
         remembered.  When there are too many, only those that came again stay."""
@@ -136,8 +181,8 @@ class Encoder:
         if len(self.mark_ids) != 1 or len(pieces) < 100:
             return self.plain(pieces.to_pylist())
         fits = pc.match_substring_regex(pieces, f"^ ?{_VISIBLE}$").to_numpy(zero_copy_only=False)
-        letters = pc.match_substring_regex(pieces, _LETTERS).to_numpy(zero_copy_only=False) & (len(self.closing) > 0)
-        groups = [(letters, self._lettered), (fits & ~letters, self._joined), (~fits & ~letters, lambda x: self.plain(x.to_pylist()))]
+        alone = pc.match_substring_regex(pieces, self.alone).to_numpy(zero_copy_only=False) & (self.alone != "")
+        groups = [(alone, self._unmarked), (fits & ~alone, self._joined), (~fits & ~alone, lambda x: self.plain(x.to_pylist()))]
         size, place = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
         flat, before = [], 0
         for chosen, method in groups:
@@ -160,18 +205,16 @@ class Encoder:
         last = pc.match_substring_regex(stem, "[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f\u0410-\u044f]$")
         cut = pc.and_(last, pc.not_equal(pc.binary_length(stem), pc.binary_length(names)))
         stem = pc.if_else(cut, stem, names)
-        size = pc.utf8_length(stem).to_numpy(zero_copy_only=False)
         where = np.flatnonzero(cut.to_numpy(zero_copy_only=False))
-        tails = [x[k:] for x, k in zip(names.take(pa.array(where)).to_pylist(), size[where].tolist(), strict=True)]
-        kinds = {t: i for i, t in enumerate(dict.fromkeys(tails))}
+        tails = _after(names.take(pa.array(where)), stem.take(pa.array(where))).dictionary_encode()
         space = pc.if_else(pa.array(spaced), pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string()))
         stem = pc.binary_join_element_wise(space, stem, pa.scalar("", pa.large_string()))
         coded = stem.dictionary_encode()
-        flat, count = self._distinct(pa.concat_arrays([coded.dictionary, pa.array(list(kinds), pa.large_string())]))
+        flat, count = self._distinct(pa.concat_arrays([coded.dictionary, tails.dictionary]))
         place = np.cumsum(count) - count
         first = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         second = np.full(len(names), -1, np.int64)
-        second[where] = len(coded.dictionary) + np.array([kinds[t] for t in tails], np.int64)
+        second[where] = len(coded.dictionary) + tails.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         order = np.column_stack([first, second]).ravel()
         order = order[order >= 0]
         total = count[first]
@@ -193,7 +236,9 @@ class Encoder:
         bare[1:] |= line_end[:-1]
         bare[bounds[:-1]] = True
         index[bare] += len(coded.dictionary)
-        used, index = np.unique(index, return_inverse=True)
+        found = np.zeros(2 * len(coded.dictionary), bool)
+        found[index] = True
+        used, index = np.flatnonzero(found), (np.cumsum(found) - 1)[index]
         spaced = used < len(coded.dictionary)
         flat, count = self._pieces(coded.dictionary.take(pa.array(np.where(spaced, used, used - len(coded.dictionary)))), spaced)
         more, size = self.plain([texts[i] for i in odd])
