@@ -25,6 +25,7 @@ CAP = 200
 #: bits of one bitmap (fixed by the function), bitmaps of a repository and run, and hashes of a key
 BITS, BUCKETS, HASHES = 32_768, 64, 2
 _INDEX = "repo string, n long, run_id string"
+_ANY_LENGTH = {"maxStringLen": str(2**31 - 1)}
 
 
 def append_run(snapshot: DataFrame, path: str, run_id: str, cap: int = CAP, sketch: Sequence[str] = ()) -> None:
@@ -150,9 +151,11 @@ def last_runs(runs: DataFrame, limit: int = 0) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Documents that ``write_documents`` wrote, as (repo, document struct)."""
-    rows = spark.read.schema("repo string, document string, slug string").json(path)
-    return rows.select("repo", F.from_json("document", schema).alias("document"))
+    """Documents that ``write_documents`` wrote, as (repo, document struct).  A
+    document is one text of its line: it may be as long as a value can be, where
+    the reader would take longer ones than 20 million characters for no JSON."""
+    rows = spark.read.schema("repo string, document string, slug string").options(**_ANY_LENGTH).json(path)
+    return rows.select("repo", F.from_json("document", schema, _ANY_LENGTH).alias("document"))
 
 
 def write_documents(documents: DataFrame, path: str) -> None:

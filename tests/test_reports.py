@@ -108,6 +108,19 @@ def test_profile_of_a_bare_document(spark):
     assert some["risk_highlights"] == [{"id": "x", "title": "", "severity": "", "score": 0.0, "rule_id": ""}]
 
 
+def test_long_documents_come_back(spark, tmp_path):
+    """Longer than the 20 million characters that the reader takes by itself, in all or in one value."""
+    item = F.lit(json.dumps({"type": "t", "model": "m" * 100}))
+    many = F.concat(F.lit('{"models":['), F.array_join(F.array_repeat(item, 200_000), ","), F.lit("]}"))
+    long = F.concat(F.lit('{"schema_version":"'), F.repeat(F.lit("v"), 21_000_000), F.lit('"}'))
+    made = spark.range(2).select(F.when(F.col("id") == 0, "o/many").otherwise("o/long").alias("repo"), F.when(F.col("id") == 0, many).otherwise(long).alias("document"))
+    assert made.agg(F.min(F.length("document"))).first()[0] > 20_000_000
+    write_documents(made, f"{tmp_path}/docs")
+    p = report.ai_profile(read_documents(spark, f"{tmp_path}/docs", inventory.DOCUMENT))
+    found = p.select("repo", "executive_summary.models", F.size("ai_assets.models"), F.length("schema_version")).collect()
+    assert {tuple(r) for r in found} == {("o/many", 200_000, 200_000, 3), ("o/long", 0, 0, 21_000_000)}
+
+
 def test_policy_from_a_file(spark, tmp_path):
     path = tmp_path / "policy.json"
     path.write_text(json.dumps({"policy_id": "org", "version": 3, "rule_overrides": {"exfil-surface": {"enabled": False}, "third-party-provider": {"severity": "low", "rule_id": "ORG-9"}}}))
