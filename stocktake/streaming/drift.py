@@ -1,98 +1,103 @@
 """Drift as a stream: snapshots arrive as files, and each key keeps its own state.
 
-A key's state is its last sighting and the sightings that still wait for the
-watermark, so a batch touches the keys that it holds and those whose time has
-come, never the history.  Sightings are handled in the order of their time once
-the watermark has passed them: late ones find their place, repeated ones are one,
-and a batch that is run again starts from the state before it.  A key that was
-not seen for ``keep`` is removed, and so is its state.
+Sightings wait for the watermark in an aggregation by key and time: late ones
+find their place, repeated ones are one, and each is given once, when the
+watermark has passed it.  A key's state is its last sighting, so a batch touches
+the keys that it gives sightings of and those whose time has come, never the
+history, and a batch that is run again starts from the state before it.  A key
+that was not seen for ``keep`` is removed, and so is its state.
+
+Every use of a state is a message to another process and back: a key costs four
+of them a batch at most, however many sightings of it the batch holds.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import UTC, datetime, timedelta
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 SNAPSHOT = "repo string, section string, key string, payload string, at timestamp"
 CHANGES = "repo string, section string, key string, at timestamp, status string, payload string"
+#: a row for each key and batch is cheaper than one for each change
+_FOUND = "repo string, section string, key string, found array<struct<ms: bigint, status: string, payload: string>>"
+_KEY = ["repo", "section", "key"]
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _millis(at: datetime) -> int:
-    return round(at.replace(tzinfo=at.tzinfo or UTC).timestamp() * 1000)
-
-
 class KeyDrift(StatefulProcessor):
-    """The state of one key, and the changes that it gives."""
+    """The state of one key, and the changes that it gives.  Times are
+    milliseconds; rows of a batch are newer than those of batches before it, and
+    have a time of their own."""
 
     def __init__(self, keep: timedelta) -> None:
         self.keep = round(keep.total_seconds() * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        #: the last sighting that was handled
+        #: the last sighting
         self.last = handle.getValueState("last", "at long, payload string")
-        #: payloads of sightings to come, by their time
-        self.waiting = handle.getMapState("waiting", "at long", "payload string")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:  # noqa: N802, N803
-        for row in rows:
-            at = (_millis(row["at"]),)
-            if self.waiting.containsKey(at):
-                held = self.waiting.getValue(at)[0]
-                payload = max((p for p in (held, row["payload"]) if p is not None), default=None)
-            else:
-                payload = row["payload"]
-                self.handle.registerTimer(at[0])
-            self.waiting.updateValue(at, (payload,))
-        yield from ()
-
-    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:  # noqa: N802, N803
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        last = self.last.get() if self.last.exists() else None
-        if self.waiting.containsKey((now,)):
-            payload = self.waiting.getValue((now,))[0]
-            self.waiting.removeKey((now,))
+        before = last = self.last.get()
+        found = []
+        for now, payload in sorted(((row["ms"], row["payload"]) for row in rows), key=lambda x: x[0]):
             if last is not None and last[0] + self.keep < now:
-                # the timer of its end comes in this batch, too, but later
-                yield self._change(key, last[0] + self.keep, "removed", last[1])
+                found.append((last[0] + self.keep, "removed", last[1]))
                 last = None
             if last is None:
-                yield self._change(key, now, "added", payload)
+                found.append((now, "added", payload))
             elif last[1] != payload:
-                yield self._change(key, now, "changed", payload)
-            end = now + self.keep
-            if end < timerValues.getCurrentWatermarkInMs() and not any(now < at <= end for (at,) in self.waiting.keys()):
-                # the end has passed already, and timers set now come with the next batch
-                yield self._change(key, end, "removed", payload)
+                found.append((now, "changed", payload))
+            last = (now, payload)
+        if before is not None:
+            self.handle.deleteTimer(self._end(before))
+        if self._end(last) <= timerValues.getCurrentWatermarkInMs():
+            # the end has passed already
+            found.append((last[0] + self.keep, "removed", last[1]))
+            if before is not None:
                 self.last.clear()
-            else:
-                self.last.update((now, payload))
-                # one past it, as a sighting at the very end still counts as seen
-                self.handle.registerTimer(end + 1)
-        elif last is not None and last[0] + self.keep + 1 == now:
-            yield self._change(key, now - 1, "removed", last[1])
+        else:
+            self.last.update(last)
+            self.handle.registerTimer(self._end(last))
+        if found:
+            yield self._given(key, found)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:  # noqa: N802, N803
+        last = self.last.get()
+        if last is not None and self._end(last) == expiredTimerInfo.getExpiryTimeInMs():
             self.last.clear()
+            yield self._given(key, [(last[0] + self.keep, "removed", last[1])])
 
     def close(self) -> None:
         pass
 
+    def _end(self, last: tuple) -> int:
+        # one past it, as a sighting at the very end still counts as seen
+        return last[0] + self.keep + 1
+
     @staticmethod
-    def _change(key: tuple, at: int, status: str, payload: str | None) -> Row:
-        return Row(repo=key[0], section=key[1], key=key[2], at=datetime.fromtimestamp(at / 1000, UTC), status=status, payload=payload)
+    def _given(key: tuple, found: list[tuple[int, str, str | None]]) -> Row:
+        return Row(repo=key[0], section=key[1], key=key[2], found=found)
 
 
 def changes(snapshots: DataFrame, keep: timedelta, late: str = "0 seconds") -> DataFrame:
     """``CHANGES`` of a stream of ``SNAPSHOT`` rows, as
     ``operators.drift.key_changes`` gives them for a table.  Sightings that are up
     to ``late`` behind the newest are put in order; later ones are dropped.
-    Times are kept to the millisecond.  Rows without a time or a key are none."""
-    rows = snapshots.where("at IS NOT NULL AND key IS NOT NULL").withWatermark("at", late)
-    return rows.groupBy("repo", "section", "key").transformWithState(KeyDrift(keep), CHANGES, "Append", "EventTime")
+    Times are kept to the millisecond.  Rows without a time or a key are none.
+    The sightings of one key that a batch gives are put in order in memory."""
+    at = F.timestamp_millis(F.rint(F.unix_micros("at") / 1000).cast("long"))
+    rows = snapshots.where("at IS NOT NULL AND key IS NOT NULL").withColumn("at", at).withWatermark("at", late)
+    once = rows.groupBy(*_KEY, "at").agg(F.max("payload").alias("payload"))
+    # numbers are cheaper than times for Python
+    given = once.select(*_KEY, F.unix_millis("at").alias("ms"), "payload")
+    out = given.groupBy(*_KEY).transformWithState(KeyDrift(keep), _FOUND, "Append", "EventTime")
+    return out.select(*_KEY, F.inline("found")).select(*_KEY, F.timestamp_millis("ms").alias("at"), "status", "payload")
 
 
 def follow(spark: SparkSession, arrivals: str, out: str, checkpoint: str, keep: timedelta, late: str = "0 seconds") -> StreamingQuery:

@@ -3,14 +3,16 @@
 import json
 import random
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from stocktake.functions.schema import violations
 from stocktake.operators import drift
 from stocktake.sources import history
-from stocktake.streaming.drift import CHANGES, SNAPSHOT, follow
+from stocktake.streaming.drift import CHANGES, SNAPSHOT, KeyDrift, follow
 
 RUNS = "repo string, section string, key string, payload string, run_id string"
 DAY = datetime(2025, 1, 1)
@@ -79,6 +81,62 @@ def test_changes_of_keys_as_table_and_stream(spark, tmp_path):
     assert got == [c for c in plain_changes([*sightings, end], keep) if c[0] != "end"]
 
 
+class CountedState:
+    """A key's state and timers in memory; counts how often they are asked."""
+
+    def __init__(self):
+        self.value, self.timers, self.asked = None, set(), 0
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def __getattr__(self, name):
+        def ask(*values):
+            self.asked += 1
+            if name == "get":
+                return self.value
+            if name in ("update", "clear"):
+                self.value = values[0] if values else None
+            else:
+                {"registerTimer": self.timers.add, "deleteTimer": self.timers.remove}[name](*values)
+
+        return ask
+
+
+def test_a_key_asks_for_its_state_a_few_times_a_batch(spark):
+    """Not for each of its sightings; one past its end it is removed, at its end it is still kept."""
+    times = [3, 1, 2, 5, 9, *range(20, 320), 323]
+    batches = [times[:5], times[5:], [329], []]
+    state, out = CountedState(), []
+    keys = KeyDrift(timedelta(milliseconds=4))
+    keys.init(state)
+    for rows in batches:
+        state.asked = 0
+        watermark = SimpleNamespace(getCurrentWatermarkInMs=lambda: max(rows, default=334))  # noqa: B023
+        if rows:
+            found = keys.handleInputRows(("r", "models", "k"), iter([Row(ms=at, payload="ab"[at > 100]) for at in rows]), watermark)
+        else:
+            [end] = state.timers
+            assert end == 334
+            found = keys.handleExpiredTimer(("r", "models", "k"), watermark, SimpleNamespace(getExpiryTimeInMs=lambda: end))  # noqa: B023
+        out += [tuple(c) for r in found for c in r["found"]]
+        assert state.asked <= 4 and len(state.timers) <= 1
+    assert out == [(1, "added", "a"), (13, "removed", "a"), (20, "added", "a"), (101, "changed", "b"), (327, "removed", "b"), (329, "added", "b"), (333, "removed", "b")]
+
+
+def test_stream_of_a_key_with_many_sightings(spark, tmp_path):
+    """A thousand times of one key, some twice in other files and some without payload."""
+    keep = timedelta(minutes=2)
+    sightings = [("r", "models", "busy", None if n % 7 == 0 else "ab"[n % 3 == 0], DAY + timedelta(minutes=n + 10 * (n // 100))) for n in range(1000)]
+    sightings += [("r", "models", "k", "x", DAY + timedelta(minutes=m)) for m in (5, 7, 10)]
+    want = collected(drift.key_changes(spark.createDataFrame(sightings, SNAPSHOT), "2 MINUTES"))
+    for part in (sightings, sightings[::3]):
+        spark.createDataFrame(part, SNAPSHOT).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    follow(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/state", keep).awaitTermination()
+    rows = spark.read.schema(CHANGES).parquet(f"{tmp_path}/out")
+    assert collected(rows.fillna("-")) == sorted((*c[:5], c[5] or "-") for c in want)
+
+
 def test_changes_equal_the_trend_of_daily_runs(spark):
     """Keys that the table of changes adds are those that the trend calls new."""
     r = random.Random(4)
